@@ -61,14 +61,10 @@ def round_hour(ts, mode: str = "half_even") -> Column:
 def parse_month_year(c, pivot: int = 69) -> Column:
     """``'Jan-85'`` → DATE with Python's two-digit-year rule: yy >= pivot → 19yy,
     else 20yy (Spark alone would give 2085). Unparsable → NULL."""
-    d = F.try_to_date(col_(c), F.lit("MMM-yy")) if _has_try_to_date() else F.to_date(col_(c), "MMM-yy")
+    d = F.try_to_date(col_(c), "MMM-yy")
     return F.when(F.year(d) >= F.lit(2000 + pivot), F.add_months(d, -1200)).otherwise(d)
 
 
-def _has_try_to_date() -> bool:
-    return hasattr(F, "try_to_date")
-
-
 def parse_mixed_day_first(c) -> Column:
     """Day-first text with ``/`` or ``-`` and optional seconds → TIMESTAMP_NTZ."""
     s = F.replace(col_(c), F.lit("/"), F.lit("-"))
