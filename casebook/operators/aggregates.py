@@ -91,13 +91,15 @@ def quantiles(c, probs: Sequence[float], exact: bool = True, accuracy: int = 1_0
     return F.percentile(col_(c), arr) if exact else F.percentile_approx(col_(c), arr, accuracy)
 
 
-def boxplot_stats(df: DataFrame, c: str, by: Sequence[str] = (), whisker: float = 1.5) -> DataFrame:
+def boxplot_stats(df: DataFrame, c: str, by: Sequence[str] = (), whisker: float = 1.5,
+                  digits: int | None = None) -> DataFrame:
     """Five-number summary, IQR fences, whisker ends and outlier count by group.
 
     Pass 1: per-group quartiles (small: one row per group). Pass 2: the data is
     joined to its group's fences (AQE broadcasts the stats side when it is
     measured small, else sort-merge) and whiskers / outliers are counted.
-    Whisker ends are the most extreme data values inside the fences.
+    Whisker ends are the most extreme data values inside the fences. With
+    ``digits`` the quartiles are rounded before the fences are derived.
     """
     x = F.col(c)
     keys = list(by)
@@ -105,8 +107,9 @@ def boxplot_stats(df: DataFrame, c: str, by: Sequence[str] = (), whisker: float
     stats = g.agg(F.count(x).alias("n"), F.min(x).alias("min"),
                   F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
                   F.max(x).alias("max"))
-    stats = stats.select(*keys, "n", "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                         F.col("_q")[2].alias("q3"), "max")
+    rq = (lambda v: F.round(v, digits)) if digits is not None else (lambda v: v)
+    stats = stats.select(*keys, "n", "min", rq(F.col("_q")[0]).alias("q1"), rq(F.col("_q")[1]).alias("median"),
+                         rq(F.col("_q")[2]).alias("q3"), "max")
     stats = stats.withColumn("iqr", F.col("q3") - F.col("q1")) \
                  .withColumn("lower_fence", F.col("q1") - F.lit(whisker) * F.col("iqr")) \
                  .withColumn("upper_fence", F.col("q3") + F.lit(whisker) * F.col("iqr"))
