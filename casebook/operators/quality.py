@@ -150,7 +150,7 @@ def dedup(df: DataFrame, keys: Sequence[str], keep: str = "first",
             p = F.col(k).isNull()
             has_null = p if has_null is None else has_null | p
         flag = (~has_null) & flag if keep == "all_but_last" else has_null | flag
-    return df.where(flag)
+    return df.withColumn("__keep", flag).where(F.col("__keep")).drop("__keep")
 
 
 def full_row_duplicates(df: DataFrame, name: str = "n_copies") -> DataFrame:
