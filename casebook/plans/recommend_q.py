@@ -1 +1,187 @@
-"""placeholder"""
+"""2.17 Collaborative filtering on ratings = lineitem ⋈ orders ⋈ part:
+user = o_custkey, item = p_brand, rating = round(avg(l_quantity) / 10, 4)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from casebook.operators import recommend as RC
+from casebook.operators.splits import hash_pct
+from casebook.plans.aggregates_q import BRANDS
+from casebook.plans.registry import query
+from casebook.plans.shaping_q import RATINGS_SQL, ratings
+from casebook.plans.sqlfn import rnd
+
+ITEM_MIN, USER_MIN = 1100, 15
+
+
+@query("reco_prepare", f"""
+WITH {RATINGS_SQL},
+r1 AS (SELECT * FROM ratings WHERE item IN (SELECT item FROM ratings GROUP BY item HAVING count(*) > {ITEM_MIN}))
+SELECT * FROM r1 WHERE usr IN (SELECT usr FROM r1 GROUP BY usr HAVING count(*) > {USER_MIN})""")
+def reco_prepare(spark, d):
+    return RC.min_count_filter(ratings(spark, d), ITEM_MIN, USER_MIN)
+
+
+def _user_vecs(spark, d, centred: bool):
+    r = ratings(spark, d)
+    src = RC.centre(r, "usr", "rating", "v") if centred else r.withColumn("v", F.col("rating"))
+    vecs = RC.dense_rows(src, "usr", "item", "v", BRANDS)
+    return r, RC.with_mask(vecs, r, "usr", "item", BRANDS)
+
+
+def _pairs_sql(value: str) -> str:
+    return f"""{RATINGS_SQL},
+c AS (SELECT usr, item, {value} AS v FROM ratings),
+nrm AS (SELECT usr, sqrt(sum(v * v)) AS nv FROM c GROUP BY usr),
+dots AS (SELECT x.usr AS a, y.usr AS b, sum(x.v * y.v) AS dot, count(*) AS overlap
+         FROM c x JOIN c y ON x.item = y.item AND x.usr < y.usr GROUP BY x.usr, y.usr),
+sims AS (SELECT a, b, coalesce(dot / nullif(na.nv * nb.nv, 0), 0.0) AS sim, CAST(overlap AS INTEGER) AS overlap
+         FROM dots JOIN nrm na ON na.usr = a JOIN nrm nb ON nb.usr = b)"""
+
+
+@query("reco_user_cosine", f"""WITH {_pairs_sql("rating")} SELECT a, b, {rnd("sim", 6)} AS sim, overlap FROM sims""")
+def reco_user_cosine(spark, d):
+    _, vecs = _user_vecs(spark, d, centred=False)
+    s = RC.user_similarity(vecs, "usr", block_size=512)
+    return s.select("a", "b", F.round("sim", 6).alias("sim"), "overlap")
+
+
+_CENTRED = "rating - avg(rating) OVER (PARTITION BY usr)"
+
+
+@query("reco_user_adjusted_cosine", f"""WITH {_pairs_sql(_CENTRED)} SELECT a, b, {rnd("sim", 4)} AS sim, overlap FROM sims""")
+def reco_user_adjusted_cosine(spark, d):
+    _, vecs = _user_vecs(spark, d, centred=True)
+    s = RC.user_similarity(vecs, "usr", block_size=512)
+    # centred dot products cancel heavily; 4 digits keeps both engines on the same side of a rounding edge
+    return s.select("a", "b", F.round("sim", 4).alias("sim"), "overlap")
+
+
+def _item_sim_sql(center: str, clip: bool, src: str = "ratings") -> str:
+    """Item-item cosine in SQL over all item pairs (diagonal included)."""
+    items = "iitems AS (SELECT DISTINCT item FROM " + src + ")"
+    if center == "zero_filled":
+        base = f"""{items}, nu AS (SELECT count(DISTINCT usr) AS n FROM {src}),
+sums AS (SELECT item, sum(rating) AS s, sum(rating * rating) AS ss FROM {src} GROUP BY item),
+co AS (SELECT x.item AS a, y.item AS b, sum(x.rating * y.rating) AS d FROM {src} x JOIN {src} y ON x.usr = y.usr GROUP BY ALL),
+dot AS (SELECT ia.item AS a, ib.item AS b, coalesce(co.d, 0) - sa.s * sb.s / n AS dot,
+               (sa.ss - sa.s * sa.s / n) AS na, (sb.ss - sb.s * sb.s / n) AS nb
+        FROM iitems ia CROSS JOIN iitems ib CROSS JOIN nu JOIN sums sa ON sa.item = ia.item JOIN sums sb ON sb.item = ib.item
+        LEFT JOIN co ON co.a = ia.item AND co.b = ib.item)"""
+    else:
+        val = "rating - avg(rating) OVER (PARTITION BY item)" if center == "observed" else "rating"
+        base = f"""{items}, cv AS (SELECT usr, item, {val} AS v FROM {src}),
+sq AS (SELECT item, sum(v * v) AS ss FROM cv GROUP BY item),
+co AS (SELECT x.item AS a, y.item AS b, sum(x.v * y.v) AS d FROM cv x JOIN cv y ON x.usr = y.usr GROUP BY ALL),
+dot AS (SELECT ia.item AS a, ib.item AS b, coalesce(co.d, 0) AS dot, sa.ss AS na, sb.ss AS nb
+        FROM iitems ia CROSS JOIN iitems ib JOIN sq sa ON sa.item = ia.item JOIN sq sb ON sb.item = ib.item
+        LEFT JOIN co ON co.a = ia.item AND co.b = ib.item)"""
+    sim = "coalesce(dot / nullif(sqrt(na * nb), 0), 0.0)"
+    if clip:
+        sim = f"greatest({sim}, 0.0)"
+    return f"{base}, isim AS (SELECT a, b, {sim} AS sim FROM dot)"
+
+
+@query("reco_item_similarity", f"""WITH {RATINGS_SQL}, {_item_sim_sql("zero_filled", False)}
+SELECT a, b, {rnd("sim", 6)} AS sim FROM isim""")
+def reco_item_similarity(spark, d):
+    s = RC.item_similarity(ratings(spark, d), BRANDS, center="zero_filled")
+    return s.select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+@query("reco_clip_negative", f"""WITH {RATINGS_SQL}, {_item_sim_sql("observed", True)}
+SELECT a, b, {rnd("sim", 6)} AS sim FROM isim""")
+def reco_clip_negative(spark, d):
+    s = RC.item_similarity(ratings(spark, d), BRANDS, center="observed", clip=True)
+    return s.select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+_USER_PRED_SQL = f"""{RATINGS_SQL},
+c AS (SELECT usr, item, {_CENTRED} AS v FROM ratings),
+nrm AS (SELECT usr, sqrt(sum(v * v)) AS nv FROM c GROUP BY usr),
+dots AS (SELECT x.usr AS u, y.usr AS w, sum(x.v * y.v) AS dot FROM c x JOIN c y ON x.item = y.item GROUP BY ALL),
+sims AS (SELECT u, w, greatest(coalesce(dot / nullif(nu.nv * nw.nv, 0), 0.0), 0.0) AS sim
+         FROM dots JOIN nrm nu ON nu.usr = u JOIN nrm nw ON nw.usr = w),
+part AS (SELECT u, item, sum(sim * rating) AS score FROM sims JOIN ratings ON ratings.usr = w GROUP BY ALL),
+users AS (SELECT DISTINCT usr FROM ratings), items AS (SELECT DISTINCT item FROM ratings),
+upred AS (SELECT users.usr, items.item, coalesce(part.score, 0.0) AS score FROM users CROSS JOIN items
+          LEFT JOIN part ON part.u = users.usr AND part.item = items.item)"""
+
+
+def _user_pred(spark, d):
+    r, vecs = _user_vecs(spark, d, centred=True)
+    rv = RC.dense_rows(r, "usr", "item", "rating", BRANDS)
+    return RC.predict_user_based(vecs.select("usr", "vec"), rv, BRANDS, "usr", block_size=512, clip=True)
+
+
+@query("reco_predict_user_based", f"""WITH {_USER_PRED_SQL} SELECT usr, item, {rnd("score", 6)} AS score FROM upred""")
+def reco_predict_user_based(spark, d):
+    return _user_pred(spark, d).select("usr", "item", F.round("score", 6).alias("score"))
+
+
+_ITEM_PRED_SQL = f"""{RATINGS_SQL}, {_item_sim_sql("zero_filled", True)},
+ipred AS (SELECT usr, isim.b AS item, sum(rating * sim) AS score FROM ratings JOIN isim ON ratings.item = isim.a GROUP BY ALL)"""
+
+
+def _item_pred(spark, d, r=None):
+    r = ratings(spark, d) if r is None else r
+    sim = RC.item_similarity(r, BRANDS, center="zero_filled", clip=True)
+    return RC.predict_item_based(r, sim)
+
+
+@query("reco_predict_item_based", f"""WITH {_ITEM_PRED_SQL} SELECT usr, item, {rnd("score", 6)} AS score FROM ipred""")
+def reco_predict_item_based(spark, d):
+    return _item_pred(spark, d).select("usr", "item", F.round("score", 6).alias("score"))
+
+
+@query("reco_mask_seen", f"""WITH {_ITEM_PRED_SQL}
+SELECT usr, item, {rnd("score", 6)} AS score FROM ipred
+WHERE NOT EXISTS (SELECT 1 FROM ratings r WHERE r.usr = ipred.usr AND r.item = ipred.item)""")
+def reco_mask_seen(spark, d):
+    r = ratings(spark, d)
+    s = RC.mask_seen(_item_pred(spark, d, r), r, "unseen")
+    return s.select("usr", "item", F.round("score", 6).alias("score"))
+
+
+@query("reco_topn", f"""WITH {_ITEM_PRED_SQL},
+un AS (SELECT * FROM ipred WHERE NOT EXISTS (SELECT 1 FROM ratings r WHERE r.usr = ipred.usr AND r.item = ipred.item)),
+rk AS (SELECT usr, item, {rnd("score", 6)} AS score, CAST(row_number() OVER (PARTITION BY usr ORDER BY round(score, 6) DESC, item) AS INTEGER) AS rank FROM un)
+SELECT * FROM rk WHERE rank <= 5""")
+def reco_topn(spark, d):
+    r = ratings(spark, d)
+    s = RC.mask_seen(_item_pred(spark, d, r), r, "unseen").withColumn("score", F.round("score", 6))
+    return RC.topn(s, 5)
+
+
+_SPLIT = "('0x' || substr(md5(CAST(usr AS VARCHAR) || '|' || item), 1, 8))::BIGINT % 100"
+
+
+@query("reco_scaled_rmse", f"""WITH {RATINGS_SQL},
+train AS (SELECT * FROM ratings WHERE {_SPLIT} >= 30), test AS (SELECT * FROM ratings WHERE {_SPLIT} < 30),
+{_item_sim_sql("zero_filled", True, "train")},
+pred AS (SELECT usr, isim.b AS item, sum(rating * sim) AS score FROM train JOIN isim ON train.item = isim.a GROUP BY ALL),
+pairs AS (SELECT pred.usr, pred.item, score, test.rating FROM pred JOIN test USING (usr, item) WHERE score > 0),
+mm AS (SELECT item, min(score) AS mn, max(score) AS mx FROM pairs GROUP BY item),
+sc AS (SELECT rating, CASE WHEN mx = mn THEN 1.0 ELSE (score - mn) / (mx - mn) * 4.0 + 1.0 END AS s FROM pairs JOIN mm USING (item))
+SELECT {rnd("sqrt(avg((rating - s) ^ 2))", 6)} AS rmse, count(*) AS n_pairs FROM sc""")
+def reco_scaled_rmse(spark, d):
+    r = ratings(spark, d)
+    h = hash_pct(F.concat(F.col("usr").cast("string"), F.lit("|"), F.col("item")))
+    train, test = r.where(h >= 30), r.where(h < 30)
+    pred = _item_pred(spark, d, train)          # similarity from train (not from test)
+    return RC.scaled_rmse(pred, test, 1.0, 5.0)
+
+
+@query("reco_profile_similarity", f"""WITH {_USER_PRED_SQL}, {_item_sim_sql("zero_filled", True)},
+ipred AS (SELECT usr, isim.b AS item, sum(rating * sim) AS score FROM ratings JOIN isim ON ratings.item = isim.a GROUP BY ALL),
+ru AS (SELECT usr, round(score, 6) AS s, row_number() OVER (PARTITION BY usr ORDER BY round(score, 6) DESC, item) AS rk FROM upred),
+ri AS (SELECT usr, round(score, 6) AS s, row_number() OVER (PARTITION BY usr ORDER BY round(score, 6) DESC, item) AS rk FROM ipred)
+SELECT ru.usr, {rnd("corr(ru.s, ri.s)", 6)} AS top10_corr FROM ru JOIN ri ON ru.usr = ri.usr AND ru.rk = ri.rk
+WHERE ru.rk <= 10 GROUP BY ru.usr""")
+def reco_profile_similarity(spark, d):
+    u = RC.topn(_user_pred(spark, d).withColumn("score", F.round("score", 6)), 10)
+    i = RC.topn(_item_pred(spark, d).withColumn("score", F.round("score", 6)), 10)
+    j = u.select("usr", "rank", F.col("score").alias("su")).join(i.select("usr", "rank", F.col("score").alias("si")),
+                                                                 ["usr", "rank"])
+    return j.groupBy("usr").agg(F.round(F.corr("su", "si"), 6).alias("top10_corr"))
