@@ -11,49 +11,76 @@ from casebook.operators.aggregates import count_by
 from casebook.plans.registry import query
 from casebook.plans.tables import TICKETS_SQL, TRIPS_SQL, t, tickets, trips
 
-# Quality rules over the trip stand-in: TRUE when a row breaks the rule.
-# Each rule is written once as a Column and once as SQL text for the oracle.
-TRIP_RULES = {
-    "period": (~(F.year("pickup_ts").between(1995, 2000) & F.year("dropoff_ts").between(1995, 2000)),
-               "NOT (year(pickup_ts) BETWEEN 1995 AND 2000 AND year(dropoff_ts) BETWEEN 1995 AND 2000)"),
-    "negative_time": (F.col("dropoff_ts") < F.col("pickup_ts"), "dropoff_ts < pickup_ts"),
-    "passengers": (~F.col("passengers").between(1, 6), "NOT (passengers BETWEEN 1 AND 6)"),
-    "distance": (F.col("distance") <= 0, "distance <= 0"),
-    "fare": (F.col("fare") <= 0, "fare <= 0"),
-    "no_tip": (F.col("tip") == 0, "tip = 0"),
-    "extra": (~F.col("extra").isin(0.0, 0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.07),
-              "extra NOT IN (0.0, 0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.07)"),
-    "payment": (F.col("payment") == "5-LOW", "payment = '5-LOW'"),
+# Quality rules over the trip stand-in: TRUE when a row breaks the rule. Each rule
+# is written once as a Column (built lazily: Columns need a session) and once as
+# SQL text for the oracle.
+def _trip_rules():
+    return {
+        "period": (~(F.year("pickup_ts").between(1995, 2000) & F.year("dropoff_ts").between(1995, 2000)),
+                   "NOT (year(pickup_ts) BETWEEN 1995 AND 2000 AND year(dropoff_ts) BETWEEN 1995 AND 2000)"),
+        "negative_time": (F.col("dropoff_ts") < F.col("pickup_ts"), "dropoff_ts < pickup_ts"),
+        "passengers": (~F.col("passengers").between(1, 6), "NOT (passengers BETWEEN 1 AND 6)"),
+        "distance": (F.col("distance") <= 0, "distance <= 0"),
+        "fare": (F.col("fare") <= 0, "fare <= 0"),
+        "no_tip": (F.col("tip") == 0, "tip = 0"),
+        "extra": (~F.col("extra").isin(0.0, 0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.07),
+                  "extra NOT IN (0.0, 0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.07)"),
+        "payment": (F.col("payment") == "5-LOW", "payment = '5-LOW'"),
+    }
+
+
+TRIP_RULES_SQL = {
+    "period": "NOT (year(pickup_ts) BETWEEN 1995 AND 2000 AND year(dropoff_ts) BETWEEN 1995 AND 2000)",
+    "negative_time": "dropoff_ts < pickup_ts",
+    "passengers": "NOT (passengers BETWEEN 1 AND 6)",
+    "distance": "distance <= 0",
+    "fare": "fare <= 0",
+    "no_tip": "tip = 0",
+    "extra": "extra NOT IN (0.0, 0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.07)",
+    "payment": "payment = '5-LOW'",
 }
-RULES = {k: v[0] for k, v in TRIP_RULES.items()}
+
+
+def trip_rules() -> dict:
+    """Rule name → Column (TRUE = broken)."""
+    return {k: v[0] for k, v in _trip_rules().items()}
 
 
 def _sql_broken(expr: str) -> str:
     return f"coalesce({expr}, true)"
 
 
-SQL_ANY_BROKEN = " OR ".join(_sql_broken(v[1]) for v in TRIP_RULES.values())
+SQL_ANY_BROKEN = " OR ".join(_sql_broken(v) for v in TRIP_RULES_SQL.values())
 SQL_BROKEN_NAMES = "concat_ws(',', " + ", ".join(
-    f"CASE WHEN {_sql_broken(v[1])} THEN '{k}' END" for k, v in TRIP_RULES.items()) + ")"
+    f"CASE WHEN {_sql_broken(v)} THEN '{k}' END" for k, v in TRIP_RULES_SQL.items()) + ")"
 
 # --- minimum slice: quality scorecard by provider ---------------------------------
 # (lineitem only: zero discount, quantity out of range, ship date out of period)
-LINE_RULES = {
-    "zero_discount": (F.col("l_discount") == 0, "l_discount = 0"),
-    "qty_range": (~F.col("l_quantity").between(1, 45), "NOT (l_quantity BETWEEN 1 AND 45)"),
-    "ship_period": (~F.year("l_shipdate").between(1996, 2000), "NOT (year(l_shipdate) BETWEEN 1996 AND 2000)"),
-    "zero_tax": (F.col("l_tax") == 0, "l_tax = 0"),
+def line_rules() -> dict:
+    return {
+        "zero_discount": F.col("l_discount") == 0,
+        "qty_range": ~F.col("l_quantity").between(1, 45),
+        "ship_period": ~F.year("l_shipdate").between(1996, 2000),
+        "zero_tax": F.col("l_tax") == 0,
+    }
+
+
+LINE_RULES_SQL = {
+    "zero_discount": "l_discount = 0",
+    "qty_range": "NOT (l_quantity BETWEEN 1 AND 45)",
+    "ship_period": "NOT (year(l_shipdate) BETWEEN 1996 AND 2000)",
+    "zero_tax": "l_tax = 0",
 }
 
 
 def faulty_by_source(spark, d):
     li = t(spark, d, "lineitem")
-    return R.rule_scorecard(li, {k: v[0] for k, v in LINE_RULES.items()}, by=["l_returnflag"])
+    return R.rule_scorecard(li, line_rules(), by=["l_returnflag"])
 
 
 _faulty_sql = ("SELECT l_returnflag, count(*) AS n_rows, "
-               + ", ".join(f"count(*) FILTER (WHERE coalesce({v[1]}, true)) AS n_{k}" for k, v in LINE_RULES.items())
-               + ", count(*) FILTER (WHERE " + " OR ".join(f"coalesce({v[1]}, true)" for v in LINE_RULES.values())
+               + ", ".join(f"count(*) FILTER (WHERE coalesce({v}, true)) AS n_{k}" for k, v in LINE_RULES_SQL.items())
+               + ", count(*) FILTER (WHERE " + " OR ".join(f"coalesce({v}, true)" for v in LINE_RULES_SQL.values())
                + ") AS n_faulty FROM lineitem GROUP BY l_returnflag")
 query("agg_faulty_by_source", _faulty_sql)(faulty_by_source)
 
@@ -63,8 +90,9 @@ WITH {TRIPS_SQL}
 SELECT vendor, payment, passengers, {SQL_BROKEN_NAMES} AS broken
 FROM trips WHERE {SQL_ANY_BROKEN}""")
 def flt_quality_rules(spark, d):
-    tr = R.apply_rules(trips(spark, d), RULES)
-    return R.rejected(tr, RULES).select("vendor", "payment", "passengers",
+    rules = trip_rules()
+    tr = R.apply_rules(trips(spark, d), rules)
+    return R.rejected(tr, rules).select("vendor", "payment", "passengers",
                                         F.array_join("broken", ",").alias("broken"))
 
 
@@ -73,7 +101,7 @@ WITH {TRIPS_SQL}
 SELECT vendor, CAST(month(pickup_ts) AS INTEGER) AS mnth, count(*) AS n, round(sum(fare), 2) AS fare
 FROM trips WHERE NOT ({SQL_ANY_BROKEN}) GROUP BY ALL""")
 def flt_clean_rows(spark, d):
-    c = R.clean(trips(spark, d), RULES)
+    c = R.clean(trips(spark, d), trip_rules())
     return c.groupBy("vendor", F.month("pickup_ts").alias("mnth")).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("fare"), 2).alias("fare"))
 

@@ -14,7 +14,7 @@ from casebook.operators.joins import literal_dim
 from casebook.session import scratch_path
 from casebook.sources import readers as RD
 from casebook.sources import sinks as SK
-from casebook.plans.filters_q import RULES
+from casebook.plans.filters_q import trip_rules
 from casebook.operators import rules as R
 from casebook.plans.registry import query
 from casebook.plans.tables import t, trips
@@ -126,7 +126,7 @@ WITH {TRIPS_SQL}
 SELECT CAST(month(pickup_ts) AS INTEGER) AS mnth, count(*) AS n FROM trips WHERE NOT ({SQL_ANY_BROKEN}) GROUP BY ALL""")
 def sink_orc_partitioned(spark, d):
     p = _path(spark, "trips_clean_orc")
-    clean = R.clean(trips(spark, d), RULES).withColumn("mnth", F.month("pickup_ts")) \
+    clean = R.clean(trips(spark, d), trip_rules()).withColumn("mnth", F.month("pickup_ts")) \
              .withColumn("dy", F.dayofmonth("pickup_ts"))
     SK.write_partitioned(clean, p, ["mnth", "dy"], fmt="orc", compression="snappy")
     return RD.read_partitioned(spark, p, "orc").groupBy("mnth").agg(F.count(F.lit(1)).alias("n"))

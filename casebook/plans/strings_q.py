@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casebook.functions.compat import to_number
 from casebook.functions.strings import (alnum_key, first_digits, keyword_hits, replace_chain, split_first, split_two,
@@ -104,7 +105,7 @@ def str_to_number(spark, d):
 
 
 # ---- 2.13 scalar UDF surface --------------------------------------------------------
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def hour24_udf(vtime: pd.Series) -> pd.Series:
     """Arrow-batched twin of ``parse_hhmm_ap(...).hour`` (strict): 'hhmmA|P' → 0..23."""
     s = vtime.astype("string")
