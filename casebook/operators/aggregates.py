@@ -66,12 +66,15 @@ def histogram(df: DataFrame, c: str, n_bins: int = 20, lo: float | None = None,
               hi: float | None = None) -> DataFrame:
     """Fixed-width histogram; top edge goes to the last bin, empty bins kept.
 
-    ``lo``/``hi`` default to the column's min / max (scalar subqueries, one pass).
-    Columns: ``bin (1..n), bin_lo, bin_hi, n``.
+    ``lo``/``hi`` default to the column's min / max, read in one metadata pass
+    (a single-row aggregate). Columns: ``bin (1..n), bin_lo, bin_hi, n``.
     """
     x = F.col(c).cast("double")
-    lo_c = F.lit(float(lo)) if lo is not None else df.select(F.min(x)).scalar()
-    hi_c = F.lit(float(hi)) if hi is not None else df.select(F.max(x)).scalar()
+    if lo is None or hi is None:
+        r = df.agg(F.min(x).alias("a"), F.max(x).alias("b")).first()
+        lo = r["a"] if lo is None else lo
+        hi = r["b"] if hi is None else hi
+    lo_c, hi_c = F.lit(float(lo)), F.lit(float(hi))
     width = (hi_c - lo_c) / F.lit(float(n_bins))
     b = F.when(x == hi_c, F.lit(n_bins)).otherwise(F.floor((x - lo_c) / width).cast("int") + 1)
     counts = (df.where(x.isNotNull() & (x >= lo_c) & (x <= hi_c))

@@ -1 +1,240 @@
-"""placeholder"""
+"""2.16 model fits (rows-only checks: iterative, seeded, not SQL-expressible).
+
+Stand-ins: regression on lineitem ⋈ part (target l_extendedprice), classification
+on labels ⋈ documents (target quality, features derived from the whole text),
+PCA and clustering on the 64-d embeddings.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import functions as F
+
+from casebook.functions.strings import keyword_hits
+from casebook.operators import aggregates as A
+from casebook.operators import models as M
+from casebook.operators.features import one_hot
+from casebook.operators.splits import split_hash
+from casebook.plans.registry import query
+from casebook.plans.strings_q import KEYWORDS
+from casebook.plans.tables import t
+
+DOC_FEATURES = ["log_chars", "n_lines", "words_per_line", "hits_per_kchar", "digit_share", "upper_share",
+                "lang_en", "lang_es", "lang_fr"]
+CAR_FEATURES = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice",
+                "type_LARGE", "type_MEDIUM", "type_PROMO", "type_SMALL", "type_STANDARD"]
+
+
+def docs(spark, d):
+    """labels ⋈ documents with numeric text features (whole texts)."""
+    lab, dc = t(spark, d, "labels"), t(spark, d, "documents")
+    j = lab.join(dc, "doc_id")
+    n = F.greatest(F.col("n_chars").cast("double"), F.lit(1.0))
+    lines = F.size(F.split("text", "\n")).cast("double")
+    words = F.size(F.split("text", r"\s+")).cast("double")
+    out = j.select("doc_id", F.col("quality").alias("label"), "lang",
+                   F.log1p("n_chars").alias("log_chars"), lines.alias("n_lines"), (words / lines).alias("words_per_line"),
+                   (keyword_hits("text", KEYWORDS) * 1000.0 / n).alias("hits_per_kchar"),
+                   (F.length(F.regexp_replace("text", "[^0-9]", "")) / n).alias("digit_share"),
+                   (F.length(F.regexp_replace("text", "[^A-Z]", "")) / n).alias("upper_share"))
+    return one_hot(out, ["lang"], prefix={"lang": "lang"}, drop_first=True, levels={"lang": ["de", "en", "es", "fr"]})
+
+
+def cars(spark, d):
+    li, p = t(spark, d, "lineitem"), t(spark, d, "part")
+    j = li.join(p, li.l_partkey == p.p_partkey).select(
+        "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount", "l_tax",
+        F.col("p_size").cast("double").alias("p_size"), "p_retailprice", "p_type")
+    j = j.withColumn("row_key", F.concat_ws("|", "l_orderkey", "l_linenumber", "p_retailprice", "l_quantity"))
+    return one_hot(j, ["p_type"], prefix={"p_type": "type"}, drop_first=True,
+                   levels={"p_type": ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]})
+
+
+def embeddings(spark, d):
+    e = t(spark, d, "embeddings")
+    return e.select("vec_id", "label", array_to_vector("embedding").alias("vec"))
+
+
+@query("ml_pca_scree")
+def ml_pca_scree(spark, d):
+    model, _ = M.pca_fit(embeddings(spark, d), "vec", 10)
+    return M.pca_scree(spark, model)
+
+
+@query("ml_pca_loadings")
+def ml_pca_loadings(spark, d):
+    model, _ = M.pca_fit(embeddings(spark, d), "vec", 2)
+    return M.pca_loadings(spark, model, [f"dim{i}" for i in range(64)], n_pc=2)
+
+
+@query("ml_pca_transform")
+def ml_pca_transform(spark, d):
+    model, centred = M.pca_fit(embeddings(spark, d), "vec", 4)
+    out = model.transform(centred).select("vec_id", vector_to_array("pca").alias("p"))
+    return out.select("vec_id", *[F.round(F.col("p")[i], 6).alias(f"pc{i + 1}") for i in range(4)])
+
+
+@query("ml_pca_logit_sweep")
+def ml_pca_logit_sweep(spark, d):
+    e = embeddings(spark, d).withColumn("y", (F.col("label") < 5).cast("double"))
+    train, test = split_hash(e, "vec_id", 30)
+    ks = [2, 4, 8, 16]
+    # PCA is fitted once at the largest k on train; each k takes the first k components
+    model, centred_train, scaler = M.pca_fit(train, "vec", max(ks), with_scaler=True)
+    tr = model.transform(centred_train)
+    te = model.transform(scaler.transform(test))
+    ev = BinaryClassificationEvaluator(labelCol="y")
+    rows = []
+    for k in ks:
+        trk, tek = M.slice_pca(tr, "pca", k), M.slice_pca(te, "pca", k)
+        lr = LogisticRegression(featuresCol="features", labelCol="y", maxIter=100).fit(trk)
+        rows.append((k, round(ev.evaluate(lr.transform(trk)), 6), round(ev.evaluate(lr.transform(tek)), 6)))
+    return spark.createDataFrame(rows, "k int, train_auc double, test_auc double")
+
+
+@query("ml_logistic_balanced")
+def ml_logistic_balanced(spark, d):
+    dd = docs(spark, d)
+    train, test = split_hash(dd, "doc_id", 30)
+    model = M.logistic_balanced(train, DOC_FEATURES, "label")
+    out = model.transform(test)
+    return out.select("doc_id", "label", F.round(vector_to_array("probability")[1], 6).alias("p_good"),
+                      F.col("prediction").cast("int").alias("prediction"))
+
+
+@query("ml_glm_binomial")
+def ml_glm_binomial(spark, d):
+    return M.glm_binomial_summary(docs(spark, d), DOC_FEATURES, "label")
+
+
+@query("ml_backward_elimination")
+def ml_backward_elimination(spark, d):
+    return M.backward_eliminate(cars(spark, d), CAR_FEATURES, "l_extendedprice", family="gaussian",
+                                p_max=0.05, vif_max=5.0)
+
+
+@query("ml_rfe_linear")
+def ml_rfe_linear(spark, d):
+    return M.rfe(cars(spark, d), CAR_FEATURES, "l_extendedprice", n=4, estimator="linear")
+
+
+@query("ml_rfe_logistic")
+def ml_rfe_logistic(spark, d):
+    return M.rfe(docs(spark, d), DOC_FEATURES, "label", n=3, estimator="logistic")
+
+
+def _car_fit(spark, d):
+    c = cars(spark, d)
+    train, test = split_hash(c, "row_key", 30)
+    return M.fit_linear(train, CAR_FEATURES, "l_extendedprice"), test
+
+
+@query("ml_predict_linear")
+def ml_predict_linear(spark, d):
+    model, test = _car_fit(spark, d)
+    return model.transform(test).select("l_orderkey", "l_linenumber", "l_extendedprice",
+                                        F.round("prediction", 4).alias("prediction"))
+
+
+@query("ml_residuals")
+def ml_residuals(spark, d):
+    model, test = _car_fit(spark, d)
+    res = model.transform(test).select((F.col("l_extendedprice") - F.col("prediction")).alias("residual"))
+    return A.histogram(res, "residual", n_bins=20)
+
+
+@query("ml_linear_svm")
+def ml_linear_svm(spark, d):
+    dd = docs(spark, d)
+    train, test = split_hash(dd, "doc_id", 30)
+    model = M.linear_svm(train, DOC_FEATURES, "label")
+    return model.transform(test).select("doc_id", "label", F.col("prediction").cast("int").alias("prediction"),
+                                        F.round(vector_to_array("rawPrediction")[1], 6).alias("margin"))
+
+
+@query("ml_rbf_svm_approx")
+def ml_rbf_svm_approx(spark, d):
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    dd = VectorAssembler(inputCols=DOC_FEATURES, outputCol="raw").transform(docs(spark, d))
+    train, test = split_hash(dd, "doc_id", 30)
+    sc = StandardScaler(inputCol="raw", outputCol="std", withMean=True, withStd=True).fit(train)
+    tr = M.rff_features(sc.transform(train), "std", len(DOC_FEATURES), n_features=64, gamma=0.1)
+    te = M.rff_features(sc.transform(test), "std", len(DOC_FEATURES), n_features=64, gamma=0.1)
+    tr = M.balanced_weights(tr, "label")
+    c_param, n = 1.0, tr.count()
+    svm = LinearSVC(featuresCol="rff", labelCol="label", weightCol="weight", regParam=1.0 / (c_param * n),
+                    maxIter=100).fit(tr)
+    return svm.transform(te).select("doc_id", "label", F.col("prediction").cast("int").alias("prediction"))
+
+
+@query("ml_grid_search")
+def ml_grid_search(spark, d):
+    return M.grid_search(docs(spark, d), DOC_FEATURES, "label", [0.0, 0.01, 0.1], [0.0, 0.5], folds=3)
+
+
+@query("ml_decision_tree")
+def ml_decision_tree(spark, d):
+    return M.decision_tree_rules(docs(spark, d), DOC_FEATURES, "label", depth=3)
+
+
+def _forest(spark, d):
+    dd = docs(spark, d)
+    train, test = split_hash(dd, "doc_id", 30)
+    return M.random_forest(train, DOC_FEATURES, "label", n_trees=40, depth=5, min_leaf=3, weighted=True), test
+
+
+@query("ml_random_forest")
+def ml_random_forest(spark, d):
+    model, test = _forest(spark, d)
+    out = model.transform(M.assemble(test, DOC_FEATURES))
+    return out.select("doc_id", "label", F.col("prediction").cast("int").alias("prediction"),
+                      F.round(vector_to_array("probability")[1], 6).alias("p_good"))
+
+
+@query("ml_feature_importance")
+def ml_feature_importance(spark, d):
+    model, _ = _forest(spark, d)
+    return M.feature_importance(spark, model, DOC_FEATURES)
+
+
+@query("ml_kmeans")
+def ml_kmeans(spark, d):
+    e = embeddings(spark, d)
+    m = M.kmeans(e, "vec", 10)
+    return m.transform(e).groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ml_elbow")
+def ml_elbow(spark, d):
+    return M.elbow(embeddings(spark, d), "vec", list(range(1, 9)))
+
+
+@query("ml_silhouette")
+def ml_silhouette(spark, d):
+    return M.silhouette(embeddings(spark, d), "vec", list(range(2, 9)))
+
+
+@query("ml_hopkins")
+def ml_hopkins(spark, d):
+    return M.hopkins(embeddings(spark, d), "vec", m=50)
+
+
+@query("ml_cluster_profile")
+def ml_cluster_profile(spark, d):
+    e = embeddings(spark, d)
+    clusters = M.kmeans(e, "vec", 5).transform(e).select("vec_id", F.col("prediction").alias("cluster"))
+    raw = t(spark, d, "embeddings").select(
+        "vec_id", "label", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"),
+        F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).alias("total"))
+    prof = raw.join(clusters, "vec_id")          # joined by key, never by position
+    return A.mean_all_numeric(prof.drop("vec_id"), ["cluster"], digits=6)
+
+
+@query("ml_hierarchical_clusters")
+def ml_hierarchical_clusters(spark, d):
+    e = embeddings(spark, d)
+    m = M.bisecting(e, "vec", 8)
+    return m.transform(e).groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
