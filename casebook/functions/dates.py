@@ -87,8 +87,8 @@ def parse_hhmm_ap(c, strict: bool = True) -> Column:
     """
     s = col_(c)
     ok = s.rlike("^[0-9]{4}[AP]$")
-    h = F.substring(s, 1, 2).cast("int")
-    mi = F.substring(s, 3, 2).cast("int")
+    h = F.substring(s, 1, 2).try_cast("int")
+    mi = F.substring(s, 3, 2).try_cast("int")
     ap = F.substring(s, 5, 1)
     h12 = F.when(h >= 12, F.lit(0)).otherwise(h)
     hour = h12 + F.when(ap == "P", F.lit(12)).otherwise(F.lit(0))
