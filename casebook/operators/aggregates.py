@@ -87,9 +87,47 @@ def histogram(df: DataFrame, c: str, n_bins: int = 20, lo: float | None = None,
                       F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"))
 
 
+def exact_quantiles(df: DataFrame, c: str, probs: Sequence[float], by: Sequence[str] = (),
+                    prefix: str = "q", n_buckets: int = 64) -> DataFrame:
+    """Exact quantiles with linear interpolation (pandas ``quantile``, SQL
+    ``percentile_cont``), computed without holding a group's values in one place.
+
+    Every non-NULL value gets its rank inside its group from bucketed running
+    counts (:func:`casebook.operators.ordered.global_rank`: range buckets of the
+    value, one window per (group, bucket), offsets from a small bucket table).
+    Only the rows at ranks floor(h)+1 and ceil(h)+1, h = (n-1)·p, are kept — at
+    most two per requested probability and group — and interpolated. A group
+    holding a third of all rows is spread over the value buckets, never
+    collected by one task. Columns: ``*by, q0, q1, …`` in the order of ``probs``.
+    """
+    from casebook.operators.ordered import global_rank
+
+    keys = list(by)
+    x = df.where(F.col(c).isNotNull()).select(*keys, F.col(c).cast("double").alias("_v"))
+    n = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else None
+    r = global_rank(x, "_v", [], n_buckets, partition=keys, name="_r")
+    r = r.join(n, keys) if keys else r.withColumn("_n", x.select(F.count(F.lit(1))).scalar())
+    hs = [(F.col("_n") - 1) * F.lit(float(p)) for p in probs]
+    wanted = None
+    for h in hs:
+        cond = (F.col("_r") == F.floor(h) + 1) | (F.col("_r") == F.ceil(h) + 1)
+        wanted = cond if wanted is None else wanted | cond
+    picked = r.where(wanted)
+    aggs = []
+    for i, h in enumerate(hs):
+        aggs += [F.max(F.when(F.col("_r") == F.floor(h) + 1, F.col("_v"))).alias(f"_lo{i}"),
+                 F.max(F.when(F.col("_r") == F.ceil(h) + 1, F.col("_v"))).alias(f"_hi{i}"),
+                 F.first(h - F.floor(h)).alias(f"_fr{i}")]
+    g = picked.groupBy(*keys).agg(*aggs) if keys else picked.agg(*aggs)
+    return g.select(*keys, *[(F.col(f"_lo{i}") + F.col(f"_fr{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}")))
+                             .alias(f"{prefix}{i}") for i in range(len(probs))])
+
+
 def quantiles(c, probs: Sequence[float], exact: bool = True, accuracy: int = 1_000_000) -> Column:
-    """array of quantiles. exact → linear interpolation (pandas ``quantile``);
-    otherwise ``percentile_approx`` (lower value, bounded sketch memory)."""
+    """array of quantiles as one aggregate Column. exact → Spark ``percentile``
+    (keeps a value → count map per group: use only for columns with few distinct
+    values per group, otherwise :func:`exact_quantiles`); otherwise
+    ``percentile_approx`` (bounded sketch memory)."""
     arr = F.array(*[F.lit(float(p)) for p in probs])
     return F.percentile(col_(c), arr) if exact else F.percentile_approx(col_(c), arr, accuracy)
 
@@ -98,7 +136,8 @@ def boxplot_stats(df: DataFrame, c: str, by: Sequence[str] = (), whisker: float
                   digits: int | None = None) -> DataFrame:
     """Five-number summary, IQR fences, whisker ends and outlier count by group.
 
-    Pass 1: per-group quartiles (small: one row per group). Pass 2: the data is
+    Pass 1: per-group quartiles (exact, distributed: :func:`exact_quantiles`).
+    Pass 2: the data is
     joined to its group's fences (AQE broadcasts the stats side when it is
     measured small, else sort-merge) and whiskers / outliers are counted.
     Whisker ends are the most extreme data values inside the fences. With
@@ -107,12 +146,15 @@ def boxplot_stats(df: DataFrame, c: str, by: Sequence[str] = (), whisker: float
     x = F.col(c)
     keys = list(by)
     g = df.groupBy(*keys) if keys else df
-    stats = g.agg(F.count(x).alias("n"), F.min(x).alias("min"),
-                  F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
-                  F.max(x).alias("max"))
+    basic = g.agg(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"))
+    q = exact_quantiles(df, c, [0.25, 0.5, 0.75], keys)
     rq = (lambda v: F.round(v, digits)) if digits is not None else (lambda v: v)
-    stats = stats.select(*keys, "n", "min", rq(F.col("_q")[0]).alias("q1"), rq(F.col("_q")[1]).alias("median"),
-                         rq(F.col("_q")[2]).alias("q3"), "max")
+    q = q.select(*keys, rq(F.col("q0")).alias("q1"), rq(F.col("q1")).alias("median"), rq(F.col("q2")).alias("q3"))
+    if keys:
+        stats = basic.join(q, keys).select(*keys, "n", "min", "q1", "median", "q3", "max")
+    else:
+        stats = basic.select("n", "min", q.select("q1").scalar().alias("q1"), q.select("median").scalar().alias("median"),
+                             q.select("q3").scalar().alias("q3"), "max")
     stats = stats.withColumn("iqr", F.col("q3") - F.col("q1")) \
                  .withColumn("lower_fence", F.col("q1") - F.lit(whisker) * F.col("iqr")) \
                  .withColumn("upper_fence", F.col("q3") + F.lit(whisker) * F.col("iqr"))

@@ -65,12 +65,14 @@ def describe(df: DataFrame, cols: Sequence[str], percentiles: Sequence[float] =
         aggs += [F.count(x).cast("double").alias(f"s{i}_0"), F.round(F.avg(x), digits).alias(f"s{i}_1"),
                  F.round(F.stddev_samp(x), digits).alias(f"s{i}_2"), F.min(x).alias(f"s{i}_3"),
                  F.max(x).alias(f"s{i}_4")]
-        if percentiles:
-            aggs.append(F.percentile(x, F.array(*[F.lit(float(p)) for p in percentiles])).alias(f"_p{i}"))
     one = df.agg(*aggs)
     if percentiles:
-        one = one.select("*", *[F.round(F.col(f"_p{i}")[j], digits).alias(f"s{i}_{5 + j}")
-                                for i in range(len(cols)) for j in range(len(percentiles))])
+        from casebook.operators.aggregates import exact_quantiles
+        extra = []
+        for i, c in enumerate(cols):
+            q = exact_quantiles(df, c, percentiles)
+            extra += [F.round(q.select(f"q{j}").scalar(), digits).alias(f"s{i}_{5 + j}") for j in range(len(percentiles))]
+        one = one.select("*", *extra)
     return _stack(one, list(cols), "s", stats)
 
 
@@ -198,9 +200,15 @@ def replace_with_mode(df: DataFrame, c: str, bad: Sequence) -> DataFrame:
 
 
 def iqr_bounds(df: DataFrame, c: str, k: float = 1.5) -> tuple[Column, Column]:
-    q = df.select(F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    q1, q3 = q.select(F.col("q")[0]).scalar(), q.select(F.col("q")[1]).scalar()
-    return q1 - F.lit(k) * (q3 - q1), q3 + F.lit(k) * (q3 - q1)
+    """Fences from the exact quartiles. The one-row quartile result is read on the
+    driver (metadata pass) so each pass of :func:`iqr_filter` filters on literals
+    instead of nesting the previous pass's subqueries."""
+    from casebook.operators.aggregates import exact_quantiles
+    r = exact_quantiles(df, c, [0.25, 0.75]).first()
+    q1, q3 = r["q0"], r["q1"]
+    if q1 is None:
+        return F.lit(None).cast("double"), F.lit(None).cast("double")
+    return F.lit(q1 - k * (q3 - q1)), F.lit(q3 + k * (q3 - q1))
 
 
 def iqr_filter(df: DataFrame, c: str, k: float = 1.5, passes: int = 1,

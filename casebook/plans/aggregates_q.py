@@ -114,18 +114,19 @@ SELECT {rnd("avg(o_totalprice)", 4)} AS mean, {rnd("median(o_totalprice)", 4)} A
        max(o_totalprice) AS max FROM orders""")
 def agg_exact_quantiles(spark, d):
     o = t(spark, d, "orders")
-    g = o.agg(F.round(F.avg("o_totalprice"), 4).alias("mean"), A.quantiles("o_totalprice", [0.5, 0.25, 0.75]).alias("q"),
-              F.max("o_totalprice").alias("max"))
-    return g.select("mean", F.round(F.col("q")[0], 4).alias("median"), F.round(F.col("q")[1], 4).alias("q25"),
-                    F.round(F.col("q")[2], 4).alias("q75"), "max")
+    q = A.exact_quantiles(o, "o_totalprice", [0.5, 0.25, 0.75])
+    g = o.agg(F.round(F.avg("o_totalprice"), 4).alias("mean"), F.max("o_totalprice").alias("max"))
+    return g.select("mean", F.round(q.select("q0").scalar(), 4).alias("median"),
+                    F.round(q.select("q1").scalar(), 4).alias("q25"), F.round(q.select("q2").scalar(), 4).alias("q75"),
+                    "max")
 
 
 @query("agg_median_by_group", f"""
 SELECT p_type, {rnd("median(p_retailprice)", 4)} AS median_price FROM part GROUP BY p_type""")
 def agg_median_by_group(spark, d):
     p = t(spark, d, "part")
-    return p.groupBy("p_type").agg(F.round(F.median("p_retailprice"), 4).alias("median_price")) \
-            .orderBy(F.col("median_price").desc(), "p_type")
+    m = A.exact_quantiles(p, "p_retailprice", [0.5], by=["p_type"])
+    return m.select("p_type", F.round("q0", 4).alias("median_price")).orderBy(F.col("median_price").desc(), "p_type")
 
 
 @query("agg_sum_by_group", f"""
