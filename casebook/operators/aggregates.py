@@ -33,7 +33,9 @@ def share_of_total(df: DataFrame, by: Sequence, digits: int = 2, scale: float =
     ``True`` reproduces ``scale * round(n / total, digits)`` (whole percents).
     """
     grouped = df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
-    total = df.select(F.count(F.lit(1))).scalar()
+    # the total is summed from the grouped counts (one row per group), so the
+    # input is scanned once; the subquery reuses the grouped exchange
+    total = grouped.select(F.sum(name)).scalar()
     frac = F.col(name) / total
     val = F.lit(scale) * F.round(frac, digits) if round_before_scale else F.round(F.lit(scale) * frac, digits)
     return grouped.withColumn(share, val)

@@ -1,0 +1,7 @@
+"""Structured Streaming.
+
+The surveyed analyses contain no stream source, watermark, event-time window or
+stateful operator, so this package holds no operator. Every batch operator in
+``casebook.operators`` is a DataFrame → DataFrame function without actions, so
+it can be applied unchanged inside ``foreachBatch`` of a streaming query.
+"""
