@@ -156,8 +156,7 @@ def residual_diagnostics(df: DataFrame, y: str, yhat: str, order_key: str, order
     """
     e = df.select(*[c for c in df.columns], (F.col(y) - F.col(yhat)).alias("_e"))
     b = range_bucket(e, order_key, n_buckets, name="_b")
-    keyed = b.withColumn("_ok", F.struct(*order))
-    lagged = previous_value(keyed, order, "_b", "_e", "_ok", "_pe")
+    lagged = previous_value(b, order, "_b", "_e", name="_pe")
     ybar = df.select(F.avg(y)).scalar()
     one = lagged.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_e") ** 2).alias("sse"),
                      F.sum((F.col(yhat) - ybar) ** 2).alias("ssr"),

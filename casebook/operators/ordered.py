@@ -28,17 +28,23 @@ def range_bucket(df: DataFrame, key: str, n_buckets: int, partition: Sequence[st
 
     Boundaries are the 1/n .. (n-1)/n approximate quantiles of ``key`` over the
     whole frame: one aggregate pass whose single row (n-1 numbers, a bound the
-    caller fixes) is read on the driver and inlined as literals, so the bucket
-    expression stays a plain codegen'd comparison chain.
+    caller fixes) is read on the driver and inlined as literals in a balanced
+    comparison tree, so the bucket expression stays small inside codegen.
     """
     probs = [i / n_buckets for i in range(1, n_buckets)]
     row = df.select(F.percentile_approx(F.col(key).cast("double"), probs, 10_000).alias("b")).first()
     bounds = sorted(set(v for v in (row["b"] or []) if v is not None))
     x = F.col(key).cast("double")
-    bucket = F.lit(0)
-    for b in bounds:
-        bucket = bucket + (x > F.lit(b)).cast("int")
-    return df.withColumn(name, bucket)
+    return df.withColumn(name, _search(x, bounds, 0, len(bounds)))
+
+
+def _search(x: Column, bounds: Sequence[float], lo: int, hi: int) -> Column:
+    """Number of ``bounds`` below ``x`` as a balanced CASE tree (log2 comparisons
+    per row, small generated code)."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(x > F.lit(bounds[mid]), _search(x, bounds, mid + 1, hi)).otherwise(_search(x, bounds, lo, mid))
 
 
 def running_sum(df: DataFrame, order: Sequence[Column], bucket: str, values: Sequence[str],
@@ -69,15 +75,18 @@ def global_rank(df: DataFrame, order_key: str, tie: Sequence[str], n_buckets: in
 
 
 def previous_value(df: DataFrame, order: Sequence[Column], bucket: str, value: str,
-                   order_key: str, name: str = "prev") -> DataFrame:
+                   order_key: str | None = None, name: str = "prev") -> DataFrame:
     """``lag(value)`` over a global order, bucket-wise.
 
-    The first row of a bucket takes the last value of the nearest earlier
-    non-empty bucket (from a small per-bucket table)."""
-    last = df.groupBy(bucket).agg(F.max_by(F.col(value), F.col(order_key)).alias("_last"))
-    wb = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    prev_last = last.select(bucket, F.last("_last").over(wb).alias("_carry"))
+    One window per bucket gives the in-bucket lag and marks each bucket's last
+    row; those last rows (one per bucket, a bounded table) give the value the
+    first row of the next non-empty bucket carries in. ``order_key`` is accepted
+    for compatibility and unused."""
     w = Window.partitionBy(bucket).orderBy(*order)
-    local = df.withColumn("_lag", F.lag(value).over(w))
-    j = local.join(prev_last, bucket)
-    return j.withColumn(name, F.coalesce(F.col("_lag"), F.col("_carry"))).drop("_lag", "_carry")
+    local = df.withColumn("_lag", F.lag(value).over(w)) \
+              .withColumn("_is_last", F.lead(F.lit(1)).over(w).isNull())
+    last = local.where(F.col("_is_last")).select(bucket, F.col(value).alias("_last"))
+    wb = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.select(bucket, F.last("_last").over(wb).alias("_carry"))
+    j = local.join(F.broadcast(carry), bucket)       # one row per bucket
+    return j.withColumn(name, F.coalesce(F.col("_lag"), F.col("_carry"))).drop("_lag", "_carry", "_is_last")
