@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from casebook.session import cut_lineage
+
 MAX_DENSE_ITEMS = 4096  # dense per-user rows are only built over a bounded item list
 
 
@@ -103,7 +105,10 @@ def item_similarity(ratings: DataFrame, items: Sequence, user: str = "usr", item
     if center == "observed":
         src = centre(ratings, item, value, "_c").select(user, item, F.col("_c").alias(value))
     vecs = dense_rows(src, user, item, value, items)
-    g = gram(vecs, k)
+    # the Gram table has k² + k + 1 rows; it is written to the shared checkpoint
+    # folder once so the several small joins below read it instead of each
+    # re-running the ratings pipeline (Python map stages are not exchange-reused)
+    g = cut_lineage(gram(vecs, k))
     upper = g.where((F.col("ia") >= 0) & (F.col("ib") >= F.col("ia"))).select("ia", "ib", "d")
     n = g.where(F.col("ia") < 0).select("d").scalar()
     upper = upper.withColumn("n", n)
