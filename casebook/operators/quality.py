@@ -119,40 +119,65 @@ def all_null(cols: Sequence[str]) -> Column:
 
 def dedup(df: DataFrame, keys: Sequence[str], keep: str = "first",
           order_by: Sequence[str] = (), null_keys: str = "group") -> DataFrame:
-    """Deterministic deduplication.
-
-    keep: 'first' / 'last' → one row per key, first / last in ascending
-    ``order_by`` (give a total order); 'none' → drop every row of a duplicated
-    key; 'all_but_last' → every row except the last of its key, i.e. what
-    pandas ``df[df.duplicated(keep='last')]`` selects.
+    """Deterministic deduplication, written as aggregates so a hot key is
+    combined map-side instead of being sorted whole inside one task.
+
+    keep: 'first' / 'last' → one row per key, the smallest / largest in
+    ascending ``order_by`` (ties broken by the remaining columns, so the result
+    is deterministic even without a total order); 'none' → drop every row of a
+    duplicated key; 'all_but_last' → every row except one copy of the last row
+    of its key (pandas ``df[df.duplicated(keep='last')]``).
     null_keys: 'group' → NULL keys equal each other (pandas); 'keep' → a row
     with a NULL key is never a duplicate.
-    The window shuffles on the key and sorts inside the task; nothing but a
-    row number is kept per row, so a hot key is never collected whole.
+
+    'first' / 'last' are ``min`` / ``max`` of a struct (order columns first);
+    'none' joins back the keys whose grouped count is 1 (left-semi, NULL-safe);
+    'all_but_last' is ``exceptAll`` of the last rows, grouped by whole rows.
     """
     if keep not in ("first", "last", "none", "all_but_last"):
         raise ValueError(keep)
     order = list(order_by)
     if keep != "none" and not order:
         raise ValueError("keep='first'/'last'/'all_but_last' needs order_by")
-    w = Window.partitionBy(*keys)
-    asc = [F.col(c).asc_nulls_first() for c in order]
-    desc = [F.col(c).desc_nulls_last() for c in order]
-    if keep == "none":
-        flag = F.count(F.lit(1)).over(w) == 1
-    elif keep == "first":
-        flag = F.row_number().over(w.orderBy(*asc)) == 1
-    elif keep == "last":
-        flag = F.row_number().over(w.orderBy(*desc)) == 1
-    else:
-        flag = F.row_number().over(w.orderBy(*desc)) > 1
+    cols = df.columns
     if null_keys == "keep":
         has_null = None
         for k in keys:
             p = F.col(k).isNull()
             has_null = p if has_null is None else has_null | p
-        flag = (~has_null) & flag if keep == "all_but_last" else has_null | flag
-    return df.withColumn("__keep", flag).where(F.col("__keep")).drop("__keep")
+        nulls = df.where(has_null)
+        rest = dedup(df.where(~has_null), keys, keep, order, "group")
+        return rest if keep == "all_but_last" else rest.unionByName(nulls)
+    others = [c for c in cols if c not in keys and c not in order]
+    if keep in ("first", "last", "all_but_last"):
+        pick = F.min if keep == "first" else F.max
+        packed = F.struct(*[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(order)],
+                          *[F.col(f"`{c}`").alias(f"r{i}") for i, c in enumerate(others)])
+        agg = df.groupBy(*keys).agg(pick(packed).alias("_p"))
+        best = agg.select(*keys, *[F.col(f"_p.o{i}").alias(c) for i, c in enumerate(order)],
+                          *[F.col(f"_p.r{i}").alias(c) for i, c in enumerate(others)]).select(*cols)
+        return best if keep != "all_but_last" else df.exceptAll(best)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == 1).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    cond = None
+    for i, k in enumerate(keys):
+        c = df[k].eqNullSafe(counts[f"_k{i}"])
+        cond = c if cond is None else cond & c
+    return df.join(counts, cond, "left_semi")
+
+
+def group_size(df: DataFrame, keys: Sequence[str], name: str = "group_size") -> DataFrame:
+    """Attach the number of rows sharing each row's key (NULL keys form one group).
+
+    Grouped count joined back NULL-safely instead of ``count(*) over (partition
+    by key)``, so a hot key is counted map-side."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).select(
+        *[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], name)
+    cond = None
+    for i, k in enumerate(keys):
+        c = df[k].eqNullSafe(counts[f"_g{i}"])
+        cond = c if cond is None else cond & c
+    return df.join(counts, cond, "inner").drop(*[f"_g{i}" for i in range(len(keys))])
 
 
 def full_row_duplicates(df: DataFrame, name: str = "n_copies") -> DataFrame:

@@ -52,8 +52,13 @@ def min_count_filter(ratings: DataFrame, item_min: int, user_min: int, user: str
 
 
 def centre(ratings: DataFrame, by: str, value: str = "rating", name: str = "centred") -> DataFrame:
-    """value − mean of its own group (mean over observed ratings)."""
-    return ratings.withColumn(name, F.col(value) - F.avg(value).over(Window.partitionBy(by)))
+    """value − mean of its own group (mean over observed ratings).
+
+    The means are a grouped aggregate (combined map-side) joined back on the
+    key, so a hot group is never gathered into one window task; AQE splits a
+    skewed join partition."""
+    means = ratings.groupBy(by).agg(F.avg(value).alias("_mean"))
+    return ratings.join(means, by).withColumn(name, F.col(value) - F.col("_mean")).drop("_mean")
 
 
 def dense_rows(ratings: DataFrame, key: str, item: str, value: str, items: Sequence) -> DataFrame:

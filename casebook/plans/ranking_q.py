@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from casebook.operators import ranking as K
@@ -76,9 +75,9 @@ def win_best_in_ranked_group(spark, d):
 WITH x AS (SELECT count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS k FROM lineitem)
 SELECT k > 1 AS duplicated, count(*) AS n FROM x GROUP BY ALL""")
 def win_dedup_group_size(spark, d):
-    li = t(spark, d, "lineitem")
-    k = F.count(F.lit(1)).over(Window.partitionBy("l_orderkey", "l_linenumber"))
-    return count_by(li.select((k > 1).alias("duplicated")), "duplicated")
+    from casebook.operators.quality import group_size
+    li = group_size(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"])
+    return count_by(li.select((F.col("group_size") > 1).alias("duplicated")), "duplicated")
 
 
 # ---- 2.8 sorts, limits, top-k ------------------------------------------------------------

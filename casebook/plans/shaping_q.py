@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from casebook.functions.rowmath import row_max, row_sum
@@ -124,6 +123,6 @@ def ratings(spark, d):
 WITH {RATINGS_SQL}
 SELECT usr, item, {rnd("rating - avg(rating) OVER (PARTITION BY usr)", 8)} AS centred FROM ratings""")
 def math_mean_center(spark, d):
-    r = ratings(spark, d)
-    return r.select("usr", "item", F.round(F.col("rating") - F.avg("rating").over(Window.partitionBy("usr")), 8)
-                    .alias("centred"))
+    from casebook.operators.recommend import centre
+    r = centre(ratings(spark, d), "usr", "rating", "c")
+    return r.select("usr", "item", F.round("c", 8).alias("centred"))
