@@ -13,7 +13,7 @@ from casebook.functions.binning import flag
 from casebook.operators import evaluation as EV
 from casebook.operators import stats as ST
 from casebook.operators.aggregates import count_by
-from casebook.operators.splits import split_hash, split_stratified, tag_split
+from casebook.operators.splits import split_stratified, tag_split
 from casebook.plans.registry import query
 from casebook.plans.sqlfn import cnt_if, rnd
 from casebook.plans.tables import t
