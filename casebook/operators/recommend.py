@@ -205,24 +205,23 @@ def predict_user_based(sim_vecs: DataFrame, rating_vecs: DataFrame, items: Seque
     nb = _n_blocks(vecs, block_size)
     left, right = _blocks(vecs, key, nb, ["vec", "rvec"])
     k = len(items)
-    schema = f"{key} long, item_idx int, partial double"
+    schema = f"{key} long, partial array<double>"
 
     def kernel(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if lp.empty or rp.empty:
-            return pd.DataFrame({key: [], "item_idx": [], "partial": []})
+            return pd.DataFrame({key: [], "partial": []})
         A, B = np.stack(lp["vec"].to_numpy()), np.stack(rp["vec"].to_numpy())
         R = np.stack(rp["rvec"].to_numpy())
         S = _unit(A) @ _unit(B).T
         if clip:
             S = np.maximum(S, 0.0)
-        P = S @ R                                  # block × items
-        ids = np.repeat(lp[key].to_numpy(), k)
-        return pd.DataFrame({key: ids, "item_idx": np.tile(np.arange(k, dtype=np.int32), len(lp)),
-                             "partial": P.reshape(-1)})
+        P = S @ R                                  # block × items, one array per left user
+        return pd.DataFrame({key: lp[key].to_numpy(), "partial": list(P)})
 
     parts = left.groupBy("ba", "bb").cogroup(right.groupBy("ba", "bb")).applyInPandas(kernel, schema)
     names = F.array(*[F.lit(i) for i in items])
-    return parts.groupBy(key, "item_idx").agg(F.sum("partial").alias("score")) \
+    cells = parts.select(key, F.posexplode("partial").alias("item_idx", "partial"))
+    return cells.groupBy(key, "item_idx").agg(F.sum("partial").alias("score")) \
                 .select(key, F.element_at(names, F.col("item_idx") + 1).alias("item"), "score")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from casebook.operators import recommend as RC
 from casebook.operators.splits import hash_pct
+from casebook.session import cut_lineage
 from casebook.plans.aggregates_q import BRANDS
 from casebook.plans.registry import query
 from casebook.plans.shaping_q import RATINGS_SQL, ratings
@@ -15,6 +16,13 @@ from casebook.plans.sqlfn import rnd
 ITEM_MIN, USER_MIN = 1100, 15
 
 
+def shared_ratings(spark, d):
+    """The ratings table feeds several branches of each query (similarity,
+    predictions, masks); it is computed once and checkpointed to the shared
+    folder so the three-way join is not re-run per branch."""
+    return cut_lineage(ratings(spark, d))
+
+
 @query("reco_prepare", f"""
 WITH {RATINGS_SQL},
 r1 AS (SELECT * FROM ratings WHERE item IN (SELECT item FROM ratings GROUP BY item HAVING count(*) > {ITEM_MIN}))
@@ -24,7 +32,7 @@ def reco_prepare(spark, d):
 
 
 def _user_vecs(spark, d, centred: bool):
-    r = ratings(spark, d)
+    r = shared_ratings(spark, d)
     src = RC.centre(r, "usr", "rating", "v") if centred else r.withColumn("v", F.col("rating"))
     vecs = RC.dense_rows(src, "usr", "item", "v", BRANDS)
     return r, RC.with_mask(vecs, r, "usr", "item", BRANDS)
@@ -43,7 +51,7 @@ sims AS (SELECT a, b, coalesce(dot / nullif(na.nv * nb.nv, 0), 0.0) AS sim, CAST
 @query("reco_user_cosine", f"""WITH {_pairs_sql("rating")} SELECT a, b, {rnd("sim", 6)} AS sim, overlap FROM sims""")
 def reco_user_cosine(spark, d):
     _, vecs = _user_vecs(spark, d, centred=False)
-    s = RC.user_similarity(vecs, "usr", block_size=512)
+    s = RC.user_similarity(vecs, "usr", block_size=2048)
     return s.select("a", "b", F.round("sim", 6).alias("sim"), "overlap")
 
 
@@ -53,7 +61,7 @@ _CENTRED = "rating - avg(rating) OVER (PARTITION BY usr)"
 @query("reco_user_adjusted_cosine", f"""WITH {_pairs_sql(_CENTRED)} SELECT a, b, {rnd("sim", 4)} AS sim, overlap FROM sims""")
 def reco_user_adjusted_cosine(spark, d):
     _, vecs = _user_vecs(spark, d, centred=True)
-    s = RC.user_similarity(vecs, "usr", block_size=512)
+    s = RC.user_similarity(vecs, "usr", block_size=2048)
     # centred dot products cancel heavily; 4 digits keeps both engines on the same side of a rounding edge
     return s.select("a", "b", F.round("sim", 4).alias("sim"), "overlap")
 
@@ -112,7 +120,7 @@ upred AS (SELECT users.usr, items.item, coalesce(part.score, 0.0) AS score FROM
 def _user_pred(spark, d):
     r, vecs = _user_vecs(spark, d, centred=True)
     rv = RC.dense_rows(r, "usr", "item", "rating", BRANDS)
-    return RC.predict_user_based(vecs.select("usr", "vec"), rv, BRANDS, "usr", block_size=512, clip=True)
+    return RC.predict_user_based(vecs.select("usr", "vec"), rv, BRANDS, "usr", block_size=2048, clip=True)
 
 
 @query("reco_predict_user_based", f"""WITH {_USER_PRED_SQL} SELECT usr, item, {rnd("score", 6)} AS score FROM upred""")
@@ -125,7 +133,7 @@ ipred AS (SELECT usr, isim.b AS item, sum(rating * sim) AS score FROM ratings JO
 
 
 def _item_pred(spark, d, r=None):
-    r = ratings(spark, d) if r is None else r
+    r = shared_ratings(spark, d) if r is None else r
     sim = RC.item_similarity(r, BRANDS, center="zero_filled", clip=True)
     return RC.predict_item_based(r, sim)
 
@@ -139,7 +147,7 @@ def reco_predict_item_based(spark, d):
 SELECT usr, item, {rnd("score", 6)} AS score FROM ipred
 WHERE NOT EXISTS (SELECT 1 FROM ratings r WHERE r.usr = ipred.usr AND r.item = ipred.item)""")
 def reco_mask_seen(spark, d):
-    r = ratings(spark, d)
+    r = shared_ratings(spark, d)
     s = RC.mask_seen(_item_pred(spark, d, r), r, "unseen")
     return s.select("usr", "item", F.round("score", 6).alias("score"))
 
@@ -149,7 +157,7 @@ un AS (SELECT * FROM ipred WHERE NOT EXISTS (SELECT 1 FROM ratings r WHERE r.usr
 rk AS (SELECT usr, item, {rnd("score", 6)} AS score, CAST(row_number() OVER (PARTITION BY usr ORDER BY round(score, 6) DESC, item) AS INTEGER) AS rank FROM un)
 SELECT * FROM rk WHERE rank <= 5""")
 def reco_topn(spark, d):
-    r = ratings(spark, d)
+    r = shared_ratings(spark, d)
     s = RC.mask_seen(_item_pred(spark, d, r), r, "unseen").withColumn("score", F.round("score", 6))
     return RC.topn(s, 5)
 
@@ -166,7 +174,7 @@ mm AS (SELECT item, min(score) AS mn, max(score) AS mx FROM pairs GROUP BY item)
 sc AS (SELECT rating, CASE WHEN mx = mn THEN 1.0 ELSE (score - mn) / (mx - mn) * 4.0 + 1.0 END AS s FROM pairs JOIN mm USING (item))
 SELECT {rnd("sqrt(avg((rating - s) ^ 2))", 6)} AS rmse, count(*) AS n_pairs FROM sc""")
 def reco_scaled_rmse(spark, d):
-    r = ratings(spark, d)
+    r = shared_ratings(spark, d)
     h = hash_pct(F.concat(F.col("usr").cast("string"), F.lit("|"), F.col("item")))
     train, test = r.where(h >= 30), r.where(h < 30)
     pred = _item_pred(spark, d, train)          # similarity from train (not from test)
