@@ -106,9 +106,7 @@ def exact_quantiles(df: DataFrame, c: str, probs: Sequence[float], by: Sequence[
 
     keys = list(by)
     x = df.where(F.col(c).isNotNull()).select(*keys, F.col(c).cast("double").alias("_v"))
-    n = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else None
-    r = global_rank(x, "_v", [], n_buckets, partition=keys, name="_r")
-    r = r.join(n, keys) if keys else r.withColumn("_n", x.select(F.count(F.lit(1))).scalar())
+    r = global_rank(x, "_v", [], n_buckets, partition=keys, name="_r", count_name="_n")
     hs = [(F.col("_n") - 1) * F.lit(float(p)) for p in probs]
     wanted = None
     for h in hs:

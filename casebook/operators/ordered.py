@@ -48,30 +48,39 @@ def _search(x: Column, bounds: Sequence[float], lo: int, hi: int) -> Column:
 
 
 def running_sum(df: DataFrame, order: Sequence[Column], bucket: str, values: Sequence[str],
-                partition: Sequence[str] = (), suffix: str = "_cum") -> DataFrame:
+                partition: Sequence[str] = (), suffix: str = "_cum", with_total: bool = False) -> DataFrame:
     """Inclusive running sums of ``values`` in ``order`` (ascending by bucket first).
 
-    ``bucket`` must be monotone with ``order``. Result columns ``<value><suffix>``.
+    ``bucket`` must be monotone with ``order``. Result columns ``<value><suffix>``,
+    plus ``<value>_total`` (the partition's grand total, from the same small
+    bucket table) when ``with_total``.
     """
     part = list(partition)
     totals = df.groupBy(*part, bucket).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     wb = Window.partitionBy(*part).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    wall = Window.partitionBy(*part)
+    extra = [F.sum(f"_t_{v}").over(wall).alias(f"{v}_total") for v in values] if with_total else []
     offsets = totals.select(*part, bucket, *[F.coalesce(F.sum(f"_t_{v}").over(wb), F.lit(0)).alias(f"_o_{v}")
-                                             for v in values])
+                                             for v in values], *extra)
     wl = Window.partitionBy(*part, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = df.select("*", *[F.sum(v).over(wl).alias(f"_l_{v}") for v in values])
     j = local.join(offsets, [*part, bucket])
-    return j.select(*df.columns, *[(F.col(f"_l_{v}") + F.col(f"_o_{v}")).alias(f"{v}{suffix}") for v in values])
+    return j.select(*df.columns, *[(F.col(f"_l_{v}") + F.col(f"_o_{v}")).alias(f"{v}{suffix}") for v in values],
+                    *[F.col(f"{v}_total") for v in values if with_total])
 
 
 def global_rank(df: DataFrame, order_key: str, tie: Sequence[str], n_buckets: int = 64,
-                partition: Sequence[str] = (), name: str = "rank") -> DataFrame:
+                partition: Sequence[str] = (), name: str = "rank", count_name: str | None = None) -> DataFrame:
     """1-based row number in (order_key, *tie) order within ``partition``,
-    computed bucket-wise (no single-task window)."""
+    computed bucket-wise (no single-task window). With ``count_name`` the
+    partition's row count is attached too (no extra pass)."""
     b = range_bucket(df, order_key, n_buckets, partition, "_rb").withColumn("_one", F.lit(1))
     order = [F.col(order_key), *[F.col(c) for c in tie]]
-    r = running_sum(b, order, "_rb", ["_one"], partition)
-    return r.withColumnRenamed("_one_cum", name).drop("_rb", "_one")
+    r = running_sum(b, order, "_rb", ["_one"], partition, with_total=count_name is not None)
+    r = r.withColumnRenamed("_one_cum", name)
+    if count_name is not None:
+        r = r.withColumnRenamed("_one_total", count_name)
+    return r.drop("_rb", "_one")
 
 
 def previous_value(df: DataFrame, order: Sequence[Column], bucket: str, value: str,

@@ -64,7 +64,7 @@ def centre(ratings: DataFrame, by: str, value: str = "rating", name: str = "cent
 def dense_rows(ratings: DataFrame, key: str, item: str, value: str, items: Sequence) -> DataFrame:
     """One row per ``key`` with an array over ``items`` (missing → 0.0)."""
     items = _check_items(items)
-    p = ratings.groupBy(key).pivot(item, items).agg(F.first(value))
+    p = ratings.groupBy(key).pivot(item, items).agg(F.avg(value))  # mean of repeats, as pivot_table
     return p.select(key, F.array(*[F.coalesce(F.col(f"`{i}`").cast("double"), F.lit(0.0)) for i in items]).alias("vec"))
 
 

@@ -233,7 +233,7 @@ def agg_pivot_mean_matrix(spark, d):
     r = ratings(spark, d)
     # long form is the working representation; the wide matrix is built only on
     # the explicit item list, so its width is bounded and no extra job runs
-    return r.groupBy("usr").pivot("item", BRANDS).agg(F.first("rating")).na.fill(0.0, subset=BRANDS)
+    return r.groupBy("usr").pivot("item", BRANDS).agg(F.avg("rating")).na.fill(0.0, subset=BRANDS)
 
 
 @query("agg_column_totals", f"""
