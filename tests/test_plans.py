@@ -37,3 +37,15 @@ def test_ranked_filter_uses_window_group_limit(spark):
 def test_udf_surface_is_arrow_batched(spark):
     plan = _plan(Q["udf_scalar"](spark, SF_SMALL))
     assert "ArrowEvalPython" in plan and "BatchEvalPython" not in plan
+
+
+def test_partition_scan_prunes_directories(spark):
+    df = Q["src_partition_scan"](spark, SF_SMALL)
+    plan = _plan(df)
+    assert "PartitionFilters: [isnotnull(yr" in plan and "(yr#" in plan and "mn#" in plan
+    assert df.count() == 3 or df.count() <= 3
+
+
+def test_share_total_is_a_scalar_subquery(spark):
+    plan = _plan(Q["agg_share_of_total"](spark, SF_SMALL))
+    assert "Subquery" in plan and "CartesianProduct" not in plan
