@@ -34,6 +34,7 @@ def get_session(master: str | None = None, app: str = "casebook",
     """Return the active session, or build a local one with sane defaults."""
     active = SparkSession.getActiveSession()
     if active is not None:
+        ship_package(active)
         return active
     b = SparkSession.builder.appName(app)
     if master:
@@ -46,9 +47,34 @@ def get_session(master: str | None = None, app: str = "casebook",
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``casebook`` importable in the Python workers (``addPyFile`` of a
+    zip of the package), once per application. Needed because Arrow UDF /
+    cogroup kernels refer to module-level helpers, which the workers import."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="casebook-py-"), "casebook.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
