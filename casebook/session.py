@@ -58,8 +58,11 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``casebook`` importable in the Python workers (``addPyFile`` of a
     zip of the package), once per application. Needed because Arrow UDF /
     cogroup kernels refer to module-level helpers, which the workers import."""
-    sc = spark.sparkContext
-    app = sc.applicationId
+    try:
+        sc = spark.sparkContext
+        app = sc.applicationId
+    except Exception:  # noqa: BLE001 — e.g. a Spark Connect session: the client ships artifacts itself
+        return
     if app in _SHIPPED:
         return
     import zipfile
