@@ -145,16 +145,24 @@ def predict_item_based(ratings: DataFrame, sim: DataFrame, user: str = "usr", it
 
 
 # ---------------------------------------------------------------- user × user
-def _blocks(vecs: DataFrame, key: str, n_blocks: int, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Replicate each row to the n_blocks block pairs it takes part in."""
-    blk = F.pmod(F.xxhash64(F.col(key)), F.lit(n_blocks)).cast("int")
-    all_blocks = F.sequence(F.lit(0), F.lit(n_blocks - 1))
+def _blocks(lvecs: DataFrame, rvecs: DataFrame, key: str, n_left: int, n_right: int,
+            lcols: Sequence[str], rcols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Block pairs (left block, right block): every left row is replicated to the
+    ``n_right`` right blocks and every right row to the ``n_left`` left blocks."""
+    bl = F.pmod(F.xxhash64(F.col(key)), F.lit(n_left)).cast("int")
+    br = F.pmod(F.xxhash64(F.col(key)), F.lit(n_right)).cast("int")
     # every column is re-aliased so the two sides get distinct attribute ids
-    left = vecs.select(blk.alias("ba"), F.explode(all_blocks).alias("bb"), *[F.col(c).alias(c) for c in [key, *cols]])
-    right = vecs.select(F.explode(all_blocks).alias("ba"), blk.alias("bb"), *[F.col(c).alias(c) for c in [key, *cols]])
+    left = lvecs.select(bl.alias("ba"), F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("bb"),
+                        *[F.col(c).alias(c) for c in [key, *lcols]])
+    right = rvecs.select(F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).alias("ba"), br.alias("bb"),
+                         *[F.col(c).alias(c) for c in [key, *rcols]])
     return left, right
 
 
+def _targeted(vecs: DataFrame, key: str, targets: DataFrame | None) -> DataFrame:
+    return vecs if targets is None else vecs.join(targets.select(key).distinct(), key, "left_semi")
+
+
 def _n_blocks(vecs: DataFrame, block_size: int) -> int:
     n = vecs.select(F.count(F.lit(1))).first()[0]
     return max(1, -(-n // block_size))
@@ -168,25 +176,31 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def user_similarity(vecs: DataFrame, key: str = "usr", block_size: int = 1024, min_overlap: int = 1,
-                    clip: bool = False) -> DataFrame:
+                    clip: bool = False, targets: DataFrame | None = None) -> DataFrame:
     """Cosine between every pair of users (a < b) that co-rate at least
     ``min_overlap`` items: (a, b, sim, overlap). ``vecs`` = :func:`dense_rows`,
     where a rated item must be non-zero after centring to count as co-rated,
-    so callers pass a separate mask when that matters (see ``mask_vecs``)."""
-    nb = _n_blocks(vecs, block_size)
-    left, right = _blocks(vecs, key, nb, ["vec", "mask"])
+    so callers pass a separate mask when that matters (see ``with_mask``).
+    With ``targets`` (a frame holding ``key``) only pairs (a in targets, b ≠ a)
+    are scored: left blocks cover the targets only, so the replicated volume
+    scales with the target count instead of the user count."""
+    lv = _targeted(vecs, key, targets)
+    nl, nr = _n_blocks(lv, block_size), _n_blocks(vecs, block_size)
+    left, right = _blocks(lv, vecs, key, nl, nr, ["vec", "mask"], ["vec", "mask"])
+    pair_ok = (lambda a, b: a != b) if targets is not None else (lambda a, b: a < b)
     schema = "a long, b long, sim double, overlap int"
 
     def kernel(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if lp.empty or rp.empty:
-            return pd.DataFrame({"a": [], "b": [], "sim": [], "overlap": []})
+            return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64"),
+                                 "sim": pd.Series([], dtype="float64"), "overlap": pd.Series([], dtype="int32")})
         A, B = np.stack(lp["vec"].to_numpy()), np.stack(rp["vec"].to_numpy())
         MA, MB = np.stack(lp["mask"].to_numpy()), np.stack(rp["mask"].to_numpy())
         S = _unit(A) @ _unit(B).T
         O = MA.astype(np.int32) @ MB.astype(np.int32).T
         ia, ib = lp[key].to_numpy(), rp[key].to_numpy()
         aa, bb = np.meshgrid(ia, ib, indexing="ij")
-        keep = (aa < bb) & (O >= min_overlap)
+        keep = pair_ok(aa, bb) & (O >= min_overlap)
         s = S[keep]
         if clip:
             s = np.maximum(s, 0.0)
@@ -196,27 +210,30 @@ def user_similarity(vecs: DataFrame, key: str = "usr", block_size: int = 1024, m
 
 
 def predict_user_based(sim_vecs: DataFrame, rating_vecs: DataFrame, items: Sequence, key: str = "usr",
-                       block_size: int = 1024, clip: bool = True) -> DataFrame:
+                       block_size: int = 1024, clip: bool = True, targets: DataFrame | None = None) -> DataFrame:
     """score(u, i) = Σ_v sim(u, v) · rating(v, i) over all users v (u itself
     included, sim clipped at 0 when ``clip``); not divided by Σ sim, as in the
-    surveyed notebook. Each block pair emits block × items partial sums."""
+    surveyed notebook. Each block pair emits block × items partial sums. With
+    ``targets`` only those users are scored (against all users)."""
     items = _check_items(items)
     vecs = sim_vecs.join(rating_vecs.withColumnRenamed("vec", "rvec"), key)
-    nb = _n_blocks(vecs, block_size)
-    left, right = _blocks(vecs, key, nb, ["vec", "rvec"])
+    lv = _targeted(vecs, key, targets)
+    nl, nr = _n_blocks(lv, block_size), _n_blocks(vecs, block_size)
+    left, right = _blocks(lv, vecs, key, nl, nr, ["vec"], ["vec", "rvec"])
     k = len(items)
     schema = f"{key} long, partial array<double>"
 
     def kernel(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if lp.empty or rp.empty:
-            return pd.DataFrame({key: [], "partial": []})
+            return pd.DataFrame({key: pd.Series([], dtype="int64"), "partial": pd.Series([], dtype=object)})
         A, B = np.stack(lp["vec"].to_numpy()), np.stack(rp["vec"].to_numpy())
         R = np.stack(rp["rvec"].to_numpy())
         S = _unit(A) @ _unit(B).T
         if clip:
             S = np.maximum(S, 0.0)
         P = S @ R                                  # block × items, one array per left user
-        return pd.DataFrame({key: lp[key].to_numpy(), "partial": list(P)})
+        return pd.DataFrame({key: lp[key].to_numpy(),
+                             "partial": pd.Series([row for row in P], dtype=object, index=range(len(P)))})
 
     parts = left.groupBy("ba", "bb").cogroup(right.groupBy("ba", "bb")).applyInPandas(kernel, schema)
     names = F.array(*[F.lit(i) for i in items])

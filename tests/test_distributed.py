@@ -138,3 +138,19 @@ def test_item_similarity_vs_numpy(spark, center):
     assert len(got) == 9
     for (a, b), v in got.items():
         assert v == pytest.approx(S[ITEMS.index(a), ITEMS.index(b)], abs=1e-9)
+
+
+def test_targeted_scoring_equals_full_restricted(spark):
+    df = spark.createDataFrame(RATINGS4, "usr long, item string, rating double")
+    vecs = RC.with_mask(RC.dense_rows(df, "usr", "item", "rating", ITEMS), df, "usr", "item", ITEMS)
+    rv = RC.dense_rows(df, "usr", "item", "rating", ITEMS)
+    targets = spark.createDataFrame([(1,), (3,)], "usr long")
+    full = {(r["usr"], r["item"]): r["score"] for r in
+            RC.predict_user_based(vecs.select("usr", "vec"), rv, ITEMS, block_size=2).collect()}
+    part = {(r["usr"], r["item"]): r["score"] for r in
+            RC.predict_user_based(vecs.select("usr", "vec"), rv, ITEMS, block_size=1, targets=targets).collect()}
+    assert set(u for u, _ in part) == {1, 3}
+    for k, v in part.items():
+        assert v == pytest.approx(full[k])
+    sims = {(r["a"], r["b"]) for r in RC.user_similarity(vecs, block_size=2, targets=targets).collect()}
+    assert all(a in (1, 3) and a != b for a, b in sims) and (1, 2) in sims and (3, 1) in sims
