@@ -90,7 +90,7 @@ def histogram(df: DataFrame, c: str, n_bins: int = 20, lo: float | None = None,
 
 
 def exact_quantiles(df: DataFrame, c: str, probs: Sequence[float], by: Sequence[str] = (),
-                    prefix: str = "q", n_buckets: int = 64) -> DataFrame:
+                    prefix: str = "q", n_buckets: int = 64, count_name: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas ``quantile``, SQL
     ``percentile_cont``), computed without holding a group's values in one place.
 
@@ -100,7 +100,8 @@ def exact_quantiles(df: DataFrame, c: str, probs: Sequence[float], by: Sequence[
     Only the rows at ranks floor(h)+1 and ceil(h)+1, h = (n-1)·p, are kept — at
     most two per requested probability and group — and interpolated. A group
     holding a third of all rows is spread over the value buckets, never
-    collected by one task. Columns: ``*by, q0, q1, …`` in the order of ``probs``.
+    collected by one task. Columns: ``*by, q0, q1, …`` in the order of ``probs``,
+    plus the non-NULL count as ``count_name`` when given.
     """
     from casebook.operators.ordered import global_rank
 
@@ -118,9 +119,11 @@ def exact_quantiles(df: DataFrame, c: str, probs: Sequence[float], by: Sequence[
         aggs += [F.max(F.when(F.col("_r") == F.floor(h) + 1, F.col("_v"))).alias(f"_lo{i}"),
                  F.max(F.when(F.col("_r") == F.ceil(h) + 1, F.col("_v"))).alias(f"_hi{i}"),
                  F.first(h - F.floor(h)).alias(f"_fr{i}")]
+    aggs.append(F.first("_n").alias("_cnt"))
     g = picked.groupBy(*keys).agg(*aggs) if keys else picked.agg(*aggs)
+    extra = [F.col("_cnt").alias(count_name)] if count_name else []
     return g.select(*keys, *[(F.col(f"_lo{i}") + F.col(f"_fr{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}")))
-                             .alias(f"{prefix}{i}") for i in range(len(probs))])
+                             .alias(f"{prefix}{i}") for i in range(len(probs))], *extra)
 
 
 def quantiles(c, probs: Sequence[float], exact: bool = True, accuracy: int = 1_000_000) -> Column:
@@ -141,20 +144,22 @@ def boxplot_stats(df: DataFrame, c: str, by: Sequence[str] = (), whisker: float
     joined to its group's fences (AQE broadcasts the stats side when it is
     measured small, else sort-merge) and whiskers / outliers are counted.
     Whisker ends are the most extreme data values inside the fences. With
-    ``digits`` the quartiles are rounded before the fences are derived.
+    ``digits`` the quartiles are rounded before the fences are derived. Groups
+    whose values are all NULL have no row.
     """
     x = F.col(c)
     keys = list(by)
-    g = df.groupBy(*keys) if keys else df
-    basic = g.agg(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"))
-    q = exact_quantiles(df, c, [0.25, 0.5, 0.75], keys)
+    # min and max are the quantiles 0 and 1, and the count comes with the ranks:
+    # one ranked pass gives the whole five-number summary
+    q = exact_quantiles(df, c, [0.0, 0.25, 0.5, 0.75, 1.0], keys, count_name="n")
     rq = (lambda v: F.round(v, digits)) if digits is not None else (lambda v: v)
-    q = q.select(*keys, rq(F.col("q0")).alias("q1"), rq(F.col("q1")).alias("median"), rq(F.col("q2")).alias("q3"))
+    q = q.select(*keys, "n", F.col("q0").alias("min"), rq(F.col("q1")).alias("q1"), rq(F.col("q2")).alias("median"),
+                 rq(F.col("q3")).alias("q3"), F.col("q4").alias("max"))
     if keys:
-        stats = basic.join(q, keys).select(*keys, "n", "min", "q1", "median", "q3", "max")
+        stats = q
     else:
-        stats = basic.select("n", "min", q.select("q1").scalar().alias("q1"), q.select("median").scalar().alias("median"),
-                             q.select("q3").scalar().alias("q3"), "max")
+        stats = df.sparkSession.range(1).select(*[q.select(n).scalar().alias(n)
+                                                   for n in ["n", "min", "q1", "median", "q3", "max"]])
     stats = stats.withColumn("iqr", F.col("q3") - F.col("q1")) \
                  .withColumn("lower_fence", F.col("q1") - F.lit(whisker) * F.col("iqr")) \
                  .withColumn("upper_fence", F.col("q3") + F.lit(whisker) * F.col("iqr"))
