@@ -42,7 +42,8 @@ def radix_groups(rows: DataFrame, first: int = FIRST, growth: int = GROWTH) -> t
         if more.isEmpty():
             return facts, reduce(DataFrame.unionAll, done)
         digits = rows.filter(F.octet_length(normalised()) > at).select("_row", F.substring(data, at + 1, width).alias("digit"))
-        level = stored(more.join(digits, "_row"), "radix-digits")
+        # one plan at every size: a broadcast of small rounds would only hide how the moved bytes grow
+        level = stored(more.hint("merge").join(digits, "_row"), "radix-digits")
         open_, at, width = stored(split(level, ["gid"]), "radix"), at + width, min(width * growth, 1 << 30)
 
 
