@@ -8,9 +8,10 @@ that are verified, on the full sets built from the whole texts, come in two roun
 2. in each bucket that still holds several components, the classes outside its most common component with all
    classes of another component there.
 
-No link that a bucket offers is left out: what round 2 skips lies within one component already. A sketch of one bit
-per minimum (1-bit minwise hashing) and the set sizes drop pairs before their texts are fetched; a true pair agrees
-in 216 of 240 bits on average and is dropped below 186 (6 standard deviations).
+No link that a bucket offers is left out: what round 2 skips lies within one component already. Three tests drop
+pairs before their texts are fetched: the set sizes; one bit per minimum (1-bit minwise hashing), where a true pair
+agrees in 216 of 240 bits on average and is dropped below 186 (6 standard deviations); and 1,024 parity bits of the
+set's hashes, whose distance never exceeds the symmetric difference of the sets, so that test loses nothing.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ from casebook.llm.common import keyed, stored
 from casebook.llm.components import components
 
 BANDS, ROWS, LEAST_BITS = 40, 6, 186
-_SIG = "_row long, doc_id long, n long, digest binary, s0 long, s1 long, s2 long, s3 long, bands array<long>"
+PARITY = 1024
+_SKETCH = ["n", *[f"s{i}" for i in range(4)], *[f"p{i}" for i in range(PARITY // 64)]]
+_SIG = "_row long, doc_id long, digest binary, " + "".join(f"{c} long, " for c in _SKETCH) + "bands array<long>"
 
 
 def _minima(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -56,15 +59,21 @@ def _signatures(k: int, bands: int, rows: int):
                 packed = np.packbits(bits, axis=1)[:, :32]
                 sketch[:, :packed.shape[1]] = packed
                 sketch = sketch.view(np.int64)
-                at = np.cumsum([len(s) > 0 for s in sets]) - 1
-                full = [len(s) > 0 for s in sets]
+                full = np.array([len(x) > 0 for x in sets], bool)
+                at = np.cumsum(full) - 1
+                every = np.zeros((j - i, 4), np.int64)
+                every[full] = sketch
+                parity = np.zeros((j - i, PARITY // 8), np.uint8)
+                for d, x in enumerate(sets):
+                    parity[d] = np.packbits((np.bincount((x & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8))
+                parity = parity.view(np.int64)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    *[pa.array([int(sketch[at[d], c]) if full[d] else 0 for d in range(j - i)], pa.int64()) for c in range(4)],
+                    pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()),
+                    pa.array([len(x) for x in sets], pa.int64()),
+                    *[pa.array(np.ascontiguousarray(x)) for x in (*every.T, *parity.T)],
                     pa.array([keys[at[d]].view(np.int64) if full[d] else None for d in range(j - i)], pa.list_(pa.int64())),
-                ], names=["_row", "doc_id", "n", "digest", "s0", "s1", "s2", "s3", "bands"])
+                ], names=["_row", "doc_id", "digest", *_SKETCH, "bands"])
     return run
 
 
@@ -85,23 +94,28 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def _links(pairs: DataFrame, sketch: DataFrame, texts: DataFrame, k: int, percent: int, least_bits: int) -> DataFrame:
-    """The true links among ``pairs`` (a, b)."""
-    side = lambda s: sketch.select(F.col("_row").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "s0", "s1", "s2", "s3")])
-    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(_plausible("a_", "b_", percent, least_bits)).select("a", "b")
+def _sided(frame: DataFrame, s: str, *more: str) -> DataFrame:
+    """``_row`` as ``s`` and the sketch columns with that prefix."""
+    return frame.select(F.col("_row").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in _SKETCH], *more)
+
+
+def _plausible(percent: int, least_bits: int):
+    """False only where a and b cannot be linked."""
+    def apart(names):
+        return sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in names), F.lit(0))
+    na, nb = F.col("a_n"), F.col("b_n")
+    return ((100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (apart(_SKETCH[1:5]) <= BANDS * ROWS - least_bits)
+            & ((100 + percent) * apart(_SKETCH[5:]) <= (100 - percent) * (na + nb)))
+
+
+def _links(near: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The true links among the pairs (a, b)."""
     near = stored(near.distinct(), "near-pairs")
     text = lambda s: texts.select(F.col("_row").alias(s), F.col("text").alias(f"t{s}"))
     return stored(near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb")
                   .mapInArrow(_confirm(k, percent), "u long, v long"), "near-links")
 
 
-def _plausible(a: str, b: str, percent: int, least_bits: int):
-    apart = sum((F.bit_count(F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}"))) for i in range(1, 4)),
-                F.bit_count(F.col(f"{a}s0").bitwiseXOR(F.col(f"{b}s0"))))
-    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (apart <= BANDS * ROWS - least_bits)
-
-
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, least_bits: int = LEAST_BITS) -> DataFrame:
     """One row per input row: ``_row, doc_id, n_shingles, component_id, kept``.
 
@@ -121,13 +135,14 @@ def decide(rows: DataFrame, words: int = 5, percent: int = 80, least_bits: int =
     classes = some.groupBy("n", "digest").agg(F.min("_row").alias("rep"))
     member = stored(some.select("_row", "n", "digest").join(classes, ["n", "digest"]).select("_row", "rep"), "classes")
     reps = sig.join(member.filter("_row = rep").select("_row"), "_row", "left_semi")
-    sketch = reps.select("_row", "n", "s0", "s1", "s2", "s3")
+    sketch = reps.select("_row", *_SKETCH)
     banded = reps.select("_row", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.min("_row").alias("lead"), F.count("*").alias("size")).filter("size > 1")
     shared = stored(banded.join(buckets, ["band", "key"]).select("band", "key", "_row", "lead"), "buckets")
 
-    first = _links(shared.filter("_row != lead").select(F.col("_row").alias("a"), F.col("lead").alias("b")).distinct(),
-                   sketch, rows, words, percent, least_bits)
+    stars = shared.filter("_row != lead").select(F.col("_row").alias("a"), F.col("lead").alias("b")).distinct()
+    stars = stars.join(_sided(sketch, "a"), "a").join(_sided(sketch, "b"), "b").filter(_plausible(percent, least_bits))
+    first = _links(stars.select("a", "b"), rows, words, percent)
     joined = components(first)
     placed = shared.join(joined.withColumnRenamed("u", "_row"), "_row", "left").select(
         "band", "key", "_row", F.coalesce("v", "_row").alias("comp"))
@@ -135,15 +150,12 @@ def decide(rows: DataFrame, words: int = 5, percent: int = 80, least_bits: int =
     mixed = parts.groupBy("band", "key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "comp")).alias("top")) \
         .filter("parts > 1").select("band", "key", F.col("top.comp").alias("top"))
     there = stored(placed.join(mixed, ["band", "key"]).join(sketch, "_row"), "mixed-buckets")
-    left = there.filter("comp != top").select("band", "key", F.col("_row").alias("a"), F.col("comp").alias("a_comp"),
-                                              *[F.col(c).alias(f"a_{c}") for c in ("n", "s0", "s1", "s2", "s3")])
-    right = there.select("band", "key", "top", F.col("_row").alias("b"), F.col("comp").alias("b_comp"),
-                         *[F.col(c).alias(f"b_{c}") for c in ("n", "s0", "s1", "s2", "s3")])
+    left = _sided(there.filter("comp != top"), "a", "band", "key", F.col("comp").alias("a_comp"))
+    right = _sided(there, "b", "band", "key", "top", F.col("comp").alias("b_comp"))
     across = left.join(right, ["band", "key"]).filter(
         (F.col("a_comp") != F.col("b_comp")) & ((F.col("b_comp") == F.col("top")) | (F.col("a") < F.col("b")))
-        & _plausible("a_", "b_", percent, least_bits))
-    second = _links(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
-                    sketch, rows, words, percent, least_bits)
+        & _plausible(percent, least_bits))
+    second = _links(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), rows, words, percent)
     if not second.isEmpty():
         joined = components(joined.unionAll(second))
 
