@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm import exact, langid, minhash, packing, substring
+from casebook.llm import bpe, exact, langid, minhash, packing, sharding, substring, wavelet
 from casebook.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,21 @@ def op5(spark: SparkSession, d: str) -> DataFrame:
     return substring.substring_dedup(read(spark, d, "documents"))
 
 
+@query("op7_minimax_sharding")
+def op7(spark: SparkSession, d: str) -> DataFrame:
+    return sharding.contiguous_shards(read(spark, d, "documents"), 24)
+
+
 @query("op8_best_fit_packing")
 def op8(spark: SparkSession, d: str) -> DataFrame:
     return packing.best_fit_packing(read(spark, d, "documents"))
+
+
+@query("op9_wavelet_token_store")
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    return wavelet.token_store(read(spark, d, "documents"))
+
+
+@query("op10_bpe_chunk_reuse")
+def op10(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.round_trip(read(spark, d, "documents"))
