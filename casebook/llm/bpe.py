@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from casebook.llm import kernels
 from casebook.llm.common import pick
-from casebook.llm.encoder import Encoder, default_vocabulary, encoder
+from casebook.llm.encoder import Encoder, default_vocabulary, encoder, merged
 
 CHUNK, WINDOW = 256, 16
 
@@ -30,7 +30,7 @@ def chunk_cuts(data: np.ndarray, off: np.ndarray, mask: int) -> np.ndarray:
         at = ends[(kernels.PrefixHash(data).of(ends - WINDOW, ends) & np.uint64(mask)) == 0]
         at = at[(data[at] & 0xC0) != 0x80]
         at = at[at - off[np.searchsorted(off, at, "right") - 1] >= WINDOW]      # the window lies within the document
-    return np.unique(np.concatenate([off, at]))
+    return merged(off, at)
 
 
 def _whole(coder: Encoder, text: str) -> tuple[int, str, str]:

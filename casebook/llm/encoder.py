@@ -34,6 +34,12 @@ def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (ends - size), size) + np.arange(total)
 
 
+def merged(*parts: np.ndarray) -> np.ndarray:
+    """Sorted distinct values of sorted arrays (a stable sort merges runs)."""
+    every = np.sort(np.concatenate(parts), kind="stable")
+    return every[np.append(True, every[1:] != every[:-1])]
+
+
 class Table:
     """Sorted hashes with a run of ids each. Beyond ``room`` entries, those not used lately go."""
 
@@ -161,7 +167,7 @@ class Encoder:
         if len(data) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
         sums, sure = kernels.PrefixHash(data), self.sure(data, off)
-        limits = np.unique(np.concatenate([sure, off]))
+        limits = merged(sure, off)
         start, end = limits[:-1], limits[1:]
         hit_at = hit_end = np.zeros(0, np.int64)
         if cuts is not None and len(sure):

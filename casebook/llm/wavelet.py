@@ -9,7 +9,7 @@ Writers name a file by a fresh suffix and report it in their rows, so files of l
 read. Files lie in the shared folder of ``spark.checkpoint.dir``.
 
 File format: b"CBWM1\\n", length of the header (little-endian u32), JSON header, then zstd parts in header order:
-doc ids (i64), document ends (i64), and per plane its packed bits and its counts (u32).
+doc ids (i64), null marks of the doc ids (u8), document ends (i64), and per plane its packed bits and its counts (u32).
 """
 
 from __future__ import annotations
@@ -124,15 +124,15 @@ class WaveletMatrix:
         return v.astype(np.uint32)
 
 
-def to_bytes(doc_ids: np.ndarray, ends: np.ndarray, matrix: WaveletMatrix) -> bytes:
-    parts = [doc_ids.astype("<i8"), ends.astype("<i8"), *[x for p, c in zip(matrix.planes, matrix.counts, strict=True) for x in (p, c.astype("<u4"))]]
+def to_bytes(doc_ids: np.ndarray, null: np.ndarray, ends: np.ndarray, matrix: WaveletMatrix) -> bytes:
+    parts = [doc_ids.astype("<i8"), null.astype(np.uint8), ends.astype("<i8"), *[x for p, c in zip(matrix.planes, matrix.counts, strict=True) for x in (p, c.astype("<u4"))]]
     packed = [pa.compress(p.tobytes(), codec="zstd", asbytes=True) if p.nbytes else b"" for p in parts]
     head = json.dumps({"n": matrix.n, "docs": len(doc_ids), "planes": len(matrix.planes), "parts": [[len(b), p.nbytes] for b, p in zip(packed, parts, strict=True)]}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(head)), head, *packed])
 
 
-def from_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
-    """(doc ids, document ends, ids) of a file."""
+def from_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, WaveletMatrix]:
+    """(doc ids, their null marks, document ends, ids) of a file."""
     if not data.startswith(MAGIC):
         raise ValueError("not a wavelet-matrix file")
     at = len(MAGIC) + 4 + (size := struct.unpack_from("<I", data, len(MAGIC))[0])
@@ -140,9 +140,9 @@ def from_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
     for packed, whole in head["parts"]:
         parts.append(pa.decompress(data[at:at + packed], whole, codec="zstd", asbytes=True) if whole else b"")
         at += packed
-    planes = [np.frombuffer(p, np.uint8) for p in parts[2::2]]
-    counts = [np.frombuffer(p, "<u4") for p in parts[3::2]]
-    return np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], "<i8"), WaveletMatrix(head["n"], planes, counts)
+    planes = [np.frombuffer(p, np.uint8) for p in parts[3::2]]
+    counts = [np.frombuffer(p, "<u4") for p in parts[4::2]]
+    return np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], np.uint8).astype(bool), np.frombuffer(parts[2], "<i8"), WaveletMatrix(head["n"], planes, counts)
 
 
 def _filesystem(folder: str):
@@ -164,12 +164,12 @@ def _write(folder: str, path: str, file_tokens: int):
             seen = np.concatenate(ids)
             name = f"shard-{part:06d}-{seq:06d}-{uuid.uuid4().hex}.wm"
             with fs.open_output_stream(f"{base}/{name}") as f:
-                f.write(to_bytes(np.concatenate(keys), np.cumsum(np.concatenate(sizes)), WaveletMatrix.build(seen)))
+                doc = pa.chunked_array(keys, pa.int64())
+                f.write(to_bytes(doc.fill_null(0).to_numpy(), doc.is_null().to_numpy(), np.cumsum(np.concatenate(sizes)), WaveletMatrix.build(seen)))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([name]), pa.array([len(seen)], pa.int64())],
                                               names=["part", "seq", "name", "n"])
 
         for batch in batches:
-            row = batch.column(0).to_numpy()
             for i, j, data, off in kernels.blocks(batch.column(1)):
                 if coder.plain:
                     got, ends = coder.encode(data, off)
@@ -178,7 +178,7 @@ def _write(folder: str, path: str, file_tokens: int):
                     got, ends = np.array([x for e in each for x in e], np.uint32), np.cumsum([len(e) for e in each])
                 ids.append(np.insert(got, ends, END))
                 sizes.append(np.diff(ends, prepend=0) + 1)
-                keys.append(row[i:j])
+                keys.append(batch.column(0).slice(i, j - i))
                 held += len(ids[-1])
                 if held >= file_tokens:
                     yield close()
@@ -194,33 +194,33 @@ def _read(folder: str):
         for batch in batches:
             for name, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with fs.open_input_stream(f"{base}/{name}") as f:
-                    keys, ends, matrix = from_bytes(f.read())
+                    doc, null, ends, matrix = from_bytes(f.read())
                 ids = matrix.decode().astype("<u4")
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts + before), pa.array((ends - starts).astype(np.int64)), pa.array(crc, pa.int64())],
-                                                 names=["_row", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=null), pa.array(starts + before), pa.array((ends - starts).astype(np.int64)), pa.array(crc, pa.int64())],
+                                                 names=["doc_id", "start", "n_tokens", "ids_crc32"])
     return run
 
 
 def write_shards(rows: DataFrame, path: str | None = None, shard_bytes: int = SHARD_BYTES, file_tokens: int = FILE_TOKENS) -> tuple[str, DataFrame]:
-    """Writes keyed rows (``_row, text``) in key order; (folder, manifest ``part, seq, name, n, before``)."""
+    """Writes keyed rows (``_row, doc_id, text``) in key order; (folder, manifest ``part, seq, name, n, before``)."""
     spark = rows.sparkSession
     folder = f"{checkpoint_dir(spark).rstrip('/')}/tables/wavelet-{uuid.uuid4().hex}"
     _WRITTEN.append((spark, folder))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ordered = rows.select("_row", "text").repartitionByRange(max(1, -(-total // shard_bytes)), "_row").sortWithinPartitions("_row")
-    files = stored(ordered.mapInArrow(_write(folder, path or default_vocabulary(), file_tokens), "part long, seq long, name string, n long"), "manifest")
+    ordered = rows.select("_row", "doc_id", "text").repartitionByRange(max(1, -(-total // shard_bytes)), "_row").sortWithinPartitions("_row")
+    files = stored(ordered.select("doc_id", "text").mapInArrow(_write(folder, path or default_vocabulary(), file_tokens), "part long, seq long, name string, n long"), "manifest")
     # one row a file: the running sum over the manifest is of metadata only
     before = F.sum("n").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
     return folder, files.withColumn("before", F.coalesce(before, F.lit(0)))
 
 
-def read_shards(spark, folder: str, manifest: DataFrame) -> DataFrame:
-    """``_row, start, n_tokens, ids_crc32`` of every document, from the files."""
+def read_shards(folder: str, manifest: DataFrame) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files."""
     files = max(1, manifest.count())
     return manifest.select("name", "before").repartition(files, "name").mapInArrow(
-        _read(folder), "_row long, start long, n_tokens long, ids_crc32 long")
+        _read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_store(docs: DataFrame, path: str | None = None, shard_bytes: int = SHARD_BYTES, file_tokens: int = FILE_TOKENS) -> DataFrame:
@@ -232,5 +232,4 @@ def token_store(docs: DataFrame, path: str | None = None, shard_bytes: int = SHA
     """
     rows = keyed(docs, text="string")
     folder, manifest = write_shards(rows, path, shard_bytes, file_tokens)
-    found = read_shards(docs.sparkSession, folder, manifest)
-    return found.join(rows.select("_row", "doc_id"), "_row").select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_shards(folder, manifest)
