@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm import bpe, exact, langid, minhash, packing, sharding, substring, wavelet
+from casebook.llm import bm25, bpe, exact, langid, minhash, packing, sharding, substring, toxicity, wavelet
 from casebook.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,26 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op1_bm25_top_k", f"""
+WITH words AS (SELECT doc_id, unnest(string_split_regex({_LOWER}, '[\\x20\\x09-\\x0D]+')) AS term FROM documents),
+     tf AS (SELECT doc_id, term, count(*) AS tf FROM words WHERE term <> '' GROUP BY 1, 2),
+     dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY 1),
+     df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+     n AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM dl) / (SELECT count(*) FROM documents) AS mean),
+     s AS (SELECT q.doc_id AS query_id, d.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * d.tf * 2.2
+                  / (d.tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
+           FROM tf q JOIN tf d USING (term) JOIN df USING (term) JOIN dl ON dl.doc_id = d.doc_id, n
+           WHERE q.doc_id % 50 = 0 GROUP BY 1, 2),
+     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, doc_id, score FROM r WHERE rank <= 10""")
+def op1(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    return bm25.top_k(docs, docs.filter("doc_id % 50 = 0"), 10)
+
+
 @query("op2_language_id")
 def op2(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
@@ -56,6 +76,13 @@ def op5(spark: SparkSession, d: str) -> DataFrame:
     return substring.substring_dedup(read(spark, d, "documents"))
 
 
+@query("op6_toxicity")
+def op6(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    model = toxicity.train(docs.filter(~held_out()), read(spark, d, "labels"))
+    return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 @query("op7_minimax_sharding")
 def op7(spark: SparkSession, d: str) -> DataFrame:
     return sharding.contiguous_shards(read(spark, d, "documents"), 24)
