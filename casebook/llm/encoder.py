@@ -19,7 +19,7 @@ import numpy as np
 
 from casebook.llm import kernels
 
-WORDS, CHUNKS = 2_000_000, 150_000      # table sizes, in entries
+WORDS, CHUNKS = 1_000_000, 150_000      # table sizes, in entries
 
 
 def default_vocabulary() -> str:
@@ -29,7 +29,7 @@ def default_vocabulary() -> str:
 
 def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Indices ``start[i] .. start[i] + size[i] - 1`` of all i, in order."""
-    ends = np.cumsum(size)
+    ends = np.cumsum(size, dtype=np.int64)
     total = int(ends[-1]) if len(ends) else 0
     return np.repeat(start - (ends - size), size) + np.arange(total)
 
@@ -46,7 +46,7 @@ class Table:
     def __init__(self, room: int) -> None:
         self.room, self.clock = room, 0
         self.hash = np.zeros(0, np.uint64)
-        self.start = self.size = self.used = np.zeros(0, np.int64)
+        self.start, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -64,8 +64,8 @@ class Table:
             keep = np.flatnonzero(self.used > np.median(self.used)) if len(self.used) else np.zeros(0, np.int64)
             self.ids = self.ids[ragged(self.start[keep], self.size[keep])]
             self.hash, self.size, self.used = self.hash[keep], self.size[keep], self.used[keep]
-            self.start = np.cumsum(self.size) - self.size
-        start = len(self.ids) + np.cumsum(size) - size
+            self.start = np.cumsum(self.size, dtype=np.int64) - self.size
+        start = len(self.ids) + np.cumsum(size, dtype=np.int64) - size
         order = np.argsort(h)
         at = np.searchsorted(self.hash, h[order])
         self.start = np.insert(self.start, at, start[order])
@@ -186,7 +186,7 @@ class Encoder:
         size = np.concatenate([self.words.size[found], self.chunks.size[entry] if len(hit_at) else np.zeros(0, np.int64)])
         order = np.argsort(at, kind="stable")
         place = np.empty(len(at), np.int64)
-        place[order] = np.cumsum(size[order]) - size[order]
+        place[order] = np.cumsum(size[order], dtype=np.int64) - size[order]
         ids = np.empty(int(size.sum()), np.uint32)
         n = len(start)
         ids[ragged(place[:n], size[:n])] = self.words.ids[ragged(self.words.start[found], size[:n])]

@@ -31,7 +31,7 @@ from casebook.llm.common import _WRITTEN, keyed, stored
 from casebook.llm.encoder import default_vocabulary, encoder
 from casebook.session import checkpoint_dir
 
-MAGIC, SPAN, FILE_TOKENS, SHARD_BYTES, END = b"CBWM1\n", 512, 1 << 22, 16 << 20, 2
+MAGIC, SPAN, FILE_TOKENS, SHARD_BYTES, END = b"CBWM1\n", 512, 1 << 21, 8 << 20, 2
 
 
 class WaveletMatrix:
@@ -191,6 +191,7 @@ def _write(folder: str, path: str, file_tokens: int):
 def _read(folder: str):
     def run(batches):
         fs, base = _filesystem(folder)
+        encoder.cache_clear()       # the worker may have written shards before
         for batch in batches:
             for name, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with fs.open_input_stream(f"{base}/{name}") as f:
