@@ -19,7 +19,7 @@ import numpy as np
 
 from casebook.llm import kernels
 
-WORDS, CHUNKS = 1_000_000, 150_000      # table sizes, in entries
+WORDS, CHUNKS = 1_500_000, 150_000      # table sizes, in entries
 
 
 def default_vocabulary() -> str:
