@@ -1,9 +1,10 @@
 """Vectorised reuse of a byte-level BPE tokenizer: equal spans of text are encoded once while bounded tables last.
 
-A sure boundary stands before a single space between two characters that are not white space. The pre-tokenizer
-starts a new word there whatever follows (its only rule that takes more than one leading space is for runs of white
-space), merges stay within words, and no special token holds a space; so the ids of the spans between sure
-boundaries, joined, are the ids of the whole text. Vocabularies with other settings are not cut (``plain`` is false).
+A sure boundary stands before a single space between two characters that are not white space, and between an ASCII
+letter and one of ``,.;:!?``. The pre-tokenizer starts a new word there whatever follows (its only rule that takes
+more than one leading space is for runs of white space; letters never share a word with those marks), merges stay
+within words, and no special token holds a space or such a mark; so the ids of the spans between sure boundaries,
+joined, are the ids of the whole text. Vocabularies with other settings are not cut (``plain`` is false).
 
 Spans are found by 64-bit hashes. ``decoded`` gives back the text bytes of ids, so callers can compare them with the
 input: the vocabulary is lossless, hence two spans taken for one another would show.
@@ -19,7 +20,9 @@ import numpy as np
 
 from casebook.llm import kernels
 
-WORDS, CHUNKS = 1_500_000, 150_000      # table sizes, in entries
+WORDS, CHUNKS = 2_000_000, 150_000      # table sizes, in entries
+_MARK = np.isin(np.arange(256), list(b",.;:!?"))
+_ASCII_LETTER = np.isin(np.arange(256) | 32, np.arange(97, 123)) & (np.arange(256) >= 65) & (np.arange(256) < 128)
 
 
 def default_vocabulary() -> str:
@@ -87,7 +90,7 @@ class Encoder:
         pre, model, added = spec.get("pre_tokenizer") or {}, spec["model"], spec.get("added_tokens", [])
         self.plain = (pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex") and model["type"] == "BPE"
                       and not spec.get("normalizer") and not model.get("dropout") and (spec.get("decoder") or {}).get("type") == "ByteLevel"
-                      and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added))
+                      and not any(set(" ,.;:!?") & set(t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added))
         self.words, self.chunks = Table(WORDS), Table(CHUNKS)
         if self.plain:
             # byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
@@ -107,8 +110,8 @@ class Encoder:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def sure(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Positions of the sure boundaries of a block: spaces with a printable ASCII byte or a character of
-        U+00C0..U+00FF on either side, in one document."""
+        """Positions of the sure boundaries of a block: marks after an ASCII letter, and spaces with a printable ASCII
+        byte or a character of U+00C0..U+00FF on either side, in one document."""
         if len(data) < 3:
             return np.zeros(0, np.int64)
         ascii_ = (data > 0x20) & (data < 0x7F)
@@ -118,8 +121,9 @@ class Encoder:
         mask = np.zeros(len(data), bool)
         mask[1:-1] = (data[1:-1] == 0x20) & before[:-2] & (ascii_ | latin)[2:]
         some = off[:-1] < off[1:]
-        mask[off[:-1][some]] = False
         mask[off[1:][some] - 1] = False
+        mask[1:] |= _MARK[data[1:]] & _ASCII_LETTER[data[:-1]]
+        mask[off[:-1][some]] = False
         return np.flatnonzero(mask)
 
     def lookup(self, data: np.ndarray, sums: kernels.PrefixHash, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -137,23 +141,23 @@ class Encoder:
         return found[inverse]
 
     def _learn(self, data: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        last = data[end - 1]
-        alone = (data[start] != 0x20) | ~(((last > 0x20) & (last < 0x7F)) | ((end - start > 1) & (data[end - 2] == 0xC3)))
-        alone |= (end - start > 1) & (data[np.minimum(start + 1, len(data) - 1)] <= 0x20)
-        sizes, ids = [], []
-        joint = np.flatnonzero(~alone)
-        for part in np.array_split(joint, max(1, len(joint) // 4096)):
-            if len(part) == 0:
-                continue
-            # one text of many spans: each starts at a sure boundary of it, so token lengths tell them apart
-            length = (end - start)[part]
-            text = data[ragged(start[part], length)].tobytes().decode()
-            got = np.array(self.whole([text])[0], np.int64)
-            limits = np.searchsorted(np.cumsum(self.text_size[got]), np.cumsum(length), "left") + 1
-            sizes.append(np.diff(limits, prepend=0))
-            ids.append(got)
-        order = [joint]
-        rest = np.flatnonzero(alone)
+        last, size = data[end - 1], end - start
+        word = (data[start] == 0x20) & (size > 1) & (((last > 0x20) & (last < 0x7F)) | (data[np.maximum(end - 2, 0)] == 0xC3))
+        word &= data[np.minimum(start + 1, len(data) - 1)] > 0x20
+        mark = _MARK[data[start]] & _ASCII_LETTER[last]
+        sizes, ids, order = [], [], []
+        for joint in (np.flatnonzero(word), np.flatnonzero(mark)):
+            for part in np.array_split(joint, max(1, len(joint) // 4096)):
+                if len(part) == 0:
+                    continue
+                # one text of many spans: each starts at a sure boundary of it, so token lengths tell them apart
+                text = data[ragged(start[part], size[part])].tobytes().decode()
+                got = np.array(self.whole([text])[0], np.int64)
+                limits = np.searchsorted(np.cumsum(self.text_size[got]), np.cumsum(size[part]), "left") + 1
+                sizes.append(np.diff(limits, prepend=0))
+                ids.append(got)
+                order.append(part)
+        rest = np.flatnonzero(~word & ~mark)
         if len(rest):
             got = self.whole([data[a:b].tobytes().decode() for a, b in zip(start[rest], end[rest], strict=True)])
             sizes.append(np.array([len(g) for g in got]))
