@@ -52,13 +52,15 @@ def pivot_count(df: DataFrame, index: Sequence, column: str, values: Sequence,
 
 def pivot_row_percent(df: DataFrame, index: Sequence, column: str, values: Sequence,
                       digits: int = 1, fill=None) -> DataFrame:
-    """Pivot counts as a percentage of the row total, ``round(100*x/total, digits)``."""
-    p = df.groupBy(*index).pivot(column, list(values)).agg(F.count(F.lit(1)))
+    """Pivot counts as a percentage of the row total, ``round(100*x/total, digits)``.
+
+    The total counts every row of the group, also those whose value is not listed;
+    a value that a group lacks is NULL (or ``fill``)."""
     names = [str(v) for v in values]
-    total = sum((F.coalesce(F.col(f"`{n}`"), F.lit(0)) for n in names), F.lit(0))
-    p = p.withColumn("_total", total)
-    out = p.select(*index, *[F.round(F.lit(100.0) * F.col(f"`{n}`") / F.col("_total"), digits).alias(n)
-                             for n in names])
+    p = df.groupBy(*index).agg(F.count(F.lit(1)).alias("_total"),
+                               *[F.count_if(F.col(column) == v).alias(f"_n{i}") for i, v in enumerate(values)])
+    out = p.select(*index, *[F.round(F.lit(100.0) * F.nullif(F.col(f"_n{i}"), F.lit(0)) / F.col("_total"), digits).alias(n)
+                             for i, n in enumerate(names)])
     if fill is not None:
         out = out.na.fill(fill, subset=names)
     return out

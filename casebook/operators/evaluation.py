@@ -131,9 +131,9 @@ def auc(df: DataFrame, y: str, score: str, n_buckets: int = 64, digits: int = 6)
 
 
 def r2_score(df: DataFrame, y: str, yhat: str, digits: int = 6) -> DataFrame:
-    """1 − Σ(y−ŷ)² / Σ(y−ȳ)² (ȳ from a scalar subquery)."""
+    """1 − Σ(y−ŷ)² / Σ(y−ȳ)² (ȳ from a scalar subquery); NULL for a constant y."""
     ybar = df.select(F.avg(y)).scalar()
-    return df.agg(F.round(F.lit(1.0) - F.sum((F.col(y) - F.col(yhat)) ** 2) / F.sum((F.col(y) - ybar) ** 2), digits)
+    return df.agg(F.round(F.lit(1.0) - F.try_divide(F.sum((F.col(y) - F.col(yhat)) ** 2), F.sum((F.col(y) - ybar) ** 2)), digits)
                   .alias("r2"))
 
 
@@ -168,13 +168,13 @@ def residual_diagnostics(df: DataFrame, y: str, yhat: str, order_key: str, order
     m2 = F.col("r2m") - F.col("m1") ** 2
     m3 = F.col("r3m") - 3 * F.col("m1") * F.col("r2m") + 2 * F.col("m1") ** 3
     m4 = F.col("r4m") - 4 * F.col("m1") * F.col("r3m") + 6 * F.col("m1") ** 2 * F.col("r2m") - 3 * F.col("m1") ** 4
-    skew = m3 / F.pow(m2, 1.5)
-    kurt = m4 / (m2 ** 2)
+    skew = F.try_divide(m3, F.pow(m2, 1.5))
+    kurt = F.try_divide(m4, m2 ** 2)
     ll = -n / 2.0 * (F.lit(math.log(2 * math.pi)) + F.log(sse / n) + 1)
     rd = lambda c: F.round(c, digits)
     return one.select(
-        n.alias("n"), rd((F.col("ssr") / k) / (sse / (n - k - 1))).alias("f_stat"), rd(ll).alias("log_likelihood"),
+        n.alias("n"), rd(F.try_divide(F.col("ssr") / k, F.try_divide(sse, n - k - 1))).alias("f_stat"), rd(ll).alias("log_likelihood"),
         rd(-2 * ll + 2 * n_params).alias("aic"), rd(-2 * ll + n_params * F.log(n)).alias("bic"),
-        rd(F.col("dw_num") / sse).alias("durbin_watson"),
+        rd(F.try_divide(F.col("dw_num"), sse)).alias("durbin_watson"),
         rd(n / 6.0 * (skew ** 2 + (kurt - 3) ** 2 / 4.0)).alias("jarque_bera"),
         rd(skew).alias("skew"), rd(kurt).alias("kurtosis"))

@@ -15,18 +15,10 @@ from pyspark.sql import functions as F
 from casebook.functions.compat import col_
 
 
-MAX_LEVELS = 1000
-
-
-def levels_of(df: DataFrame, c: str, max_levels: int = MAX_LEVELS) -> list:
-    """Sorted distinct non-NULL values (metadata pass for low-cardinality columns).
-
-    At most ``max_levels`` + 1 values are fetched; more than ``max_levels``
-    raises instead of pulling an unbounded list to the driver."""
-    vals = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().limit(max_levels + 1).collect()]
-    if len(vals) > max_levels:
-        raise ValueError(f"{c} has more than {max_levels} levels; pass levels= explicitly")
-    return sorted(vals)
+def levels_of(df: DataFrame, c: str) -> list:
+    """Sorted distinct non-NULL values. Each becomes a column of the result's schema,
+    which the driver holds anyway."""
+    return sorted(r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().collect())
 
 
 def one_hot(df: DataFrame, cols: Sequence[str], prefix: Mapping[str, str] | None = None,

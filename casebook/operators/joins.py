@@ -1,5 +1,5 @@
-"""Join helpers. Physical strategy is left to Catalyst + AQE except where a side
-has a proven size bound (a literal dimension built from a Python list)."""
+"""Join helpers. Physical strategy is left to Catalyst and AQE, which broadcast a side
+only after its size is known."""
 
 from __future__ import annotations
 
@@ -8,22 +8,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest literal dimension we are willing to broadcast by hint. Literal tables
-# are built from Python lists, so their row count is known before any job runs.
-MAX_LITERAL_BROADCAST_ROWS = 100_000
-
-
 def literal_dim(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A small in-line table (SQL ``VALUES``); refuses sizes that are not small."""
-    if len(rows) > MAX_LITERAL_BROADCAST_ROWS:
-        raise ValueError(f"literal dimension of {len(rows)} rows is too large to inline")
-    df = spark.createDataFrame(list(rows), schema)
-    return F.broadcast(df)
+    """An in-line table (SQL ``VALUES``)."""
+    return spark.createDataFrame(list(rows), schema)
 
 
 def join_dim(df: DataFrame, dim: DataFrame, on, how: str = "inner") -> DataFrame:
-    """Join a literal dimension (already size-checked by :func:`literal_dim`)."""
-    return df.join(F.broadcast(dim), on, how)
+    """Join a dimension."""
+    return df.join(dim, on, how)
 
 
 def anti_count(left: DataFrame, right: DataFrame, on, name: str = "n_unmatched") -> DataFrame:

@@ -46,7 +46,7 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFram
     n = df.select(F.count(F.lit(1))).scalar()
     k = counts.select(F.count(F.lit(1))).scalar()
     w = counts.select(label, (n / (k * F.col("_nc"))).alias(out))
-    return df.join(F.broadcast(w), label)  # one row per class: bounded by the class count
+    return df.join(w, label)
 
 
 # ------------------------------------------------------------------ PCA
@@ -293,9 +293,8 @@ def hopkins(df: DataFrame, vec: str, m: int = 50, seed: int = 3) -> DataFrame:
     hi = np.array([bounds[f"hi{i}"] for i in range(d)], dtype=np.float64)
     rng = np.random.default_rng(seed)
     probes = lo + rng.random((m, d)) * (hi - lo)
-    n_val = arr.count()
-    frac = min(1.0, 3.0 * m / max(n_val, 1))
-    sample = [np.asarray(r["x"], dtype=np.float64) for r in arr.sample(False, frac, seed).limit(m).collect()]
+    # m rows in random order over the whole frame (a top-m, never a prefix)
+    sample = [np.asarray(r["x"], dtype=np.float64) for r in arr.orderBy(F.rand(seed)).limit(m).collect()]
     W = np.stack(sample) if sample else np.zeros((0, d))
     P = np.vstack([probes, W])
     kinds = np.array([0] * len(probes) + [1] * len(W))
@@ -305,7 +304,9 @@ def hopkins(df: DataFrame, vec: str, m: int = 50, seed: int = 3) -> DataFrame:
         for pdf in batches:
             if len(pdf):
                 X = np.stack(pdf["x"].to_numpy()).astype(np.float64)
-                D = np.sqrt(((P[:, None, :] - X[None, :, :]) ** 2).sum(axis=2))
+                sq = (P ** 2).sum(axis=1)[:, None] + (X ** 2).sum(axis=1)[None, :]
+                D = sq - 2 * P @ X.T                           # squared distances without a probes x rows x columns array
+                D = np.sqrt(np.where(D < 1e-12 * (1 + sq), 0, D))
                 D[(kinds == 1)[:, None] & (D == 0)] = np.inf   # a sampled point is not its own neighbour
                 best = np.minimum(best, D.min(axis=1))
         yield pd.DataFrame({"probe": np.arange(len(P), dtype=np.int32), "kind": kinds.astype(np.int32), "d": best})

@@ -92,10 +92,11 @@ def previous_value(df: DataFrame, order: Sequence[Column], bucket: str, value: s
     first row of the next non-empty bucket carries in. ``order_key`` is accepted
     for compatibility and unused."""
     w = Window.partitionBy(bucket).orderBy(*order)
-    local = df.withColumn("_lag", F.lag(value).over(w)) \
+    local = df.withColumn("_lag", F.lag(value).over(w)).withColumn("_first", F.row_number().over(w) == 1) \
               .withColumn("_is_last", F.lead(F.lit(1)).over(w).isNull())
     last = local.where(F.col("_is_last")).select(bucket, F.col(value).alias("_last"))
     wb = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     carry = last.select(bucket, F.last("_last").over(wb).alias("_carry"))
     j = local.join(F.broadcast(carry), bucket)       # one row per bucket
-    return j.withColumn(name, F.coalesce(F.col("_lag"), F.col("_carry"))).drop("_lag", "_carry", "_is_last")
+    return j.withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))) \
+            .drop("_lag", "_carry", "_is_last", "_first")

@@ -7,16 +7,13 @@ Two shapes of work, chosen by which side is bounded:
   product is a plain ``sum`` column of ONE aggregate — no pairs are emitted at
   all, partial sums combine map-side (what ``RowMatrix.computeGramianMatrix``
   does, in DataFrame form).
-* **user × user** (users are many): users are hashed into blocks of at most
-  ``block_size`` rows; each (block, block) pair is one ``cogroup`` task that
-  multiplies two dense ``block × items`` matrices with numpy. The similarity
-  output holds each co-rating pair once; user-based predictions are reduced
-  inside the task to ``block × items`` partial scores, so the n × n matrix is
-  never materialised. Work is quadratic in users by definition of the method,
-  but it is spread over blocks² independent tasks with bounded memory each.
+* **user × user** (users are many): the feature is a list of target users. Their
+  ratings join all ratings on the item, a grouped sum per (target, user) gives the
+  dot products, and a second join with the ratings gives the scores. Nothing is
+  formed for pairs without a target.
 
 NULL / NaN rules: a user or item with a zero norm has similarity 0 with every
-other one; the self-similarity (1) is kept, as in the surveyed notebook.
+other one; the self-similarity (1) is kept.
 """
 
 from __future__ import annotations
@@ -145,109 +142,35 @@ def predict_item_based(ratings: DataFrame, sim: DataFrame, user: str = "usr", it
 
 
 # ---------------------------------------------------------------- user × user
-def _blocks(lvecs: DataFrame, rvecs: DataFrame, key: str, n_left: int, n_right: int,
-            lcols: Sequence[str], rcols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Block pairs (left block, right block): every left row is replicated to the
-    ``n_right`` right blocks and every right row to the ``n_left`` left blocks."""
-    bl = F.pmod(F.xxhash64(F.col(key)), F.lit(n_left)).cast("int")
-    br = F.pmod(F.xxhash64(F.col(key)), F.lit(n_right)).cast("int")
-    # every column is re-aliased so the two sides get distinct attribute ids
-    left = lvecs.select(bl.alias("ba"), F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("bb"),
-                        *[F.col(c).alias(c) for c in [key, *lcols]])
-    right = rvecs.select(F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).alias("ba"), br.alias("bb"),
-                         *[F.col(c).alias(c) for c in [key, *rcols]])
-    return left, right
-
-
-def _targeted(vecs: DataFrame, key: str, targets: DataFrame | None) -> DataFrame:
-    return vecs if targets is None else vecs.join(targets.select(key).distinct(), key, "left_semi")
-
-
-def _n_blocks(vecs: DataFrame, block_size: int) -> int:
-    n = vecs.select(F.count(F.lit(1))).first()[0]
-    return max(1, -(-n // block_size))
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    nrm = np.linalg.norm(m, axis=1, keepdims=True)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        u = np.where(nrm > 0, m / np.where(nrm == 0, 1, nrm), 0.0)
-    return u
-
-
-def user_similarity(vecs: DataFrame, key: str = "usr", block_size: int = 1024, min_overlap: int = 1,
-                    clip: bool = False, targets: DataFrame | None = None) -> DataFrame:
-    """Cosine between every pair of users (a < b) that co-rate at least
-    ``min_overlap`` items: (a, b, sim, overlap). ``vecs`` = :func:`dense_rows`,
-    where a rated item must be non-zero after centring to count as co-rated,
-    so callers pass a separate mask when that matters (see ``with_mask``).
-    With ``targets`` (a frame holding ``key``) only pairs (a in targets, b ≠ a)
-    are scored: left blocks cover the targets only, so the replicated volume
-    scales with the target count instead of the user count."""
-    lv = _targeted(vecs, key, targets)
-    nl, nr = _n_blocks(lv, block_size), _n_blocks(vecs, block_size)
-    left, right = _blocks(lv, vecs, key, nl, nr, ["vec", "mask"], ["vec", "mask"])
-    pair_ok = (lambda a, b: a != b) if targets is not None else (lambda a, b: a < b)
-    schema = "a long, b long, sim double, overlap int"
-
-    def kernel(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if lp.empty or rp.empty:
-            return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64"),
-                                 "sim": pd.Series([], dtype="float64"), "overlap": pd.Series([], dtype="int32")})
-        A, B = np.stack(lp["vec"].to_numpy()), np.stack(rp["vec"].to_numpy())
-        MA, MB = np.stack(lp["mask"].to_numpy()), np.stack(rp["mask"].to_numpy())
-        S = _unit(A) @ _unit(B).T
-        O = MA.astype(np.int32) @ MB.astype(np.int32).T
-        ia, ib = lp[key].to_numpy(), rp[key].to_numpy()
-        aa, bb = np.meshgrid(ia, ib, indexing="ij")
-        keep = pair_ok(aa, bb) & (O >= min_overlap)
-        s = S[keep]
-        if clip:
-            s = np.maximum(s, 0.0)
-        return pd.DataFrame({"a": aa[keep], "b": bb[keep], "sim": s, "overlap": O[keep].astype("int32")})
-
-    return left.groupBy("ba", "bb").cogroup(right.groupBy("ba", "bb")).applyInPandas(kernel, schema)
-
-
-def predict_user_based(sim_vecs: DataFrame, rating_vecs: DataFrame, items: Sequence, key: str = "usr",
-                       block_size: int = 1024, clip: bool = True, targets: DataFrame | None = None) -> DataFrame:
-    """score(u, i) = Σ_v sim(u, v) · rating(v, i) over all users v (u itself
-    included, sim clipped at 0 when ``clip``); not divided by Σ sim, as in the
-    surveyed notebook. Each block pair emits block × items partial sums. With
-    ``targets`` only those users are scored (against all users)."""
-    items = _check_items(items)
-    vecs = sim_vecs.join(rating_vecs.withColumnRenamed("vec", "rvec"), key)
-    lv = _targeted(vecs, key, targets)
-    nl, nr = _n_blocks(lv, block_size), _n_blocks(vecs, block_size)
-    left, right = _blocks(lv, vecs, key, nl, nr, ["vec"], ["vec", "rvec"])
-    k = len(items)
-    schema = f"{key} long, partial array<double>"
-
-    def kernel(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if lp.empty or rp.empty:
-            return pd.DataFrame({key: pd.Series([], dtype="int64"), "partial": pd.Series([], dtype=object)})
-        A, B = np.stack(lp["vec"].to_numpy()), np.stack(rp["vec"].to_numpy())
-        R = np.stack(rp["rvec"].to_numpy())
-        S = _unit(A) @ _unit(B).T
-        if clip:
-            S = np.maximum(S, 0.0)
-        P = S @ R                                  # block × items, one array per left user
-        return pd.DataFrame({key: lp[key].to_numpy(),
-                             "partial": pd.Series([row for row in P], dtype=object, index=range(len(P)))})
-
-    parts = left.groupBy("ba", "bb").cogroup(right.groupBy("ba", "bb")).applyInPandas(kernel, schema)
-    names = F.array(*[F.lit(i) for i in items])
-    cells = parts.select(key, F.posexplode("partial").alias("item_idx", "partial"))
-    return cells.groupBy(key, "item_idx").agg(F.sum("partial").alias("score")) \
-                .select(key, F.element_at(names, F.col("item_idx") + 1).alias("item"), "score")
-
-
-def with_mask(vecs: DataFrame, ratings: DataFrame, key: str, item: str, items: Sequence) -> DataFrame:
-    """Attach a 0/1 array of rated items (for overlap counts)."""
-    items = _check_items(items)
-    p = ratings.groupBy(key).pivot(item, items).agg(F.count(F.lit(1)))
-    m = p.select(key, F.array(*[(F.coalesce(F.col(f"`{i}`"), F.lit(0)) > 0).cast("int") for i in items]).alias("mask"))
-    return vecs.join(m, key)
+def user_similarity(ratings: DataFrame, targets: DataFrame, user: str = "usr", item: str = "item",
+                    value: str = "rating", min_overlap: int = 1, clip: bool = False) -> DataFrame:
+    """Cosine of each target user with every user that co-rates at least
+    ``min_overlap`` items: (a, b, sim, overlap), a in ``targets``, also a = b.
+
+    The targets' ratings join all ratings on the item and group by (a, b), so the
+    work is linear in the ratings for a fixed list of targets; keys may have any
+    type and no item list is needed. Repeated ratings of a cell count as their
+    mean. A zero norm gives similarity 0."""
+    cells = ratings.groupBy(user, item).agg(F.avg(value).alias("_v"))
+    norms = cells.groupBy(user).agg(F.sqrt(F.sum(F.col("_v") ** 2)).alias("_norm"))
+    mine = cells.join(targets.select(user).distinct(), user, "left_semi") \
+                .select(F.col(user).alias("a"), item, F.col("_v").alias("_va"))
+    dots = mine.join(cells.select(F.col(user).alias("b"), item, F.col("_v").alias("_vb")), item) \
+               .groupBy("a", "b").agg(F.sum(F.col("_va") * F.col("_vb")).alias("_dot"), F.count(F.lit(1)).cast("int").alias("overlap"))
+    sims = dots.join(norms.select(F.col(user).alias("a"), F.col("_norm").alias("_na")), "a") \
+               .join(norms.select(F.col(user).alias("b"), F.col("_norm").alias("_nb")), "b")
+    sim = F.coalesce(F.try_divide(F.col("_dot"), F.col("_na") * F.col("_nb")), F.lit(0.0))
+    sim = F.greatest(sim, F.lit(0.0)) if clip else sim
+    return sims.where(F.col("overlap") >= min_overlap).select("a", "b", sim.alias("sim"), "overlap")
+
+
+def predict_user_based(sims: DataFrame, ratings: DataFrame, user: str = "usr", item: str = "item",
+                       value: str = "rating") -> DataFrame:
+    """score(u, i) = Σ_v sim(u, v) · rating(v, i) over the users v of ``sims``
+    (:func:`user_similarity`), not divided by Σ sim; items that no neighbour rated
+    have no row."""
+    cells = ratings.groupBy(user, item).agg(F.avg(value).alias("_v")).withColumnRenamed(user, "b")
+    return sims.join(cells, "b").groupBy(F.col("a").alias(user), item).agg(F.sum(F.col("sim") * F.col("_v")).alias("score"))
 
 
 # ---------------------------------------------------------------- scoring helpers

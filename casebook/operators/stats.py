@@ -10,15 +10,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def safe_corr(a: str, b: str) -> Column:
+    """Pearson correlation over rows with both values; NULL where one is constant
+    (``corr`` itself raises DIVIDE_BY_ZERO under ANSI)."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def corr_long(df: DataFrame, cols: Sequence[str], digits: int = 6, diagonal: bool = True) -> DataFrame:
     """Pearson correlation matrix in long form (a, b, corr)."""
     cols = list(cols)
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    one = df.agg(*[F.corr(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs])
+    one = df.agg(*[safe_corr(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs])
     rows = []
     for i, j in pairs:
         rows.append(f"'{cols[i]}', '{cols[j]}', c{i}_{j}")
@@ -39,7 +46,7 @@ def offdiag_extremes(corr: DataFrame) -> DataFrame:
 
 def target_correlations(df: DataFrame, features: Sequence[str], target: str, digits: int = 6) -> DataFrame:
     """(feature, corr with target, kept = corr >= 0) — one pass."""
-    one = df.agg(*[F.corr(f, target).alias(f"c{i}") for i, f in enumerate(features)])
+    one = df.agg(*[safe_corr(f, target).alias(f"c{i}") for i, f in enumerate(features)])
     rows = ", ".join(f"'{f}', c{i}" for i, f in enumerate(features))
     long = one.selectExpr(f"stack({len(features)}, {rows}) as (feature, corr)")
     return long.select("feature", F.round("corr", digits).alias("corr"), (F.col("corr") >= 0).alias("kept"))
@@ -57,7 +64,9 @@ def vif(df: DataFrame, cols: Sequence[str], intercept: bool = True, digits: int
 
     With an intercept (centred) VIF_j = [R⁻¹]_jj of the correlation matrix R;
     without, the uncentred form uses the scaled second-moment matrix. The k×k
-    matrix comes from one aggregate; a singular matrix gives NULL.
+    matrix comes from one aggregate. Each feature is judged against the others by
+    least squares: a feature that they explain entirely has an infinite VIF, the
+    rest keep theirs; a constant feature gives NULL.
     """
     cols = list(cols)
     k = len(cols)
@@ -68,7 +77,7 @@ def vif(df: DataFrame, cols: Sequence[str], intercept: bool = True, digits: int
             c = corr_long(df, cols, digits=15, diagonal=False).collect()
             idx = {n: i for i, n in enumerate(cols)}
             for r in c:
-                m[idx[r["a"]], idx[r["b"]]] = r["corr"]
+                m[idx[r["a"]], idx[r["b"]]] = np.nan if r["corr"] is None else r["corr"]
     else:
         one = df.agg(*[F.avg(F.col(a) * F.col(b)).alias(f"m{i}_{j}") for i, a in enumerate(cols)
                        for j, b in enumerate(cols) if j >= i]).collect()[0]
@@ -77,10 +86,15 @@ def vif(df: DataFrame, cols: Sequence[str], intercept: bool = True, digits: int
             for j in range(i, k):
                 m[i, j] = m[j, i] = one[f"m{i}_{j}"]
         d = np.sqrt(np.diag(m))
-        m = m / np.outer(d, d)
-    try:
-        inv = np.linalg.inv(m)
-        vals = [float(round(inv[i, i], digits)) for i in range(k)]
-    except np.linalg.LinAlgError:
-        vals = [None] * k
+        with np.errstate(divide="ignore", invalid="ignore"):
+            m = m / np.outer(d, d)
+    flat = [j for j in range(k) if np.isnan(np.delete(m[j], j)).all() and k > 1]
+    rest = [j for j in range(k) if j not in flat]
+    vals: list[float | None] = [None] * k
+    for j in rest:
+        others = [i for i in rest if i != j]
+        left = 1.0
+        if others:
+            left = m[j, j] - m[j, others] @ np.linalg.lstsq(m[np.ix_(others, others)], m[others, j], rcond=1e-12)[0]
+        vals[j] = float("inf") if left <= 1e-12 else float(round(1.0 / left, digits))
     return spark.createDataFrame(list(zip(cols, vals)), "feature string, vif double").orderBy(F.col("vif").desc())

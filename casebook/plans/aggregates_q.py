@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from casebook.functions.binning import bin_col, decode_col
 from casebook.operators import aggregates as A
 from casebook.operators.joins import literal_dim
+from casebook.operators.stats import safe_corr
 from casebook.plans.registry import query
 from casebook.plans.shaping_q import RATINGS_SQL, ratings
 from casebook.plans.sqlfn import cnt_if, rnd
@@ -181,7 +182,7 @@ def agg_conversion_rate(spark, d):
 SELECT l_returnflag, {rnd("corr(l_quantity, l_extendedprice)", 4)} AS corr_qty_price FROM lineitem GROUP BY l_returnflag""")
 def agg_corr_pair(spark, d):
     li = t(spark, d, "lineitem")
-    return li.groupBy("l_returnflag").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 4).alias("corr_qty_price"))
+    return li.groupBy("l_returnflag").agg(F.round(safe_corr("l_quantity", "l_extendedprice"), 4).alias("corr_qty_price"))
 
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]

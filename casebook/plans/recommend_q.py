@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casebook.operators import recommend as RC
+from casebook.operators.stats import safe_corr
 from casebook.operators.splits import hash_pct
 from casebook.session import cut_lineage
 from casebook.plans.aggregates_q import BRANDS
@@ -31,11 +32,13 @@ def reco_prepare(spark, d):
     return RC.min_count_filter(ratings(spark, d), ITEM_MIN, USER_MIN)
 
 
-def _user_vecs(spark, d, centred: bool):
-    r = shared_ratings(spark, d)
-    src = RC.centre(r, "usr", "rating", "v") if centred else r.withColumn("v", F.col("rating"))
-    vecs = RC.dense_rows(src, "usr", "item", "v", BRANDS)
-    return r, RC.with_mask(vecs, r, "usr", "item", BRANDS)
+#: users that recommendations are asked for
+TARGETS = (1, 2, 4, 5, 7, 8, 10, 11, 13, 14)
+_IN = f"IN ({', '.join(map(str, TARGETS))})"
+
+
+def _targets(spark):
+    return spark.createDataFrame([(u,) for u in TARGETS], "usr long")
 
 
 def _pairs_sql(value: str) -> str:
@@ -43,25 +46,24 @@ def _pairs_sql(value: str) -> str:
 c AS (SELECT usr, item, {value} AS v FROM ratings),
 nrm AS (SELECT usr, sqrt(sum(v * v)) AS nv FROM c GROUP BY usr),
 dots AS (SELECT x.usr AS a, y.usr AS b, sum(x.v * y.v) AS dot, count(*) AS overlap
-         FROM c x JOIN c y ON x.item = y.item AND x.usr < y.usr GROUP BY x.usr, y.usr),
+         FROM c x JOIN c y ON x.item = y.item WHERE x.usr {_IN} GROUP BY x.usr, y.usr),
 sims AS (SELECT a, b, coalesce(dot / nullif(na.nv * nb.nv, 0), 0.0) AS sim, CAST(overlap AS INTEGER) AS overlap
          FROM dots JOIN nrm na ON na.usr = a JOIN nrm nb ON nb.usr = b)"""
 
 
-@query("reco_user_cosine", f"""WITH {_pairs_sql("rating")} SELECT a, b, {rnd("sim", 6)} AS sim, overlap FROM sims""")
+@query("reco_user_cosine", f"""WITH {_pairs_sql("rating")} SELECT a, b, {rnd("sim", 6)} AS sim, overlap FROM sims WHERE a <> b""")
 def reco_user_cosine(spark, d):
-    _, vecs = _user_vecs(spark, d, centred=False)
-    s = RC.user_similarity(vecs, "usr", block_size=2048)
+    s = RC.user_similarity(shared_ratings(spark, d), _targets(spark)).where("a != b")
     return s.select("a", "b", F.round("sim", 6).alias("sim"), "overlap")
 
 
 _CENTRED = "rating - avg(rating) OVER (PARTITION BY usr)"
 
 
-@query("reco_user_adjusted_cosine", f"""WITH {_pairs_sql(_CENTRED)} SELECT a, b, {rnd("sim", 4)} AS sim, overlap FROM sims""")
+@query("reco_user_adjusted_cosine", f"""WITH {_pairs_sql(_CENTRED)} SELECT a, b, {rnd("sim", 4)} AS sim, overlap FROM sims WHERE a <> b""")
 def reco_user_adjusted_cosine(spark, d):
-    _, vecs = _user_vecs(spark, d, centred=True)
-    s = RC.user_similarity(vecs, "usr", block_size=2048)
+    r = RC.centre(shared_ratings(spark, d), "usr", "rating", "v")
+    s = RC.user_similarity(r, _targets(spark), value="v").where("a != b")
     # centred dot products cancel heavily; 4 digits keeps both engines on the same side of a rounding edge
     return s.select("a", "b", F.round("sim", 4).alias("sim"), "overlap")
 
@@ -105,22 +107,14 @@ def reco_clip_negative(spark, d):
     return s.select("a", "b", F.round("sim", 6).alias("sim"))
 
 
-_USER_PRED_SQL = f"""{RATINGS_SQL},
-c AS (SELECT usr, item, {_CENTRED} AS v FROM ratings),
-nrm AS (SELECT usr, sqrt(sum(v * v)) AS nv FROM c GROUP BY usr),
-dots AS (SELECT x.usr AS u, y.usr AS w, sum(x.v * y.v) AS dot FROM c x JOIN c y ON x.item = y.item GROUP BY ALL),
-sims AS (SELECT u, w, greatest(coalesce(dot / nullif(nu.nv * nw.nv, 0), 0.0), 0.0) AS sim
-         FROM dots JOIN nrm nu ON nu.usr = u JOIN nrm nw ON nw.usr = w),
-part AS (SELECT u, item, sum(sim * rating) AS score FROM sims JOIN ratings ON ratings.usr = w GROUP BY ALL),
-users AS (SELECT DISTINCT usr FROM ratings), items AS (SELECT DISTINCT item FROM ratings),
-upred AS (SELECT users.usr, items.item, coalesce(part.score, 0.0) AS score FROM users CROSS JOIN items
-          LEFT JOIN part ON part.u = users.usr AND part.item = items.item)"""
+_USER_PRED_SQL = f"""{_pairs_sql(_CENTRED)},
+upred AS (SELECT a AS usr, item, sum(greatest(sim, 0.0) * rating) AS score FROM sims JOIN ratings ON ratings.usr = b GROUP BY ALL)"""
 
 
 def _user_pred(spark, d):
-    r, vecs = _user_vecs(spark, d, centred=True)
-    rv = RC.dense_rows(r, "usr", "item", "rating", BRANDS)
-    return RC.predict_user_based(vecs.select("usr", "vec"), rv, BRANDS, "usr", block_size=2048, clip=True)
+    r = shared_ratings(spark, d)
+    sims = RC.user_similarity(RC.centre(r, "usr", "rating", "v"), _targets(spark), value="v", clip=True)
+    return RC.predict_user_based(sims, r)
 
 
 @query("reco_predict_user_based", f"""WITH {_USER_PRED_SQL} SELECT usr, item, {rnd("score", 6)} AS score FROM upred""")
@@ -181,15 +175,14 @@ def reco_scaled_rmse(spark, d):
     return RC.scaled_rmse(pred, test, 1.0, 5.0)
 
 
-@query("reco_profile_similarity", f"""WITH {_USER_PRED_SQL}, {_item_sim_sql("zero_filled", True)},
-ipred AS (SELECT usr, isim.b AS item, sum(rating * sim) AS score FROM ratings JOIN isim ON ratings.item = isim.a GROUP BY ALL),
-ru AS (SELECT usr, round(score, 6) AS s, row_number() OVER (PARTITION BY usr ORDER BY round(score, 6) DESC, item) AS rk FROM upred),
-ri AS (SELECT usr, round(score, 6) AS s, row_number() OVER (PARTITION BY usr ORDER BY round(score, 6) DESC, item) AS rk FROM ipred)
-SELECT ru.usr, {rnd("corr(ru.s, ri.s)", 6)} AS top10_corr FROM ru JOIN ri ON ru.usr = ri.usr AND ru.rk = ri.rk
-WHERE ru.rk <= 10 GROUP BY ru.usr""")
+@query("reco_profile_similarity", f"""WITH {_USER_PRED_SQL},
+top AS (SELECT usr, round(score, 6) AS s, row_number() OVER (PARTITION BY usr ORDER BY round(score, 6) DESC, item) AS rk FROM upred),
+ten AS (SELECT * FROM top WHERE rk <= 10)
+SELECT x.usr AS a, y.usr AS b, {rnd("corr(x.s, y.s)", 6)} AS top10_corr FROM ten x JOIN ten y ON x.rk = y.rk AND x.usr < y.usr
+GROUP BY x.usr, y.usr""")
 def reco_profile_similarity(spark, d):
-    u = RC.topn(_user_pred(spark, d).withColumn("score", F.round("score", 6)), 10)
-    i = RC.topn(_item_pred(spark, d).withColumn("score", F.round("score", 6)), 10)
-    j = u.select("usr", "rank", F.col("score").alias("su")).join(i.select("usr", "rank", F.col("score").alias("si")),
-                                                                 ["usr", "rank"])
-    return j.groupBy("usr").agg(F.round(F.corr("su", "si"), 6).alias("top10_corr"))
+    """The listed users among each other, by their ten best scores."""
+    ten = cut_lineage(RC.topn(_user_pred(spark, d).withColumn("score", F.round("score", 6)), 10))
+    x = ten.select(F.col("usr").alias("a"), "rank", F.col("score").alias("sa"))
+    y = ten.select(F.col("usr").alias("b"), "rank", F.col("score").alias("sb"))
+    return x.join(y, "rank").where("a < b").groupBy("a", "b").agg(F.round(safe_corr("sa", "sb"), 6).alias("top10_corr"))

@@ -104,8 +104,8 @@ def src_literal_rows(spark, d):
 @query("src_temp_view_sql", """
 SELECT o_orderstatus, count(*) AS n FROM orders WHERE year(o_orderdate) = 1998 GROUP BY o_orderstatus""")
 def src_temp_view_sql(spark, d):
-    return spark.sql("SELECT o_orderstatus, count(*) AS n FROM {o} WHERE year(o_orderdate) = 1998 "
-                     "GROUP BY o_orderstatus", o=t(spark, d, "orders"))
+    return spark.sql("SELECT o_orderstatus, count(*) AS n FROM {o} WHERE o_orderdate >= TIMESTAMP_NTZ '1998-01-01' "
+                     "AND o_orderdate < TIMESTAMP_NTZ '1999-01-01' GROUP BY o_orderstatus", o=t(spark, d, "orders"))
 
 
 @query("src_partition_scan", """
@@ -137,8 +137,12 @@ SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment""")
 def sink_table_replace(spark, d):
     name = f"cb_segments_{uuid.uuid4().hex[:12]}"
     agg = t(spark, d, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
-    SK.replace_table(agg, name, _path(spark, name))
-    return spark.table(name)
+    path = _path(spark, name)
+    SK.replace_table(agg.limit(0), name, path)      # a first table, then the one that takes its place
+    SK.replace_table(agg, name, path)
+    back = spark.read.parquet(path)
+    spark.sql(f"DROP TABLE {name}")                 # external: the files stay for the reader
+    return back
 
 
 @query("sink_csv", """

@@ -81,8 +81,9 @@ def ship_package(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Reads ``spark.checkpoint.dir``; only when it is unset (local tests) a
-    scratch folder is created and registered.
+    Reads ``spark.checkpoint.dir``. Only where it is unset and the session runs in
+    one local process (tests) a scratch folder is made; on a cluster that would be
+    a folder the executors cannot see, so an unset name raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -90,6 +91,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="casebook-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -11,13 +11,12 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str], fmt: str = "o
                       compression: str = "snappy", dynamic: bool = True) -> None:
     """Dynamic-partition overwrite (``INSERT OVERWRITE … PARTITION``).
 
-    Rows are first clustered by the partition columns so each task writes few
-    files per partition instead of one file per (task, partition) pair.
+    Rows are first rebalanced by the partition columns: each task writes few files
+    per partition, and adaptive execution splits a value that holds many rows over
+    several tasks. The overwrite mode is an option of this write alone.
     """
-    spark = df.sparkSession
-    if dynamic:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    (df.repartition(*by).write.mode("overwrite").partitionBy(*by)
+    (df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by)
+       .option("partitionOverwriteMode", "dynamic" if dynamic else "static")
        .option("compression", compression).format(fmt).save(path))
 
 

@@ -106,21 +106,23 @@ def _cos(m):
     return u @ u.T
 
 
-def test_user_similarity_and_prediction_vs_numpy(spark):
-    df = spark.createDataFrame(RATINGS4, "usr long, item string, rating double")
+@pytest.mark.parametrize("key", ["long", "string"])
+def test_user_similarity_and_prediction_vs_numpy(spark, key):
+    df = spark.createDataFrame(RATINGS4, "usr long, item string, rating double").withColumn("usr", F.col("usr").cast(key))
     users, m = _dense(RATINGS4)
-    vecs = RC.with_mask(RC.dense_rows(df, "usr", "item", "rating", ITEMS), df, "usr", "item", ITEMS)
-    sims = {(r["a"], r["b"]): r["sim"] for r in RC.user_similarity(vecs, block_size=2).collect()}
     S = _cos(m)
-    for (a, b), v in sims.items():
-        assert v == pytest.approx(S[users.index(a), users.index(b)])
-    assert (1, 3) in sims and sims[(1, 3)] > 0        # co-rated i3 only
-    pred = {(r["usr"], r["item"]): r["score"] for r in
-            RC.predict_user_based(vecs.select("usr", "vec"), RC.dense_rows(df, "usr", "item", "rating", ITEMS), ITEMS,
-                                  block_size=2, clip=True).collect()}
+    targets = df.select("usr").distinct()
+    sims = RC.user_similarity(df, targets, clip=True)
+    got = {(int(r["a"]), int(r["b"])): r["sim"] for r in sims.collect()}
+    for (a, b), v in got.items():
+        assert v == pytest.approx(max(S[users.index(a), users.index(b)], 0))
+    shared = {(a, b) for a in users for b in users if (m[users.index(a)] * m[users.index(b)]).any()}
+    assert set(got) == shared                          # every pair with a common item, no item list
     P = np.maximum(S, 0) @ m
-    for (u, i), v in pred.items():
-        assert v == pytest.approx(P[users.index(u), ITEMS.index(i)])
+    pred = {(int(r["usr"]), r["item"]): r["score"] for r in RC.predict_user_based(sims, df).collect()}
+    for u in users:
+        for i in ITEMS:
+            assert pred.get((u, i), 0.0) == pytest.approx(P[users.index(u), ITEMS.index(i)])
 
 
 @pytest.mark.parametrize("center", [None, "observed", "zero_filled"])
@@ -142,15 +144,52 @@ def test_item_similarity_vs_numpy(spark, center):
 
 def test_targeted_scoring_equals_full_restricted(spark):
     df = spark.createDataFrame(RATINGS4, "usr long, item string, rating double")
-    vecs = RC.with_mask(RC.dense_rows(df, "usr", "item", "rating", ITEMS), df, "usr", "item", ITEMS)
-    rv = RC.dense_rows(df, "usr", "item", "rating", ITEMS)
     targets = spark.createDataFrame([(1,), (3,)], "usr long")
-    full = {(r["usr"], r["item"]): r["score"] for r in
-            RC.predict_user_based(vecs.select("usr", "vec"), rv, ITEMS, block_size=2).collect()}
-    part = {(r["usr"], r["item"]): r["score"] for r in
-            RC.predict_user_based(vecs.select("usr", "vec"), rv, ITEMS, block_size=1, targets=targets).collect()}
-    assert set(u for u, _ in part) == {1, 3}
+    full = RC.predict_user_based(RC.user_similarity(df, df.select("usr")), df)
+    part = RC.predict_user_based(RC.user_similarity(df, targets), df)
+    full = {(r["usr"], r["item"]): r["score"] for r in full.collect() if r["usr"] in (1, 3)}
+    part = {(r["usr"], r["item"]): r["score"] for r in part.collect()}
+    assert set(part) == set(full)
     for k, v in part.items():
         assert v == pytest.approx(full[k])
-    sims = {(r["a"], r["b"]) for r in RC.user_similarity(vecs, block_size=2, targets=targets).collect()}
-    assert all(a in (1, 3) and a != b for a, b in sims) and (1, 2) in sims and (3, 1) in sims
+
+
+def test_previous_value_keeps_null_values(spark):
+    rows = [(i, None if i % 3 == 0 else float(i), i // 4) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, v double, _b int")
+    got = {r["id"]: r["prev"] for r in previous_value(df, [F.col("id")], "_b", "v").collect()}
+    assert got == {i: (rows[i - 1][1] if i else None) for i in range(20)}
+
+
+def test_statistics_of_constant_and_collinear_columns(spark):
+    from casebook.operators import aggregates as A, evaluation as EV, stats as ST
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 3))
+    df = spark.createDataFrame([(float(a), float(b), float(2 * b), float(c), 1.0) for a, b, c in x], "a double, b double, b2 double, c double, one double")
+    corr = {(r["a"], r["b"]): r["corr"] for r in ST.corr_long(df, ["a", "b", "one"]).collect()}
+    assert corr["a", "one"] is None and corr["a", "b"] == pytest.approx(np.corrcoef(x[:, 0], x[:, 1])[0, 1], abs=1e-6)
+    vif = {r["feature"]: r["vif"] for r in ST.vif(df, ["a", "b", "b2", "c"]).collect()}
+    assert vif["b"] == vif["b2"] == float("inf") and 1 <= vif["a"] < 1.2 and 1 <= vif["c"] < 1.2
+    plain = {r["feature"]: r["vif"] for r in ST.vif(df, ["a", "b", "c"], intercept=False).collect()}
+    m = x.T @ x
+    d = np.sqrt(np.diag(m))
+    want = np.diag(np.linalg.inv(m / np.outer(d, d)))
+    assert [plain[c] for c in "abc"] == pytest.approx(list(want), abs=1e-5)
+    assert EV.r2_score(df, "one", "a").first()["r2"] is None
+    p = spark.createDataFrame([("g", "x"), ("g", "y"), ("g", "z"), ("h", "x")], "k string, v string")
+    got = {r["k"]: (r["x"], r["y"]) for r in A.pivot_row_percent(p, ["k"], "v", ["x", "y"]).collect()}
+    assert got == {"g": (33.3, 33.3), "h": (100.0, None)}
+
+
+def test_partitioned_write_splits_a_hot_value(spark, tmp_path):
+    from casebook.sources.sinks import write_partitioned
+    df = spark.range(300_000, numPartitions=6).select(F.lit(7).alias("k"), "id", F.sha2(F.col("id").cast("string"), 256).alias("s"))
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        write_partitioned(df, f"{tmp_path}/t", ["k"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    back = spark.read.orc(f"{tmp_path}/t")
+    assert back.count() == 300_000 and len(back.inputFiles()) > 1
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == before

@@ -8,13 +8,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from casebook.plans import registry
 from tests.conftest import SF_SMALL
 
 QUERIES = E.queries()
 ORACLES = E.oracle_sql()
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
-SLOW = {"reco_user_cosine", "reco_user_adjusted_cosine"}
 
 
 def _norm(v):
@@ -44,7 +44,7 @@ def test_entry_smoke(spark):
     assert len(rows) >= 1 and "n_faulty" in df.columns
 
 
-@pytest.mark.parametrize("qid", sorted(q for q in ORACLES if q not in SLOW))
+@pytest.mark.parametrize("qid", sorted(q for q in ORACLES if q in registry.ORACLES))
 def test_query_matches_oracle(spark, con, qid):
     sdf = QUERIES[qid](spark, SF_SMALL)
     st = sdf.toArrow()

@@ -12,10 +12,15 @@ def _plan(df):
 
 
 def test_filter_pushed_and_columns_pruned(spark):
-    plan = _plan(Q["flt_compare"](spark, SF_SMALL))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")     # the list is cut at 100 characters otherwise
+    try:
+        plan = _plan(Q["flt_compare"](spark, SF_SMALL))
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
     pushed = plan[plan.index("PushedFilters: ["):]
     pushed = pushed[: pushed.index("]") + 1]
     assert "LessThanOrEqual(l_quantity,5.0)" in pushed and "IsNotNull(l_shipdate)" in pushed
+    assert "GreaterThanOrEqual(l_shipdate,1997-01-01" in pushed and "LessThan(l_shipdate,1998-01-01" in pushed
     assert "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int,l_quantity:double,l_shipdate:timestamp_ntz>" in plan
 
 
