@@ -35,11 +35,9 @@ def split_stratified(df: DataFrame, key: str, label: str, test_pct: float = 0.3,
     ever collected into one task."""
     hk = F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.col(key).cast("string"))), 1, 12), 16, 10).cast("bigint")
     h = df.withColumn("_h", hk)
-    ranked = global_rank(h, "_h", [key], n_buckets, partition=[label], name="_r")
-    n = df.groupBy(label).agg(F.floor(F.count(F.lit(1)) * F.lit(test_pct)).alias("_k"))
-    j = ranked.join(n, label)
-    test = j.where(F.col("_r") <= F.col("_k")).drop("_h", "_r", "_k")
-    train = j.where(F.col("_r") > F.col("_k")).drop("_h", "_r", "_k")
+    ranked = global_rank(h, "_h", [key], n_buckets, partition=[label], name="_r", count_name="_n")
+    in_test = F.col("_r") <= F.floor(F.col("_n") * F.lit(test_pct))
+    test, train = (ranked.where(c).drop("_h", "_r", "_n") for c in (in_test, ~in_test))
     return train, test
 
 
