@@ -31,7 +31,7 @@ from casebook.llm.common import _WRITTEN, keyed, stored
 from casebook.llm.encoder import default_vocabulary, encoder
 from casebook.session import checkpoint_dir
 
-MAGIC, SPAN, FILE_TOKENS, SHARD_BYTES, END = b"CBWM1\n", 512, 1 << 21, 8 << 20, 2
+MAGIC, SPAN, FILE_TOKENS, SHARD_ROWS, END = b"CBWM1\n", 512, 1 << 21, 2500, 2
 
 
 class WaveletMatrix:
@@ -171,7 +171,7 @@ def _write(folder: str, path: str, file_tokens: int):
                                               names=["part", "seq", "name", "n"])
 
         for batch in batches:
-            for i, j, data, off in kernels.blocks(batch.column(1)):
+            for i, j, data, off in kernels.blocks(batch.column(1), 2 * kernels.BLOCK):
                 if coder.plain:
                     got, ends = coder.encode(data, off)
                 else:
@@ -205,13 +205,12 @@ def _read(folder: str):
     return run
 
 
-def write_shards(rows: DataFrame, path: str | None = None, shard_bytes: int = SHARD_BYTES, file_tokens: int = FILE_TOKENS) -> tuple[str, DataFrame]:
+def write_shards(rows: DataFrame, path: str | None = None, shard_rows: int = SHARD_ROWS, file_tokens: int = FILE_TOKENS) -> tuple[str, DataFrame]:
     """Writes keyed rows (``_row, doc_id, text``) in key order; (folder, manifest ``part, seq, name, n, before``)."""
     spark = rows.sparkSession
     folder = f"{checkpoint_dir(spark).rstrip('/')}/tables/wavelet-{uuid.uuid4().hex}"
     _WRITTEN.append((spark, folder))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ordered = rows.select("_row", "doc_id", "text").repartitionByRange(max(1, -(-total // shard_bytes)), "_row").sortWithinPartitions("_row")
+    ordered = rows.select("_row", "doc_id", "text").repartitionByRange(max(1, -(-rows.count() // shard_rows)), "_row").sortWithinPartitions("_row")
     files = stored(ordered.select("doc_id", "text").mapInArrow(_write(folder, path or default_vocabulary(), file_tokens), "part long, seq long, name string, n long"), "manifest")
     # one row a file: the running sum over the manifest is of metadata only
     before = F.sum("n").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
@@ -225,7 +224,7 @@ def read_shards(folder: str, manifest: DataFrame) -> DataFrame:
         _read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_store(docs: DataFrame, path: str | None = None, shard_bytes: int = SHARD_BYTES, file_tokens: int = FILE_TOKENS) -> DataFrame:
+def token_store(docs: DataFrame, path: str | None = None, shard_rows: int = SHARD_ROWS, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """One row per input row, read back from the files: ``doc_id, start, n_tokens, ids_crc32``.
 
     Every text (null: empty) is encoded and ended with id 2. ``start`` counts the ids of all documents before, in
@@ -233,5 +232,5 @@ def token_store(docs: DataFrame, path: str | None = None, shard_bytes: int = SHA
     the end id as little-endian unsigned 32-bit integers. An empty table writes no file and gives no rows.
     """
     rows = keyed(docs, text="string")
-    folder, manifest = write_shards(rows, path, shard_bytes, file_tokens)
+    folder, manifest = write_shards(rows, path, shard_rows, file_tokens)
     return read_shards(folder, manifest)

@@ -323,7 +323,7 @@ def test_token_store(spark, table, odd, empty):
     tok = encoder.encoder(encoder.default_vocabulary())
     pairs = _pairs(table)
     ids = [[*tok.whole([t or ""])[0], 2] for _, t in pairs]
-    got = sorted(map(tuple, wavelet.token_store(table, shard_bytes=20_000, file_tokens=3000).collect()))
+    got = sorted(map(tuple, wavelet.token_store(table, shard_rows=40, file_tokens=3000).collect()))
     starts = np.cumsum([0] + [len(x) for x in ids])
     assert got == [(i, int(s), len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for (i, _), s, x in zip(pairs, starts, ids, strict=False)]
     rows = wavelet.token_store(odd).collect()
