@@ -59,7 +59,7 @@ def embeddings(spark, d):
 
 @query("ml_pca_scree")
 def ml_pca_scree(spark, d):
-    model, _ = M.pca_fit(embeddings(spark, d), "vec", 10)
+    model, _ = M.pca_fit(embeddings(spark, d), "vec", 64)
     return M.pca_scree(spark, model)
 
 
@@ -209,12 +209,12 @@ def ml_kmeans(spark, d):
 
 @query("ml_elbow")
 def ml_elbow(spark, d):
-    return M.elbow(embeddings(spark, d), "vec", list(range(1, 9)))
+    return M.elbow(embeddings(spark, d), "vec", list(range(1, 21)))
 
 
 @query("ml_silhouette")
 def ml_silhouette(spark, d):
-    return M.silhouette(embeddings(spark, d), "vec", list(range(2, 9)))
+    return M.silhouette(embeddings(spark, d), "vec", list(range(2, 25)))
 
 
 @query("ml_hopkins")

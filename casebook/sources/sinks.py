@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], fmt: str = "orc",
@@ -29,6 +30,11 @@ def replace_table(df: DataFrame, name: str, path: str, fmt: str = "parquet") ->
 
 def write_csv(df: DataFrame, path: str, header: bool = True, sep: str = ",", encoding: str | None = None,
               quoted: bool = False) -> None:
+    """CSV text. A character that a one-byte ``encoding`` lacks fails the write
+    instead of being replaced."""
+    if encoding and encoding.upper() in ("ISO-8859-1", "US-ASCII"):
+        df = df.withColumns({c: F.decode(F.encode(F.col(f"`{c}`"), encoding), encoding)
+                             for c, kind in df.dtypes if kind == "string"})
     w = df.write.mode("overwrite").option("header", header).option("sep", sep)
     if encoding:
         w = w.option("encoding", encoding)

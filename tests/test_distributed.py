@@ -193,3 +193,11 @@ def test_partitioned_write_splits_a_hot_value(spark, tmp_path):
     back = spark.read.orc(f"{tmp_path}/t")
     assert back.count() == 300_000 and len(back.inputFiles()) > 1
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == before
+
+
+def test_latin1_write_refuses_other_characters(spark, tmp_path):
+    from casebook.sources.sinks import write_csv
+    write_csv(spark.createDataFrame([("é",)], "s string"), f"{tmp_path}/a", encoding="ISO-8859-1")
+    assert spark.read.csv(f"{tmp_path}/a", header=True, encoding="ISO-8859-1").first()["s"] == "é"
+    with pytest.raises(Exception, match="(?i)charac"):
+        write_csv(spark.createDataFrame([("日",)], "s string"), f"{tmp_path}/b", encoding="ISO-8859-1")
