@@ -98,8 +98,8 @@ def item_similarity(ratings: DataFrame, items: Sequence, user: str = "usr", item
     """Cosine between items over users, long form (a, b, sim), diagonal included.
 
     center: None (raw), 'observed' (subtract the item mean of observed ratings,
-    missing stays 0), 'zero_filled' (missing counts as 0 in the item mean, as the
-    surveyed notebook did — Σ r_a r_b − n·m_a·m_b).
+    missing stays 0), 'zero_filled' (missing counts as 0 in the item mean:
+    Σ r_a r_b − n·m_a·m_b).
     """
     items = _check_items(items)
     k = len(items)
