@@ -13,10 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casebook.functions.compat import col_
+from casebook.operators.ordered import null_safe_join, range_bucket
+from casebook.session import cut_lineage
 
 
 def count_by(df: DataFrame, *keys, name: str = "n") -> DataFrame:
@@ -92,40 +94,61 @@ def histogram(df: DataFrame, c: str, n_bins: int = 20, lo: float | None = None,
 
 
 def exact_quantiles(df: DataFrame, c: str, probs: Sequence[float], by: Sequence[str] = (),
-                    prefix: str = "q", n_buckets: int = 64, count_name: str | None = None) -> DataFrame:
-    """Exact quantiles with linear interpolation (pandas ``quantile``, SQL
-    ``percentile_cont``), computed without holding a group's values in one place.
-
-    Every non-NULL value gets its rank inside its group from bucketed running
-    counts (:func:`casebook.operators.ordered.global_rank`: range buckets of the
-    value, one window per (group, bucket), offsets from a small bucket table).
-    Only the rows at ranks floor(h)+1 and ceil(h)+1, h = (n-1)·p, are kept — at
-    most two per requested probability and group — and interpolated. A group
-    holding a third of all rows is spread over the value buckets, never
-    collected by one task. Columns: ``*by, q0, q1, …`` in the order of ``probs``,
-    plus the non-NULL count as ``count_name`` when given.
+                    prefix: str = "q", n_buckets: int = 64, count_name: str | None = None,
+                    interpolation: str = "linear", few: int = 1_000_000) -> DataFrame:
+    """Exact quantiles by selection (pandas ``quantile``, SQL ``percentile_cont``).
+
+    Wanted are the values at ranks floor(h)+1 and ceil(h)+1, h = (n-1)·p. While a
+    group still has more than ``few`` candidate rows of differing values, these are
+    counted by range bucket (combined map-side, no row moves), only the buckets
+    that hold a wanted rank are kept, and the ranks become ranks within them. The
+    last candidates are grouped by value, so ties cost one row each, and a running
+    count over the distinct values finds the wanted ones. No window or shuffle
+    sees the raw rows, and a group with a third of all rows is never gathered.
+
+    Values keep their own type throughout. ``interpolation`` 'linear' interpolates
+    as doubles; 'lower' and 'higher' return the value itself. NULL values are left
+    out, NULL keys form a group. Columns: ``*by, q0, q1, …`` in the order of
+    ``probs``, plus the non-NULL count as ``count_name`` when given.
     """
-    from casebook.operators.ordered import global_rank
-
     keys = list(by)
-    x = df.where(F.col(c).isNotNull()).select(*keys, F.col(c).cast("double").alias("_v"))
-    r = global_rank(x, "_v", [], n_buckets, partition=keys, name="_r", count_name="_n")
+    rows = df.where(F.col(c).isNotNull()).select(*keys, F.col(c).alias("_v"), F.lit(0).cast("long").alias("_p"))
     hs = [(F.col("_n") - 1) * F.lit(float(p)) for p in probs]
-    wanted = None
-    for h in hs:
-        cond = (F.col("_r") == F.floor(h) + 1) | (F.col("_r") == F.ceil(h) + 1)
-        wanted = cond if wanted is None else wanted | cond
-    picked = r.where(wanted)
-    aggs = []
-    for i, h in enumerate(hs):
-        aggs += [F.max(F.when(F.col("_r") == F.floor(h) + 1, F.col("_v"))).alias(f"_lo{i}"),
-                 F.max(F.when(F.col("_r") == F.ceil(h) + 1, F.col("_v"))).alias(f"_hi{i}"),
-                 F.first(h - F.floor(h)).alias(f"_fr{i}")]
-    aggs.append(F.first("_n").alias("_cnt"))
-    g = picked.groupBy(*keys).agg(*aggs) if keys else picked.agg(*aggs)
-    extra = [F.col("_cnt").alias(count_name)] if count_name else []
-    return g.select(*keys, *[(F.col(f"_lo{i}") + F.col(f"_fr{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}")))
-                             .alias(f"{prefix}{i}") for i in range(len(probs))], *extra)
+    sides = [F.struct(F.lit(i).alias("_i"), F.lit(s).alias("_s"), (f(h) + 1).cast("long").alias("_r"))
+             for i, h in enumerate(hs) for s, f in ((0, F.floor), (1, F.ceil))]
+    want = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) \
+               .select(*keys, "_n", F.lit(0).cast("long").alias("_p"), F.inline(F.array(*sides)))
+
+    before = None
+    while True:
+        left = rows.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_m"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+        most = left.where("_a < _b").agg(F.max("_m")).first()[0] or 0
+        if most <= few or most == before:           # few enough, or equal as doubles: the last step is exact anyway
+            break
+        before = most
+        fine = range_bucket(rows, "_v", n_buckets).withColumnRenamed("_p", "_up") \
+            .withColumn("_p", F.col("_up") * n_buckets + F.col("_bucket")).drop("_bucket")
+        below = Window.partitionBy(*keys, "_up").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+        totals = fine.groupBy(*keys, "_up", "_p").agg(F.count(F.lit(1)).alias("_m")) \
+            .withColumn("_o", F.coalesce(F.sum("_m").over(below), F.lit(0)))
+        hit = null_safe_join(want.withColumnRenamed("_p", "_up"), totals, [*keys, "_up"]) \
+            .where((F.col("_r") > F.col("_o")) & (F.col("_r") <= F.col("_o") + F.col("_m")))
+        want = cut_lineage(hit.select(*keys, "_n", "_p", "_i", "_s", (F.col("_r") - F.col("_o")).alias("_r")))
+        rows = cut_lineage(null_safe_join(fine.drop("_up"), want.select(*keys, "_p").distinct(), [*keys, "_p"], "left_semi"))
+
+    upto = Window.partitionBy(*keys, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    values = rows.groupBy(*keys, "_p", "_v").agg(F.count(F.lit(1)).alias("_m")).withColumn("_c", F.sum("_m").over(upto))
+    picked = null_safe_join(want, values, [*keys, "_p"]) \
+        .where((F.col("_r") <= F.col("_c")) & (F.col("_r") > F.col("_c") - F.col("_m")))
+    at = lambda i, s: F.max(F.when((F.col("_i") == i) & (F.col("_s") == s), F.col("_v")))
+    g = picked.groupBy(*keys).agg(F.max("_n").alias("_n"), *[at(i, s).alias(f"_{s}_{i}") for i in range(len(probs)) for s in (0, 1)])
+    if interpolation == "linear":
+        lo, hi = (lambda i, s=s: F.col(f"_{s}_{i}").cast("double") for s in (0, 1))
+        qs = [lo(i) + (h - F.floor(h)) * (hi(i) - lo(i)) for i, h in enumerate(hs)]
+    else:
+        qs = [F.col(f"_{int(interpolation == 'higher')}_{i}") for i in range(len(probs))]
+    extra = [F.col("_n").alias(count_name)] if count_name else []
+    return g.select(*keys, *[q.alias(f"{prefix}{i}") for i, q in enumerate(qs)], *extra)
 
 
 def quantiles(c, probs: Sequence[float], exact: bool = True, accuracy: int = 1_000_000) -> Column:

@@ -92,14 +92,14 @@ def _score_counts(df: DataFrame, y: str, score: str) -> DataFrame:
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
 
 
-def _cumulative_desc(df: DataFrame, y: str, score: str, n_buckets: int) -> DataFrame:
+def _cumulative_desc(df: DataFrame, y: str, score: str, n_buckets: int | None) -> DataFrame:
     """Per distinct score: counts at scores >= threshold (descending order)."""
     sc = _score_counts(df, y, score).withColumn("_k", -F.col("threshold"))
     b = range_bucket(sc, "_k", n_buckets, name="_b")
     return running_sum(b, [F.col("_k")], "_b", ["pos", "neg"]).drop("_b", "_k")
 
 
-def roc_curve(df: DataFrame, y: str, score: str, n_buckets: int = 64, digits: int = 6) -> DataFrame:
+def roc_curve(df: DataFrame, y: str, score: str, n_buckets: int | None = None, digits: int = 6) -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score, highest first."""
     c = _cumulative_desc(df, y, score, n_buckets)
     P = df.select(F.count_if(F.col(y) == 1)).scalar()
@@ -108,7 +108,7 @@ def roc_curve(df: DataFrame, y: str, score: str, n_buckets: int = 64, digits: in
                     F.round(F.try_divide(F.col("pos_cum").cast("double"), P), digits).alias("tpr"))
 
 
-def pr_curve(df: DataFrame, y: str, score: str, n_buckets: int = 64, digits: int = 6) -> DataFrame:
+def pr_curve(df: DataFrame, y: str, score: str, n_buckets: int | None = None, digits: int = 6) -> DataFrame:
     """(threshold, precision, recall) for every distinct score."""
     c = _cumulative_desc(df, y, score, n_buckets)
     P = df.select(F.count_if(F.col(y) == 1)).scalar()
@@ -118,7 +118,7 @@ def pr_curve(df: DataFrame, y: str, score: str, n_buckets: int = 64, digits: int
                     F.round(F.try_divide(F.col("pos_cum").cast("double"), P), digits).alias("recall"))
 
 
-def auc(df: DataFrame, y: str, score: str, n_buckets: int = 64, digits: int = 6) -> DataFrame:
+def auc(df: DataFrame, y: str, score: str, n_buckets: int | None = None, digits: int = 6) -> DataFrame:
     """Area under ROC by the rank-sum (Mann-Whitney) form with average ranks for ties."""
     sc = _score_counts(df, y, score).withColumn("n", F.col("pos") + F.col("neg"))
     b = range_bucket(sc, "threshold", n_buckets, name="_b")
@@ -145,7 +145,7 @@ def ols_one_feature(df: DataFrame, y: str, x: str, digits: int = 6) -> DataFrame
 
 
 def residual_diagnostics(df: DataFrame, y: str, yhat: str, order_key: str, order: Sequence[Column],
-                         n_params: int, n_buckets: int = 64, digits: int = 6) -> DataFrame:
+                         n_params: int, n_buckets: int | None = None, digits: int = 6) -> DataFrame:
     """F statistic, log-likelihood, AIC, BIC, Durbin-Watson, Jarque-Bera, residual skew
     and kurtosis from (y, ŷ) pairs.
 

@@ -1,7 +1,7 @@
 """Running totals and ranks over a global order without a single-partition window.
 
 ``Window.orderBy(x)`` with no ``partitionBy`` moves every row into one task. The
-helpers here split the order into ``n_buckets`` ranges instead:
+helpers here split the order into ranges, as many as the row count asks for:
 
 1. every row gets a bucket from a monotone function of its order key
    (range boundaries from ``percentile_approx``, a bounded-memory sketch);
@@ -10,32 +10,48 @@ helpers here split the order into ``n_buckets`` ranges instead:
 3. inside a bucket an ordinary partitioned window gives the local running sum,
    and the offset is added back through an equi-join on (partition, bucket).
 
-The bucket table has at most ``len(partitions) × n_buckets`` rows, a bound fixed
-by the caller, so it is the side that may be broadcast.
+The bucket table has one row per (partition, bucket); adaptive execution
+broadcasts it where it measures small.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def range_bucket(df: DataFrame, key: str, n_buckets: int, partition: Sequence[str] = (),
-                 name: str = "_bucket") -> DataFrame:
-    """Add a bucket id in 0..n_buckets-1, monotone in ``key`` (ascending).
+ROWS_PER_BUCKET = 1_000_000
+_FINE = 4096  # quantiles read in the one boundary pass; also the most buckets there are
 
-    Boundaries are the 1/n .. (n-1)/n approximate quantiles of ``key`` over the
-    whole frame: one aggregate pass whose single row (n-1 numbers, a bound the
-    caller fixes) is read on the driver and inlined as literals in a balanced
-    comparison tree, so the bucket expression stays small inside codegen.
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which NULL equals NULL; the keys appear once."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    cond = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(named, cond, how).drop(*[f"_right_{k}" for k in keys])
+
+
+def range_bucket(df: DataFrame, key: str, n_buckets: int | None = None, name: str = "_bucket") -> DataFrame:
+    """Add a bucket id 0, 1, ... that is monotone in ``key`` (ascending, NULL first).
+
+    Boundaries are approximate quantiles of ``key`` over the whole frame: one
+    aggregate pass whose single row (a count and ``_FINE`` - 1 numbers) is read on
+    the driver. Without ``n_buckets`` there are as many as ``ROWS_PER_BUCKET``
+    asks for, at least 64 and at most ``_FINE``; beyond that the buckets grow and
+    their windows spill.
     """
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    row = df.select(F.percentile_approx(F.col(key).cast("double"), probs, 10_000).alias("b")).first()
-    bounds = sorted(set(v for v in (row["b"] or []) if v is not None))
     x = F.col(key).cast("double")
-    return df.withColumn(name, _search(x, bounds, 0, len(bounds)))
+    grid = "array(" + ",".join(f"{i / _FINE}D" for i in range(1, _FINE)) + ")"
+    row = df.select(x.alias("x")).agg(F.count(F.lit(1)).alias("n"),
+                                      F.expr(f"percentile_approx(x, {grid}, {4 * _FINE})").alias("b")).first()
+    n = n_buckets or min(_FINE, max(64, -(-row["n"] // ROWS_PER_BUCKET)))
+    fine = row["b"] or []
+    bounds = sorted({fine[min(len(fine) - 1, max(0, i * _FINE // n - 1))] for i in range(1, n)}) if fine else []
+    return df.withColumn(name, _search(x, bounds, 0, len(bounds)) if len(bounds) < 256 else _search_many(x, bounds))
 
 
 def _search(x: Column, bounds: Sequence[float], lo: int, hi: int) -> Column:
@@ -47,6 +63,16 @@ def _search(x: Column, bounds: Sequence[float], lo: int, hi: int) -> Column:
     return F.when(x > F.lit(bounds[mid]), _search(x, bounds, mid + 1, hi)).otherwise(_search(x, bounds, lo, mid))
 
 
+def _search_many(x: Column, bounds: Sequence[float]) -> Column:
+    """The same number by binary search in a folded array literal, for lists whose
+    CASE tree would outgrow generated code."""
+    m = len(bounds)
+    table = F.split(F.lit(",".join(repr(float(v)) for v in bounds)), ",").cast("array<double>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(m.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(
+        (at + s <= m) & (x > F.element_at(table, F.least(at + s, F.lit(m)))), at + s).otherwise(at))
+
+
 def running_sum(df: DataFrame, order: Sequence[Column], bucket: str, values: Sequence[str],
                 partition: Sequence[str] = (), suffix: str = "_cum", with_total: bool = False) -> DataFrame:
     """Inclusive running sums of ``values`` in ``order`` (ascending by bucket first).
@@ -64,17 +90,17 @@ def running_sum(df: DataFrame, order: Sequence[Column], bucket: str, values: Seq
                                              for v in values], *extra)
     wl = Window.partitionBy(*part, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = df.select("*", *[F.sum(v).over(wl).alias(f"_l_{v}") for v in values])
-    j = local.join(offsets, [*part, bucket])
+    j = null_safe_join(local, offsets, [*part, bucket])
     return j.select(*df.columns, *[(F.col(f"_l_{v}") + F.col(f"_o_{v}")).alias(f"{v}{suffix}") for v in values],
                     *[F.col(f"{v}_total") for v in values if with_total])
 
 
-def global_rank(df: DataFrame, order_key: str, tie: Sequence[str], n_buckets: int = 64,
+def global_rank(df: DataFrame, order_key: str, tie: Sequence[str], n_buckets: int | None = None,
                 partition: Sequence[str] = (), name: str = "rank", count_name: str | None = None) -> DataFrame:
     """1-based row number in (order_key, *tie) order within ``partition``,
     computed bucket-wise (no single-task window). With ``count_name`` the
     partition's row count is attached too (no extra pass)."""
-    b = range_bucket(df, order_key, n_buckets, partition, "_rb").withColumn("_one", F.lit(1))
+    b = range_bucket(df, order_key, n_buckets, "_rb").withColumn("_one", F.lit(1))
     order = [F.col(order_key), *[F.col(c) for c in tie]]
     r = running_sum(b, order, "_rb", ["_one"], partition, with_total=count_name is not None)
     r = r.withColumnRenamed("_one_cum", name)
@@ -84,13 +110,12 @@ def global_rank(df: DataFrame, order_key: str, tie: Sequence[str], n_buckets: in
 
 
 def previous_value(df: DataFrame, order: Sequence[Column], bucket: str, value: str,
-                   order_key: str | None = None, name: str = "prev") -> DataFrame:
+                   name: str = "prev") -> DataFrame:
     """``lag(value)`` over a global order, bucket-wise.
 
     One window per bucket gives the in-bucket lag and marks each bucket's last
     row; those last rows (one per bucket, a bounded table) give the value the
-    first row of the next non-empty bucket carries in. ``order_key`` is accepted
-    for compatibility and unused."""
+    first row of the next non-empty bucket carries in."""
     w = Window.partitionBy(bucket).orderBy(*order)
     local = df.withColumn("_lag", F.lag(value).over(w)).withColumn("_first", F.row_number().over(w) == 1) \
               .withColumn("_is_last", F.lead(F.lit(1)).over(w).isNull())

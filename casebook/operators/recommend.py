@@ -1,12 +1,10 @@
 """Neighbourhood collaborative filtering on long ratings (user, item, rating).
 
-Two shapes of work, chosen by which side is bounded:
+Two shapes of work:
 
-* **item × item** (the item list is explicit and small): each user's ratings are
-  pivoted to one dense row over the listed items, and every item-pair dot
-  product is a plain ``sum`` column of ONE aggregate — no pairs are emitted at
-  all, partial sums combine map-side (what ``RowMatrix.computeGramianMatrix``
-  does, in DataFrame form).
+* **item × item**: each user's ratings meet each other once (a < b), and a grouped
+  sum per pair of items, combined map-side, gives the dot products. Only pairs
+  that some user rated exist, keys have any type, and the items come from the data.
 * **user × user** (users are many): the feature is a list of target users. Their
   ratings join all ratings on the item, a grouped sum per (target, user) gives the
   dot products, and a second join with the ratings gives the scores. Nothing is
@@ -20,22 +18,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casebook.session import cut_lineage
-
-MAX_DENSE_ITEMS = 4096  # dense per-user rows are only built over a bounded item list
-
-
-def _check_items(items: Sequence) -> list:
-    items = list(items)
-    if len(items) > MAX_DENSE_ITEMS:
-        raise ValueError(f"{len(items)} items exceed the dense-vector bound {MAX_DENSE_ITEMS}")
-    return items
-
 
 def min_count_filter(ratings: DataFrame, item_min: int, user_min: int, user: str = "usr",
                      item: str = "item") -> DataFrame:
@@ -58,86 +43,62 @@ def centre(ratings: DataFrame, by: str, value: str = "rating", name: str = "cent
     return ratings.join(means, by).withColumn(name, F.col(value) - F.col("_mean")).drop("_mean")
 
 
-def dense_rows(ratings: DataFrame, key: str, item: str, value: str, items: Sequence) -> DataFrame:
-    """One row per ``key`` with an array over ``items`` (missing → 0.0)."""
-    items = _check_items(items)
-    p = ratings.groupBy(key).pivot(item, items).agg(F.avg(value))  # mean of repeats, as pivot_table
-    return p.select(key, F.array(*[F.coalesce(F.col(f"`{i}`").cast("double"), F.lit(0.0)) for i in items]).alias("vec"))
-
-
 # ---------------------------------------------------------------- item × item
-def gram(vecs: DataFrame, k: int) -> DataFrame:
-    """Σ x xᵀ, Σ x and the row count of the ``vec`` arrays, as long rows
-    (ia, ib, d): ia, ib >= 0 Gram cells, ib = -1 column sums, ia = ib = -1 count.
-
-    Each task folds its Arrow batches into one k×k numpy matrix and emits k² + k
-    + 1 rows; a grouped sum combines the tasks (the tree-aggregate pattern), so
-    nothing but partial matrices is shuffled and no row pairs are formed.
-    """
-    import pandas as _pd
-
-    def partial(batches):
-        G, S, n = np.zeros((k, k)), np.zeros(k), 0
-        for pdf in batches:
-            if len(pdf):
-                X = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-                G += X.T @ X
-                S += X.sum(axis=0)
-                n += len(X)
-        ia, ib = np.meshgrid(np.arange(k), np.arange(k), indexing="ij")
-        yield _pd.DataFrame({"ia": np.concatenate([ia.ravel(), np.arange(k), [-1]]).astype("int32"),
-                             "ib": np.concatenate([ib.ravel(), -np.ones(k), [-1]]).astype("int32"),
-                             "d": np.concatenate([G.ravel(), S, [float(n)]])})
-
-    parts = vecs.select("vec").mapInPandas(partial, "ia int, ib int, d double")
-    return parts.groupBy("ia", "ib").agg(F.sum("d").alias("d"))
-
-
-def item_similarity(ratings: DataFrame, items: Sequence, user: str = "usr", item: str = "item",
-                    value: str = "rating", center: str | None = None, clip: bool = False) -> DataFrame:
-    """Cosine between items over users, long form (a, b, sim), diagonal included.
+def item_similarity(ratings: DataFrame, items: Sequence | None = None, user: str = "usr", item: str = "item",
+                    value: str = "rating", center: str | None = None, clip: bool = False,
+                    min_overlap: int = 1) -> DataFrame:
+    """Cosine between items over users, long form (a, b, sim), both directions and
+    the diagonal. Without ``items`` the pairs are those that at least
+    ``min_overlap`` users rated; with ``items`` every pair of the list has a row.
 
     center: None (raw), 'observed' (subtract the item mean of observed ratings,
     missing stays 0), 'zero_filled' (missing counts as 0 in the item mean:
-    Σ r_a r_b − n·m_a·m_b).
+    Σ r_a r_b − n·m_a·m_b, n users). Repeated ratings of a cell count as their
+    mean. A zero norm gives similarity 0.
+
+    The join is on the user; each user's items meet in one direction and the
+    pairs are summed before any shuffle. Adaptive execution splits a user with
+    very many ratings, since only sums leave the join.
     """
-    items = _check_items(items)
-    k = len(items)
     src = ratings
     if center == "observed":
         src = centre(ratings, item, value, "_c").select(user, item, F.col("_c").alias(value))
-    vecs = dense_rows(src, user, item, value, items)
-    # the Gram table has k² + k + 1 rows; it is written to the shared checkpoint
-    # folder once so the several small joins below read it instead of each
-    # re-running the ratings pipeline (Python map stages are not exchange-reused)
-    g = cut_lineage(gram(vecs, k))
-    upper = g.where((F.col("ia") >= 0) & (F.col("ib") >= F.col("ia"))).select("ia", "ib", "d")
-    n = g.where(F.col("ia") < 0).select("d").scalar()
-    upper = upper.withColumn("n", n)
-    sums = g.where((F.col("ia") >= 0) & (F.col("ib") < 0)).select(F.col("ia").alias("i"), F.col("d").alias("s"))
-    both = upper.unionByName(upper.where("ia <> ib").selectExpr("ib as ia", "ia as ib", "d", "n"))
-    sa = sums.select(F.col("i").alias("ia"), F.col("s").alias("sa"))
-    sb = sums.select(F.col("i").alias("ib"), F.col("s").alias("sb"))
-    j = both.join(F.broadcast(sa), "ia").join(F.broadcast(sb), "ib")
-    dot = F.col("d") - F.col("sa") * F.col("sb") / F.col("n") if center == "zero_filled" else F.col("d")
-    j = j.withColumn("dot", dot)
-    diag = j.where(F.col("ia") == F.col("ib")).select(F.col("ia").alias("i"), F.col("dot").alias("nn"))
-    j = j.join(F.broadcast(diag.withColumnRenamed("i", "ia").withColumnRenamed("nn", "na")), "ia") \
-         .join(F.broadcast(diag.withColumnRenamed("i", "ib").withColumnRenamed("nn", "nb")), "ib")
-    sim = F.coalesce(F.try_divide(F.col("dot"), F.sqrt(F.col("na") * F.col("nb"))), F.lit(0.0))
+    cells = src.groupBy(user, item).agg(F.avg(value).cast("double").alias("_v"))
+    if items is not None:
+        cells = cells.where(F.col(item).isin(list(items)))
+    sums = cells.groupBy(item).agg(F.sum("_v").alias("_s"), F.sum(F.col("_v") ** 2).alias("_q"), F.count(F.lit(1)).alias("_m"))
+    if center == "zero_filled":
+        n = ratings.select(F.count_distinct(F.col(user))).scalar()
+        sums = sums.withColumn("_n", n).withColumn("_q", F.col("_q") - F.col("_s") * F.col("_s") / F.col("_n"))
+    x = cells.select(user, F.col(item).alias("a"), F.col("_v").alias("_va"))
+    y = cells.select(user, F.col(item).alias("b"), F.col("_v").alias("_vb"))
+    pairs = x.join(y, user).where("a < b").groupBy("a", "b").agg(
+        F.sum(F.col("_va") * F.col("_vb")).alias("_d"), F.count(F.lit(1)).alias("_m")).where(F.col("_m") >= min_overlap)
+    if items is not None:
+        listed = F.array(*[F.lit(i) for i in items])
+        grid = ratings.sparkSession.range(1).select(F.explode(listed).alias("a")) \
+            .select("a", F.explode(listed).alias("b")).where("a < b")
+        pairs = grid.join(pairs, ["a", "b"], "left").na.fill(0.0, subset=["_d"])
+    side = lambda s: sums.select(F.col(item).alias(s), *[F.col(c).alias(f"{c}{s}") for c in sums.columns if c not in (item, "_m")])
+    j = pairs.join(side("a"), "a").join(side("b"), "b")
+    dot = F.col("_d") - F.col("_sa") * F.col("_sb") / F.col("_na") if center == "zero_filled" else F.col("_d")
+    sim = F.coalesce(F.try_divide(dot, F.sqrt(F.col("_qa") * F.col("_qb"))), F.lit(0.0))
     if clip:
         sim = F.greatest(sim, F.lit(0.0))
-    names = F.array(*[F.lit(i) for i in items])
-    return j.select(F.element_at(names, F.col("ia") + 1).alias("a"), F.element_at(names, F.col("ib") + 1).alias("b"),
-                    sim.alias("sim"))
+    half = j.select("a", "b", sim.alias("sim"))
+    both = half.select("a", "b", "sim", F.inline(F.array(F.struct(F.col("a").alias("_a"), F.col("b").alias("_b")),
+                                                         F.struct(F.col("b").alias("_a"), F.col("a").alias("_b")))))
+    own = sums.where(F.col("_m") >= min_overlap) if items is None else sums
+    diag = own.select(F.col(item).alias("a"), F.col(item).alias("b"), F.coalesce(
+        F.try_divide(F.col("_q"), F.sqrt(F.col("_q") * F.col("_q"))), F.lit(0.0)).alias("sim"))
+    return both.select(F.col("_a").alias("a"), F.col("_b").alias("b"), "sim").unionByName(diag)
 
 
 def predict_item_based(ratings: DataFrame, sim: DataFrame, user: str = "usr", item: str = "item",
                        value: str = "rating") -> DataFrame:
-    """score(u, i) = Σ_j rating(u, j) · sim(j, i) over the items u rated.
-
-    ``sim`` has items² rows (explicit item list), so it is the broadcast side."""
-    j = ratings.join(F.broadcast(sim.withColumnRenamed("a", item)), item)
+    """score(u, i) = Σ_j rating(u, j) · sim(j, i) over the items u rated; a pair
+    without a row in ``sim`` adds nothing."""
+    j = ratings.join(sim.withColumnRenamed("a", item), item)
     return j.groupBy(user, F.col("b").alias(item)).agg(F.sum(F.col(value) * F.col("sim")).alias("score"))
 
 

@@ -29,7 +29,7 @@ def split_hash(df: DataFrame, key: str, test_pct: int = 30, salt: str = "") -> t
 
 
 def split_stratified(df: DataFrame, key: str, label: str, test_pct: float = 0.3, salt: str = "",
-                     n_buckets: int = 64) -> tuple[DataFrame, DataFrame]:
+                     n_buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Per label exactly ``floor(n_label * test_pct)`` rows go to test: those with
     the smallest (md5 hash, key). Ranks are computed bucket-wise, so no label is
     ever collected into one task."""

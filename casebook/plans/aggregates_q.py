@@ -13,7 +13,7 @@ from casebook.plans.shaping_q import RATINGS_SQL, ratings
 from casebook.plans.sqlfn import cnt_if, rnd
 from casebook.plans.tables import TRIPS_SQL, t, trips
 
-# Item domain of the ratings stand-in, generated by rule (25 brands).
+# Columns of the mean matrix in its SQL, generated by rule (25 brands).
 BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 # Vendor decode of the provider scorecard.
 VENDORS = {"A": "Creative Mobile", "N": "VeriFone"}
@@ -232,9 +232,10 @@ SELECT usr, {", ".join(f'coalesce(max(rating) FILTER (WHERE item = {chr(39)}{b}{
 FROM ratings GROUP BY usr""")
 def agg_pivot_mean_matrix(spark, d):
     r = ratings(spark, d)
-    # long form is the working representation; the wide matrix is built only on
-    # the explicit item list, so its width is bounded and no extra job runs
-    return r.groupBy("usr").pivot("item", BRANDS).agg(F.avg("rating")).na.fill(0.0, subset=BRANDS)
+    # one column an item, found by a distinct pass; spark.sql.pivotMaxValues refuses a
+    # catalogue too wide for columns, whose working form is the long one
+    wide = r.groupBy("usr").pivot("item").agg(F.avg("rating"))
+    return wide.na.fill(0.0, subset=wide.columns[1:])
 
 
 @query("agg_column_totals", f"""

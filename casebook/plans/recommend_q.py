@@ -9,7 +9,6 @@ from casebook.operators import recommend as RC
 from casebook.operators.stats import safe_corr
 from casebook.operators.splits import hash_pct
 from casebook.session import cut_lineage
-from casebook.plans.aggregates_q import BRANDS
 from casebook.plans.registry import query
 from casebook.plans.shaping_q import RATINGS_SQL, ratings
 from casebook.plans.sqlfn import rnd
@@ -96,14 +95,14 @@ dot AS (SELECT ia.item AS a, ib.item AS b, coalesce(co.d, 0) AS dot, sa.ss AS na
 @query("reco_item_similarity", f"""WITH {RATINGS_SQL}, {_item_sim_sql("zero_filled", False)}
 SELECT a, b, {rnd("sim", 6)} AS sim FROM isim""")
 def reco_item_similarity(spark, d):
-    s = RC.item_similarity(ratings(spark, d), BRANDS, center="zero_filled")
+    s = RC.item_similarity(shared_ratings(spark, d), center="zero_filled")
     return s.select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query("reco_clip_negative", f"""WITH {RATINGS_SQL}, {_item_sim_sql("observed", True)}
 SELECT a, b, {rnd("sim", 6)} AS sim FROM isim""")
 def reco_clip_negative(spark, d):
-    s = RC.item_similarity(ratings(spark, d), BRANDS, center="observed", clip=True)
+    s = RC.item_similarity(shared_ratings(spark, d), center="observed", clip=True)
     return s.select("a", "b", F.round("sim", 6).alias("sim"))
 
 
@@ -128,7 +127,7 @@ ipred AS (SELECT usr, isim.b AS item, sum(rating * sim) AS score FROM ratings JO
 
 def _item_pred(spark, d, r=None):
     r = shared_ratings(spark, d) if r is None else r
-    sim = RC.item_similarity(r, BRANDS, center="zero_filled", clip=True)
+    sim = RC.item_similarity(r, center="zero_filled", clip=True)
     return RC.predict_item_based(r, sim)
 
 

@@ -33,8 +33,8 @@ def test_global_rank_per_partition(spark):
 def test_previous_value_matches_lag(spark):
     rows = [(i, float((i * 37) % 17)) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, v double")
-    b = range_bucket(df, "id", 6, name="_b").withColumn("_ok", F.struct("id"))
-    got = {r["id"]: r["prev"] for r in previous_value(b, [F.col("id")], "_b", "v", "_ok").collect()}
+    b = range_bucket(df, "id", 6, name="_b")
+    got = {r["id"]: r["prev"] for r in previous_value(b, [F.col("id")], "_b", "v").collect()}
     ref = {r["id"]: r["p"] for r in df.select("id", F.lag("v").over(Window.orderBy("id")).alias("p")).collect()}
     assert got == ref
 
@@ -142,6 +142,18 @@ def test_item_similarity_vs_numpy(spark, center):
         assert v == pytest.approx(S[ITEMS.index(a), ITEMS.index(b)], abs=1e-9)
 
 
+def test_item_similarity_reads_items_from_the_data(spark):
+    df = spark.createDataFrame(RATINGS4, "usr long, item string, rating double")
+    listed = {(r["a"], r["b"]): r["sim"] for r in RC.item_similarity(df, ITEMS).collect()}
+    found = {(r["a"], r["b"]): r["sim"] for r in RC.item_similarity(df).collect()}
+    assert found == pytest.approx({k: v for k, v in listed.items() if v}) and len(found) > len(ITEMS)
+    more = df.unionByName(spark.createDataFrame([(1, "new", 4.0), (2, "new", 2.0)], df.schema))
+    grown = {(r["a"], r["b"]) for r in RC.item_similarity(more).collect()}
+    assert ("new", "new") in grown and set(found) < grown
+    twice = {(r["a"], r["b"]) for r in RC.item_similarity(more, min_overlap=3).collect()}
+    assert ("new", "new") not in twice
+
+
 def test_targeted_scoring_equals_full_restricted(spark):
     df = spark.createDataFrame(RATINGS4, "usr long, item string, rating double")
     targets = spark.createDataFrame([(1,), (3,)], "usr long")

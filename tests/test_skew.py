@@ -62,3 +62,25 @@ def test_exact_quantiles_ignore_nulls(spark):
     df = spark.createDataFrame([(1.0,), (None,), (3.0,), (2.0,)], "x double")
     assert A.exact_quantiles(df, "x", [0.5]).first()["q0"] == 2.0
     assert F is not None
+
+
+def test_exact_quantiles_by_repeated_selection(spark):
+    """Narrowing rounds (forced by a small ``few``), a value on a third of the rows, a NULL key, native types."""
+    rows = [("a" if i % 3 else None, float(i % 7 if i % 3 == 0 else (i * 7919) % 1009)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    probs = [0.0, 0.1, 0.5, 0.75, 1.0]
+    got = {r["k"]: r for r in A.exact_quantiles(df, "v", probs, by=["k"], few=20, n_buckets=8, count_name="n").collect()}
+    for k in ("a", None):
+        v = [x for g, x in rows if g == k]
+        assert got[k]["n"] == len(v)
+        assert [got[k][f"q{i}"] for i in range(len(probs))] == pytest.approx(list(np.quantile(v, probs)))
+    big = spark.createDataFrame([(2 ** 53 + i,) for i in (1, 3, 5)], "v long")
+    q = A.exact_quantiles(big, "v", [0.0, 0.5, 1.0], interpolation="lower", few=1).first()
+    assert list(q) == [2 ** 53 + 1, 2 ** 53 + 3, 2 ** 53 + 5]
+
+
+def test_range_bucket_search_forms_agree(spark):
+    from casebook.operators.ordered import _search, _search_many
+    bounds = [float(i * i) for i in range(300)]
+    df = spark.range(0, 91000, 7).select(F.col("id").cast("double").alias("x"))
+    assert df.where(_search(F.col("x"), bounds, 0, len(bounds)) != _search_many(F.col("x"), bounds)).isEmpty()
