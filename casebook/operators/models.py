@@ -33,11 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casebook.operators.stats import vif as vif_table
+from casebook.operators.stats import corr_matrix, vif_values
+from casebook.session import cut_lineage
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
+    """Features as one vector; a NULL or NaN raises, so callers fill or drop it by their own rule."""
+    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="error").transform(df)
 
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
@@ -116,13 +118,16 @@ def backward_eliminate(df: DataFrame, features: Sequence[str], label: str, famil
     feats = list(features)
     out = []
     rnd = 0
+    whole = corr_matrix(df, feats)          # one pass; every round's VIFs are of its sub-matrices
+    place = {f: i for i, f in enumerate(feats)}
     while len(feats) > 1 and (max_rounds is None or rnd < max_rounds):
         rnd += 1
-        v = vif_table(df, feats, intercept=True).collect()
-        worst_v = max(v, key=lambda r: (r["vif"] if r["vif"] is not None else math.inf))
-        if worst_v["vif"] is None or worst_v["vif"] > vif_max:
-            feats.remove(worst_v["feature"])
-            out.append((rnd, worst_v["feature"], "vif", worst_v["vif"], len(feats)))
+        some = [place[f] for f in feats]
+        vifs = vif_values(whole[np.ix_(some, some)])
+        worst, high = max(zip(feats, vifs), key=lambda r: math.inf if r[1] is None else r[1])
+        if high is None or high > vif_max:
+            feats.remove(worst)
+            out.append((rnd, worst, "vif", None if high is None else round(high, 6), len(feats)))
             continue
         summ = (ols_summary(df, feats, label) if family == "gaussian"
                 else glm_binomial_summary(df, feats, label)).where("term <> 'const'").collect()
@@ -138,21 +143,28 @@ def backward_eliminate(df: DataFrame, features: Sequence[str], label: str, famil
 def rfe(df: DataFrame, features: Sequence[str], label: str, n: int, estimator: str = "linear") -> DataFrame:
     """Recursive feature elimination on standardised features: fit, drop the
     smallest |coefficient|, repeat until ``n`` remain. Rows (feature, kept, rank),
-    rank 1 for the kept ones, then by elimination order (last dropped = 2)."""
+    rank 1 for the kept ones, then by elimination order (last dropped = 2).
+
+    The linear fits are all solved from one correlation matrix, so the data is
+    read once; the logistic fits read the standardised features, stored once."""
     feats = list(features)
-    data = assemble(df, feats, "_raw")
-    data = StandardScaler(inputCol="_raw", outputCol="_std", withMean=True, withStd=True).fit(data).transform(data)
-    data = data.select(label, vector_to_array("_std").alias("_arr"))
+    if estimator == "linear":
+        moments = np.nan_to_num(corr_matrix(df, [*feats, label]))      # a constant feature has coefficient 0
+
+        def weights(active):
+            return np.linalg.lstsq(moments[np.ix_(active, active)], moments[active, -1], rcond=1e-12)[0]
+    else:
+        data = assemble(df, feats, "_raw")
+        data = StandardScaler(inputCol="_raw", outputCol="_std", withMean=True, withStd=True).fit(data).transform(data)
+        data = cut_lineage(data.select(label, vector_to_array("_std").alias("_arr")))
+
+        def weights(active):
+            sub = data.select(label, array_to_vector(F.array(*[F.col("_arr")[i] for i in active])).alias("features"))
+            return LogisticRegression(featuresCol="features", labelCol=label, maxIter=100).fit(sub).coefficients.toArray()
     order = []
     active = list(range(len(feats)))
     while len(active) > n:
-        sub = data.select(label, array_to_vector(F.array(*[F.col("_arr")[i] for i in active])).alias("features"))
-        if estimator == "linear":
-            m = LinearRegression(featuresCol="features", labelCol=label, solver="normal").fit(sub)
-        else:
-            m = LogisticRegression(featuresCol="features", labelCol=label, maxIter=100).fit(sub)
-        coefs = np.abs(np.asarray(m.coefficients.toArray()))
-        drop = active[int(np.argmin(coefs))]
+        drop = active[int(np.argmin(np.abs(weights(active))))]
         order.append(drop)
         active.remove(drop)
     ranks = {i: 1 for i in active}

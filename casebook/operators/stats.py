@@ -69,25 +69,37 @@ def vif(df: DataFrame, cols: Sequence[str], intercept: bool = True, digits: int
     rest keep theirs; a constant feature gives NULL.
     """
     cols = list(cols)
+    vals = vif_values(corr_matrix(df, cols) if intercept else moment_matrix(df, cols))
+    rows = [(c, None if v is None else round(v, digits)) for c, v in zip(cols, vals)]
+    return df.sparkSession.createDataFrame(rows, "feature string, vif double").orderBy(F.col("vif").desc())
+
+
+def corr_matrix(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
+    """Correlations as a k×k array from one aggregate; NaN beside a constant column."""
+    at = {n: i for i, n in enumerate(cols)}
+    m = np.eye(len(at))
+    for r in corr_long(df, list(cols), digits=15, diagonal=False).collect() if len(at) > 1 else []:
+        m[at[r["a"]], at[r["b"]]] = np.nan if r["corr"] is None else r["corr"]
+    return m
+
+
+def moment_matrix(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
+    """Second moments scaled to a unit diagonal, from one aggregate."""
     k = len(cols)
-    spark = df.sparkSession
-    if intercept:
-        m = np.eye(k)
-        if k > 1:
-            c = corr_long(df, cols, digits=15, diagonal=False).collect()
-            idx = {n: i for i, n in enumerate(cols)}
-            for r in c:
-                m[idx[r["a"]], idx[r["b"]]] = np.nan if r["corr"] is None else r["corr"]
-    else:
-        one = df.agg(*[F.avg(F.col(a) * F.col(b)).alias(f"m{i}_{j}") for i, a in enumerate(cols)
-                       for j, b in enumerate(cols) if j >= i]).collect()[0]
-        m = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                m[i, j] = m[j, i] = one[f"m{i}_{j}"]
-        d = np.sqrt(np.diag(m))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            m = m / np.outer(d, d)
+    one = df.agg(*[F.avg(F.col(a) * F.col(b)).alias(f"m{i}_{j}") for i, a in enumerate(cols)
+                   for j, b in enumerate(cols) if j >= i]).collect()[0]
+    m = np.zeros((k, k))
+    for i in range(k):
+        for j in range(i, k):
+            m[i, j] = m[j, i] = one[f"m{i}_{j}"]
+    d = np.sqrt(np.diag(m))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return m / np.outer(d, d)
+
+
+def vif_values(m: np.ndarray) -> list[float | None]:
+    """VIF of every feature of a correlation or scaled moment matrix."""
+    k = len(m)
     flat = [j for j in range(k) if np.isnan(np.delete(m[j], j)).all() and k > 1]
     rest = [j for j in range(k) if j not in flat]
     vals: list[float | None] = [None] * k
@@ -96,5 +108,5 @@ def vif(df: DataFrame, cols: Sequence[str], intercept: bool = True, digits: int
         left = 1.0
         if others:
             left = m[j, j] - m[j, others] @ np.linalg.lstsq(m[np.ix_(others, others)], m[others, j], rcond=1e-12)[0]
-        vals[j] = float("inf") if left <= 1e-12 else float(round(1.0 / left, digits))
-    return spark.createDataFrame(list(zip(cols, vals)), "feature string, vif double").orderBy(F.col("vif").desc())
+        vals[j] = float("inf") if left <= 1e-12 else float(1.0 / left)
+    return vals

@@ -1,4 +1,5 @@
-"""2.16 model fits (rows-only checks: iterative, seeded, not SQL-expressible).
+"""2.16 model fits. Least squares and two-column PCA have SQL (projections, closed forms); the iterative and
+seeded fits are checked by rows only.
 
 Stand-ins: regression on lineitem ⋈ part (target l_extendedprice), classification
 on labels ⋈ documents (target quality, features derived from the whole text),
@@ -18,6 +19,7 @@ from casebook.operators import models as M
 from casebook.operators.features import one_hot
 from casebook.operators.splits import split_hash
 from casebook.plans.registry import query
+from casebook.plans.sqlfn import rnd
 from casebook.plans.strings_q import KEYWORDS
 from casebook.plans.tables import t
 
@@ -131,18 +133,89 @@ def _car_fit(spark, d):
     return M.fit_linear(train, CAR_FEATURES, "l_extendedprice"), test
 
 
-@query("ml_predict_linear")
+def _least_squares_sql() -> str:
+    """CTEs down to ``fit``: every row with the residual of its target under the least-squares fit on the training rows.
+
+    One feature after the other (the constant first) is projected out of the later ones and the target, with
+    weights from training rows only; what is left of the target is the residual."""
+    cols = ["1.0", *[f"CAST(({c}) AS DOUBLE)" for c in [
+        "l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice",
+        *[f"CASE WHEN p_type = '{v}' THEN 1 ELSE 0 END" for v in ("LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")]]]]
+    n = len(cols)
+    key = "l_orderkey || '|' || l_linenumber || '|' || p_retailprice || '|' || l_quantity"
+    ctes = [f"""s0 AS MATERIALIZED (SELECT l_orderkey, l_linenumber, l_extendedprice, l_extendedprice AS y,
+  {", ".join(f"{c} AS x{i}" for i, c in enumerate(cols))},
+  ('0x' || substr(md5({key}), 1, 8))::BIGINT % 100 < 30 AS held FROM lineitem JOIN part ON l_partkey = p_partkey)"""]
+    for j in range(n):
+        later = ["y", *[f"x{i}" for i in range(j + 1, n)]]
+        ctes.append(f"""c{j} AS MATERIALIZED (SELECT {", ".join(f"coalesce(sum({v} * x{j}) / nullif(sum(x{j} * x{j}), 0), 0) AS w_{v}" for v in later)}
+  FROM s{j} WHERE NOT held)""")
+        ctes.append(f"""{f"s{j + 1}" if j + 1 < n else "fit"} AS MATERIALIZED (SELECT l_orderkey, l_linenumber, l_extendedprice, held,
+  {", ".join(f"{v} - w_{v} * x{j} AS {v}" for v in later)} FROM s{j}, c{j})""")
+    return ",\n".join(ctes)
+
+
+@query("ml_predict_linear", f"""WITH {_least_squares_sql()}
+SELECT l_orderkey, l_linenumber, l_extendedprice, {rnd("l_extendedprice - y", 2)} AS prediction FROM fit WHERE held""")
 def ml_predict_linear(spark, d):
     model, test = _car_fit(spark, d)
     return model.transform(test).select("l_orderkey", "l_linenumber", "l_extendedprice",
-                                        F.round("prediction", 4).alias("prediction"))
+                                        F.round("prediction", 2).alias("prediction"))
 
 
-@query("ml_residuals")
+@query("ml_residuals", f"""WITH {_least_squares_sql()},
+m AS (SELECT min(y) AS lo, max(y) AS hi, (max(y) - min(y)) / 20.0 AS w FROM fit WHERE held),
+b AS (SELECT CASE WHEN y = hi THEN 20 ELSE CAST(floor((y - lo) / w) AS INTEGER) + 1 END AS bin, count(*) AS n FROM fit, m WHERE held GROUP BY ALL)
+SELECT CAST(i AS INTEGER) AS bin, {rnd("lo + (i - 1) * w", 2)} AS bin_lo, {rnd("lo + i * w", 2)} AS bin_hi, coalesce(n, 0) AS n
+FROM range(1, 21) r(i) CROSS JOIN m LEFT JOIN b ON b.bin = i""")
 def ml_residuals(spark, d):
     model, test = _car_fit(spark, d)
     res = model.transform(test).select((F.col("l_extendedprice") - F.col("prediction")).alias("residual"))
-    return A.histogram(res, "residual", n_bins=20)
+    return A.histogram(res, "residual", n_bins=20).select("bin", F.round("bin_lo", 2).alias("bin_lo"), F.round("bin_hi", 2).alias("bin_hi"), "n")
+
+
+@query("ml_ols_table", f"""
+WITH d AS (SELECT l_extendedprice AS y, l_quantity AS x1, p_retailprice AS x2 FROM lineitem JOIN part ON l_partkey = p_partkey),
+s AS (SELECT count(*) AS n, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) AS a, var_pop(x2) AS b, covar_pop(x1, x2) AS c,
+             covar_pop(x1, y) AS p, covar_pop(x2, y) AS q, var_pop(y) AS v FROM d),
+f AS (SELECT *, (b * p - c * q) / (a * b - c * c) AS b1, (a * q - c * p) / (a * b - c * c) AS b2 FROM s),
+e AS (SELECT *, my - b1 * m1 - b2 * m2 AS b0, 1 - (v - b1 * p - b2 * q) / v AS r2, (v - b1 * p - b2 * q) / (n - 3) AS u FROM f),
+r AS (SELECT 'l_quantity' AS term, b1 AS coef, sqrt(u * b / (a * b - c * c)) AS se, r2, n FROM e
+      UNION ALL SELECT 'p_retailprice', b2, sqrt(u * a / (a * b - c * c)), r2, n FROM e
+      UNION ALL SELECT 'const', b0, sqrt(u * (1 + (m1 * m1 * b - 2 * m1 * m2 * c + m2 * m2 * a) / (a * b - c * c))), r2, n FROM e)
+SELECT term, {rnd("coef", 4)} AS coef, {rnd("se", 4)} AS std_err, {rnd("coef / se", 4)} AS t,
+       {rnd("r2", 6)} AS r2, {rnd("1 - (1 - r2) * (n - 1) / (n - 3)", 6)} AS adj_r2 FROM r""")
+def ml_ols_table(spark, d):
+    out = M.ols_summary(cars(spark, d), ["l_quantity", "p_retailprice"], "l_extendedprice", digits=9)
+    return out.select("term", *[F.round(c, 4).alias(c) for c in ("coef", "std_err", "t")],
+                      *[F.round(c, 6).alias(c) for c in ("r2", "adj_r2")])
+
+
+def _two_columns(spark, d):
+    li = t(spark, d, "lineitem")
+    return li.select(array_to_vector(F.array(F.col("l_quantity"), F.col("l_extendedprice") / 1000)).alias("vec"))
+
+
+_EIGEN = """s AS (SELECT var_pop(l_quantity) AS a, covar_pop(l_quantity, l_extendedprice / 1000) AS b,
+             var_pop(l_extendedprice / 1000) AS c FROM lineitem),
+e AS (SELECT *, (a + c) / 2 + sqrt(((a - c) / 2) ^ 2 + b * b) AS l1 FROM s)"""
+
+
+@query("ml_pca_scree_two_columns", f"""WITH {_EIGEN}
+SELECT CAST(1 AS INTEGER) AS component, {rnd("l1 / (a + c)", 6)} AS explained_ratio, {rnd("l1 / (a + c)", 6)} AS cumulative FROM e
+UNION ALL SELECT 2, {rnd("1 - l1 / (a + c)", 6)}, 1.0 FROM e""")
+def ml_pca_scree_two_columns(spark, d):
+    return M.pca_scree(spark, M.pca_fit(_two_columns(spark, d), "vec", 2)[0])
+
+
+@query("ml_pca_loadings_two_columns", f"""WITH {_EIGEN},
+u AS (SELECT b / sqrt(b * b + (l1 - a) ^ 2) AS x, (l1 - a) / sqrt(b * b + (l1 - a) ^ 2) AS y FROM e),
+g AS (SELECT CASE WHEN abs(x) >= abs(y) THEN sign(x) ELSE sign(y) END AS f, CASE WHEN abs(x) > abs(y) THEN sign(x) ELSE -sign(y) END AS h, x, y FROM u)
+SELECT 'quantity' AS feature, {rnd("f * x", 6)} AS pc1, {rnd("h * -y", 6)} AS pc2 FROM g
+UNION ALL SELECT 'price', {rnd("f * y", 6)}, {rnd("h * x", 6)} FROM g""")
+def ml_pca_loadings_two_columns(spark, d):
+    model, _ = M.pca_fit(_two_columns(spark, d), "vec", 2)
+    return M.pca_loadings(spark, model, ["quantity", "price"], n_pc=2)
 
 
 @query("ml_linear_svm")
