@@ -21,6 +21,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from casebook.session import cut_lineage
+
+BROADCAST_ROWS = 200_000    # item pairs that every task may hold
+
 
 def min_count_filter(ratings: DataFrame, item_min: int, user_min: int, user: str = "usr",
                      item: str = "item") -> DataFrame:
@@ -97,9 +101,18 @@ def item_similarity(ratings: DataFrame, items: Sequence | None = None, user: str
 def predict_item_based(ratings: DataFrame, sim: DataFrame, user: str = "usr", item: str = "item",
                        value: str = "rating") -> DataFrame:
     """score(u, i) = Σ_j rating(u, j) · sim(j, i) over the items u rated; a pair
-    without a row in ``sim`` adds nothing."""
-    j = ratings.join(sim.withColumnRenamed("a", item), item)
-    return j.groupBy(user, F.col("b").alias(item)).agg(F.sum(F.col(value) * F.col("sim")).alias("score"))
+    without a row in ``sim`` adds nothing.
+
+    ``sim`` is stored and counted: up to ``BROADCAST_ROWS`` rows are sent to every
+    task, so that the scores of a user are summed where that user's ratings are;
+    a larger table is joined by item."""
+    cells = ratings.groupBy(user, item).agg(F.sum(value).alias("_v"))
+    sim = cut_lineage(sim.withColumnRenamed("a", item))
+    if sim.count() <= BROADCAST_ROWS:
+        j = cells.repartition(user).join(F.broadcast(sim), item)
+    else:
+        j = cells.join(sim, item)
+    return j.groupBy(user, F.col("b").alias(item)).agg(F.sum(F.col("_v") * F.col("sim")).alias("score"))
 
 
 # ---------------------------------------------------------------- user × user

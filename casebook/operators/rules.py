@@ -2,8 +2,7 @@
 
 A rule is a ``Column`` that is TRUE when the row BREAKS it. A NULL rule result
 counts as broken, so ``clean`` and ``rejected`` are disjoint and together hold
-every input row (unlike the surveyed script, whose two predicates were written
-separately and left rows in neither table).
+every input row.
 """
 
 from __future__ import annotations

@@ -154,6 +154,15 @@ def test_item_similarity_reads_items_from_the_data(spark):
     assert ("new", "new") not in twice
 
 
+def test_item_scores_beyond_the_broadcast_bound(spark, monkeypatch):
+    df = spark.createDataFrame(RATINGS4, "usr long, item string, rating double")
+    sim = RC.item_similarity(df)
+    score = lambda: {(r["usr"], r["item"]): r["score"] for r in RC.predict_item_based(df, sim).collect()}
+    sent = score()
+    monkeypatch.setattr(RC, "BROADCAST_ROWS", 0)
+    assert score() == pytest.approx(sent)
+
+
 def test_targeted_scoring_equals_full_restricted(spark):
     df = spark.createDataFrame(RATINGS4, "usr long, item string, rating double")
     targets = spark.createDataFrame([(1,), (3,)], "usr long")
