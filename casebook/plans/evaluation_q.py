@@ -79,6 +79,26 @@ def stat_vif(spark, d):
     return ST.vif(t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], intercept=True)
 
 
+def _vif_three_sql(form: str, r12: str, r13: str, r23: str) -> str:
+    det = "(1 + 2 * p * q * r - p * p - q * q - r * r)"
+    rows = ", ".join(f"('{f}', (1 - {c} * {c}) / {det})" for f, c in (("l_quantity", "r"), ("l_extendedprice", "q"), ("l_tax", "p")))
+    return f"""SELECT '{form}' AS form, feature, {rnd("vif", 6)} AS vif
+FROM (SELECT {r12} AS p, {r13} AS q, {r23} AS r FROM lineitem) s, LATERAL (VALUES {rows}) v(feature, vif)"""
+
+
+_COS = "sum({a} * {b}) / sqrt(sum({a} * {a}) * sum({b} * {b}))"
+_THREE = [("l_quantity", "l_extendedprice"), ("l_quantity", "l_tax"), ("l_extendedprice", "l_tax")]
+
+
+@query("stat_vif_three_features", f"""{_vif_three_sql("centred", *[f"corr({a}, {b})" for a, b in _THREE])}
+UNION ALL {_vif_three_sql("uncentred", *[_COS.format(a=a, b=b) for a, b in _THREE])}""")
+def stat_vif_three_features(spark, d):
+    """Three features, with an intercept (centred) and without."""
+    li, cols = t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"]
+    form = lambda name, centred: ST.vif(li, cols, intercept=centred).select(F.lit(name).alias("form"), "feature", "vif")
+    return form("centred", True).unionByName(form("uncentred", False))
+
+
 _HASH = "('0x' || substr(md5(CAST({k} AS VARCHAR)), 1, 8))::BIGINT % 100"
 
 

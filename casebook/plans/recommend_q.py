@@ -40,9 +40,9 @@ def _targets(spark):
     return spark.createDataFrame([(u,) for u in TARGETS], "usr long")
 
 
-def _pairs_sql(value: str) -> str:
-    return f"""{RATINGS_SQL},
-c AS (SELECT usr, item, {value} AS v FROM ratings),
+def _pairs_sql(value: str, src: str = "ratings", more: str = "") -> str:
+    return f"""{RATINGS_SQL}{more},
+c AS (SELECT usr, item, {value} AS v FROM {src}),
 nrm AS (SELECT usr, sqrt(sum(v * v)) AS nv FROM c GROUP BY usr),
 dots AS (SELECT x.usr AS a, y.usr AS b, sum(x.v * y.v) AS dot, count(*) AS overlap
          FROM c x JOIN c y ON x.item = y.item WHERE x.usr {_IN} GROUP BY x.usr, y.usr),
@@ -158,18 +158,26 @@ def reco_topn(spark, d):
 _SPLIT = "('0x' || substr(md5(CAST(usr AS VARCHAR) || '|' || item), 1, 8))::BIGINT % 100"
 
 
-@query("reco_scaled_rmse", f"""WITH {RATINGS_SQL},
-train AS (SELECT * FROM ratings WHERE {_SPLIT} >= 30), test AS (SELECT * FROM ratings WHERE {_SPLIT} < 30),
-{_item_sim_sql("zero_filled", True, "train")},
-pred AS (SELECT usr, isim.b AS item, sum(rating * sim) AS score FROM train JOIN isim ON train.item = isim.a GROUP BY ALL),
-pairs AS (SELECT pred.usr, pred.item, score, test.rating FROM pred JOIN test USING (usr, item) WHERE score > 0),
+_FOLDS = f"train AS (SELECT * FROM ratings WHERE {_SPLIT} >= 30), test AS (SELECT * FROM ratings WHERE {_SPLIT} < 30)"
+_RMSE_SQL = f"""pairs AS (SELECT pred.usr, pred.item, score, test.rating FROM pred JOIN test USING (usr, item) WHERE score > 0),
 mm AS (SELECT item, min(score) AS mn, max(score) AS mx FROM pairs GROUP BY item),
 sc AS (SELECT rating, CASE WHEN mx = mn THEN 1.0 ELSE (score - mn) / (mx - mn) * 4.0 + 1.0 END AS s FROM pairs JOIN mm USING (item))
-SELECT {rnd("sqrt(avg((rating - s) ^ 2))", 6)} AS rmse, count(*) AS n_pairs FROM sc""")
-def reco_scaled_rmse(spark, d):
+SELECT {rnd("sqrt(avg((rating - s) ^ 2))", 6)} AS rmse, count(*) AS n_pairs FROM sc"""
+
+
+def _folds(spark, d):
     r = shared_ratings(spark, d)
     h = hash_pct(F.concat(F.col("usr").cast("string"), F.lit("|"), F.col("item")))
-    train, test = r.where(h >= 30), r.where(h < 30)
+    return r.where(h >= 30), r.where(h < 30)
+
+
+@query("reco_scaled_rmse", f"""WITH {RATINGS_SQL},
+{_FOLDS},
+{_item_sim_sql("zero_filled", True, "train")},
+pred AS (SELECT usr, isim.b AS item, sum(rating * sim) AS score FROM train JOIN isim ON train.item = isim.a GROUP BY ALL),
+{_RMSE_SQL}""")
+def reco_scaled_rmse(spark, d):
+    train, test = _folds(spark, d)
     pred = _item_pred(spark, d, train)          # similarity from train (not from test)
     return RC.scaled_rmse(pred, test, 1.0, 5.0)
 
@@ -185,3 +193,51 @@ def reco_profile_similarity(spark, d):
     x = ten.select(F.col("usr").alias("a"), "rank", F.col("score").alias("sa"))
     y = ten.select(F.col("usr").alias("b"), "rank", F.col("score").alias("sb"))
     return x.join(y, "rank").where("a < b").groupBy("a", "b").agg(F.round(safe_corr("sa", "sb"), 6).alias("top10_corr"))
+
+
+@query("reco_scaled_rmse_user_based", f"""WITH {_pairs_sql(_CENTRED, "train", ", " + _FOLDS)},
+pred AS (SELECT a AS usr, item, sum(greatest(sim, 0.0) * rating) AS score FROM sims JOIN train ON train.usr = b GROUP BY ALL),
+{_RMSE_SQL}""")
+def reco_scaled_rmse_user_based(spark, d):
+    """The user-based model on the test ratings of the listed users."""
+    train, test = _folds(spark, d)
+    sims = RC.user_similarity(RC.centre(train, "usr", "rating", "v"), _targets(spark), value="v", clip=True)
+    return RC.scaled_rmse(RC.predict_user_based(sims, train), test, 1.0, 5.0)
+
+
+#: items that are compared with each other
+ITEMS = tuple(f"Brand#{i}" for i in range(1, 11))
+
+
+@query("reco_item_profile_similarity", f"""WITH {_ITEM_PRED_SQL},
+top AS (SELECT item, round(score, 6) AS s, row_number() OVER (PARTITION BY item ORDER BY round(score, 6) DESC, usr) AS rk FROM ipred
+        WHERE item IN {ITEMS}),
+ten AS (SELECT * FROM top WHERE rk <= 10)
+SELECT x.item AS a, y.item AS b, {rnd("corr(x.s, y.s)", 6)} AS top10_corr FROM ten x JOIN ten y ON x.rk = y.rk AND x.item < y.item
+GROUP BY x.item, y.item""")
+def reco_item_profile_similarity(spark, d):
+    """The listed items among each other, by their ten best scores."""
+    scores = _item_pred(spark, d).where(F.col("item").isin(*ITEMS)).withColumn("score", F.round("score", 6))
+    ten = cut_lineage(RC.topn(scores, 10, user="item", item="usr"))
+    x = ten.select(F.col("item").alias("a"), "rank", F.col("score").alias("sa"))
+    y = ten.select(F.col("item").alias("b"), "rank", F.col("score").alias("sb"))
+    return x.join(y, "rank").where("a < b").groupBy("a", "b").agg(F.round(safe_corr("sa", "sb"), 6).alias("top10_corr"))
+
+
+@query("reco_recommend_targets", f"""WITH {_USER_PRED_SQL}, {_item_sim_sql("zero_filled", True)},
+ipred AS (SELECT usr, isim.b AS item, sum(rating * sim) AS score FROM ratings JOIN isim ON ratings.item = isim.a WHERE usr {_IN} GROUP BY ALL),
+p AS (SELECT 'user' AS model, * FROM upred UNION ALL SELECT 'item', * FROM ipred),
+un AS (SELECT model, usr, item, {rnd("score", 6)} AS score FROM p
+       WHERE NOT EXISTS (SELECT 1 FROM ratings r WHERE r.usr = p.usr AND r.item = p.item)),
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY model, usr ORDER BY score DESC, item) AS INTEGER) AS rank FROM un)
+SELECT * FROM rk WHERE rank <= 5""")
+def reco_recommend_targets(spark, d):
+    """The five best unseen items of each listed user, by both models."""
+    r = shared_ratings(spark, d)
+    mine = r.join(_targets(spark), "usr", "left_semi")
+    sims = RC.user_similarity(RC.centre(r, "usr", "rating", "v"), _targets(spark), value="v", clip=True)
+    by_user = RC.predict_user_based(sims, r)
+    by_item = RC.predict_item_based(mine, RC.item_similarity(r, center="zero_filled", clip=True))
+    best = lambda s, m: RC.topn(RC.mask_seen(s, mine).withColumn("score", F.round("score", 6)), 5) \
+        .select(F.lit(m).alias("model"), "usr", "item", "score", "rank")
+    return best(by_user, "user").unionByName(best(by_item, "item"))
