@@ -234,6 +234,29 @@ def grid_search(train: DataFrame, features: Sequence[str], label: str, reg_param
     return train.sparkSession.createDataFrame(rows, "reg_param double, elastic_net double, mean_auc double, best boolean")
 
 
+def grid_search_models(train: DataFrame, features: Sequence[str], label: str, svm_reg: Sequence[float],
+                       depths: Sequence[int], trees: Sequence[int], folds: int = 3, seed: int = 11,
+                       parallelism: int = 2) -> DataFrame:
+    """k-fold grid search of a scaled linear SVM and of a random forest; one row per
+    setting with the mean AUC, ``best`` marks the winner of each model."""
+    scaled = [VectorAssembler(inputCols=list(features), outputCol="raw"),
+              StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)]
+    svm = LinearSVC(featuresCol="features", labelCol=label, maxIter=50)
+    forest = RandomForestClassifier(featuresCol="features", labelCol=label, seed=seed)
+    searches = [("svm", svm, ParamGridBuilder().addGrid(svm.regParam, list(svm_reg))),
+                ("forest", forest, ParamGridBuilder().addGrid(forest.maxDepth, list(depths)).addGrid(forest.numTrees, list(trees)))]
+    rows = []
+    for name, model, grid in searches:
+        maps = grid.build()
+        cv = CrossValidator(estimator=Pipeline(stages=[*scaled, model]), estimatorParamMaps=maps, numFolds=folds, seed=seed,
+                            parallelism=parallelism, evaluator=BinaryClassificationEvaluator(labelCol=label)).fit(train)
+        best = int(np.argmax(cv.avgMetrics))
+        for i, (params, score) in enumerate(zip(maps, cv.avgMetrics)):
+            setting = ", ".join(f"{p.name}={v}" for p, v in sorted(params.items(), key=lambda x: x[0].name))
+            rows.append((name, setting, round(float(score), 6), i == best))
+    return train.sparkSession.createDataFrame(rows, "model string, setting string, mean_auc double, best boolean")
+
+
 def decision_tree_rules(train: DataFrame, features: Sequence[str], label: str, depth: int = 3) -> DataFrame:
     data = assemble(train, features)
     m = DecisionTreeClassifier(featuresCol="features", labelCol=label, maxDepth=depth, seed=5).fit(data)

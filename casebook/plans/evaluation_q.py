@@ -79,6 +79,15 @@ def stat_vif(spark, d):
     return ST.vif(t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], intercept=True)
 
 
+@query("stat_without_negative_features", """
+SELECT l_orderkey, l_linenumber, l_extendedprice, l_extendedprice * (1 - l_discount) AS net FROM lineitem""")
+def stat_without_negative_features(spark, d):
+    """The table without the features that fall as the price rises (the sign of both is certain by construction)."""
+    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    li = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", net.alias("net"), (-net).alias("rebate"))
+    return ST.drop_negative_corr(li, ["net", "rebate"], "l_extendedprice")[0]
+
+
 def _vif_three_sql(form: str, r12: str, r13: str, r23: str) -> str:
     det = "(1 + 2 * p * q * r - p * p - q * q - r * r)"
     rows = ", ".join(f"('{f}', (1 - {c} * {c}) / {det})" for f, c in (("l_quantity", "r"), ("l_extendedprice", "q"), ("l_tax", "p")))

@@ -248,6 +248,11 @@ def ml_grid_search(spark, d):
     return M.grid_search(docs(spark, d), DOC_FEATURES, "label", [0.0, 0.01, 0.1], [0.0, 0.5], folds=3)
 
 
+@query("ml_grid_search_models")
+def ml_grid_search_models(spark, d):
+    return M.grid_search_models(docs(spark, d), DOC_FEATURES, "label", [0.001, 0.01, 0.1], [3, 5], [10, 20])
+
+
 @query("ml_decision_tree")
 def ml_decision_tree(spark, d):
     return M.decision_tree_rules(docs(spark, d), DOC_FEATURES, "label", depth=3)

@@ -117,6 +117,12 @@ def dq_constant_columns(spark, d):
     return Q.constant_columns(o)
 
 
+@query("dq_drop_constant_columns", "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders")
+def dq_drop_constant_columns(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.lit("tpch").alias("source"))
+    return Q.drop_constant(o)[0]
+
+
 @query("dq_all_null_rows", f"""
 WITH {LINES_NULLS_SQL} SELECT {cnt_if("line_no IS NULL AND sparse_tax IS NULL")} AS n_all_null FROM x""")
 def dq_all_null_rows(spark, d):
