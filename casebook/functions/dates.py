@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from casebook.functions.compat import col_
 
-# The season map used by the surveyed parking analysis, in which
+# A season map in which
 # summer is June-July and August falls through to fall.
 SEASON_REFERENCE = {
     "spring": (3, 4, 5),
@@ -82,7 +82,7 @@ def parse_hhmm_ap(c, strict: bool = True) -> Column:
     """``'hhmmA'`` / ``'hhmmP'`` → struct(hour INT, minute INT) on a 24-hour clock.
 
     12A → 0, 12P → 12. With ``strict`` an hour outside 1..12 or a minute outside
-    0..59 gives NULL; ``strict=False`` reproduces the surveyed UDF, which maps any
+    0..59 gives NULL; ``strict=False`` is the loose rule, which maps any
     hour >= 12 to 0 before adding 12 for P.
     """
     s = col_(c)

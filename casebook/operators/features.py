@@ -115,7 +115,7 @@ FOLD_RULES = {"max": F.greatest, "sum": lambda *cs: period_sum(cs),
 def fold_periods(df: DataFrame, families: Mapping[str, str], periods: Sequence[str], into: str) -> DataFrame:
     """Fold ``family_<period>`` columns into ``family_<into>`` by rule
     (max / sum / mean / last) and drop the period columns. Every listed period is
-    used (the surveyed code repeated one month by mistake)."""
+    used."""
     out = df
     for fam, rule in families.items():
         cols = [F.col(f"{fam}_{p}") for p in periods]

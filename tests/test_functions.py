@@ -58,7 +58,7 @@ def test_hhmm_ampm_strict_and_copy(spark):
     strict = [None if r[0] is None else (r[0].hour, r[0].minute) for r in df.select(parse_hhmm_ap("t")).collect()]
     assert strict == [(9, 30), (12, 5), (0, 0), None, None, None, None]
     loose = [None if r[0] is None else r[0].hour for r in df.select(parse_hhmm_ap("t", strict=False)).collect()]
-    assert loose[3] == 12          # the surveyed UDF maps 87 P to 12
+    assert loose[3] == 12          # the loose rule maps 87 P to 12
 
 
 def test_month_year_century_rule(spark):
