@@ -1,10 +1,17 @@
-"""Substring deduplication by hashing lines and the sentences in them.
+"""Substring deduplication by hashing lines, the sentences in them and pieces of words without end.
 
-A unit is a run up to a sentence end or line end (``[^.!?\\n]+[.!?\\n]*``); all units of a text joined give the text.
-Units are compared lower-cased with white space collapsed. A unit of under ``min_words`` words says little alone, so
-it is compared together with the units before it on its line, then those after it, until that many words are there;
-on a shorter line it is never removed. Equal 128-bit digests are one group; its first occurrence by (document,
-position) stays, the others go, and what goes is reported by its offsets (code points) in the original text.
+A unit is a run up to a sentence end or line end (``[^.!?\\n]+[.!?\\n]*``, with the marks of other scripts); all
+units of a text joined give the text. Units are compared lower-cased with white space collapsed. A unit of under
+``min_words`` words says little alone, so it is compared together with the units before it on its line, then those
+after it, until that many words are there. A line of fewer words is one unit and takes its context from the lines
+before it, then those after it; only a text of under ``min_words`` words is never touched.
+
+A word of over ``LONG`` letters is a unit of its own. It is cut at letters that have the least hash among ``WINDOW``
+words' worth of neighbours, none within ``EDGE`` words' worth of its ends; a piece is compared as part of the letters of
+``RUN`` words up to its end. ``LETTERS`` letters of such a word, or of scripts without spaces, count as a word.
+
+Equal 128-bit digests are one group; its first occurrence by (document, position) stays, the others go, and what goes
+is reported by its offsets (code points) in the original text.
 
 Finding the groups moves digests and positions only. Counts combine before the shuffle and only units that have an
 earlier equal are joined back, so a line that every document holds is one aggregated row beside a join that adaptive
@@ -23,38 +30,127 @@ from pyspark.sql import functions as F
 
 from casebook.llm.common import keyed
 
-UNIT = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
+_END = ".!?\n。！？｡।؟"
+UNIT = re.compile(f"[^{_END}]+[{_END}]*|[{_END}]+")
 MIN_WORDS = 5
+EDGE, WINDOW, RUN = 6, 7, 25
+LETTERS, LONG = 4, 40
+_SPACELESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(r"\S+")
+_LONG_WORD = re.compile(rf"\S{{{LONG + 1},}}")
+_BY_LETTERS = re.compile(rf"\S{{{LONG + 1},}}|[{_SPACELESS}]")
+
+
+def winnowed(h: list[int], edge: int, window: int) -> list[int]:
+    """Positions that hold the least value (the last such) of some ``window`` neighbours, ``edge`` or more from the ends."""
+    out, best, last = [], 0, len(h) - edge - 1
+    for j in range(1, len(h)):
+        if h[j] <= h[best]:
+            best = j
+        elif best <= j - window:
+            best = j - window + 1
+            for i in range(best + 1, j + 1):
+                if h[i] <= h[best]:
+                    best = i
+        if j >= window - 1 and edge <= best <= last and (not out or out[-1] != best):
+            out.append(best)
+    return out
+
+
+def _letter_hashes(word: str) -> list[int]:
+    """Of the four letters from each letter on."""
+    codes = np.frombuffer((word + "\0\0\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.zeros(len(word), np.uint64)
+    for i in range(4):
+        h = (h ^ codes[i:i + len(word)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h.tolist()
+
+
+def _size(words: list[str], by_letters: bool) -> int:
+    if not by_letters:
+        return len(words)
+    return sum(max(1, len(w) // LETTERS) if _BY_LETTERS.search(w) else 1 for w in words)
+
+
+def _pieces(text: str, start: int, end: int, by_letters: bool):
+    """(start, end, words, size, what is compared or None) of a unit, cut where it is long."""
+    own = text[start:end]
+    if by_letters and (m := _LONG_WORD.search(own)) and (m.start() or m.end() < len(own)) and (m.start() or own[m.end():].strip()):
+        # the long word is a unit of its own, with the white space after it
+        rest = m.end() + len(own[m.end():]) - len(own[m.end():].lstrip())
+        for a, b in ((0, m.start()), (m.start(), rest), (rest, len(own))):
+            if a < b:
+                yield from _pieces(text, start + a, start + b, by_letters)
+        return
+    words = own.lower().split()
+    parts, scale, at, join = words, 1, None, " "
+    if len(words) == 1 and len(words[0]) > LONG:
+        lead = len(own) - len(own.lstrip())
+        word = own.strip()
+        parts = list(word.lower()) if len(word.lower()) == len(word) else list(word)
+        scale, at, join = LETTERS, range(lead, lead + len(word)), ""
+        cuts = winnowed(_letter_hashes("".join(parts)), EDGE * scale, WINDOW * scale)
+    else:
+        cuts = []
+    if not cuts:
+        yield start, end, words, _size(words, by_letters), None
+        return
+    at = at or [m.start() for m in _WORD.finditer(own)]
+    limits, run = [0, *cuts, len(parts)], RUN * scale
+    for a, b in zip(limits, limits[1:], strict=False):
+        first = max(0, b - run)
+        what = f"{a - first}\1{b - first}\1{join.join(parts[first:max(b, first + run)])}"
+        mine = parts[a:b] if scale == 1 else ["".join(parts[a:b])]
+        yield start + (at[a] if a else 0), start + at[b] if b < len(parts) else end, mine, _size(mine, True) if by_letters else b - a, what
 
 
 def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, str]]:
     """(start, end, what is compared) of the units that can be removed."""
-    out: list[tuple[int, int, str]] = []
-    line: list[tuple[int, int, list[str]]] = []
+    every: list[tuple[int, int, list[str], int, str | None]] = []
+    lines: list[tuple[int, int, bool]] = []        # units from, to, whether the line is long enough to be compared by itself
+    by_letters = _BY_LETTERS.search(text) is not None
+    at = 0
 
     def close() -> None:
-        sizes = [len(w) for _, _, w in line]
-        if sum(sizes) >= min_words:
-            for i, (start, end, words) in enumerate(line):
-                if len(words) >= min_words:
-                    out.append((start, end, " ".join(words)))
-                    continue
-                a, b, n = i, i + 1, len(words)
-                while n < min_words:
-                    if a:
-                        a -= 1
-                        n += sizes[a]
-                    else:
-                        n += sizes[b]
-                        b += 1
-                out.append((start, end, f"{i - a}\0" + "\0".join(" ".join(w) for _, _, w in line[a:b])))
-        line.clear()
+        nonlocal at
+        full = sum(u[3] for u in every[at:]) >= min_words
+        if not full and len(every) > at:
+            words = [w for u in every[at:] for w in u[2]]
+            every[at:] = [(every[at][0], every[-1][1], words, sum(u[3] for u in every[at:]), None)]
+        lines.append((at, len(every), full))
+        at = len(every)
 
     for m in UNIT.finditer(text):
-        line.append((m.start(), m.end(), m.group().lower().split()))
-        if "\n" in m.group():
+        own = m.group()
+        if by_letters or len(own) > 4 * EDGE:
+            every.extend(_pieces(text, m.start(), m.end(), by_letters))
+        else:
+            words = own.lower().split()
+            every.append((m.start(), m.end(), words, len(words), None))
+        if "\n" in own:
             close()
     close()
+    out: list[tuple[int, int, str]] = []
+    if sum(u[3] for u in every) < min_words:
+        return out
+    for low, high, full in lines:
+        for i in range(low, high):
+            start, end, words, n, what = every[i]
+            if what is None and n >= min_words:
+                what = " ".join(words)
+            elif what is None and (full or n):
+                a, b, least, most = i, i + 1, *((low, high) if full else (0, len(every)))
+                while n < min_words:
+                    if a > least:
+                        a -= 1
+                        n += every[a][3]
+                    elif b < most:
+                        n += every[b][3]
+                        b += 1
+                what = f"{i - a}\0" + "\0".join(" ".join(u[2]) for u in every[a:b])
+            if what is not None:
+                out.append((start, end, what))
     return out
 
 

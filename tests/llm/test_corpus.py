@@ -165,6 +165,40 @@ def test_units_rebuild_the_text():
     assert "theta iota kappa lambda mu nu." in shared
 
 
+def _rest(texts):
+    """What the rule leaves of texts in order, without Spark."""
+    seen, out = set(), []
+    for t in texts:
+        rest, at = "", 0
+        for start, end, what in substring.units(t):
+            if what in seen:
+                rest, at = rest + t[at:start], end
+            seen.add(what)
+        out.append(rest + t[at:])
+    return out
+
+
+@pytest.mark.parametrize("kind", ["verse", "chinese", "chinese sentences", "thai", "japanese lines", "blob"])
+def test_substring_in_short_lines_and_without_spaces(spark, kind):
+    rng = random.Random(kind)
+    letters = lambda low, high, n: "".join(chr(rng.randint(low, high)) for _ in range(n))
+    make = {"verse": lambda: "".join(" ".join(rng.choice(VOCAB) for _ in range(rng.randint(1, 4))) + "\n" for _ in range(30)),
+            "chinese": lambda: letters(0x4E00, 0x9F00, 400),
+            "chinese sentences": lambda: "".join(letters(0x4E00, 0x9F00, rng.randint(4, 30)) + "。" for _ in range(20)),
+            "thai": lambda: letters(0x0E01, 0x0E2E, 400),
+            "japanese lines": lambda: "".join(letters(0x3041, 0x3094, rng.randint(3, 12)) + "\n" for _ in range(40)),
+            "blob": lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(600))}[kind]
+    passage, texts = make(), []
+    for i in range(4):
+        texts.append(make() + passage + make())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in substring.substring_dedup(docs).orderBy("doc_id").collect()]
+    assert got == _rest(texts) and got[0] == texts[0]
+    for t, g in zip(texts[1:], got[1:], strict=True):
+        assert len(t) - len(g) > 0.6 * len(passage) and len(g) >= len(t) - len(passage) - 40
+    assert _rest(["one two", "one two"]) == ["one two"] * 2     # under min_words
+
+
 def test_packing(spark, table, odd, empty):
     lengths = (8, 16, 64, 256)
     rows = packing.best_fit_packing(table, lengths, group=40).collect()
