@@ -1,4 +1,4 @@
-"""Substring deduplication by hashing lines, the sentences in them and pieces of words without end.
+"""Substring deduplication by hashing lines, the sentences in them and pieces of long sentences.
 
 A unit is a run up to a sentence end or line end (``[^.!?\\n]+[.!?\\n]*``, with the marks of other scripts); all
 units of a text joined give the text. Units are compared lower-cased with white space collapsed. A unit of under
@@ -6,22 +6,26 @@ units of a text joined give the text. Units are compared lower-cased with white
 after it, until that many words are there. A line of fewer words is one unit and takes its context from the lines
 before it, then those after it; only a text of under ``min_words`` words is never touched.
 
-A word of over ``LONG`` letters is a unit of its own. It is cut at letters that have the least hash among ``WINDOW``
-words' worth of neighbours, none within ``EDGE`` words' worth of its ends; a piece is compared as part of the letters of
-``RUN`` words up to its end. ``LETTERS`` letters of such a word, or of scripts without spaces, count as a word.
+A longer unit is cut at words that have the least hash among ``WINDOW`` neighbours, none within ``EDGE`` words of its
+ends, so the cuts inside a repeated run do not depend on where the sentence around it starts or ends. A piece is
+compared as part of the ``RUN`` words up to its end (from the start of the unit if there are fewer), so what goes is a
+whole unit or part of a repeated run of ``RUN`` words: every verbatim run of over 50 words loses a piece at least. A
+word of over ``LONG`` letters is a unit of its own, cut alike at letters, and ``LETTERS`` letters of it, or of scripts
+without spaces, count as a word.
 
 Equal 128-bit digests are one group; its first occurrence by (document, position) stays, the others go, and what goes
 is reported by its offsets (code points) in the original text.
 
-Finding the groups moves digests and positions only. Counts combine before the shuffle and only units that have an
-earlier equal are joined back, so a line that every document holds is one aggregated row beside a join that adaptive
-execution may split.
+Finding the groups moves digests and positions only, and only once: equal digests of a run of documents are one row
+with their places before the shuffle, and the least places and the join that brings them back read the same shuffle.
+So a line that every document holds is one row a run of documents.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +95,8 @@ def _pieces(text: str, start: int, end: int, by_letters: bool):
         parts = list(word.lower()) if len(word.lower()) == len(word) else list(word)
         scale, at, join = LETTERS, range(lead, lead + len(word)), ""
         cuts = winnowed(_letter_hashes("".join(parts)), EDGE * scale, WINDOW * scale)
+    elif len(words) > 2 * EDGE:
+        cuts = winnowed([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], EDGE, WINDOW)
     else:
         cuts = []
     if not cuts:
@@ -165,10 +171,15 @@ def _unit_rows(min_words: int):
                 h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 own = np.concatenate(at) if at else np.zeros(0, np.int64)
                 lim = np.array(limits, np.int64).reshape(-1, 2)
+                rows = batch.column(0).take(pa.array(own)).to_numpy(zero_copy_only=False)
+                order = np.lexsort((lim[:, 0], rows, h[:, 1], h[:, 0]))
+                h, own, lim = h[order], own[order], lim[order]
+                new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]).any(axis=1))) if len(h) else np.zeros(0, np.int64)
                 take = pa.array(own)
-                got = pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(lim[:, 0].copy()),
-                                                  pa.array(lim[:, 1].copy()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())],
-                                                 names=["_row", "doc_id", "start", "end", "h1", "h2"])
+                places = pa.StructArray.from_arrays([batch.column(0).take(take), pa.array(lim[:, 0].copy()), pa.array(lim[:, 1].copy()),
+                                                     batch.column(1).take(take)], ["_row", "start", "end", "doc_id"])
+                got = pa.RecordBatch.from_arrays([pa.array(h[new, 0]), pa.array(h[new, 1]),
+                                                  pa.ListArray.from_arrays(pa.array(np.append(new, len(h)), pa.int32()), places)], names=["h1", "h2", "places"])
                 at.clear(), digests.clear(), limits.clear()
                 return got
 
@@ -184,13 +195,18 @@ def _unit_rows(min_words: int):
     return run
 
 
+_PLACES = "array<struct<_row:bigint,start:bigint,end:bigint,doc_id:bigint>>"
+
+
 def removals(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``_row, removed``: per row that loses something the sorted array of (start, end, keep_id, keep_start)."""
     found = rows.select("_row", "doc_id", "text").mapInArrow(
-        _unit_rows(min_words), "_row long, doc_id long, start long, end long, h1 long, h2 long")
-    first = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("_row", "start", "doc_id")).alias("first"))
+        _unit_rows(min_words), f"h1 long, h2 long, places {_PLACES}")
+    # the conditions that the join and inline would put below one of the two readers of the shuffle only
+    found = found.filter("h1 IS NOT NULL AND h2 IS NOT NULL AND size(places) > 0 AND places IS NOT NULL").repartition("h1", "h2")
+    first = found.groupBy("h1", "h2").agg(F.sum(F.size("places")).alias("n"), F.min(F.col("places")[0]).alias("first"))
     first = first.filter("n > 1").drop("n")
-    again = found.join(first, ["h1", "h2"]).filter(
+    again = found.join(first.hint("merge"), ["h1", "h2"]).select("first", F.inline("places")).filter(
         (F.col("first._row") != F.col("_row")) | (F.col("first.start") != F.col("start")))
     return again.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(
         "start", "end", F.col("first.doc_id").alias("keep_id"), F.col("first.start").alias("keep_start")))).alias("removed"))

@@ -199,6 +199,38 @@ def test_substring_in_short_lines_and_without_spaces(spark, kind):
     assert _rest(["one two", "one two"]) == ["one two"] * 2     # under min_words
 
 
+def test_no_run_of_over_fifty_words_is_left():
+    """Against all windows of 51 words, whatever the sentences and lines around a run are."""
+    rng = random.Random(21)
+    words = [a + b + c for a in VOCAB for b in VOCAB for c in ("", "s")]
+    seps = {"none": [" "], "commas": [" "] * 9 + [", "], "sentences": [" "] * 12 + [". "], "mixed": [" "] * 8 + [". ", "\n", ", "]}
+    make = lambda n, sep: "".join(rng.choice(words) + rng.choice(sep) for _ in range(n))
+    shared = 0
+    for sep in seps.values():
+        texts, runs = [], [make(rng.choice([51, 52, 60, 76, 200]), sep) for _ in range(40)]
+        for _ in range(150):
+            texts.append("".join(make(rng.randint(0, 40), sep) + rng.choice(runs) for _ in range(3)) + make(5, sep))
+        texts.append("la " * 300)
+        texts.append("so la " + "la " * 200)
+        seen = set()
+        for t, rest in zip(texts, _rest(texts), strict=True):
+            windows = lambda x: {tuple(w[i:i + 51]) for w in [x.lower().split()] for i in range(len(w) - 50)}
+            shared += bool(windows(t) & seen)
+            assert not windows(rest) & seen
+            seen |= windows(t)
+    assert shared > 400
+
+
+def test_a_cut_takes_nothing_but_long_runs():
+    """A phrase that long sentences share stays; equal sentences go whole."""
+    rng = random.Random(22)
+    make = lambda n: " ".join(rng.choice(VOCAB) + rng.choice(VOCAB) for _ in range(n))
+    phrase, sentence = make(20), make(45) + "."
+    texts = [f"{make(30)} {phrase} {make(30)}." for _ in range(20)]
+    assert _rest(texts) == texts
+    assert _rest([f"{make(20)}. {sentence} {make(20)}." for _ in range(3)])[1].count(".") == 2
+
+
 def test_packing(spark, table, odd, empty):
     lengths = (8, 16, 64, 256)
     rows = packing.best_fit_packing(table, lengths, group=40).collect()
