@@ -13,10 +13,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casebook.llm.common import keyed
+from casebook.llm import kernels
+from casebook.llm.common import keyed, stored
+from casebook.llm.encoder import encoder
 
 LENGTHS = (256, 512, 1024, 2048, 4096, 8192)
 GROUP = 20_000
@@ -77,10 +80,26 @@ def _group(lengths: tuple[int, ...]):
     return run
 
 
-def best_fit_packing(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, group: int = GROUP) -> DataFrame:
+def _id_counts(path: str):
+    def run(batches):
+        coder = encoder(path)
+        for batch in batches:
+            for i, j, data, off in kernels.blocks(batch.column(2)):
+                if coder.plain:
+                    n = np.diff(coder.encode(data, off)[1], prepend=0)
+                else:
+                    n = np.array([len(x) for x in coder.whole([data[off[d]:off[d + 1]].tobytes().decode() for d in range(j - i)])])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n.astype(np.int64) + 1)],
+                                                 names=["_row", "doc_id", "size"])
+    return run
+
+
+def best_fit_packing(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, group: int = GROUP, vocabulary: str | None = None) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, n_tokens, bin_group, bin_no, bin_size, bin_used, bin_offset``.
 
-    Tokens are the words ``[^\\x20\\x09-\\x0D]+`` plus one end mark a document, so null and empty texts are one token.
+    Tokens are the ids that the tokenizer file ``vocabulary`` gives (without one the words ``[^\\x20\\x09-\\x0D]+``) plus
+    one end mark a document, so null and empty texts are one token. Ids are counted once, in one scan of the texts; the
+    counts are stored.
     ``start`` is the piece's first token in the document, ``bin_offset`` its place in the sequence
     (``bin_group``, ``bin_no``) of ``bin_size`` positions, ``bin_used`` of them used. Every token of every row is in
     just one sequence; no sequence is larger than the least permitted length that holds it. Repeated rows and null
@@ -88,8 +107,11 @@ def best_fit_packing(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, group:
     """
     lengths, rows = tuple(sorted(lengths)), keyed(docs, text="string")
     most = lengths[-1]
-    sized = rows.select("_row", "doc_id", (F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) + 1).cast("long").alias("size"))
-    groups = max(1, -(-rows.count() // group))
+    if vocabulary:
+        sized = stored(rows.select("_row", "doc_id", "text").mapInArrow(_id_counts(vocabulary), "_row long, doc_id long, size long"), "sizes")
+    else:
+        sized = rows.select("_row", "doc_id", (F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) + 1).cast("long").alias("size"))
+    groups = max(1, -(-sized.count() // group))
     full = sized.filter(F.col("size") >= most).select("_row", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"size div {most}") - 1)).alias("piece"))
     full = full.select("doc_id", F.col("piece").cast("int").alias("piece"), (F.col("piece") * most).alias("start"), F.lit(most).cast("long").alias("n_tokens"),
                        (-1 - F.col("_row")).alias("bin_group"), F.col("piece").alias("bin_no"), F.lit(most).alias("bin_size"), F.lit(most).alias("bin_used"), F.lit(0).alias("bin_offset"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from casebook.llm import bm25, bpe, exact, langid, minhash, packing, sharding, substring, toxicity, wavelet
 from casebook.llm.common import read
+from casebook.llm.encoder import default_vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,7 +91,7 @@ def op7(spark: SparkSession, d: str) -> DataFrame:
 
 @query("op8_best_fit_packing")
 def op8(spark: SparkSession, d: str) -> DataFrame:
-    return packing.best_fit_packing(read(spark, d, "documents"))
+    return packing.best_fit_packing(read(spark, d, "documents"), vocabulary=default_vocabulary())
 
 
 @query("op9_wavelet_token_store")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from casebook.llm import exact, langid, minhash, packing, substring
 from casebook.llm.common import keyed, stored
+from casebook.llm.encoder import default_vocabulary
 from casebook.session import ship_package
 
 COLUMNS = {"text": "string", "lang": "string", "source": "string", "n_chars": "long"}
@@ -49,9 +50,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of the permitted lengths."""
+    """The pieces of all documents, in BPE ids, in sequences of the permitted lengths."""
     ship_package(spark)
-    return packing.best_fit_packing(docs)
+    return packing.best_fit_packing(docs, vocabulary=default_vocabulary())
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact_copies), ("near_dedup", near_copies),

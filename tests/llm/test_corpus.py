@@ -255,6 +255,32 @@ def test_packing(spark, table, odd, empty):
     assert packing.best_fit_packing(empty).count() == 0
 
 
+def test_packing_counts_ids(spark, table, odd, empty, tmp_path):
+    from casebook.llm.queries import QUERIES
+    tok = encoder.encoder(encoder.default_vocabulary())
+    pairs = [*_pairs(table), (9001, "aGVsbG8gd29ybGQ" * 4000), (9002, "日本語の文章です" * 800)]
+    docs = spark.createDataFrame(pairs, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: len(tok.whole([t or ""])[0]) + 1 for i, t in pairs}
+    assert want[9001] > packing.LENGTHS[-1]
+    rows = QUERIES["op8_best_fit_packing"](spark, str(tmp_path)).collect()
+    pieces, bins = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        pieces[r["doc_id"]].append((r["start"], r["n_tokens"]))
+        bins[r["bin_group"], r["bin_no"]].append(r)
+    for i, n in want.items():
+        at = 0
+        for start, size in sorted(pieces[i]):
+            assert start == at
+            at += size
+        assert at == n
+    for members in bins.values():
+        assert sum(r["n_tokens"] for r in members) == members[0]["bin_used"] <= members[0]["bin_size"]
+    path = encoder.default_vocabulary()
+    assert sum(r["n_tokens"] for r in packing.best_fit_packing(odd, vocabulary=path).collect()) == sum(len(tok.whole([r["text"] or ""])[0]) + 1 for r in odd.collect())
+    assert packing.best_fit_packing(empty, vocabulary=path).count() == 0
+
+
 def test_best_fit_takes_the_fullest_bin():
     sizes = sorted([7, 6, 5, 5, 4, 3, 3, 2, 1], reverse=True)
     bins, used = packing.best_fit(sizes, (10,), 10)
