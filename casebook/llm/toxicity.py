@@ -156,8 +156,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int =
     """Fits on at most ``sample`` rows that have a text and a toxic label; None if either class is missing.
     Of several labels of a doc_id the greatest counts."""
     given = pick(labels, doc_id="long", toxic="int").filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    given = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = pick(docs, doc_id="long", text="string").filter("text IS NOT NULL").join(F.broadcast(given), "doc_id").select("text", "toxic")
+    texts = pick(docs, doc_id="long", text="string").filter("text IS NOT NULL")
+    # labels of rows that are not there must not use up the sample
+    given = given.join(texts.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = texts.join(F.broadcast(given), "doc_id").select("text", "toxic")
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return None

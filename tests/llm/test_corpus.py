@@ -346,6 +346,18 @@ def test_toxicity(spark, empty):
     assert toxicity.train(empty, given) is None and toxicity.score(empty, None).count() == 0
 
 
+def test_toxicity_sample_is_of_the_training_rows(spark):
+    """Labels of documents that are not there, or have no text, do not use up the sample."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(VOCAB) for _ in range(30)) + (" idiot scum" if i % 4 == 0 else "")) for i in range(200)]
+    docs = spark.createDataFrame([*rows, *[(i, None) for i in range(200, 2000)]], "doc_id long, text string")
+    given = spark.createDataFrame([(i, int(i % 4 == 0 and i < 200)) for i in range(20_000)], "doc_id long, toxic int")
+    model = toxicity.train(docs, given, sample=200)
+    assert model is not None
+    got = toxicity.score(docs.filter("doc_id < 200"), model).collect()
+    assert np.mean([r["predicted"] == int(r["doc_id"] % 4 == 0) for r in got]) > 0.95
+
+
 def _least_capacity(sizes, shards):
     def fits(c):
         n, held = 1, 0
