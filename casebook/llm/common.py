@@ -41,12 +41,13 @@ def keyed(docs: DataFrame, **columns: str) -> DataFrame:
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options) -> DataFrame:
     """``df`` written as Parquet under the shared checkpoint folder and read back: lineage ends there, so a lost
-    executor costs a reread, not a recomputation. The folder is removed when the driver ends."""
+    executor costs a reread, not a recomputation. The folder is removed when the driver ends. ``options`` go to the
+    writer."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm import bm25, bpe, exact, langid, minhash, packing, sharding, substring, toxicity, wavelet
+from casebook.llm import bm25, bpe, exact, langid, minhash, negatives, packing, sharding, substring, toxicity, wavelet
 from casebook.llm.common import read
 from casebook.llm.encoder import default_vocabulary
 
@@ -102,3 +102,24 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
 @query("op10_bpe_chunk_reuse")
 def op10(spark: SparkSession, d: str) -> DataFrame:
     return bpe.round_trip(read(spark, d, "documents"))
+
+
+@query("op13_hard_negatives", """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+           FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+           FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+     p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+           QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+     n AS (SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+                  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank
+           FROM p JOIN s USING (anchor_id)
+           WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""")
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "embeddings").filter("NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf'))")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    return negatives.mine(rows.select("vec_id", label.alias("label"), whole.alias("embedding"), (F.col("vec_id") % 100 == 0).alias("anchor")))
