@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm import bm25, bpe, exact, langid, minhash, negatives, packing, sharding, substring, toxicity, wavelet
+from casebook.llm import bm25, bpe, decontamination, exact, langid, minhash, negatives, packing, sharding, substring, toxicity, wavelet
 from casebook.llm.common import read
 from casebook.llm.encoder import default_vocabulary
 
@@ -104,6 +104,27 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     return bpe.round_trip(read(spark, d, "documents"))
 
 
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op12_positional_decontamination", f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+     b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+     size AS (SELECT DISTINCT least(len(w), 10) AS size FROM b WHERE len(w) > 0),
+     windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, w[s:s + least(len(w), 10) - 1] AS phrase
+                 FROM b, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS t(s) WHERE len(w) > 0),
+     places AS (SELECT doc_id, s, size, w[s:s + size - 1] AS phrase FROM d, size, unnest(range(1, len(w) - size + 2)) AS t(s)),
+     found AS (SELECT doc_id, s, size, item_id FROM places JOIN windows USING (size, phrase)),
+     hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM found, unnest(range(s, s + size)) AS t(p) GROUP BY 1),
+     items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS list
+               FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM found) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)""")
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    return decontamination.contamination(read(spark, d, "documents"), read(spark, d, "benchmark")).drop("items")
+
+
 @query("op13_hard_negatives", """
 WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
