@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm import bm25, bpe, decontamination, exact, langid, minhash, negatives, packing, sharding, substring, toxicity, wavelet
+from casebook.llm import alignment, bm25, bpe, decontamination, exact, langid, minhash, negatives, packing, sharding, substring, toxicity, wavelet
 from casebook.llm.common import read
 from casebook.llm.encoder import default_vocabulary
 
@@ -104,6 +104,11 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     return bpe.round_trip(read(spark, d, "documents"))
 
 
+@query("op11_token_alignment")
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.align(read(spark, d, "documents"))
+
+
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 
