@@ -2,8 +2,8 @@
 ROC / PR curves, AUC and regression diagnostics.
 
 Curves are computed on the per-distinct-score table (one row per score value,
-ties share a point) and the running sums over the score order are bucketed
-(:mod:`casebook.operators.ordered`), so no step needs a single-task window.
+ties share a point) and the running sums over the score order are prefix scans
+(:mod:`casebook.operators.prefix`), so no step windows raw rows.
 Zero denominators give NULL.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casebook.functions.compat import col_
-from casebook.operators.ordered import previous_value, range_bucket, running_sum
+from casebook.operators.prefix import scan
 
 
 def predict_label(score, cutoff: float) -> Column:
@@ -92,25 +92,23 @@ def _score_counts(df: DataFrame, y: str, score: str) -> DataFrame:
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
 
 
-def _cumulative_desc(df: DataFrame, y: str, score: str, n_buckets: int | None) -> DataFrame:
+def _cumulative_desc(df: DataFrame, y: str, score: str, parts: int | None) -> DataFrame:
     """Per distinct score: counts at scores >= threshold (descending order)."""
-    sc = _score_counts(df, y, score).withColumn("_k", -F.col("threshold"))
-    b = range_bucket(sc, "_k", n_buckets, name="_b")
-    return running_sum(b, [F.col("_k")], "_b", ["pos", "neg"]).drop("_b", "_k")
+    return scan(_score_counts(df, y, score), [F.col("threshold").desc()], {"pos": "pos_cum", "neg": "neg_cum"}, parts=parts)
 
 
-def roc_curve(df: DataFrame, y: str, score: str, n_buckets: int | None = None, digits: int = 6) -> DataFrame:
+def roc_curve(df: DataFrame, y: str, score: str, parts: int | None = None, digits: int = 6) -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score, highest first."""
-    c = _cumulative_desc(df, y, score, n_buckets)
+    c = _cumulative_desc(df, y, score, parts)
     P = df.select(F.count_if(F.col(y) == 1)).scalar()
     N = df.select(F.count_if(F.col(y) == 0)).scalar()
     return c.select("threshold", F.round(F.try_divide(F.col("neg_cum").cast("double"), N), digits).alias("fpr"),
                     F.round(F.try_divide(F.col("pos_cum").cast("double"), P), digits).alias("tpr"))
 
 
-def pr_curve(df: DataFrame, y: str, score: str, n_buckets: int | None = None, digits: int = 6) -> DataFrame:
+def pr_curve(df: DataFrame, y: str, score: str, parts: int | None = None, digits: int = 6) -> DataFrame:
     """(threshold, precision, recall) for every distinct score."""
-    c = _cumulative_desc(df, y, score, n_buckets)
+    c = _cumulative_desc(df, y, score, parts)
     P = df.select(F.count_if(F.col(y) == 1)).scalar()
     return c.select("threshold",
                     F.round(F.try_divide(F.col("pos_cum").cast("double"), F.col("pos_cum") + F.col("neg_cum")), digits)
@@ -118,11 +116,10 @@ def pr_curve(df: DataFrame, y: str, score: str, n_buckets: int | None = None, di
                     F.round(F.try_divide(F.col("pos_cum").cast("double"), P), digits).alias("recall"))
 
 
-def auc(df: DataFrame, y: str, score: str, n_buckets: int | None = None, digits: int = 6) -> DataFrame:
+def auc(df: DataFrame, y: str, score: str, parts: int | None = None, digits: int = 6) -> DataFrame:
     """Area under ROC by the rank-sum (Mann-Whitney) form with average ranks for ties."""
     sc = _score_counts(df, y, score).withColumn("n", F.col("pos") + F.col("neg"))
-    b = range_bucket(sc, "threshold", n_buckets, name="_b")
-    cum = running_sum(b, [F.col("threshold")], "_b", ["n"])          # rows with score <= s
+    cum = scan(sc, [F.col("threshold")], {"n": "n_cum"}, parts=parts)          # rows with score <= s
     avg_rank = (F.col("n_cum") - F.col("n") + 1 + F.col("n_cum")) / 2.0
     one = cum.agg(F.sum(F.col("pos") * avg_rank).alias("r"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     u = F.col("r") - F.col("P") * (F.col("P") + 1) / 2.0
@@ -144,19 +141,17 @@ def ols_one_feature(df: DataFrame, y: str, x: str, digits: int = 6) -> DataFrame
                   F.round(F.regr_r2(y, x), digits).alias("r2"), F.regr_count(y, x).alias("n"))
 
 
-def residual_diagnostics(df: DataFrame, y: str, yhat: str, order_key: str, order: Sequence[Column],
-                         n_params: int, n_buckets: int | None = None, digits: int = 6) -> DataFrame:
+def residual_diagnostics(df: DataFrame, y: str, yhat: str, order: Sequence[str], n_params: int,
+                         parts: int | None = None, digits: int = 6) -> DataFrame:
     """F statistic, log-likelihood, AIC, BIC, Durbin-Watson, Jarque-Bera, residual skew
     and kurtosis from (y, ŷ) pairs.
 
     ``n_params`` counts the fitted coefficients including the intercept. Skew and
     kurtosis are the population (biased) moments, as in the OLS summary tables.
-    Durbin-Watson needs the previous residual in ``order``; it is found
-    bucket-wise on ``order_key`` (monotone with ``order``).
+    Durbin-Watson needs the previous residual in ``order``, which a prefix scan carries.
     """
-    e = df.select(*[c for c in df.columns], (F.col(y) - F.col(yhat)).alias("_e"))
-    b = range_bucket(e, order_key, n_buckets, name="_b")
-    lagged = previous_value(b, order, "_b", "_e", name="_pe")
+    e = df.select(*dict.fromkeys([*order, y, yhat]), (F.col(y) - F.col(yhat)).alias("_e"))
+    lagged = scan(e, order, previous={"_e": "_pe"}, parts=parts, keep=[yhat, "_e"])
     ybar = df.select(F.avg(y)).scalar()
     one = lagged.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_e") ** 2).alias("sse"),
                      F.sum((F.col(yhat) - ybar) ** 2).alias("ssr"),

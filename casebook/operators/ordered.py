@@ -1,17 +1,7 @@
-"""Running totals and ranks over a global order without a single-partition window.
+"""Range buckets over a global order, for selections that count rows by bucket, and NULL-safe joins.
 
-``Window.orderBy(x)`` with no ``partitionBy`` moves every row into one task. The
-helpers here split the order into ranges, as many as the row count asks for:
-
-1. every row gets a bucket from a monotone function of its order key
-   (range boundaries from ``percentile_approx``, a bounded-memory sketch);
-2. per-bucket totals form a small table (partitions × buckets rows) whose
-   exclusive prefix sums are the bucket offsets;
-3. inside a bucket an ordinary partitioned window gives the local running sum,
-   and the offset is added back through an equi-join on (partition, bucket).
-
-The bucket table has one row per (partition, bucket); adaptive execution
-broadcasts it where it measures small.
+Boundaries come from ``percentile_approx``, a bounded-memory sketch; the bucket number is monotone in the key. Running
+sums, ranks and previous values over an order are in :mod:`casebook.operators.prefix`.
 """
 
 from __future__ import annotations
@@ -20,7 +10,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,8 +31,7 @@ def range_bucket(df: DataFrame, key: str, n_buckets: int | None = None, name: st
     Boundaries are approximate quantiles of ``key`` over the whole frame: one
     aggregate pass whose single row (a count and ``_FINE`` - 1 numbers) is read on
     the driver. Without ``n_buckets`` there are as many as ``ROWS_PER_BUCKET``
-    asks for, at least 64 and at most ``_FINE``; beyond that the buckets grow and
-    their windows spill.
+    asks for, at least 64 and at most ``_FINE``.
     """
     x = F.col(key).cast("double")
     grid = "array(" + ",".join(f"{i / _FINE}D" for i in range(1, _FINE)) + ")"
@@ -71,57 +60,3 @@ def _search_many(x: Column, bounds: Sequence[float]) -> Column:
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(m.bit_length()))])
     return F.aggregate(steps, F.lit(0), lambda at, s: F.when(
         (at + s <= m) & (x > F.element_at(table, F.least(at + s, F.lit(m)))), at + s).otherwise(at))
-
-
-def running_sum(df: DataFrame, order: Sequence[Column], bucket: str, values: Sequence[str],
-                partition: Sequence[str] = (), suffix: str = "_cum", with_total: bool = False) -> DataFrame:
-    """Inclusive running sums of ``values`` in ``order`` (ascending by bucket first).
-
-    ``bucket`` must be monotone with ``order``. Result columns ``<value><suffix>``,
-    plus ``<value>_total`` (the partition's grand total, from the same small
-    bucket table) when ``with_total``.
-    """
-    part = list(partition)
-    totals = df.groupBy(*part, bucket).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    wb = Window.partitionBy(*part).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    wall = Window.partitionBy(*part)
-    extra = [F.sum(f"_t_{v}").over(wall).alias(f"{v}_total") for v in values] if with_total else []
-    offsets = totals.select(*part, bucket, *[F.coalesce(F.sum(f"_t_{v}").over(wb), F.lit(0)).alias(f"_o_{v}")
-                                             for v in values], *extra)
-    wl = Window.partitionBy(*part, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = df.select("*", *[F.sum(v).over(wl).alias(f"_l_{v}") for v in values])
-    j = null_safe_join(local, offsets, [*part, bucket])
-    return j.select(*df.columns, *[(F.col(f"_l_{v}") + F.col(f"_o_{v}")).alias(f"{v}{suffix}") for v in values],
-                    *[F.col(f"{v}_total") for v in values if with_total])
-
-
-def global_rank(df: DataFrame, order_key: str, tie: Sequence[str], n_buckets: int | None = None,
-                partition: Sequence[str] = (), name: str = "rank", count_name: str | None = None) -> DataFrame:
-    """1-based row number in (order_key, *tie) order within ``partition``,
-    computed bucket-wise (no single-task window). With ``count_name`` the
-    partition's row count is attached too (no extra pass)."""
-    b = range_bucket(df, order_key, n_buckets, "_rb").withColumn("_one", F.lit(1))
-    order = [F.col(order_key), *[F.col(c) for c in tie]]
-    r = running_sum(b, order, "_rb", ["_one"], partition, with_total=count_name is not None)
-    r = r.withColumnRenamed("_one_cum", name)
-    if count_name is not None:
-        r = r.withColumnRenamed("_one_total", count_name)
-    return r.drop("_rb", "_one")
-
-
-def previous_value(df: DataFrame, order: Sequence[Column], bucket: str, value: str,
-                   name: str = "prev") -> DataFrame:
-    """``lag(value)`` over a global order, bucket-wise.
-
-    One window per bucket gives the in-bucket lag and marks each bucket's last
-    row; those last rows (one per bucket, a bounded table) give the value the
-    first row of the next non-empty bucket carries in."""
-    w = Window.partitionBy(bucket).orderBy(*order)
-    local = df.withColumn("_lag", F.lag(value).over(w)).withColumn("_first", F.row_number().over(w) == 1) \
-              .withColumn("_is_last", F.lead(F.lit(1)).over(w).isNull())
-    last = local.where(F.col("_is_last")).select(bucket, F.col(value).alias("_last"))
-    wb = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    carry = last.select(bucket, F.last("_last").over(wb).alias("_carry"))
-    j = local.join(F.broadcast(carry), bucket)       # one row per bucket
-    return j.withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))) \
-            .drop("_lag", "_carry", "_is_last", "_first")

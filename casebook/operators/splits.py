@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casebook.operators.ordered import global_rank
+from casebook.operators.prefix import scan
 
 
 def hash_pct(key, salt: str = "") -> Column:
@@ -29,15 +29,15 @@ def split_hash(df: DataFrame, key: str, test_pct: int = 30, salt: str = "") -> t
 
 
 def split_stratified(df: DataFrame, key: str, label: str, test_pct: float = 0.3, salt: str = "",
-                     n_buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+                     parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Per label exactly ``floor(n_label * test_pct)`` rows go to test: those with
-    the smallest (md5 hash, key). Ranks are computed bucket-wise, so no label is
-    ever collected into one task."""
+    the smallest (md5 hash, key). Ranks are a prefix scan over label and hash, so no
+    label is ever collected into one task."""
     hk = F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.col(key).cast("string"))), 1, 12), 16, 10).cast("bigint")
-    h = df.withColumn("_h", hk)
-    ranked = global_rank(h, "_h", [key], n_buckets, partition=[label], name="_r", count_name="_n")
+    h = df.withColumn("_h", hk).withColumn("_one", F.lit(1))
+    ranked = scan(h, [F.col("_h"), F.col(key)], {"_one": "_r"}, partition=[label], totals={"_one": "_n"}, parts=parts)
     in_test = F.col("_r") <= F.floor(F.col("_n") * F.lit(test_pct))
-    test, train = (ranked.where(c).drop("_h", "_r", "_n") for c in (in_test, ~in_test))
+    test, train = (ranked.where(c).drop("_h", "_one", "_r", "_n") for c in (in_test, ~in_test))
     return train, test
 
 

@@ -164,8 +164,7 @@ def ml_ols_diagnostics(spark, d):
                  F.regr_intercept("l_extendedprice", "l_quantity").alias("b0"))
     b0, b1 = fit.select("b0").scalar(), fit.select("b1").scalar()
     pred = li.select(*_ORDER, (b0 + b1 * F.col("l_quantity")).alias("yhat"))
-    return EV.residual_diagnostics(pred, "l_extendedprice", "yhat", "l_orderkey", [F.col(c) for c in _ORDER],
-                                   n_params=2)
+    return EV.residual_diagnostics(pred, "l_extendedprice", "yhat", _ORDER, n_params=2)
 
 
 @query("ml_r2_score", f"""

@@ -7,36 +7,44 @@ from pyspark.sql import functions as F
 
 from casebook.operators import evaluation as EV
 from casebook.operators import recommend as RC
-from casebook.operators.ordered import global_rank, previous_value, range_bucket, running_sum
+from casebook.operators.prefix import scan
 from casebook.operators.splits import split_hash, split_stratified
 
 
-def test_running_sum_matches_single_window(spark):
+@pytest.mark.parametrize("parts", [1, 7, None])
+def test_scan_matches_windows(spark, parts):
     rng = np.random.default_rng(0)
-    rows = [(int(i), float(x)) for i, x in enumerate(rng.normal(size=500))]
-    df = spark.createDataFrame(rows, "id long, x double").withColumn("one", F.lit(1))
-    b = range_bucket(df, "x", 7, name="_b")
-    got = {r["id"]: r["one_cum"] for r in running_sum(b, [F.col("x"), F.col("id")], "_b", ["one"]).collect()}
-    ref = {r["id"]: r["rn"] for r in df.select("id", F.row_number().over(Window.orderBy("x", "id")).alias("rn")).collect()}
-    assert got == ref
-
-
-def test_global_rank_per_partition(spark):
-    rows = [(i, i % 3, (i * 7919) % 101) for i in range(300)]
-    df = spark.createDataFrame(rows, "id long, g long, k long")
-    got = {r["id"]: r["rank"] for r in global_rank(df, "k", ["id"], 5, partition=["g"]).collect()}
-    w = Window.partitionBy("g").orderBy("k", "id")
-    ref = {r["id"]: r["rn"] for r in df.select("id", F.row_number().over(w).alias("rn")).collect()}
-    assert got == ref
-
-
-def test_previous_value_matches_lag(spark):
-    rows = [(i, float((i * 37) % 17)) for i in range(200)]
-    df = spark.createDataFrame(rows, "id long, v double")
-    b = range_bucket(df, "id", 6, name="_b")
-    got = {r["id"]: r["prev"] for r in previous_value(b, [F.col("id")], "_b", "v").collect()}
-    ref = {r["id"]: r["p"] for r in df.select("id", F.lag("v").over(Window.orderBy("id")).alias("p")).collect()}
-    assert got == ref
+    rows = [(i, int(g) if g < 3 else None, float(x) if x > -1.5 else None, "s" * int(g)) for i, (g, x) in enumerate(zip(rng.integers(0, 4, 600), rng.normal(size=600)))]
+    df = spark.createDataFrame(rows, "id long, g int, x double, s string").withColumn("one", F.lit(1)).repartition(5)
+    got = scan(df, [F.col("x").desc()], {"one": "rank", "x": "sum"}, {"x": "px", "s": "ps", "id": "pid"}, ["g"], {"one": "n", "x": "all"}, parts)
+    assert got.columns == ["id", "g", "x", "s", "one", "rank", "sum", "px", "ps", "pid", "n", "all"]
+    w = Window.partitionBy("g").orderBy(F.col("x").desc(), "id")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("*", F.row_number().over(w).alias("rank"), F.coalesce(F.sum("x").over(run), F.lit(0.0)).alias("sum"), F.lag("x").over(w).alias("px"),
+                     F.lag("s").over(w).alias("ps"), F.lag("id").over(w).alias("pid"), F.count("*").over(Window.partitionBy("g")).alias("n"),
+                     F.sum("x").over(Window.partitionBy("g")).alias("all"))
+    key = lambda r: tuple(round(v, 9) if isinstance(v, float) else v for v in r)
+    assert sorted(map(key, got.collect()), key=str) == sorted(map(key, want.collect()), key=str)
+
+
+def test_scan_splits_two_distinct_keys(spark):
+    """Equal order keys are spread over tasks, and no window sees raw rows."""
+    df = spark.range(20_000).select("id", (F.col("id") % 2).alias("k"), F.lit(1).alias("one"))
+    got = scan(df, [F.col("k")], {"one": "rank"}, {"id": "before"}, parts=8)
+    local = [f for f in got.inputFiles() if "scan" in f]
+    sizes = [r["count"] for r in spark.read.parquet(*local).groupBy("_part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 20_000 / 8
+    rows = sorted(got.collect(), key=lambda r: r["rank"])
+    assert [r["rank"] for r in rows] == list(range(1, 20_001)) and [r["k"] for r in rows] == [0] * 10_000 + [1] * 10_000
+    assert [r["before"] for r in rows] == [None, *[r["id"] for r in rows[:-1]]]
+
+
+def test_scan_of_equal_rows_and_empty_frames(spark):
+    same = spark.createDataFrame([(1, 2)] * 50, "k int, v int")
+    assert sorted(r["s"] for r in scan(same, [F.col("k")], {"v": "s"}, parts=4).collect()) == list(range(2, 102, 2))
+    assert scan(same.limit(0), [F.col("k")], {"v": "s"}, {"v": "p"}, ["k"], {"v": "t"}).collect() == []
+    odd = spark.createDataFrame([(1, float("nan")), (2, 1.5), (3, None), (4, 2.0)], "k int, v double")
+    assert [r["s"] for r in scan(odd, [F.col("k")], {"v": "s"}, parts=2).orderBy("k").collect()] == [0.0, 1.5, 1.5, 3.5]
 
 
 def test_hash_split_is_reproducible(spark):
@@ -49,7 +57,7 @@ def test_hash_split_is_reproducible(spark):
 
 def test_stratified_split_exact_counts(spark):
     df = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "k long, y int")
-    train, test = split_stratified(df, "k", "y", 0.3, n_buckets=8)
+    train, test = split_stratified(df, "k", "y", 0.3, parts=8)
     counts = {r["y"]: r["count"] for r in test.groupBy("y").count().collect()}
     assert counts == {1: 30, 0: 90}
     assert train.count() + test.count() == 400
@@ -67,8 +75,8 @@ def _brute_auc(rows):
 
 def test_auc_and_roc_against_brute_force(spark):
     df = spark.createDataFrame(SCORES8, "y int, s double")
-    assert EV.auc(df, "y", "s", n_buckets=3).first()["auc"] == pytest.approx(_brute_auc(SCORES8))
-    roc = {r["threshold"]: (r["fpr"], r["tpr"]) for r in EV.roc_curve(df, "y", "s", n_buckets=3).collect()}
+    assert EV.auc(df, "y", "s", parts=3).first()["auc"] == pytest.approx(_brute_auc(SCORES8))
+    roc = {r["threshold"]: (r["fpr"], r["tpr"]) for r in EV.roc_curve(df, "y", "s", parts=3).collect()}
     for th, (fpr, tpr) in roc.items():
         tp = sum(1 for y, s in SCORES8 if y == 1 and s >= th)
         fp = sum(1 for y, s in SCORES8 if y == 0 and s >= th)
@@ -175,13 +183,6 @@ def test_targeted_scoring_equals_full_restricted(spark):
         assert v == pytest.approx(full[k])
 
 
-def test_previous_value_keeps_null_values(spark):
-    rows = [(i, None if i % 3 == 0 else float(i), i // 4) for i in range(20)]
-    df = spark.createDataFrame(rows, "id long, v double, _b int")
-    got = {r["id"]: r["prev"] for r in previous_value(df, [F.col("id")], "_b", "v").collect()}
-    assert got == {i: (rows[i - 1][1] if i else None) for i in range(20)}
-
-
 def test_statistics_of_constant_and_collinear_columns(spark):
     from casebook.operators import aggregates as A, evaluation as EV, stats as ST
     rng = np.random.default_rng(5)
