@@ -100,9 +100,5 @@ def flag(pred: Column) -> Column:
     return F.coalesce(pred.cast("int"), F.lit(0))
 
 
-def any_of(preds: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, preds)
-
-
 def all_of(preds: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, preds)

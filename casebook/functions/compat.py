@@ -44,11 +44,3 @@ def std(c, ddof: int = 1) -> Column:
 def ne_null_aware(c, value) -> Column:
     """pandas ``!=``: a NULL cell counts as different, so the row is kept (C8)."""
     return ~col_(c).eqNullSafe(F.lit(value))
-
-
-def null_if_text(c, *placeholders) -> Column:
-    """Placeholder text (``'nan'``, ``'Select'``) → NULL; real NULL stays NULL."""
-    out = col_(c)
-    for p in placeholders:
-        out = F.nullif(out, F.lit(p))
-    return out

@@ -20,9 +20,3 @@ def row_sum(cols: Sequence, skip_null: bool = True) -> Column:
 def row_max(cols: Sequence) -> Column:
     """Max across columns, NULLs skipped (NULL only when all are NULL)."""
     return F.greatest(*[col_(c) for c in cols])
-
-
-def row_mean(cols: Sequence) -> Column:
-    """Mean of the non-NULL cells of a row."""
-    n = reduce(lambda a, b: a + b, [col_(c).isNotNull().cast("int") for c in cols])
-    return F.try_divide(row_sum(cols), n)

@@ -9,7 +9,7 @@ Differences from the single-machine libraries, stated once:
   ``weightCol`` of ``n / (2 · n_class)``;
 * there is no kernel SVM: the RBF model is approximated with seeded random
   Fourier features (Rahimi & Recht, 2007) and a linear SVM;
-* there is no agglomerative clustering: the top-down ``BisectingKMeans`` is used;
+* complete-linkage clusters are in :mod:`casebook.operators.hierarchy`;
 * ``ClusteringEvaluator`` uses squared Euclidean distance for silhouette.
 """
 
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casebook.operators.stats import corr_matrix, vif_values
+from casebook.operators.sweep import CrossProducts, eliminate
 from casebook.session import cut_lineage
 
 
@@ -112,10 +113,13 @@ def ols_summary(df: DataFrame, features: Sequence[str], label: str, digits: int
 
 def backward_eliminate(df: DataFrame, features: Sequence[str], label: str, family: str = "gaussian",
                        p_max: float = 0.05, vif_max: float = 5.0, max_rounds: int | None = None) -> DataFrame:
-    """Repeatedly drop the worst feature and refit: first any VIF above ``vif_max``
-    (largest first), then any p-value above ``p_max`` (largest first).
-    One row per round: (round, dropped, reason, value, n_left)."""
+    """Repeatedly drop the worst feature: first any VIF above ``vif_max`` (largest first), then any p-value above
+    ``p_max`` (largest first). One row per round: (round, dropped, reason, value, n_left). Least squares are swept on
+    one cross-product matrix (:mod:`casebook.operators.sweep`); a binomial model is fitted again each round."""
     feats = list(features)
+    if family == "gaussian":
+        rounds = eliminate(CrossProducts(df, feats, label), p_max, vif_max, max_rounds)      # one scan in all
+        return df.sparkSession.createDataFrame(rounds, "round int, dropped string, reason string, value double, n_left int")
     out = []
     rnd = 0
     whole = corr_matrix(df, feats)          # one pass; every round's VIFs are of its sub-matrices
@@ -129,8 +133,7 @@ def backward_eliminate(df: DataFrame, features: Sequence[str], label: str, famil
             feats.remove(worst)
             out.append((rnd, worst, "vif", None if high is None else round(high, 6), len(feats)))
             continue
-        summ = (ols_summary(df, feats, label) if family == "gaussian"
-                else glm_binomial_summary(df, feats, label)).where("term <> 'const'").collect()
+        summ = glm_binomial_summary(df, feats, label).where("term <> 'const'").collect()
         worst_p = max(summ, key=lambda r: (r["p_value"] if r["p_value"] is not None else math.inf))
         if worst_p["p_value"] is not None and worst_p["p_value"] <= p_max:
             break
@@ -313,49 +316,51 @@ def silhouette(df: DataFrame, vec: str, ks: Sequence[int], seed: int = 100) -> D
     return df.sparkSession.createDataFrame(rows, "k int, silhouette double")
 
 
-def hopkins(df: DataFrame, vec: str, m: int = 50, seed: int = 3) -> DataFrame:
-    """Hopkins statistic H = Σu / (Σu + Σw): u = distance from m uniform probes in
-    the bounding box to their nearest data point, w = distance from m sampled data
-    points to their nearest other point. The 2m probe points are a sample whose
-    size is the parameter ``m`` (bounded); they are shipped to every task, each
-    task returns per-probe minima of its partition, and a grouped ``min``
-    combines them — one scan, no join of the data with itself."""
+def hopkins(df: DataFrame, vec: str, m: int | None = None, seed: int = 3, share: float = 0.1, most: int = 20_000) -> DataFrame:
+    """Hopkins statistic H = Σu / (Σu + Σw) over two sets of probes: places drawn evenly from the bounding box, and
+    rows of the data, whose own row is left out once (a copy of the row is a neighbour at distance 0).
+
+    There are ``m`` probes of each kind, or ``share`` of the rows, at most ``most`` (a documented sample size, as the
+    probes go to every task). u and w are the distances to the nearest neighbour, as in ``NearestNeighbors`` on the rows;
+    of an even place that is the nearest row. Every task returns the two least distances of each probe, combined by
+    group: one scan, no join of the data with itself. Without rows, or where all distances are 0, H is NULL."""
     arr = df.select(vector_to_array(vec).alias("x"))
-    d = _dim(df, vec)
+    n = arr.count()
+    d = _dim(df, vec) if n else 0
+    m = min(n, most, max(1, int(n * share))) if m is None else min(m, most)
     bounds = arr.select(*[F.min(F.col("x")[i]).alias(f"lo{i}") for i in range(d)],
-                        *[F.max(F.col("x")[i]).alias(f"hi{i}") for i in range(d)]).first()
+                        *[F.max(F.col("x")[i]).alias(f"hi{i}") for i in range(d)]).first() if n else {}
     lo = np.array([bounds[f"lo{i}"] for i in range(d)], dtype=np.float64)
     hi = np.array([bounds[f"hi{i}"] for i in range(d)], dtype=np.float64)
-    rng = np.random.default_rng(seed)
-    probes = lo + rng.random((m, d)) * (hi - lo)
+    probes = lo + np.random.default_rng(seed).random((m if n else 0, d)) * (hi - lo)
     # m rows in random order over the whole frame (a top-m, never a prefix)
-    sample = [np.asarray(r["x"], dtype=np.float64) for r in arr.orderBy(F.rand(seed)).limit(m).collect()]
+    sample = [np.asarray(r["x"], dtype=np.float64) for r in arr.orderBy(F.rand(seed)).limit(m).collect()] if n else []
     W = np.stack(sample) if sample else np.zeros((0, d))
     P = np.vstack([probes, W])
     kinds = np.array([0] * len(probes) + [1] * len(W))
 
     def part(batches):
-        best = np.full(len(P), np.inf)
+        best = np.full((len(P), 2), np.inf)
         for pdf in batches:
-            if len(pdf):
-                X = np.stack(pdf["x"].to_numpy()).astype(np.float64)
-                sq = (P ** 2).sum(axis=1)[:, None] + (X ** 2).sum(axis=1)[None, :]
-                D = sq - 2 * P @ X.T                           # squared distances without a probes x rows x columns array
-                D = np.sqrt(np.where(D < 1e-12 * (1 + sq), 0, D))
-                D[(kinds == 1)[:, None] & (D == 0)] = np.inf   # a sampled point is not its own neighbour
-                best = np.minimum(best, D.min(axis=1))
-        yield pd.DataFrame({"probe": np.arange(len(P), dtype=np.int32), "kind": kinds.astype(np.int32), "d": best})
-
-    mins = arr.mapInPandas(part, "probe int, kind int, d double").groupBy("probe", "kind").agg(F.min("d").alias("d"))
+            for i in range(0, len(pdf), 1024):
+                X = np.stack(pdf["x"].iloc[i:i + 1024].to_numpy()).astype(np.float64)
+                for a in range(0, len(P), 1024):
+                    own = P[a:a + 1024]
+                    sq = (own ** 2).sum(axis=1)[:, None] + (X ** 2).sum(axis=1)[None, :]
+                    D = sq - 2 * own @ X.T                           # squared distances without a probes x rows x columns array
+                    D = np.sqrt(np.where(D < 1e-12 * (1 + sq), 0, D))
+                    best[a:a + 1024] = np.sort(np.hstack([best[a:a + 1024], D]), axis=1)[:, :2]
+        yield pd.DataFrame({"probe": np.arange(len(P), dtype=np.int32), "kind": kinds.astype(np.int32), "d1": best[:, 0], "d2": best[:, 1]})
+
+    two = arr.mapInPandas(part, "probe int, kind int, d1 double, d2 double").groupBy("probe", "kind").agg(
+        F.sort_array(F.flatten(F.collect_list(F.array("d1", "d2")))).alias("d")) if len(P) else \
+        df.sparkSession.createDataFrame([], "probe int, kind int, d array<double>")
+    mins = two.select("kind", F.when(F.col("kind") == 0, F.col("d")[0]).otherwise(F.col("d")[1]).alias("d"))
     s = mins.agg(F.sum(F.when(F.col("kind") == 0, F.col("d"))).alias("u"),
                  F.sum(F.when(F.col("kind") == 1, F.col("d"))).alias("w"))
-    return s.select(F.round(F.col("u") / (F.col("u") + F.col("w")), 6).alias("hopkins"),
+    return s.select(F.round(F.try_divide(F.col("u"), F.col("u") + F.col("w")), 6).alias("hopkins"),
                     F.lit(len(probes)).alias("n_probes"), F.lit(len(W)).alias("n_sampled"))
 
 
-def bisecting(df: DataFrame, vec: str, k: int, seed: int = 21):
-    return BisectingKMeans(featuresCol=vec, k=k, seed=seed).fit(df)
-
-
 def slice_pca(df: DataFrame, col: str, k: int, out: str = "features") -> DataFrame:
     return VectorSlicer(inputCol=col, outputCol=out, indices=list(range(k))).transform(df)

@@ -102,6 +102,45 @@ def constant_columns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
     return _stack(one, cols, "s", ["min_value", "max_value", "is_constant"])
 
 
+def dominant_values(df: DataFrame, share: float = 0.99, cols: Sequence[str] | None = None, digits: int = 4) -> DataFrame:
+    """Columns of which one value makes up at least ``share`` of the non-NULL values: (column, value, n, share).
+
+    Two passes, whatever the number of columns. A frequent-items sketch of all columns (``freqItems``: mergeable
+    counters, a few per column, that cannot miss a value this frequent) names candidates, a bounded list that the driver
+    reads; one aggregate counts exactly these. Values are compared and shown as strings; of values that are equally
+    frequent the least is shown. Columns of NULLs alone have no dominant value.
+    """
+    if not 0 < share <= 1:
+        raise ValueError("share is above 0 and at most 1")
+    cols = list(cols or df.columns)
+    text = df.select(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(cols)])
+    # NULLs are left out of the shares, but the sketch counts them: it gets room for them as for any frequent value
+    nulls = text.agg(F.count(F.lit(1)).alias("n"), *[F.count(f"c{i}").alias(f"k{i}") for i in range(len(cols))]).first()
+    least = min([nulls[f"k{i}"] / nulls["n"] for i in range(len(cols)) if nulls[f"k{i}"]], default=1.0) if nulls["n"] else 1.0
+    found = text.stat.freqItems([f"c{i}" for i in range(len(cols))], max(1e-4, share * least / 2)).first()
+    seen = [(i, v) for i in range(len(cols)) for v in sorted({x for x in found[f"c{i}_freqItems"] or [] if x is not None})]
+    shape = "`column` string, value string, n long, share double"
+    if not seen:
+        return df.sparkSession.createDataFrame([], shape)
+    counts = [F.struct(F.lit(i).alias("i"), F.col(f"c{i}").alias("value")) for i in sorted({i for i, _ in seen})]
+    held = text.select(F.explode(F.array(*counts)).alias("x")).select("x.i", "x.value").where("value IS NOT NULL")
+    listed = df.sparkSession.createDataFrame(seen, "i int, value string")
+    exact = held.join(listed, ["i", "value"]).groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"))
+    total = {i: nulls[f"k{i}"] for i in range(len(cols))}
+    names = df.sparkSession.createDataFrame([(i, c, total[i]) for i, c in enumerate(cols)], "i int, `column` string, total long")
+    first = exact.groupBy("i").agg(F.min(F.struct((-F.col("n")).alias("less"), "value")).alias("x")).select("i", (-F.col("x.less")).alias("n"), "x.value")
+    out = first.join(names, "i").where(F.col("n") >= F.lit(share) * F.col("total"))
+    return out.select("column", "value", "n", F.round(F.col("n") / F.col("total"), digits).alias("share"))
+
+
+def drop_dominant(df: DataFrame, share: float = 0.99) -> tuple[DataFrame, list[str]]:
+    """Drop columns that one value dominates, and columns of NULLs alone (metadata pass)."""
+    dropped = {r["column"] for r in dominant_values(df, share).collect()}
+    empty = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"k{i}") for i, c in enumerate(df.columns)]).first()
+    dropped |= {c for i, c in enumerate(df.columns) if not empty[f"k{i}"]}
+    return df.drop(*dropped), [c for c in df.columns if c in dropped]
+
+
 def drop_constant(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """Drop single-valued columns (metadata pass)."""
     rows = constant_columns(df).collect()

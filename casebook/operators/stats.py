@@ -91,7 +91,7 @@ def moment_matrix(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
     m = np.zeros((k, k))
     for i in range(k):
         for j in range(i, k):
-            m[i, j] = m[j, i] = one[f"m{i}_{j}"]
+            m[i, j] = m[j, i] = np.nan if one[f"m{i}_{j}"] is None else one[f"m{i}_{j}"]
     d = np.sqrt(np.diag(m))
     with np.errstate(divide="ignore", invalid="ignore"):
         return m / np.outer(d, d)

@@ -15,15 +15,14 @@ from casebook.plans.tables import TRIPS_SQL, t, trips
 
 # Columns of the mean matrix in its SQL, generated by rule (25 brands).
 BRANDS = [f"Brand#{i}" for i in range(1, 26)]
-# Vendor decode of the provider scorecard.
-VENDORS = {"A": "Creative Mobile", "N": "VeriFone"}
+RETURNS = {"A": "accepted", "N": "none"}
 
 
 @query("agg_count_by_case", """
-SELECT CASE l_returnflag WHEN 'A' THEN 'Creative Mobile' WHEN 'N' THEN 'VeriFone' END AS vendor_name, count(*) AS n
+SELECT CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'N' THEN 'none' END AS return_state, count(*) AS n
 FROM lineitem GROUP BY ALL""")
 def agg_count_by_case(spark, d):
-    return A.count_by(t(spark, d, "lineitem"), decode_col("l_returnflag", VENDORS).alias("vendor_name"))
+    return A.count_by(t(spark, d, "lineitem"), decode_col("l_returnflag", RETURNS).alias("return_state"))
 
 
 @query("agg_count_multi_key", f"""
@@ -309,6 +308,25 @@ def agg_boxplot_stats(spark, d):
     return A.boxplot_stats(t(spark, d, "lineitem"), "l_extendedprice", by=["l_returnflag"], digits=4)
 
 
+_HEAVY = "l_extendedprice * CASE WHEN l_orderkey % 53 = 0 THEN 9 WHEN l_orderkey % 61 = 0 THEN -4 ELSE 1 END"
+
+
+@query("agg_boxplot_outliers", f"""
+WITH h AS (SELECT l_returnflag, {_HEAVY} AS v FROM lineitem),
+s AS (SELECT l_returnflag, count(v) AS n, min(v) AS min, {rnd("quantile_cont(v, 0.25)", 4)} AS q1, {rnd("quantile_cont(v, 0.5)", 4)} AS median,
+             {rnd("quantile_cont(v, 0.75)", 4)} AS q3, max(v) AS max FROM h GROUP BY 1),
+f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM s)
+SELECT f.*, min(CASE WHEN v BETWEEN lower_fence AND upper_fence THEN v END) AS whisker_lo,
+       max(CASE WHEN v BETWEEN lower_fence AND upper_fence THEN v END) AS whisker_hi,
+       count(*) FILTER (WHERE NOT (v BETWEEN lower_fence AND upper_fence)) AS n_outliers
+FROM f JOIN h USING (l_returnflag) GROUP BY ALL""")
+def agg_boxplot_outliers(spark, d):
+    """Prices with values far outside the fences on both sides."""
+    far = F.when(F.col("l_orderkey") % 53 == 0, 9).when(F.col("l_orderkey") % 61 == 0, -4).otherwise(1)
+    h = t(spark, d, "lineitem").select("l_returnflag", (F.col("l_extendedprice") * far).alias("v"))
+    return A.boxplot_stats(h, "v", by=["l_returnflag"], digits=4)
+
+
 @query("agg_group_by_ordinal", """
 SELECT CAST(floor(hour(ts) / 4) AS INTEGER) + 1 AS time_bin, count(*) AS n FROM events GROUP BY 1 ORDER BY 2 DESC""")
 def agg_group_by_ordinal(spark, d):

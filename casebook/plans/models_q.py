@@ -17,7 +17,10 @@ from casebook.functions.strings import keyword_hits
 from casebook.operators import aggregates as A
 from casebook.operators import models as M
 from casebook.operators.features import one_hot
+from casebook.operators.hierarchy import cluster
+from casebook.operators.incremental import IncrementalPCA
 from casebook.operators.splits import split_hash
+from casebook.operators.sweep import CrossProducts, Sweep
 from casebook.plans.registry import query
 from casebook.plans.sqlfn import rnd
 from casebook.plans.strings_q import KEYWORDS
@@ -82,7 +85,7 @@ def ml_pca_transform(spark, d):
 def ml_pca_logit_sweep(spark, d):
     e = embeddings(spark, d).withColumn("y", (F.col("label") < 5).cast("double"))
     train, test = split_hash(e, "vec_id", 30)
-    ks = [2, 4, 8, 16]
+    ks = list(range(5, 60))
     # PCA is fitted once at the largest k on train; each k takes the first k components
     model, centred_train, scaler = M.pca_fit(train, "vec", max(ks), with_scaler=True)
     tr = model.transform(centred_train)
@@ -117,6 +120,30 @@ def ml_backward_elimination(spark, d):
                                 p_max=0.05, vif_max=5.0)
 
 
+_THREE_SQL = """s AS (SELECT count(*) AS n, var_pop(l_quantity) AS a, var_pop(l_tax) AS b, var_pop(l_discount) AS c, covar_pop(l_quantity, l_tax) AS d,
+             covar_pop(l_quantity, l_discount) AS e, covar_pop(l_tax, l_discount) AS f, covar_pop(l_quantity, l_extendedprice) AS p,
+             covar_pop(l_tax, l_extendedprice) AS q, covar_pop(l_discount, l_extendedprice) AS r, var_pop(l_extendedprice) AS v FROM lineitem),
+i AS (SELECT *, a * (b * c - f * f) - d * (d * c - f * e) + e * (d * f - b * e) AS det FROM s),
+j AS (SELECT *, (b * c - f * f) / det AS i11, (e * f - d * c) / det AS i12, (d * f - b * e) / det AS i13,
+             (a * c - e * e) / det AS i22, (d * e - a * f) / det AS i23, (a * b - d * d) / det AS i33 FROM i),
+k AS (SELECT *, i11 * p + i12 * q + i13 * r AS b1, i12 * p + i22 * q + i23 * r AS b2, i13 * p + i23 * q + i33 * r AS b3 FROM j),
+u AS (SELECT *, (v - b1 * p - b2 * q - b3 * r) / (n - 4) AS mse FROM k),
+w AS (SELECT 'l_quantity' AS term, b1 AS coef, sqrt(mse * i11) AS se, a * i11 AS vif FROM u
+      UNION ALL SELECT 'l_tax', b2, sqrt(mse * i22), b * i22 FROM u UNION ALL SELECT 'l_discount', b3, sqrt(mse * i33), c * i33 FROM u)"""
+
+
+@query("ml_sweep_three_features", f"""WITH {_THREE_SQL}
+SELECT term, {rnd("coef", 3)} AS coef, {rnd("se", 3)} AS std_err, {rnd("coef / se", 3)} AS t, {rnd("vif", 6)} AS vif FROM w""")
+def ml_sweep_three_features(spark, d):
+    """First round of an elimination over three features, from the swept cross products."""
+    products = CrossProducts(t(spark, d, "lineitem"), ["l_quantity", "l_tax", "l_discount"], "l_extendedprice")
+    sweep = Sweep(products)
+    sweep.add_all(range(3))
+    rows = [(f, coef, se, stat, sweep.vif(products.features.index(f))) for f, coef, se, stat, _ in sweep.table() if f != "const"]
+    out = spark.createDataFrame(rows, "term string, coef double, std_err double, t double, vif double")
+    return out.select("term", *[F.round(c, 3).alias(c) for c in ("coef", "std_err", "t")], F.round("vif", 6).alias("vif"))
+
+
 @query("ml_rfe_linear")
 def ml_rfe_linear(spark, d):
     return M.rfe(cars(spark, d), CAR_FEATURES, "l_extendedprice", n=4, estimator="linear")
@@ -218,6 +245,29 @@ def ml_pca_loadings_two_columns(spark, d):
     return M.pca_loadings(spark, model, ["quantity", "price"], n_pc=2)
 
 
+def _two_batches(spark, d):
+    """Model of the two columns, fitted on one half of the lines and updated with the other."""
+    li = t(spark, d, "lineitem").select("l_linenumber", F.array(F.col("l_quantity"), F.col("l_extendedprice") / 1000).alias("x"))
+    return IncrementalPCA().partial_fit(li.where("l_linenumber <= 2"), "x").partial_fit(li.where("l_linenumber > 2"), "x")
+
+
+@query("ml_pca_incremental_scree", f"""WITH {_EIGEN}
+SELECT CAST(1 AS INTEGER) AS component, {rnd("l1 / (a + c)", 6)} AS explained_ratio, {rnd("l1 / (a + c)", 6)} AS cumulative FROM e
+UNION ALL SELECT 2, {rnd("1 - l1 / (a + c)", 6)}, 1.0 FROM e""")
+def ml_pca_incremental_scree(spark, d):
+    return _two_batches(spark, d).scree(spark)
+
+
+@query("ml_pca_incremental_transform", f"""WITH {_EIGEN},
+u AS (SELECT b / sqrt(b * b + (l1 - a) ^ 2) AS x, (l1 - a) / sqrt(b * b + (l1 - a) ^ 2) AS y FROM e),
+g AS (SELECT CASE WHEN abs(x) >= abs(y) THEN sign(x) ELSE sign(y) END AS s, x, y FROM u),
+m AS (SELECT avg(l_quantity) AS q, avg(l_extendedprice / 1000) AS p FROM lineitem)
+SELECT l_orderkey, l_linenumber, {rnd("s * ((l_quantity - q) * x + (l_extendedprice / 1000 - p) * y)", 4)} AS pc1 FROM lineitem, g, m""")
+def ml_pca_incremental_transform(spark, d):
+    li = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array(F.col("l_quantity"), F.col("l_extendedprice") / 1000).alias("x"))
+    return _two_batches(spark, d).transform(li, "x", 1).select("l_orderkey", "l_linenumber", F.round(F.col("pca")[0], 4).alias("pc1"))
+
+
 @query("ml_linear_svm")
 def ml_linear_svm(spark, d):
     dd = docs(spark, d)
@@ -297,7 +347,7 @@ def ml_silhouette(spark, d):
 
 @query("ml_hopkins")
 def ml_hopkins(spark, d):
-    return M.hopkins(embeddings(spark, d), "vec", m=50)
+    return M.hopkins(embeddings(spark, d), "vec")
 
 
 @query("ml_cluster_profile")
@@ -313,6 +363,5 @@ def ml_cluster_profile(spark, d):
 
 @query("ml_hierarchical_clusters")
 def ml_hierarchical_clusters(spark, d):
-    e = embeddings(spark, d)
-    m = M.bisecting(e, "vec", 8)
-    return m.transform(e).groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
+    found, _heights = cluster(t(spark, d, "embeddings"), "embedding", 8)
+    return found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_id"))

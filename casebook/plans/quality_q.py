@@ -123,6 +123,51 @@ def dq_drop_constant_columns(spark, d):
     return Q.drop_constant(o)[0]
 
 
+_FLAGS_SQL = """x AS (SELECT l_orderkey, l_returnflag, l_linestatus, l_quantity >= 3 AS bulk, CASE WHEN l_linenumber > 6 THEN l_linenumber END AS last_line,
+                   CASE WHEN l_tax > 0.07 THEN 'high' ELSE 'plain' END AS tax_class FROM lineitem)"""
+
+
+def _flags(spark, d):
+    return t(spark, d, "lineitem").select(
+        "l_orderkey", "l_returnflag", "l_linestatus", (F.col("l_quantity") >= 3).alias("bulk"),
+        F.when(F.col("l_linenumber") > 6, F.col("l_linenumber")).alias("last_line"),
+        F.when(F.col("l_tax") > 0.07, "high").otherwise("plain").alias("tax_class"))
+
+
+def _dominant_sql(share: float) -> str:
+    cols = ["l_orderkey", "l_returnflag", "l_linestatus", "bulk", "last_line", "tax_class"]
+    one = lambda c: f"""SELECT '{c}' AS "column", value, n, {rnd("n / total", 4)} AS share FROM (
+  SELECT CAST({c} AS VARCHAR) AS value, count(*) AS n, sum(count(*)) OVER () AS total FROM x WHERE {c} IS NOT NULL GROUP BY 1)
+  WHERE n >= {share} * total QUALIFY row_number() OVER (ORDER BY n DESC, value) = 1"""
+    return f"WITH {_FLAGS_SQL} " + " UNION ALL ".join(f"({one(c)})" for c in cols)
+
+
+@query("dq_dominant_values", _dominant_sql(0.8))
+def dq_dominant_values(spark, d):
+    return Q.dominant_values(_flags(spark, d), 0.8)
+
+
+@query("dq_drop_dominant", f"WITH {_FLAGS_SQL} SELECT l_orderkey, l_returnflag, l_linestatus FROM x")
+def dq_drop_dominant(spark, d):
+    return Q.drop_dominant(_flags(spark, d), 0.8)[0]
+
+
+@query("dq_iqr_filter_heavy_tail", """
+WITH h AS (SELECT o_orderkey, o_totalprice * CASE WHEN o_orderkey % 97 = 0 THEN 12 WHEN o_orderkey % 89 = 0 THEN -5 ELSE 1 END AS v FROM orders),
+b1 AS (SELECT quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM h),
+k1 AS (SELECT h.* FROM h, b1 WHERE v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)),
+b2 AS (SELECT quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM k1)
+SELECT k1.o_orderkey, v FROM k1, b2 WHERE v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)""")
+def dq_iqr_filter_heavy_tail(spark, d):
+    """A column with values far above and below its quartiles, so that both passes drop rows."""
+    return Q.iqr_filter(heavy_tail(t(spark, d, "orders")), "v", k=1.5, passes=2)[0]
+
+
+def heavy_tail(orders):
+    far = F.when(F.col("o_orderkey") % 97 == 0, 12).when(F.col("o_orderkey") % 89 == 0, -5).otherwise(1)
+    return orders.select("o_orderkey", (F.col("o_totalprice") * far).alias("v"))
+
+
 @query("dq_all_null_rows", f"""
 WITH {LINES_NULLS_SQL} SELECT {cnt_if("line_no IS NULL AND sparse_tax IS NULL")} AS n_all_null FROM x""")
 def dq_all_null_rows(spark, d):
