@@ -465,7 +465,7 @@ def test_tables_make_room():
         assert found[1] == -1 and t.ids[t.start[found[0]]:][:t.size[found[0]]].tolist() == [i, i]
 
 
-def test_bm25(spark, table, odd, empty):
+def test_bm25(spark, table, odd, empty, monkeypatch):
     pairs = _pairs(table)
     tf = {i: collections.Counter((t or "").encode().lower().split()) for i, t in pairs}
     df = collections.Counter(w for c in tf.values() for w in c)
@@ -480,7 +480,20 @@ def test_bm25(spark, table, odd, empty):
         want = sorted((-round(s, 6), d) for d in tf if (s := score(q, d)) > 0)[:5]
         assert [got.get((q, r + 1)) for r in range(len(want))] == [(d, pytest.approx(-s, abs=2e-6)) for s, d in want]
         assert (q, len(want) + 1) not in got
-    assert bm25.top_k(odd, odd, 3).count() > 0
+    texts = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    bags = [collections.Counter((t or "").split()) for _, t in texts]
+    df = collections.Counter(w for c in bags for w in c)
+    n, mean = len(bags), sum(sum(c.values()) for c in bags) / len(bags)
+    asked = {i: {w for j, t in texts if j == i for w in (t or "").split()} for i in (1, 2, 7)}      # a repeated id asks once for each term
+    weigh = lambda q, c: sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w in q if w in c)
+    got = bm25.top_k(odd, odd, 3).collect()
+    for q, words in asked.items():
+        want = sorted((round(weigh(words, c), 6) for c in bags if weigh(words, c) > 0), reverse=True)[:3]
+        assert [r["score"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == pytest.approx(want, abs=2e-6)
+    whole = sorted(map(tuple, bm25.top_k(table, table.filter("doc_id % 4 = 0"), 5).collect()))
+    for name, value in (("HELD", 7), ("SHARD", 9), ("POSTINGS", 3), ("DENSE_BYTES", 4000)):
+        monkeypatch.setattr(bm25, name, value)
+    assert sorted(map(tuple, bm25.top_k(table, table.filter("doc_id % 4 = 0"), 5).collect())) == whole
     assert bm25.top_k(empty, empty).count() == 0 and bm25.top_k(table, empty).count() == 0
 
 
