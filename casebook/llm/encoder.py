@@ -21,6 +21,7 @@ import numpy as np
 from casebook.llm import kernels
 
 WORDS, CHUNKS = 2_000_000, 150_000      # table sizes, in entries
+JOINT = 256                             # new spans that the library gets as one text; it is slower on long texts
 _MARK = np.isin(np.arange(256), list(b",.;:!?"))
 _ASCII_LETTER = np.isin(np.arange(256) | 32, np.arange(97, 123)) & (np.arange(256) >= 65) & (np.arange(256) < 128)
 

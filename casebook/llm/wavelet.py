@@ -1,7 +1,9 @@
 """Token ids in wavelet-matrix files: one compressed file a shard, with access, rank, select, count and occurrences.
 
-Documents go to shards in ascending doc_id order (range partitions; a task starts a new file after ``FILE_TOKENS``
-ids, so a file and the memory of a task are bounded by that plus one block or one document). A file holds the bit planes of its
+Texts are encoded where they are scanned, and only ids (two bytes each, for vocabularies up to 65,536) are shuffled.
+Documents go to shards in ascending doc_id order: ranges of the key between approximate quantiles, a number of tasks
+that grows with the rows up to ``PARTS``; a task starts a new file after ``FILE_TOKENS`` ids, so a file and the memory
+of a task are bounded by that plus one batch or one document. A file holds the bit planes of its
 ids from the highest bit down, each plane in the order that stable partitions by the planes above leave, a running
 count of ones every 512 bits, and the id and end of every document.
 
@@ -32,6 +34,7 @@ from casebook.llm.encoder import default_vocabulary, encoder
 from casebook.session import checkpoint_dir
 
 MAGIC, SPAN, FILE_TOKENS, SHARD_ROWS, END = b"CBWM1\n", 512, 1 << 21, 2500, 2
+PARTS = 4096        # range partitions at most; each writes as many files as its ids need
 PIECE = 1 << 16     # ids that one step of a stable partition moves, so that its index arrays stay in cache
 
 
@@ -160,41 +163,71 @@ def from_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, Wavelet
 
 
 def _filesystem(folder: str):
+    """The Arrow file system of a folder and its path there; Hadoop's names of S3 are S3."""
     if folder.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + folder[5:].lstrip("/")
     if "://" not in folder:
         return pafs.LocalFileSystem(), folder
-    return pafs.FileSystem.from_uri(folder)
+    scheme, rest = folder.split("://", 1)
+    return pafs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme)}://{rest}")
+
+
+def _kind(coder) -> type:
+    """The integer type of ids, the end id included."""
+    return np.uint16 if max(coder.tok.get_vocab_size(), END + 1) <= 1 << 16 else np.uint32
+
+
+def _encode(path: str, bounds: list[int]):
+    """(range of the key, key, doc_id, ids with the end id) of every row."""
+    def run(batches):
+        coder = encoder(path)
+        kind, limits = _kind(coder), np.array(bounds, np.int64)
+        for batch in batches:
+            part = pa.array(np.searchsorted(limits, batch.column(0).to_numpy(), "left").astype(np.int32))
+            for i, j, data, off in kernels.blocks(batch.column(2), 2 * kernels.BLOCK):
+                if coder.plain:
+                    got, ends = coder.encode(data, off)
+                else:
+                    each = coder.whole([data[off[d]:off[d + 1]].tobytes().decode() for d in range(j - i)])
+                    got, ends = np.array([x for e in each for x in e], np.uint32), np.cumsum([len(e) for e in each])
+                last = ends + np.arange(len(ends))
+                ids, own = np.full(len(got) + len(ends), END, kind), np.ones(len(got) + len(ends), bool)
+                own[last] = False
+                ids[own] = got
+                cuts = (np.append(0, last + 1) * ids.itemsize).astype(np.int64)
+                packed = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(cuts), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.slice(i, j - i), batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), packed], names=["part", "_row", "doc_id", "ids"])
+    return run
 
 
 def _write(folder: str, path: str, file_tokens: int):
     def run(batches):
         fs, base = _filesystem(folder)
         fs.create_dir(base)
-        coder, part, seq = encoder(path), TaskContext.get().partitionId(), 0
+        kind, part, seq = _kind(encoder(path)), TaskContext.get().partitionId(), 0
+        encoder.cache_clear()       # the worker may have encoded before; planes need its memory
         keys, sizes, ids, held = [], [], [], 0
 
         def close():
-            seen = np.concatenate(ids)
             name = f"shard-{part:06d}-{seq:06d}-{uuid.uuid4().hex}.wm"
             with fs.open_output_stream(f"{base}/{name}") as f:
                 doc = pa.chunked_array(keys, pa.int64())
-                f.write(to_bytes(doc.fill_null(0).to_numpy(), doc.is_null().to_numpy(), np.cumsum(np.concatenate(sizes)), WaveletMatrix.build(seen)))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([name]), pa.array([len(seen)], pa.int64())],
+                f.write(to_bytes(doc.fill_null(0).to_numpy(), doc.is_null().to_numpy(), np.cumsum(np.concatenate(sizes)), WaveletMatrix.build(np.concatenate(ids))))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([name]), pa.array([held], pa.int64())],
                                               names=["part", "seq", "name", "n"])
 
         for batch in batches:
-            for i, j, data, off in kernels.blocks(batch.column(1), 2 * kernels.BLOCK):
-                if coder.plain:
-                    got, ends = coder.encode(data, off)
-                else:
-                    each = coder.whole([data[off[d]:off[d + 1]].tobytes().decode() for d in range(j - i)])
-                    got, ends = np.array([x for e in each for x in e], np.uint32), np.cumsum([len(e) for e in each])
-                ids.append(np.insert(got, ends, END))
-                sizes.append(np.diff(ends, prepend=0) + 1)
-                keys.append(batch.column(0).slice(i, j - i))
-                held += len(ids[-1])
-                if held >= file_tokens:
+            column = batch.column(3).cast(pa.large_binary())
+            off = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+            data = np.frombuffer(column.buffers()[2], np.uint8)
+            ends, i = off // np.dtype(kind).itemsize, 0
+            while i < batch.num_rows:
+                j = max(i + 1, int(np.searchsorted(ends, ends[i] + file_tokens - held, "right")) - 1)
+                ids.append(data[off[i]:off[j]].copy().view(kind).astype(np.uint32))
+                sizes.append(np.diff(ends[i:j + 1]))
+                keys.append(batch.column(2).slice(i, j - i))
+                held, i = held + len(ids[-1]), j
+                if held >= file_tokens or j < batch.num_rows:
                     yield close()
                     keys, sizes, ids, held, seq = [], [], [], 0, seq + 1
         if keys:
@@ -223,11 +256,18 @@ def write_shards(rows: DataFrame, path: str | None = None, shard_rows: int = SHA
     spark = rows.sparkSession
     folder = f"{checkpoint_dir(spark).rstrip('/')}/tables/wavelet-{uuid.uuid4().hex}"
     _WRITTEN.append((spark, folder))
-    ordered = rows.select("_row", "doc_id", "text").repartitionByRange(max(1, -(-rows.count() // shard_rows)), "_row").sortWithinPartitions("_row")
-    files = stored(ordered.select("doc_id", "text").mapInArrow(_write(folder, path or default_vocabulary(), file_tokens), "part long, seq long, name string, n long"), "manifest")
-    # one row a file: the running sum over the manifest is of metadata only
-    before = F.sum("n").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
-    return folder, files.withColumn("before", F.coalesce(before, F.lit(0)))
+    path = path or default_vocabulary()
+    parts = min(PARTS, max(1, -(-rows.count() // shard_rows)))
+    grid = "array(" + ",".join(f"{i / parts}D" for i in range(1, parts)) + ")"
+    bounds = (rows.agg(F.expr(f"percentile_approx(_row, {grid}, {8 * parts})")).first()[0] or []) if parts > 1 else []
+    coded = rows.select("_row", "doc_id", "text").mapInArrow(_encode(path, bounds), "part int, _row long, doc_id long, ids binary")
+    ordered = coded.repartitionById(parts, "part").sortWithinPartitions("_row")
+    files = stored(ordered.mapInArrow(_write(folder, path, file_tokens), "part long, seq long, name string, n long"), "manifest")
+    # running sums within a part, and over the parts, one row each
+    total = files.groupBy("part").agg(F.sum("n").alias("n"))
+    parts_before = total.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("parts_before"))
+    own = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return folder, files.withColumn("own", own).join(parts_before, "part").select("part", "seq", "name", "n", (F.col("own") + F.col("parts_before")).alias("before"))
 
 
 def read_shards(folder: str, manifest: DataFrame) -> DataFrame:
