@@ -7,8 +7,8 @@ Differences from the single-machine libraries, stated once:
 * Spark's PCA projects without centring → :func:`pca_fit` centres first;
 * Spark's ``LogisticRegression`` has no ``class_weight``: balanced weights are a
   ``weightCol`` of ``n / (2 · n_class)``;
-* there is no kernel SVM: the RBF model is approximated with seeded random
-  Fourier features (Rahimi & Recht, 2007) and a linear SVM;
+* kernel machines are in :mod:`casebook.operators.kernel`, grid searches in one
+  batch of fits in :mod:`casebook.operators.grids`;
 * complete-linkage clusters are in :mod:`casebook.operators.hierarchy`;
 * ``ClusteringEvaluator`` uses squared Euclidean distance for silhouette.
 """
@@ -31,8 +31,8 @@ from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from casebook.operators.grids import Setting, search
 from casebook.operators.stats import corr_matrix, vif_values
 from casebook.operators.sweep import CrossProducts, eliminate
 from casebook.session import cut_lineage
@@ -200,43 +200,23 @@ def linear_svm(train: DataFrame, features: Sequence[str], label: str, reg: float
     return pipe.fit(w)
 
 
-def rff_features(df: DataFrame, vec: str, dim_in: int, n_features: int = 64, gamma: float = 0.1,
-                 seed: int = 7, out: str = "rff") -> DataFrame:
-    """Random Fourier features z(x) = sqrt(2/D)·cos(Wx + b), W ~ N(0, 2γ), b ~ U(0, 2π).
-
-    W and b are a fixed, seeded (dim_in × D) matrix shipped with the function,
-    so their size is bounded by the parameters, not by the data."""
-    rng = np.random.default_rng(seed)
-    W = rng.normal(0.0, math.sqrt(2 * gamma), size=(dim_in, n_features))
-    b = rng.uniform(0, 2 * math.pi, size=n_features)
-    scale = math.sqrt(2.0 / n_features)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def rff(xs: pd.Series) -> pd.Series:
-        X = np.stack(xs.to_numpy()).astype(np.float64)
-        Z = scale * np.cos(X @ W + b)
-        return pd.Series(list(Z))
-
-    return df.withColumn(out, array_to_vector(rff(vector_to_array(vec))))
-
-
 def grid_search(train: DataFrame, features: Sequence[str], label: str, reg_params: Sequence[float],
-                elastic: Sequence[float], folds: int = 3, seed: int = 11, parallelism: int = 2) -> DataFrame:
-    """k-fold grid search of a scaled logistic regression; one row per grid point
-    with the mean AUC, and ``best`` marking the winner."""
-    lr = LogisticRegression(featuresCol="features", labelCol=label, maxIter=50)
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw"),
-                            StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True), lr])
-    grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).addGrid(lr.elasticNetParam, list(elastic)).build()
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, numFolds=folds, seed=seed, parallelism=parallelism,
-                        evaluator=BinaryClassificationEvaluator(labelCol=label))
-    m = cv.fit(train)
-    best = int(np.argmax(m.avgMetrics))
-    rows = [(float(p[lr.regParam]), float(p[lr.elasticNetParam]), round(float(s), 6), i == best)
-            for i, (p, s) in enumerate(zip(grid, m.avgMetrics))]
+                elastic: Sequence[float], folds: int = 3, seed: int = 11, balanced: bool = False) -> DataFrame:
+    """k-fold grid search of a scaled logistic regression; one row per grid point with the mean AUC, and ``best`` marking
+    the winner. All points and folds are fitted together (:mod:`casebook.operators.grids`)."""
+    grid = [Setting("logistic", reg=r, elastic=e) for r in reg_params for e in elastic]
+    rows = [(float(s.reg), float(s.elastic), auc, best) for s, auc, best in search(train, features, label, grid, folds, seed, balanced)]
     return train.sparkSession.createDataFrame(rows, "reg_param double, elastic_net double, mean_auc double, best boolean")
 
 
+def grid_search_kernel(train: DataFrame, features: Sequence[str], label: str, cs: Sequence[float], gammas: Sequence[float],
+                       folds: int = 3, seed: int = 11, balanced: bool = True, m: int = 32) -> DataFrame:
+    """The same for an RBF machine (squared hinge loss on ``m`` landmark features) over (C, gamma)."""
+    grid = [Setting("hinge2", c=c, gamma=g) for c in cs for g in gammas]
+    rows = [(float(s.c), float(s.gamma), auc, best) for s, auc, best in search(train, features, label, grid, folds, seed, balanced, m)]
+    return train.sparkSession.createDataFrame(rows, "c double, gamma double, mean_auc double, best boolean")
+
+
 def grid_search_models(train: DataFrame, features: Sequence[str], label: str, svm_reg: Sequence[float],
                        depths: Sequence[int], trees: Sequence[int], folds: int = 3, seed: int = 11,
                        parallelism: int = 2) -> DataFrame:

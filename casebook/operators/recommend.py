@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from casebook.session import cut_lineage
 
 BROADCAST_ROWS = 200_000    # item pairs that every task may hold
+ALL_PAIRS = 5_000           # items of which every pair may be a row
 
 
 def min_count_filter(ratings: DataFrame, item_min: int, user_min: int, user: str = "usr",
@@ -37,6 +38,19 @@ def min_count_filter(ratings: DataFrame, item_min: int, user_min: int, user: str
     return r1.join(uc, user, "left_semi")
 
 
+def min_count_share_filter(ratings: DataFrame, item_share: float, user_share: float, user: str = "usr",
+                           item: str = "item") -> DataFrame:
+    """The same with counts as quantiles: items above the ``item_share`` quantile of ratings per item, then users above
+    the ``user_share`` quantile of the ratings left per user, so the result does not depend on the size of the table."""
+    def above(rows: DataFrame, key: str, share: float) -> DataFrame:
+        counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        bound = counts.select(F.percentile("_n", F.lit(share))).scalar()      # the map of counts is as long as counts differ
+        return counts.where(F.col("_n") > bound).select(key)
+
+    r1 = ratings.join(above(ratings, item, item_share), item, "left_semi")
+    return r1.join(above(r1, user, user_share), user, "left_semi")
+
+
 def centre(ratings: DataFrame, by: str, value: str = "rating", name: str = "centred") -> DataFrame:
     """value − mean of its own group (mean over observed ratings).
 
@@ -50,10 +64,18 @@ def centre(ratings: DataFrame, by: str, value: str = "rating", name: str = "cent
 # ---------------------------------------------------------------- item × item
 def item_similarity(ratings: DataFrame, items: Sequence | None = None, user: str = "usr", item: str = "item",
                     value: str = "rating", center: str | None = None, clip: bool = False,
-                    min_overlap: int = 1) -> DataFrame:
+                    min_overlap: int = 1, least: float | None = None) -> DataFrame:
     """Cosine between items over users, long form (a, b, sim), both directions and
     the diagonal. Without ``items`` the pairs are those that at least
     ``min_overlap`` users rated; with ``items`` every pair of the list has a row.
+    ``least`` keeps the pairs of at least that similarity.
+
+    Under 'zero_filled' centring two items that no user rated both are not alike
+    by 0 but by -s_a s_b / (n |a| |b|), with s the sums of the ratings. Without
+    ``items`` and with ``min_overlap`` 1 these pairs get rows too, from one (sum, norm)
+    a pair of items, unless they cannot reach what is asked for: ``clip`` or ``least`` >= 0
+    leave out pairs of at most 0, which uncorated items are where no sum is negative.
+    A catalogue of more than ``ALL_PAIRS`` items needs one of these or a list.
 
     center: None (raw), 'observed' (subtract the item mean of observed ratings,
     missing stays 0), 'zero_filled' (missing counts as 0 in the item mean:
@@ -84,6 +106,15 @@ def item_similarity(ratings: DataFrame, items: Sequence | None = None, user: str
             .select("a", F.explode(listed).alias("b")).where("a < b")
         pairs = grid.join(pairs, ["a", "b"], "left").na.fill(0.0, subset=["_d"])
     side = lambda s: sums.select(F.col(item).alias(s), *[F.col(c).alias(f"{c}{s}") for c in sums.columns if c not in (item, "_m")])
+    if center == "zero_filled" and items is None and min_overlap <= 1:
+        facts = sums.agg(F.count(F.lit(1)).alias("n"), F.min("_s").alias("low")).first()
+        none_below = facts["low"] is None or facts["low"] >= 0
+        if not (none_below and (clip or (least is not None and least > 0))):
+            if facts["n"] > ALL_PAIRS:
+                raise ValueError(f"{facts['n']} items have similarities of every pair: name items, a least similarity or clip")
+            names = cut_lineage(sums.select(item))      # at most ALL_PAIRS rows
+            grid = names.select(F.col(item).alias("a")).join(F.broadcast(names.select(F.col(item).alias("b"))), F.col("a") < F.col("b"))
+            pairs = grid.join(pairs, ["a", "b"], "left").na.fill(0.0, subset=["_d"])
     j = pairs.join(side("a"), "a").join(side("b"), "b")
     dot = F.col("_d") - F.col("_sa") * F.col("_sb") / F.col("_na") if center == "zero_filled" else F.col("_d")
     sim = F.coalesce(F.try_divide(dot, F.sqrt(F.col("_qa") * F.col("_qb"))), F.lit(0.0))
@@ -95,7 +126,8 @@ def item_similarity(ratings: DataFrame, items: Sequence | None = None, user: str
     own = sums.where(F.col("_m") >= min_overlap) if items is None else sums
     diag = own.select(F.col(item).alias("a"), F.col(item).alias("b"), F.coalesce(
         F.try_divide(F.col("_q"), F.sqrt(F.col("_q") * F.col("_q"))), F.lit(0.0)).alias("sim"))
-    return both.select(F.col("_a").alias("a"), F.col("_b").alias("b"), "sim").unionByName(diag)
+    out = both.select(F.col("_a").alias("a"), F.col("_b").alias("b"), "sim").unionByName(diag)
+    return out if least is None else out.where(F.col("sim") >= least)
 
 
 def predict_item_based(ratings: DataFrame, sim: DataFrame, user: str = "usr", item: str = "item",

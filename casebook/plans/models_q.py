@@ -19,6 +19,7 @@ from casebook.operators import models as M
 from casebook.operators.features import one_hot
 from casebook.operators.hierarchy import cluster
 from casebook.operators.incremental import IncrementalPCA
+from casebook.operators.kernel import fit_kernel_svm
 from casebook.operators.splits import split_hash
 from casebook.operators.sweep import CrossProducts, Sweep
 from casebook.plans.registry import query
@@ -277,20 +278,33 @@ def ml_linear_svm(spark, d):
                                         F.round(vector_to_array("rawPrediction")[1], 6).alias("margin"))
 
 
+def _kernel_machine(spark, d):
+    """Machine on the scaled training rows, the scaled test rows, and the balanced weights of the classes."""
+    train, test = split_hash(docs(spark, d), "doc_id", 30)
+    stats = train.agg(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(DOC_FEATURES)], *[F.stddev(f).alias(f"s{i}") for i, f in enumerate(DOC_FEATURES)]).first()
+    x = F.array(*[F.coalesce(F.try_divide(F.col(f).cast("double") - stats[f"m{i}"], F.lit(stats[f"s{i}"])), F.lit(0.0)) for i, f in enumerate(DOC_FEATURES)])
+    model = fit_kernel_svm(M.balanced_weights(train, "label").withColumn("x", x), "x", "label", c=1.0, gamma=0.1, m=64, weight="weight", tolerance=0.01)
+    return model, test.withColumn("x", x)
+
+
 @query("ml_rbf_svm_approx")
 def ml_rbf_svm_approx(spark, d):
-    from pyspark.ml.classification import LinearSVC
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    dd = VectorAssembler(inputCols=DOC_FEATURES, outputCol="raw").transform(docs(spark, d))
-    train, test = split_hash(dd, "doc_id", 30)
-    sc = StandardScaler(inputCol="raw", outputCol="std", withMean=True, withStd=True).fit(train)
-    tr = M.rff_features(sc.transform(train), "std", len(DOC_FEATURES), n_features=64, gamma=0.1)
-    te = M.rff_features(sc.transform(test), "std", len(DOC_FEATURES), n_features=64, gamma=0.1)
-    tr = M.balanced_weights(tr, "label")
-    c_param, n = 1.0, tr.count()
-    svm = LinearSVC(featuresCol="rff", labelCol="label", weightCol="weight", regParam=1.0 / (c_param * n),
-                    maxIter=100).fit(tr)
-    return svm.transform(te).select("doc_id", "label", F.col("prediction").cast("int").alias("prediction"))
+    model, test = _kernel_machine(spark, d)
+    return model.margin(test, "x").select("doc_id", "label", (F.col("margin") > 0).cast("int").alias("prediction"), F.round("margin", 4).alias("margin"))
+
+
+@query("ml_rbf_svm_gap")
+def ml_rbf_svm_gap(spark, d):
+    """How close the machine is to the optimum of its dual."""
+    model, _ = _kernel_machine(spark, d)
+    return spark.createDataFrame([(len(model.points), model.rounds, round(model.primal, 4), round(model.dual, 4), round(model.gap, 6))],
+                                 "n_landmarks int, rounds int, primal double, dual double, relative_gap double")
+
+
+@query("ml_grid_search_kernel")
+def ml_grid_search_kernel(spark, d):
+    train, _ = split_hash(docs(spark, d), "doc_id", 30)
+    return M.grid_search_kernel(train, DOC_FEATURES, "label", [0.1, 1.0, 10.0], [0.01, 0.1, 1.0])
 
 
 @query("ml_grid_search")

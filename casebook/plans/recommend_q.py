@@ -13,7 +13,7 @@ from casebook.plans.registry import query
 from casebook.plans.shaping_q import RATINGS_SQL, ratings
 from casebook.plans.sqlfn import rnd
 
-ITEM_MIN, USER_MIN = 1100, 15
+ITEM_SHARE, USER_SHARE = 0.3, 0.4
 
 
 def shared_ratings(spark, d):
@@ -25,10 +25,12 @@ def shared_ratings(spark, d):
 
 @query("reco_prepare", f"""
 WITH {RATINGS_SQL},
-r1 AS (SELECT * FROM ratings WHERE item IN (SELECT item FROM ratings GROUP BY item HAVING count(*) > {ITEM_MIN}))
-SELECT * FROM r1 WHERE usr IN (SELECT usr FROM r1 GROUP BY usr HAVING count(*) > {USER_MIN})""")
+ic AS (SELECT item, count(*) AS n FROM ratings GROUP BY 1),
+r1 AS (SELECT * FROM ratings WHERE item IN (SELECT item FROM ic WHERE n > (SELECT quantile_cont(n, {ITEM_SHARE}) FROM ic))),
+uc AS (SELECT usr, count(*) AS n FROM r1 GROUP BY 1)
+SELECT * FROM r1 WHERE usr IN (SELECT usr FROM uc WHERE n > (SELECT quantile_cont(n, {USER_SHARE}) FROM uc))""")
 def reco_prepare(spark, d):
-    return RC.min_count_filter(ratings(spark, d), ITEM_MIN, USER_MIN)
+    return RC.min_count_share_filter(ratings(spark, d), ITEM_SHARE, USER_SHARE)
 
 
 #: users that recommendations are asked for

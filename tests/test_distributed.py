@@ -162,6 +162,24 @@ def test_item_similarity_reads_items_from_the_data(spark):
     assert ("new", "new") not in twice
 
 
+def test_uncorated_items_of_zero_filled_centring(spark, monkeypatch):
+    rows = [(1, "i1", 5.0), (2, "i2", 4.0), (3, "i3", 2.0), (3, "i1", 1.0), (4, "i4", 3.0)]
+    df = spark.createDataFrame(rows, "usr long, item string, rating double")
+    names = ["i1", "i2", "i3", "i4"]
+    m = np.zeros((4, 4))
+    for u, i, r in rows:
+        m[u - 1, names.index(i)] = r
+    S = _cos((m - m.mean(axis=0)).T)
+    got = {(r["a"], r["b"]): r["sim"] for r in RC.item_similarity(df, center="zero_filled").collect()}
+    assert got == pytest.approx({(a, b): S[i, j] for i, a in enumerate(names) for j, b in enumerate(names)}) and got["i1", "i2"] < 0
+    some = {(r["a"], r["b"]): r["sim"] for r in RC.item_similarity(df, center="zero_filled", least=0.1).collect()}
+    assert some == pytest.approx({k: v for k, v in got.items() if v >= 0.1})
+    monkeypatch.setattr(RC, "ALL_PAIRS", 3)
+    with pytest.raises(ValueError, match="4 items"):
+        RC.item_similarity(df, center="zero_filled")
+    assert {(r["a"], r["b"]) for r in RC.item_similarity(df, center="zero_filled", clip=True).where("sim > 0").collect()} == {k for k, v in got.items() if v > 0}
+
+
 def test_item_scores_beyond_the_broadcast_bound(spark, monkeypatch):
     df = spark.createDataFrame(RATINGS4, "usr long, item string, rating double")
     sim = RC.item_similarity(df)
