@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casebook.llm import exact, langid, minhash, packing, substring
-from casebook.llm.common import keyed, stored
+from casebook.llm.common import keyed, pick, stored
 from casebook.llm.encoder import default_vocabulary
 from casebook.session import ship_package
 
@@ -20,7 +20,8 @@ COLUMNS = {"text": "string", "lang": "string", "source": "string", "n_chars": "l
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; a missing ``lang`` becomes the predicted one."""
     ship_package(spark)
-    found = langid.predict(docs.select("doc_id", *COLUMNS), langid.train(docs))
+    rows = pick(docs, doc_id="long", **COLUMNS)
+    found = langid.predict(rows, langid.train(rows))
     return found.filter("NOT rejected").select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
 
 
