@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +78,13 @@ def _size(words: list[str], by_letters: bool) -> int:
     return sum(max(1, len(w) // LETTERS) if _BY_LETTERS.search(w) else 1 for w in words)
 
 
+def _needs_letters(text: str) -> bool:
+    """Whether a text has a word of over ``LONG`` letters or letters of a script without spaces."""
+    if text.isascii():
+        return max(map(len, text.split()), default=0) > LONG
+    return _BY_LETTERS.search(text) is not None
+
+
 def _pieces(text: str, start: int, end: int, by_letters: bool):
     """(start, end, words, size, what is compared or None) of a unit, cut where it is long."""
     own = text[start:end]
@@ -111,11 +119,30 @@ def _pieces(text: str, start: int, end: int, by_letters: bool):
         yield start + (at[a] if a else 0), start + at[b] if b < len(parts) else end, mine, _size(mine, True) if by_letters else b - a, what
 
 
+def _cut_words(start: int, end: int, own: str, words: list[str]):
+    """The same of a unit of more than twice ``EDGE`` words, none of them counted by letters."""
+    cuts = winnowed([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], EDGE, WINDOW)
+    if not cuts:
+        yield start, end, words, len(words), None
+        return
+    a, last, raw = 0, len(words), own.split()
+    lead = len(own) - len(own.lstrip())
+    if sum(map(len, raw)) + last - 1 == len(own.strip()):       # one character of white space between words
+        at = list(accumulate(map(len, raw), lambda x, n: x + n + 1, initial=lead))
+    else:
+        at = [m.start() for m in _WORD.finditer(own)]
+    for b in [*cuts, last]:
+        first = max(0, b - RUN)
+        yield (start + at[a] if a else start, start + at[b] if b < last else end, words[a:b], b - a,
+               f"{a - first}\1{b - first}\1{' '.join(words[first:max(b, first + RUN)])}")
+        a = b
+
+
 def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, str]]:
     """(start, end, what is compared) of the units that can be removed."""
     every: list[tuple[int, int, list[str], int, str | None]] = []
     lines: list[tuple[int, int, bool]] = []        # units from, to, whether the line is long enough to be compared by itself
-    by_letters = _BY_LETTERS.search(text) is not None
+    by_letters = _needs_letters(text)
     at = 0
 
     def close() -> None:
@@ -129,11 +156,14 @@ def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, str]]:
 
     for m in UNIT.finditer(text):
         own = m.group()
-        if by_letters or len(own) > 4 * EDGE:
-            every.extend(_pieces(text, m.start(), m.end(), by_letters))
+        if by_letters and _needs_letters(own):
+            every.extend(_pieces(text, m.start(), m.end(), True))
         else:
             words = own.lower().split()
-            every.append((m.start(), m.end(), words, len(words), None))
+            if len(words) > 2 * EDGE:
+                every.extend(_cut_words(m.start(), m.end(), own, words))
+            else:
+                every.append((m.start(), m.end(), words, len(words), None))
         if "\n" in own:
             close()
     close()
