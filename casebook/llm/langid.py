@@ -6,7 +6,7 @@ with a row of log-probabilities (a column per language) beside each, so one bina
 
 Training reads whole texts of a hash sample of about ``per_lang`` labelled documents per language value (the bound
 of the classifier's data, a parameter); the counting runs in Spark, and the driver gets the n-gram counts only. A
-tenth of the sample is held back to calibrate the score (temperature) and the rejection (largest cross-entropy).
+tenth of the sample is held back to calibrate the score (temperature) and the rejection (cross-entropy by language).
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from pyspark.sql.types import StructType
 from casebook.llm import kernels
 from casebook.llm.common import pick
 
-ORDER, PER_LANG = 4, 1000
+ORDER, PER_LANG, MOST_LANGS, FEW = 4, 1000, 1000, 20
+_MOST = (1 << 63) - 1
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -39,21 +40,20 @@ def _letters() -> np.ndarray:
     return table
 
 
-def letter_runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (0 for a gap) of the concatenated texts and offsets; each text starts and ends with one gap."""
-    texts = ["" if t is None else t for t in column.to_pylist()]
-    points = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+def letter_runs(column: pa.Array, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (0 for a gap) of the concatenated texts and offsets. Each text starts with ``order`` - 1 gaps, so no
+    n-gram reaches into the text before it, and ends with a gap."""
+    lead = "\0" * (order - 1)
+    texts = [lead + (t or "") + "\0" for t in column.to_pylist()]
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     codes = _letters()[np.minimum(points, 0x10FFFF)]
-    lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+    limits = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
     keep = codes != 0
     keep[1:] |= codes[:-1] != 0      # the first gap after a letter stays
-    if len(keep):
-        keep[0] = True               # and one gap leads the block
-    last = np.cumsum(lengths) - 1    # the gap that ends each text stays
-    keep[last] = True
-    at = np.cumsum(keep)
-    off = np.concatenate([[0], at[last]]) if len(texts) else np.zeros(1, np.int64)
-    return codes[keep], off
+    for i in range(order - 1):
+        keep[limits[:-1] + i] = True
+    keep[limits[1:] - 1] = True
+    return codes[keep], np.concatenate([[0], np.cumsum(keep)[limits[1:] - 1]])
 
 
 def gram_hashes(codes: np.ndarray, order: int) -> list[np.ndarray]:
@@ -80,7 +80,7 @@ def _count(order: int):
             langs = np.array(batch.column(0).to_pylist(), object)
             held = np.array(batch.column(2).to_pylist(), bool)
             for lang in sorted(set(langs[~held])):
-                codes, off = letter_runs(batch.column(1).filter(pa.array((langs == lang) & ~held)))
+                codes, off = letter_runs(batch.column(1).filter(pa.array((langs == lang) & ~held)), order)
                 some = np.flatnonzero(_scored(codes, off))
                 grams = gram_hashes(codes, order)
                 for k in range(1, order + 1):
@@ -89,9 +89,6 @@ def _count(order: int):
                     before = np.maximum(at - 1, 0)
                     shorter = grams[k - 2][at] if k > 1 else np.zeros(len(at), np.uint64)
                     context = grams[k - 2][before] if k > 1 else np.zeros(len(at), np.uint64)
-                    if k > 1:
-                        first = at == 0
-                        context[first] = gram_hashes(np.zeros(1, np.uint32), order)[k - 2][0]
                     yield pa.RecordBatch.from_arrays([
                         pa.array([lang] * len(h), pa.string()), pa.array([k] * len(h), pa.int32()),
                         pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), pa.array(shorter.view(np.int64)),
@@ -144,16 +141,14 @@ class Model:
         size, i = kernels.utf8(column)[1], 0
         while i < n:  # blocks of whole texts
             j = max(i + 1, int(np.searchsorted(size, size[i] + kernels.BLOCK, "right")) - 1)
-            codes, off = letter_runs(column.slice(i, j - i))
+            codes, off = letter_runs(column.slice(i, j - i), len(self.grams))
             some = _scored(codes, off)
             if len(codes):
                 p = self.positions(codes)
                 p[~some] = 0
-                total = np.add.reduceat(np.concatenate([p, np.zeros((1, p.shape[1]), np.float32)]), off[:-1], axis=0, dtype=np.float64)
-                count = np.add.reduceat(np.append(some, False).astype(np.int64), off[:-1])
-                letters[i:j] = np.add.reduceat(np.append(codes != 0, False).astype(np.int64), off[:-1])
-                empty = off[1:] == off[:-1]
-                total[empty], count[empty], letters[i:j][empty] = 0, 0, 0
+                total = np.add.reduceat(p, off[:-1], axis=0, dtype=np.float64)
+                count = np.add.reduceat(some.astype(np.int64), off[:-1])
+                letters[i:j] = np.add.reduceat((codes != 0).astype(np.int64), off[:-1])
                 ce[i:j] = -total / np.maximum(count, 1)[:, None]
             i = j
         return ce, letters
@@ -204,18 +199,26 @@ def _kneser_ney(table: pa.Table, langs: list[str], order: int) -> Model:
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, order: int = ORDER) -> Model | None:
-    """Models from rows with text and lang; None without any. ``per_lang`` bounds the sample per language value."""
+    """Models from rows with text and lang; None without any. ``per_lang`` bounds the sample per language value, drawn
+    by a hash of id and text. More than ``MOST_LANGS`` language values raise: a column like that holds no languages."""
     rows = pick(docs, doc_id="long", text="string", lang="string").filter("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()}
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} values of lang")
     if not sizes:
         return None
-    span = 1 << 20
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, int(span * min(1.0, per_lang / n)))])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(span))
-    sample = rows.filter(draw < F.element_at(share, F.col("lang")))
-    sample = sample.select("lang", "text", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(10)) == 0).alias("held"))
-    counted = sample.mapInArrow(_count(order), "lang string, k int, gram long, context long, shorter long, n long") \
-        .groupBy("lang", "k", "gram", "context", "shorter").agg(F.sum("n").alias("n")).toArrow()
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, _MOST if n <= per_lang else _MOST * per_lang // n)])
+    draw = F.xxhash64("doc_id", "text").bitwiseAND(F.lit(_MOST))
+    sample = rows.filter(draw <= F.element_at(share, F.col("lang")))
+    sample = sample.select("lang", "text", (F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(10)) == 0).alias("held"))
+
+    def counts(of: DataFrame) -> pa.Table:
+        return of.mapInArrow(_count(order), "lang string, k int, gram long, context long, shorter long, n long") \
+            .groupBy("lang", "k", "gram", "context", "shorter").agg(F.sum("n").alias("n")).toArrow()
+
+    counted = counts(sample)
+    if counted.num_rows == 0:       # so few rows that all are held back: they do both
+        counted = counts(sample.withColumn("held", F.lit(False)))
     if counted.num_rows == 0:
         return None
     model = _kneser_ney(counted, sorted(set(counted["lang"].to_pylist())), order)
@@ -223,7 +226,9 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, order: int = ORDER) -> Mode
 
 
 def _calibrate(model: Model, held: DataFrame) -> Model:
-    """Temperature by least log-loss; rejection bound one nat above the worst held-back cross-entropy."""
+    """Temperature by least log-loss; rejection bound of a language one nat above the 99 % quantile of the held-back
+    cross-entropies of its documents (of all documents, where it has under ``FEW``). With fewer documents than that
+    held back in all, only a text that is scored worse than by even chances is rejected."""
     names = list(model.langs)
 
     def run(batches):
@@ -239,7 +244,8 @@ def _calibrate(model: Model, held: DataFrame) -> Model:
         ce = np.array([r["ce"] for r in got])
         truth = np.array([names.index(r["lang"]) for r in got])
         best = ce.min(axis=1)
-        model.worst = np.full(len(names), best.max() + 1.0)
+        if len(best) >= FEW:
+            model.worst = np.array([np.quantile(best[truth == i] if (truth == i).sum() >= FEW else best, 0.99) + 1.0 for i in range(len(names))])
 
         def loss(heat: float) -> float:
             model.heat = heat
@@ -250,16 +256,19 @@ def _calibrate(model: Model, held: DataFrame) -> Model:
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The columns of ``docs`` plus ``lang_pred, score, entropy, rejected``. Only the text is looked at.
+    """The columns of ``docs`` plus ``lang_pred, score, entropy, rejected``, in place of columns of these names. Only
+    the text is looked at.
 
     ``lang_pred``: the language of least cross-entropy (ties: first in order), ``und`` where the text is null or has
     no letter, or where there is no model; then the score is 0 and the row is rejected. ``score``: calibrated
     posterior in 0..1. ``rejected``: ``und``, or a cross-entropy above the bound found in calibration.
-    Rows are scored one by one, so repeated rows get equal results and an empty table gives none.
+    No n-gram reaches from one text into another, so a text gets the same result beside any others, repeated rows
+    included. An empty table gives none.
     """
-    names = docs.columns
     spark = docs.sparkSession
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    own = [i for i, n in enumerate(docs.columns) if n not in ("lang_pred", "score", "entropy", "rejected")]
+    names, plain = [docs.columns[i] for i in own], plain.select(*[f"c{i}" for i in own])
     at = names.index("text")
     shared = spark.sparkContext.broadcast(model)
 

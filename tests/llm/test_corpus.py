@@ -309,20 +309,61 @@ def test_language(spark, empty):
     assert np.mean([got[i]["lang_pred"] == list(syl)[i % 3] for i, _, _ in rows]) > 0.98
     assert all(0 <= r["score"] <= 1 for r in got.values()) and not any(r["rejected"] for r in got.values())
     odd = spark.createDataFrame([(1, None, 0), (1, "", 0), (2, "123 !!", 0), (3, "Журнал писем и рассказов", 0), (4, "kalomi " * 30_000, 0)], "doc_id long, text string, score int")
-    rows = langid.predict(odd.drop("score"), model).orderBy("doc_id").collect()
+    assert langid.predict(odd, model).columns == ["doc_id", "text", "lang_pred", "score", "entropy", "rejected"]
+    rows = langid.predict(odd, model).orderBy("doc_id").collect()
     assert [r["lang_pred"] for r in rows[:3]] == ["und"] * 3 and [r["rejected"] for r in rows] == [True, True, True, True, False]
     assert langid.train(empty) is None and langid.predict(empty, None).count() == 0
 
 
-def test_kneser_ney_sums_to_one(spark):
-    docs = spark.createDataFrame([(i, "abba cab bac abc ba", "xx") for i in range(30)], "doc_id long, text string, lang string")
+def _kneser_ney(texts, order):
+    """Probability of a character after those before it, by dictionaries."""
+    runs = ["\0" * (order - 1) + re.sub("[^a-z]+", "\0", t).strip("\0") + "\0" for t in texts]
+    seen = [collections.Counter(r[i - k + 1:i + 1] for r in runs for i in range(order - 1, len(r))) for k in range(1, order + 1)]
+    count = [collections.Counter(g[1:] for g in seen[k]) for k in range(1, order)] + [seen[-1]]
+    floor = 1 / (len(seen[0]) + 1)
+
+    def p(gram):
+        if not gram:
+            return floor
+        own = count[len(gram) - 1]
+        once, twice = sum(c == 1 for c in own.values()), sum(c == 2 for c in own.values())
+        d = min(max(once / (once + 2 * twice), 0.05), 0.95) if once else 0.5
+        after = [c for g, c in own.items() if g[:-1] == gram[:-1]]
+        if not after:
+            return p(gram[1:])
+        return (max(own[gram] - d, 0) + d * len(after) * p(gram[1:])) / sum(after)
+
+    return p
+
+
+def test_kneser_ney_against_dictionaries(spark, monkeypatch):
+    texts = ["abba cab bac abc ba", "cab, abba!", "ab", "daddy bad cab ad", "c a b"]
+    docs = spark.createDataFrame([(i, t, "xx") for i, t in enumerate(texts * 3)], "doc_id long, text string, lang string").repartition(2)
+    monkeypatch.setattr(langid.F, "pmod", lambda *_: langid.F.lit(1))        # nothing is held back
+    for order in (2, 4):
+        model, p = langid.train(docs, order=order), _kneser_ney(texts * 3, order)
+        for text in ("abba", "bad cab d", "zab q", "ddd abba cab"):
+            codes, off = langid.letter_runs(pa.array(["the text before", text]), order)
+            run = "\0" * (order - 1) + text.replace(" ", "\0") + "\0"
+            got = model.positions(codes)[off[1]:, 0]
+            assert len(got) == len(run)
+            want = [math.log(p(run[i - order + 1:i + 1])) for i in range(order - 1, len(run))]
+            assert got[order - 1:].tolist() == pytest.approx(want, abs=1e-4)
+        assert sum(math.exp(model.positions(np.array([*context, c], np.uint32))[-1, 0]) for context in [[97, 98, 98]] for c in [0, *map(ord, "abcdy")]) < 1
+
+
+def test_language_of_a_text_beside_any_others(spark, table):
+    from corpus_pipeline import language
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "substr(text, 1, 12) AS text", "lang", "source", "n_chars")
+    docs = docs.unionByName(spark.createDataFrame([(10_000 + i, "lo", None, "", 2) for i in range(6)], docs.schema))
     model = langid.train(docs)
-    for context in ("ab", "b", "ba c"):
-        total = 0.0
-        for c in "abc\0":
-            codes = np.array([ord(x) if x not in " \0" else 0 for x in context + c], np.uint32)
-            total += math.exp(model.positions(codes)[-1, 0])
-        assert total == pytest.approx(1.0, abs=0.06)       # the rest is kept for unseen characters
+    got = [sorted(map(tuple, langid.predict(docs.repartition(n), model).collect()), key=str) for n in (1, 7, 37)]
+    assert got[0] == got[1] == got[2]
+    assert len({(r[5], r[6]) for r in got[0] if r[1] == "lo"}) == 1
+    kept = [sorted(map(tuple, language(spark, docs.repartition(n), "").collect()), key=str) for n in (1, 7)]
+    assert kept[0] == kept[1]
+    few = docs.filter("doc_id < 3").withColumn("lang", langid.F.lit("en"))
+    assert all(langid.train(few.filter(f"doc_id = {i}")) is not None for i in range(3))
 
 
 def test_toxicity(spark, empty):
@@ -519,6 +560,14 @@ def test_pipeline(spark, tmp_path):
     assert kept[2] == kept[1] - near and kept[3] == kept[2]
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == kept[3]
+    odd = [(None, rows[0][1], "en", "s", 1, "x"), (5, rows[0][1], "en", "s", 1, "x"), (5, rows[1][1], "en", "s", 1, "x"), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long, TEXT string")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+    assert sorted((r["doc_id"], r["text"]) for r in docs.collect()) == sorted([(5, rows[0][1]), (5, rows[1][1])])
+    none = spark.createDataFrame([], docs.schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).collect() == []
 
 
 def test_sf_tables_match_their_sql(spark):
