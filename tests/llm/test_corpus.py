@@ -575,7 +575,8 @@ def test_sf_tables_match_their_sql(spark):
 
     from casebook.llm.queries import ORACLES, QUERIES
     con = duckdb.connect()
-    con.execute("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.001/documents.parquet')")
+    for name in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{name}.parquet')")
     for name, sql in ORACLES.items():
         got, want = QUERIES[name](spark, "/root/testdata/sf0.001").toPandas(), con.sql(sql).df()
         names = sorted(want.columns)
