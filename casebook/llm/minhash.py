@@ -6,7 +6,13 @@ that are verified, on the full sets built from the whole texts, come in two roun
 
 1. in each bucket every class with the bucket's least class. Links found here join most of a large group;
 2. in each bucket that still holds several components, the classes outside its most common component with all
-   classes of another component there.
+   classes of another component there, as long as at most ``OUTSIDE`` classes are outside (at most that many
+   comparisons a class and bucket);
+3. the classes of all other such buckets, many texts from one template for instance, in a prefix join instead: every
+   set is ordered from rare to frequent shingles, counted in ``SLOTS`` slots over these classes, and two sets meet
+   only at a shingle that stands so early in both that what follows can still make up the similarity. A pair at the
+   similarity always has one, so the join finds every link among these classes, whether in one bucket or not. Texts
+   that share a template and differ in the rest have their common shingles late and do not meet.
 
 No link that a bucket offers is left out: what round 2 skips lies within one component already. Three tests drop
 pairs before their texts are fetched: the set sizes; one bit per minimum (1-bit minwise hashing), where a true pair
@@ -29,6 +35,8 @@ from casebook.llm.components import components
 
 BANDS, ROWS, LEAST_BITS = 40, 6, 186
 PARITY = 1024
+OUTSIDE = 32        # classes outside a bucket's most common component up to which that bucket is compared directly
+SLOTS = 1 << 20     # slots of the shingle counts: one byte each goes to every task
 _SKETCH = ["n", *[f"s{i}" for i in range(4)], *[f"p{i}" for i in range(PARITY // 64)]]
 _SIG = "_row long, doc_id long, digest binary, " + "".join(f"{c} long, " for c in _SKETCH) + "bands array<long>"
 
@@ -77,6 +85,60 @@ def _signatures(k: int, bands: int, rows: int):
     return run
 
 
+def _slots(x: np.ndarray) -> np.ndarray:
+    return ((x >> np.uint64(20)) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _slot_counts(k: int):
+    """Sets per slot: one row a task and slot."""
+    def run(batches):
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for _, _, data, off in kernels.blocks(batch.column(0)):
+                for x in kernels.shingle_sets(data, off, k):
+                    np.add.at(counts, _slots(x), 1)
+        some = np.flatnonzero(counts)
+        for i in range(0, len(some), 1 << 16):
+            at = some[i:i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["slot", "n"])
+    return run
+
+
+def _prefixes(k: int, percent: int, level: np.ndarray):
+    """The shingles of each set up to the last place where a similar set may meet it, from rare to frequent."""
+    def run(batches):
+        for batch in batches:
+            for i, j, data, off in kernels.blocks(batch.column(2)):
+                sets = kernels.shingle_sets(data, off, k)
+                most = np.array([len(x) - -(-percent * len(x) // 100) + 1 if len(x) else 0 for x in sets], np.int64)
+                first = [x[np.lexsort((x, level[_slots(x)]))[:m]] for x, m in zip(sets, most)]
+                doc = np.repeat(np.arange(i, j), most)
+                rows = batch.select([0, 1]).take(pa.array(doc))
+                at = np.concatenate([np.arange(m) for m in most])
+                yield pa.RecordBatch.from_arrays([
+                    *rows.columns, pa.array(np.repeat([len(x) for x in sets], most).astype(np.int64)),
+                    pa.array(np.concatenate(first).view(np.int64)), pa.array(at.astype(np.int64))], names=["_row", "comp", "n", "h", "at"])
+    return run
+
+
+def prefix_pairs(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """``a, b`` (a < b), without repeats: rows of ``_row, comp, text`` of different ``comp`` whose sets meet within
+    their prefixes, among them every pair of similar sets. ``SLOTS`` counts at most go through the driver; their
+    order only decides how few pairs there are."""
+    slots = rows.select("text").mapInArrow(_slot_counts(k), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    level = np.zeros(SLOTS, np.uint8)
+    level[slots.column("slot").to_numpy()] = np.minimum(255, 4 * np.log2(1.0 + slots.column("n").to_numpy()))
+    every = rows.select("_row", F.col("comp").cast("long"), "text").mapInArrow(
+        _prefixes(k, percent, level), "_row long, comp long, n long, h long, at long")
+    side = lambda s: every.select("h", F.col("_row").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("comp", "n", "at")])
+    part, na, nb = 100 + percent, F.col("a_n"), F.col("b_n")
+    left = {s: part * (F.col(f"{s}_n") - F.col(f"{s}_at")) for s in "ab"}     # most of the overlap from that place on
+    near = side("a").join(side("b").filter(left["b"] >= 2 * percent * nb), "h").filter(
+        (F.col("a_comp") != F.col("b_comp")) & ((nb < na) | ((nb == na) & (F.col("b") < F.col("a"))))
+        & (left["a"] >= percent * (na + nb)) & (left["b"] >= percent * (na + nb)))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _confirm(k: int, percent: int):
     """Of rows (a, b, ta, tb) the pairs whose full shingle sets are similar enough."""
     def run(batches):
@@ -147,15 +209,22 @@ def decide(rows: DataFrame, words: int = 5, percent: int = 80, least_bits: int =
     placed = shared.join(joined.withColumnRenamed("u", "_row"), "_row", "left").select(
         "band", "key", "_row", F.coalesce("v", "_row").alias("comp"))
     parts = placed.groupBy("band", "key", "comp").agg(F.count("*").alias("size"))
-    mixed = parts.groupBy("band", "key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "comp")).alias("top")) \
-        .filter("parts > 1").select("band", "key", F.col("top.comp").alias("top"))
-    there = stored(placed.join(mixed, ["band", "key"]).join(sketch, "_row"), "mixed-buckets")
+    mixed = parts.groupBy("band", "key").agg(F.count("*").alias("parts"), F.sum("size").alias("total"), F.max(F.struct("size", "comp")).alias("top")) \
+        .filter("parts > 1").select("band", "key", F.col("top.comp").alias("top"), (F.col("total") - F.col("top.size")).alias("outside"))
+    mixed = placed.join(stored(mixed, "mixed"), ["band", "key"])
+    crowd = stored(mixed.filter(F.col("outside") > OUTSIDE).select("_row", "comp").distinct(), "crowded")
+    there = stored(mixed.filter(F.col("outside") <= OUTSIDE).join(sketch, "_row"), "mixed-buckets")
     left = _sided(there.filter("comp != top"), "a", "band", "key", F.col("comp").alias("a_comp"))
     right = _sided(there, "b", "band", "key", "top", F.col("comp").alias("b_comp"))
     across = left.join(right, ["band", "key"]).filter(
         (F.col("a_comp") != F.col("b_comp")) & ((F.col("b_comp") == F.col("top")) | (F.col("a") < F.col("b")))
         & _plausible(percent, least_bits))
-    second = _links(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), rows, words, percent)
+    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    if not crowd.isEmpty():
+        met = prefix_pairs(crowd.join(rows.select("_row", "text"), "_row"), words, percent)
+        across = across.unionAll(met.join(_sided(sketch, "a"), "a").join(_sided(sketch, "b"), "b")
+                                 .filter(_plausible(percent, least_bits)).select("a", "b"))
+    second = _links(across, rows, words, percent)
     if not second.isEmpty():
         joined = components(joined.unionAll(second))
 

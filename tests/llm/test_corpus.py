@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from casebook.llm import bm25, bpe, components, encoder, exact, kernels, langid, minhash, packing, sharding, substring, toxicity, wavelet
 
@@ -126,6 +127,42 @@ def test_near_within_hot_group(spark):
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_dedup(df, 2).collect()} == {i: find(i) for i in range(300)}
 
 
+def _similar(sets):
+    return {(b, a) for a in sets for b in sets if b < a and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+
+
+def test_near_of_one_template(spark):
+    """Texts of one template that are not near copies share buckets, but are not compared with each other."""
+    rng = random.Random(8)
+    template = [f"t{i}" for i in range(170)]
+    texts = [[*template[:100], *(f"o{rng.randrange(10 ** 9)}" for _ in range(30)), *template[100:]] for _ in range(200)]
+    for i in range(20):
+        texts.append([*texts[i * 9][:128], f"n{i}", *texts[i * 9][129:]])
+    texts = [" ".join(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    sets = _sets(list(enumerate(texts)), 2)
+    links = _similar(sets)
+    assert links == {(i * 9, 200 + i) for i in range(20)}
+    assert 100 * len(sets[1] & sets[2]) > 70 * len(sets[1] | sets[2])
+    rows = df.selectExpr("doc_id AS _row", "doc_id AS comp", "text")
+    assert {tuple(r) for r in minhash.prefix_pairs(rows, 2, 80).collect()} == links      # of 24,090 pairs
+    want = {b: a for a, b in links}
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_dedup(df, 2).collect()} == {i: want.get(i, i) for i in range(220)}
+
+
+@pytest.mark.parametrize("k", [1, 2, 5])
+def test_prefixes_lose_no_similar_pair(spark, table, k):
+    rng = random.Random(k)
+    base = [[f"w{rng.randrange(60)}" for _ in range(n)] for n in (1, 2, 7, 30, 80, 81)]
+    texts = [" ".join(t if rng.random() > 0.1 else f"v{rng.randrange(9)}" for t in rng.choice(base)) for _ in range(150)] + ["", None]
+    sets = _sets(list(enumerate(texts)), k)
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "_row long, comp long, text string")
+    met = [tuple(r) for r in minhash.prefix_pairs(rows, k, 80).collect()]
+    assert len(met) == len(set(met)) and _similar(sets) <= set(met)
+    assert minhash.prefix_pairs(rows.withColumn("comp", F.lit(1)), k, 80).isEmpty()
+    assert minhash.prefix_pairs(rows.filter("_row < 0"), k, 80).isEmpty()
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r["u"]: r["v"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
