@@ -10,7 +10,8 @@ Differences from the single-machine libraries, stated once:
 * kernel machines are in :mod:`casebook.operators.kernel`, grid searches in one
   batch of fits in :mod:`casebook.operators.grids`;
 * complete-linkage clusters are in :mod:`casebook.operators.hierarchy`;
-* ``ClusteringEvaluator`` uses squared Euclidean distance for silhouette.
+* ``ClusteringEvaluator`` uses squared Euclidean distance for silhouette; the Euclidean one is in
+  :mod:`casebook.operators.silhouette`.
 """
 
 from __future__ import annotations

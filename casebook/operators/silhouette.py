@@ -1,0 +1,169 @@
+"""Euclidean silhouette of any number of points, with proved bounds.
+
+The silhouette needs, for every point, the sum of its distances to all points of each cluster. Here the points are
+summed up as balls (:mod:`casebook.operators.hierarchy`), and a *cell*, the points of one ball and one cluster, keeps
+its count n, mean m and variance v (mean squared distance to m). For any point x the distances to the cell's points
+add up to at least n |x - m| (the distance is convex) and at most n sqrt(|x - m|^2 + v) (their squares add up to
+n (|x - m|^2 + v)). A point is taken out of its own cell first. So one scan against a bounded number of cells gives
+both ends of every point's silhouette; where all cells hold equal points both ends agree and the value is exact. While
+the mean's bound is above the tolerance, the number of balls is doubled up to a limit.
+
+Rows with a NULL cluster, a NULL vector or a component that is NULL, NaN or infinite take no part. A point alone in its
+cluster has silhouette 0, and so has one at distance 0 from its own and the next cluster. With fewer than two clusters
+the result is NULL.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from casebook.operators.hierarchy import MOST, Balls, summaries
+from casebook.session import stored
+
+LIMIT = 8192        # balls that every task may hold
+CHUNK = 1024
+
+
+def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    size = (a ** 2).sum(axis=1)[:, None] + (b ** 2).sum(axis=1)[None, :]
+    d = size - 2 * a @ b.T
+    return np.where(d < 1e-13 * size, 0.0, d)
+
+
+def _usable(df: DataFrame, vec: str, *clusters: str) -> DataFrame:
+    rows = df.select(F.col(vec).cast("array<double>").alias("x"), *clusters)
+    return rows.where("x IS NOT NULL AND NOT exists(x, v -> v IS NULL OR isnan(v) OR abs(v) = double('Infinity'))")
+
+
+def place(rows: DataFrame, most: int) -> tuple[DataFrame, Balls | None]:
+    """``rows`` (with the point ``x``) and the number of each point's nearest ball, stored; the balls."""
+    balls = summaries(rows, "x", most)
+    if balls is None:
+        return rows.withColumn("ball", F.lit(None).cast("int")), None
+    centre = balls.centre
+
+    @F.pandas_udf("int")
+    def nearest(xs: pd.Series) -> pd.Series:
+        points = np.stack(xs.to_numpy()).astype(float) if len(xs) else np.zeros((0, centre.shape[1]))
+        return pd.Series(np.concatenate([_squared(points[i:i + CHUNK], centre).argmin(axis=1) for i in range(0, len(points), CHUNK)] or [[]]), dtype="int32")
+
+    return stored(rows.withColumn("ball", nearest("x")), "placed"), balls
+
+
+def _cells(placed: DataFrame, balls: Balls, cluster: str) -> pd.DataFrame:
+    """Count, sum and squares around the ball's centre of the points of each (cluster, ball); every task adds up its own."""
+    centre = balls.centre
+    width = centre.shape[1]
+
+    def run(frames):
+        total: dict = {}
+        for pdf in frames:
+            x = np.stack(pdf["x"].to_numpy()).astype(float) - centre[pdf["ball"].to_numpy()] if len(pdf) else np.zeros((0, width))
+            for key, at in pdf.groupby(["c", "ball"]).indices.items():
+                n, s, q = total.get(key, (0, 0.0, 0.0))
+                total[key] = n + len(at), s + x[at].sum(axis=0), q + float((x[at] ** 2).sum())
+        yield pd.DataFrame([(c, b, n, list(s), q) for (c, b), (n, s, q) in total.items()], columns=["c", "ball", "n", "s", "q"])
+
+    parts = placed.where(F.col(cluster).isNotNull()).select("x", "ball", F.col(cluster).cast("string").alias("c")).mapInPandas(
+        run, "c string, ball int, n long, s array<double>, q double")
+    return parts.groupBy("c", "ball").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("s")[i]) for i in range(width)]).alias("s"),
+                                          F.sum("q").alias("q")).orderBy("c", "ball").toPandas()
+
+
+def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    most = np.maximum(a, b)
+    return np.divide(b - a, most, out=np.zeros_like(most), where=most > 0)
+
+
+def ends(placed: DataFrame, balls: Balls | None, cluster: str) -> tuple[float, float, int] | None:
+    """Least and greatest mean silhouette by the clusters in ``cluster``, and the number of points."""
+    cells = _cells(placed, balls, cluster) if balls is not None else pd.DataFrame({"c": []})
+    names = sorted(set(cells["c"]))
+    if len(names) < 2:
+        return None
+    of = np.searchsorted(names, cells["c"])
+    n, q, s = cells["n"].to_numpy(float), cells["q"].to_numpy(float), np.stack(cells["s"].to_numpy())
+    centre = balls.centre[cells["ball"].to_numpy()]
+    mean = centre + s / n[:, None]
+    var = np.maximum(q / n - ((s / n[:, None]) ** 2).sum(axis=1), 0.0)
+    member = (of[:, None] == np.arange(len(names))[None, :]).astype(float)
+    size = n @ member
+    at = {key: i for i, key in enumerate(zip(cells["c"], cells["ball"]))}
+
+    def run(frames):
+        low = high = 0.0
+        rows = 0
+        for pdf in frames:
+            for i in range(0, len(pdf), CHUNK):
+                some = pdf.iloc[i:i + CHUNK]
+                x = np.stack(some["x"].to_numpy()).astype(float)
+                cell = np.array([at[key] for key in zip(some["c"], some["ball"])])
+                line = np.arange(len(x))
+                d2 = _squared(x, mean)
+                least, most = n * np.sqrt(d2), n * np.sqrt(d2 + var)
+                # its own cell without the point itself
+                off = x - centre[cell]
+                m = n[cell] - 1
+                rest = np.maximum(m, 1)[:, None]
+                own_s, own_q = (s[cell] - off) / rest, (q[cell] - (off ** 2).sum(axis=1)) / rest[:, 0]
+                own = ((off - own_s) ** 2).sum(axis=1)
+                least[line, cell] = m * np.sqrt(own)
+                most[line, cell] = m * np.sqrt(own + np.maximum(own_q - (own_s ** 2).sum(axis=1), 0.0))
+                least, most = least @ member, most @ member
+                mine = of[cell]
+                others = np.maximum(size[mine] - 1, 1)
+                a_low, a_high = least[line, mine] / others, most[line, mine] / others
+                least, most = least / size, most / size
+                least[line, mine] = most[line, mine] = np.inf
+                alone = size[mine] <= 1
+                low += float(np.where(alone, 0.0, _ratio(a_high, least.min(axis=1))).sum())
+                high += float(np.where(alone, 0.0, _ratio(a_low, most.min(axis=1))).sum())
+                rows += len(x)
+        yield pd.DataFrame({"low": [low], "high": [high], "n": [rows]})
+
+    total = placed.where(F.col(cluster).isNotNull()).select("x", "ball", F.col(cluster).cast("string").alias("c")).mapInPandas(
+        run, "low double, high double, n long").agg(F.sum("low"), F.sum("high"), F.sum("n")).first()
+    return total[0] / total[2], total[1] / total[2], total[2]
+
+
+def euclidean_silhouette(df: DataFrame, vec: str, clusters: Sequence[str], tolerance: float = 1e-3, most: int = MOST,
+                         limit: int = LIMIT) -> DataFrame:
+    """One row a column of ``clusters``: ``clustering, silhouette, bound, n``.
+
+    The mean silhouette is within ``bound`` (rounded up) of ``silhouette``, the middle of its two ends; ``vec`` is an
+    array column. The balls are found once for all columns; columns whose bound is above ``tolerance`` are done again
+    with twice as many balls, up to ``limit``."""
+    rows = _usable(df, vec, *clusters)
+    todo, done = list(clusters), {}
+    while todo:
+        placed, balls = place(rows, most)
+        for c in todo:
+            done[c] = ends(placed, balls, c)
+        todo = [c for c in todo if done[c] is not None and done[c][1] - done[c][0] > 2 * tolerance] if most < limit else []
+        most = min(2 * most, limit)
+    out = []
+    for c in clusters:
+        if done[c] is None:
+            out.append((c, None, None, None))
+        else:
+            low, high, n = done[c]
+            out.append((c, round((low + high) / 2, 6), float(np.ceil(max(high - low - 1e-9, 0.0) / 2 * 1e6) / 1e6), n))
+    return df.sparkSession.createDataFrame(out, "clustering string, silhouette double, bound double, n long")
+
+
+def kmeans_silhouette(df: DataFrame, vec: str, ks: Sequence[int], seed: int = 100, max_iter: int = 50, **options) -> DataFrame:
+    """``k, silhouette, bound`` of the k-means clusters of the array column ``vec`` for each k."""
+    rows = _usable(df, vec).withColumn("_v", array_to_vector("x"))
+    if rows.isEmpty():
+        return df.sparkSession.createDataFrame([(k, None, None) for k in ks], "k int, silhouette double, bound double")
+    for k in ks:
+        rows = KMeans(featuresCol="_v", predictionCol=f"k{k}", k=k, seed=seed, maxIter=max_iter).fit(rows).transform(rows)
+    found = euclidean_silhouette(rows, "x", [f"k{k}" for k in ks], **options)
+    return found.select(F.substring("clustering", 2, 9).cast("int").alias("k"), "silhouette", "bound")

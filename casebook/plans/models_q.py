@@ -20,6 +20,7 @@ from casebook.operators.features import one_hot
 from casebook.operators.hierarchy import cluster
 from casebook.operators.incremental import IncrementalPCA
 from casebook.operators.kernel import fit_kernel_svm
+from casebook.operators.silhouette import euclidean_silhouette, kmeans_silhouette
 from casebook.operators.splits import split_hash
 from casebook.operators.sweep import CrossProducts, Sweep
 from casebook.plans.registry import query
@@ -356,9 +357,30 @@ def ml_elbow(spark, d):
 
 @query("ml_silhouette")
 def ml_silhouette(spark, d):
+    """Euclidean distances, each mean with its bound."""
+    return kmeans_silhouette(t(spark, d, "embeddings"), "embedding", list(range(2, 25)))
+
+
+@query("ml_silhouette_squared")
+def ml_silhouette_squared(spark, d):
+    """Squared distances, which need no bound."""
     return M.silhouette(embeddings(spark, d), "vec", list(range(2, 25)))
 
 
+@query("ml_silhouette_by_label", f"""WITH p AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND isfinite(list_sum(CAST(embedding AS DOUBLE[])))),
+size AS (SELECT label, count(*) AS n FROM p GROUP BY label),
+s AS (SELECT x.vec_id, x.label AS own, y.label AS other, sum(list_distance(x.e, y.e)) AS total
+      FROM p x JOIN p y ON x.vec_id <> y.vec_id GROUP BY ALL),
+ab AS (SELECT vec_id, own, max(CASE WHEN own = other THEN total / (n - 1) END) AS a, min(CASE WHEN own <> other THEN total / n END) AS b
+       FROM s JOIN size ON size.label = other GROUP BY vec_id, own)
+SELECT {rnd("avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0.0))", 6)} AS silhouette, count(*) AS n FROM ab""")
+def ml_silhouette_by_label(spark, d):
+    """How well the given labels separate the vectors; exact where there are at most as many vectors as balls."""
+    found = euclidean_silhouette(t(spark, d, "embeddings"), "embedding", ["label"], tolerance=1e-7)
+    return found.select("silhouette", "n")
+
+
 @query("ml_hopkins")
 def ml_hopkins(spark, d):
     return M.hopkins(embeddings(spark, d), "vec")
