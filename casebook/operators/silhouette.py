@@ -6,7 +6,8 @@ its count n, mean m and variance v (mean squared distance to m). For any point x
 add up to at least n |x - m| (the distance is convex) and at most n sqrt(|x - m|^2 + v) (their squares add up to
 n (|x - m|^2 + v)). A point is taken out of its own cell first. So one scan against a bounded number of cells gives
 both ends of every point's silhouette; where all cells hold equal points both ends agree and the value is exact. While
-the mean's bound is above the tolerance, the number of balls is doubled up to a limit.
+the mean's bound is above the tolerance, the number of balls is doubled up to a limit. Several clusterings of the same
+points share these two scans.
 
 Rows with a NULL cluster, a NULL vector or a component that is NULL, NaN or infinite take no part. A point alone in its
 cluster has silhouette 0, and so has one at distance 0 from its own and the next cluster. With fewer than two clusters
@@ -28,6 +29,7 @@ from casebook.operators.hierarchy import MOST, Balls, summaries
 from casebook.session import stored
 
 LIMIT = 8192        # balls that every task may hold
+NUMBERS = 1 << 22   # about as many numbers of cell means go to every task in one pass
 CHUNK = 1024
 
 
@@ -57,24 +59,34 @@ def place(rows: DataFrame, most: int) -> tuple[DataFrame, Balls | None]:
     return stored(rows.withColumn("ball", nearest("x")), "placed"), balls
 
 
-def _cells(placed: DataFrame, balls: Balls, cluster: str) -> pd.DataFrame:
-    """Count, sum and squares around the ball's centre of the points of each (cluster, ball); every task adds up its own."""
+def _long(placed: DataFrame, clusters: Sequence[str]) -> DataFrame:
+    """``x, ball`` and the cluster names in the order of ``clusters``."""
+    return placed.select("x", "ball", F.array(*[F.col(c).cast("string") for c in clusters]).alias("names"))
+
+
+def _cells(placed: DataFrame, balls: Balls, clusters: Sequence[str]) -> pd.DataFrame:
+    """Count, sum and squares around the ball's centre of the points of each (clustering, cluster, ball); every task
+    adds up its own."""
     centre = balls.centre
     width = centre.shape[1]
 
     def run(frames):
         total: dict = {}
         for pdf in frames:
-            x = np.stack(pdf["x"].to_numpy()).astype(float) - centre[pdf["ball"].to_numpy()] if len(pdf) else np.zeros((0, width))
-            for key, at in pdf.groupby(["c", "ball"]).indices.items():
-                n, s, q = total.get(key, (0, 0.0, 0.0))
-                total[key] = n + len(at), s + x[at].sum(axis=0), q + float((x[at] ** 2).sum())
-        yield pd.DataFrame([(c, b, n, list(s), q) for (c, b), (n, s, q) in total.items()], columns=["c", "ball", "n", "s", "q"])
-
-    parts = placed.where(F.col(cluster).isNotNull()).select("x", "ball", F.col(cluster).cast("string").alias("c")).mapInPandas(
-        run, "c string, ball int, n long, s array<double>, q double")
-    return parts.groupBy("c", "ball").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("s")[i]) for i in range(width)]).alias("s"),
-                                          F.sum("q").alias("q")).orderBy("c", "ball").toPandas()
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["x"].to_numpy()).astype(float) - centre[pdf["ball"].to_numpy()]
+            names = np.stack(pdf["names"].to_numpy())
+            for k in range(names.shape[1]):
+                for (c, b), at in pd.DataFrame({"c": names[:, k], "b": pdf["ball"].to_numpy()}).groupby(["c", "b"]).indices.items():
+                    n, s, q = total.get((k, c, b), (0, 0.0, 0.0))
+                    total[k, c, b] = n + len(at), s + x[at].sum(axis=0), q + float((x[at] ** 2).sum())
+        yield pd.DataFrame([(k, c, b, n, list(s), q) for (k, c, b), (n, s, q) in total.items()], columns=["k", "c", "ball", "n", "s", "q"])
+
+    parts = _long(placed, clusters).mapInPandas(run, "k int, c string, ball int, n long, s array<double>, q double")
+    return parts.groupBy("k", "c", "ball").agg(
+        F.sum("n").alias("n"), F.array(*[F.sum(F.col("s")[i]) for i in range(width)]).alias("s"),
+        F.sum("q").alias("q")).orderBy("k", "c", "ball").toPandas()
 
 
 def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -82,55 +94,68 @@ def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(b - a, most, out=np.zeros_like(most), where=most > 0)
 
 
-def ends(placed: DataFrame, balls: Balls | None, cluster: str) -> tuple[float, float, int] | None:
-    """Least and greatest mean silhouette by the clusters in ``cluster``, and the number of points."""
-    cells = _cells(placed, balls, cluster) if balls is not None else pd.DataFrame({"c": []})
-    names = sorted(set(cells["c"]))
-    if len(names) < 2:
-        return None
-    of = np.searchsorted(names, cells["c"])
-    n, q, s = cells["n"].to_numpy(float), cells["q"].to_numpy(float), np.stack(cells["s"].to_numpy())
-    centre = balls.centre[cells["ball"].to_numpy()]
-    mean = centre + s / n[:, None]
-    var = np.maximum(q / n - ((s / n[:, None]) ** 2).sum(axis=1), 0.0)
-    member = (of[:, None] == np.arange(len(names))[None, :]).astype(float)
-    size = n @ member
-    at = {key: i for i, key in enumerate(zip(cells["c"], cells["ball"]))}
+class _Clustering:
+    """The cells of one clustering, and the ends of the silhouette of points against them."""
+
+    def __init__(self, cells: pd.DataFrame, centres: np.ndarray) -> None:
+        self.names = sorted(set(cells["c"]))
+        if len(self.names) < 2:
+            return
+        self.of = np.searchsorted(self.names, cells["c"])
+        self.n, self.q, self.s = cells["n"].to_numpy(float), cells["q"].to_numpy(float), np.stack(cells["s"].to_numpy())
+        self.centre = centres[cells["ball"].to_numpy()]
+        shift = self.s / self.n[:, None]
+        self.mean = self.centre + shift
+        self.var = np.maximum(self.q / self.n - (shift ** 2).sum(axis=1), 0.0)
+        self.member = (self.of[:, None] == np.arange(len(self.names))[None, :]).astype(float)
+        self.size = self.n @ self.member
+        self.at = {key: i for i, key in enumerate(zip(cells["c"], cells["ball"]))}
+
+    def ends(self, x: np.ndarray, names: np.ndarray, ball: np.ndarray) -> tuple[float, float]:
+        cell = np.array([self.at[key] for key in zip(names, ball)])
+        line, mine = np.arange(len(x)), self.of[cell]
+        d2 = _squared(x, self.mean)
+        least, most = self.n * np.sqrt(d2), self.n * np.sqrt(d2 + self.var)
+        # its own cell without the point itself
+        off, m = x - self.centre[cell], self.n[cell] - 1
+        rest = np.maximum(m, 1)[:, None]
+        own_s, own_q = (self.s[cell] - off) / rest, (self.q[cell] - (off ** 2).sum(axis=1)) / rest[:, 0]
+        own = ((off - own_s) ** 2).sum(axis=1)
+        least[line, cell] = m * np.sqrt(own)
+        most[line, cell] = m * np.sqrt(own + np.maximum(own_q - (own_s ** 2).sum(axis=1), 0.0))
+        least, most = least @ self.member, most @ self.member
+        others = np.maximum(self.size[mine] - 1, 1)
+        a_low, a_high = least[line, mine] / others, most[line, mine] / others
+        least, most = least / self.size, most / self.size
+        least[line, mine] = most[line, mine] = np.inf
+        several = self.size[mine] > 1
+        return (float(_ratio(a_high, least.min(axis=1))[several].sum()), float(_ratio(a_low, most.min(axis=1))[several].sum()))
+
+
+def ends(placed: DataFrame, balls: Balls | None, clusters: Sequence[str]) -> list[tuple[float, float, int] | None]:
+    """Per clustering the least and greatest mean silhouette and the number of points, in two scans for all."""
+    if balls is None:
+        return [None] * len(clusters)
+    cells = _cells(placed, balls, clusters)
+    models = [_Clustering(cells[cells["k"] == k], balls.centre) for k in range(len(clusters))]
+    live = [k for k, m in enumerate(models) if len(m.names) > 1]
 
     def run(frames):
-        low = high = 0.0
-        rows = 0
+        total = np.zeros((len(models), 3))
         for pdf in frames:
             for i in range(0, len(pdf), CHUNK):
                 some = pdf.iloc[i:i + CHUNK]
-                x = np.stack(some["x"].to_numpy()).astype(float)
-                cell = np.array([at[key] for key in zip(some["c"], some["ball"])])
-                line = np.arange(len(x))
-                d2 = _squared(x, mean)
-                least, most = n * np.sqrt(d2), n * np.sqrt(d2 + var)
-                # its own cell without the point itself
-                off = x - centre[cell]
-                m = n[cell] - 1
-                rest = np.maximum(m, 1)[:, None]
-                own_s, own_q = (s[cell] - off) / rest, (q[cell] - (off ** 2).sum(axis=1)) / rest[:, 0]
-                own = ((off - own_s) ** 2).sum(axis=1)
-                least[line, cell] = m * np.sqrt(own)
-                most[line, cell] = m * np.sqrt(own + np.maximum(own_q - (own_s ** 2).sum(axis=1), 0.0))
-                least, most = least @ member, most @ member
-                mine = of[cell]
-                others = np.maximum(size[mine] - 1, 1)
-                a_low, a_high = least[line, mine] / others, most[line, mine] / others
-                least, most = least / size, most / size
-                least[line, mine] = most[line, mine] = np.inf
-                alone = size[mine] <= 1
-                low += float(np.where(alone, 0.0, _ratio(a_high, least.min(axis=1))).sum())
-                high += float(np.where(alone, 0.0, _ratio(a_low, most.min(axis=1))).sum())
-                rows += len(x)
-        yield pd.DataFrame({"low": [low], "high": [high], "n": [rows]})
-
-    total = placed.where(F.col(cluster).isNotNull()).select("x", "ball", F.col(cluster).cast("string").alias("c")).mapInPandas(
-        run, "low double, high double, n long").agg(F.sum("low"), F.sum("high"), F.sum("n")).first()
-    return total[0] / total[2], total[1] / total[2], total[2]
+                x, names, ball = np.stack(some["x"].to_numpy()).astype(float), np.stack(some["names"].to_numpy()), some["ball"].to_numpy()
+                for k in live:
+                    known = np.array([c is not None for c in names[:, k]])
+                    if known.any():
+                        total[k] += (*models[k].ends(x[known], names[known, k], ball[known]), known.sum())
+        yield pd.DataFrame({"k": live, "low": total[live, 0], "high": total[live, 1], "n": total[live, 2].astype(np.int64)})
+
+    found = _long(placed, clusters).mapInPandas(run, "k int, low double, high double, n long").groupBy("k").agg(
+        F.sum("low").alias("low"), F.sum("high").alias("high"), F.sum("n").alias("n")).collect() if live else []
+    by = {r["k"]: (r["low"] / r["n"], r["high"] / r["n"], r["n"]) for r in found}
+    return [by.get(k) for k in range(len(clusters))]
 
 
 def euclidean_silhouette(df: DataFrame, vec: str, clusters: Sequence[str], tolerance: float = 1e-3, most: int = MOST,
@@ -144,8 +169,9 @@ def euclidean_silhouette(df: DataFrame, vec: str, clusters: Sequence[str], toler
     todo, done = list(clusters), {}
     while todo:
         placed, balls = place(rows, most)
-        for c in todo:
-            done[c] = ends(placed, balls, c)
+        per = max(1, NUMBERS // (most * balls.centre.shape[1])) if balls is not None else len(todo)
+        for i in range(0, len(todo), per):
+            done.update(zip(todo[i:i + per], ends(placed, balls, todo[i:i + per])))
         todo = [c for c in todo if done[c] is not None and done[c][1] - done[c][0] > 2 * tolerance] if most < limit else []
         most = min(2 * most, limit)
     out = []
