@@ -184,6 +184,18 @@ def reco_scaled_rmse(spark, d):
     return RC.scaled_rmse(pred, test, 1.0, 5.0)
 
 
+@query("reco_scaled_rmse_test_similarity", f"""WITH {RATINGS_SQL},
+{_FOLDS},
+{_item_sim_sql("zero_filled", True, "test")},
+pred AS (SELECT test.usr, isim.b AS item, sum(rating * sim) AS score FROM test JOIN isim ON test.item = isim.a GROUP BY ALL),
+{_RMSE_SQL}""")
+def reco_scaled_rmse_test_similarity(spark, d):
+    """The evaluation that takes similarities and scores from the test ratings themselves, so that each rating has a
+    part in its own score: a comparison figure, not an error on unseen ratings."""
+    _, test = _folds(spark, d)
+    return RC.scaled_rmse(_item_pred(spark, d, test), test, 1.0, 5.0)
+
+
 @query("reco_profile_similarity", f"""WITH {_USER_PRED_SQL},
 top AS (SELECT usr, round(score, 6) AS s, row_number() OVER (PARTITION BY usr ORDER BY round(score, 6) DESC, item) AS rk FROM upred),
 ten AS (SELECT * FROM top WHERE rk <= 10)
