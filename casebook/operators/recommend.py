@@ -17,11 +17,13 @@ other one; the self-similarity (1) is kept.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casebook.session import cut_lineage
+from casebook.operators.prefix import scan
+from casebook.session import cut_lineage, stored
 
 BROADCAST_ROWS = 200_000    # item pairs that every task may hold
 ALL_PAIRS = 5_000           # items of which every pair may be a row
@@ -147,6 +149,75 @@ def predict_item_based(ratings: DataFrame, sim: DataFrame, user: str = "usr", it
     return j.groupBy(user, F.col("b").alias(item)).agg(F.sum(F.col("_v") * F.col("sim")).alias("score"))
 
 
+def _candidates(cells: DataFrame, seen: DataFrame, sim: DataFrame, n: int, slack: float, depth: int, user: str,
+                item: str) -> DataFrame:
+    """(user, b, score): unseen items that can be among a user's ``n`` best, with the score where it is known already.
+    ``cells`` has one rating ``_v`` a (user, item); ``sim`` has ``item, b, sim``."""
+    lists = scan(sim.withColumn("_one", F.lit(1)), [F.col("sim").desc(), "b"], {"_one": "_rank"}, partition=[item]).drop("_one")
+    facts = lists.agg(F.max("_rank").alias("longest"), F.max(F.abs("sim")).alias("most")).first()
+    longest, most = facts["longest"] or 0, facts["most"] or 0.0
+    least = lists.groupBy(item).agg(F.least(F.min("sim"), F.lit(0.0)).alias("_low"))
+    open_, found = cells, []
+    while True:
+        tails = lists.where(F.col("_rank") == depth + 1).select(item, F.greatest("sim", F.lit(0.0)).alias("_high")).join(least, item)
+        ends = [F.col("_v") * F.col("_high"), F.col("_v") * F.col("_low")]
+        mine = open_.join(tails, item, "left").select(user, item, "_v", F.coalesce(F.greatest(*ends), F.lit(0.0)).alias("_up"),
+                                                      F.coalesce(F.least(*ends), F.lit(0.0)).alias("_down"),
+                                                      F.col("_high").isNotNull().cast("int").alias("_tail"))
+        sums = [F.sum(c).alias(f"{c}s") for c in ("_up", "_down", "_tail")]
+        whole = mine.groupBy(user).agg(*[F.sum(c).alias(f"{c}_all") for c in ("_up", "_down", "_tail")],
+                                       (F.sum(F.abs("_v")) * most * 1e-9 + slack).alias("_slack"))
+        heads = lists.where(F.col("_rank") <= depth).select(item, "b", "sim")
+        parts = mine.join(heads, item).groupBy(user, "b").agg(F.sum(F.col("_v") * F.col("sim")).alias("_part"), *sums)
+        left = lambda c: F.col(f"{c}_all") - F.col(f"{c}s")  # noqa: E731   what the lists without this item can still add
+        pairs = stored(parts.join(seen.withColumnRenamed(item, "b"), [user, "b"], "left_anti").join(whole, user).select(
+            user, "b", F.when(left("_tail") == 0, F.col("_part")).alias("score"), (F.col("_part") + left("_down")).alias("_from"),
+            (F.col("_part") + left("_up")).alias("_to")), "top-pairs")
+        best = Window.partitionBy(user).orderBy(F.col("_from").desc())
+        nth = pairs.select(user, "_from", F.row_number().over(best).alias("_k")).where(F.col("_k") <= n) \
+                   .groupBy(user).agg(F.when(F.count(F.lit(1)) == n, F.min("_from")).alias("_nth"))
+        state = stored(whole.join(nth, user, "left").select(user, "_nth", "_slack", F.coalesce(
+            (F.col("_tail_all") == 0) | (F.col("_up_all") + F.col("_slack") < F.col("_nth")), F.lit(False)).alias("_closed")), "top-users")
+        found.append(pairs.join(state.where("_closed"), user).where("_nth is null or _to + _slack >= _nth").select(user, "b", "score"))
+        if depth >= longest or state.where("not _closed").isEmpty():
+            return reduce(DataFrame.unionAll, found)
+        open_ = stored(open_.join(state.where("not _closed"), user, "left_semi"), "top-open")
+        depth *= 4
+
+
+def top_unseen(ratings: DataFrame, sim: DataFrame, n: int, digits: int | None = None, depth: int = 32, user: str = "usr",
+               item: str = "item", value: str = "rating") -> DataFrame:
+    """The ``n`` best items of each user that the user has not rated: (user, item, score, rank), equal to
+    :func:`predict_item_based`, :func:`mask_seen` and :func:`topn` (ties by item; ``digits`` rounds scores before they
+    are ranked), without a score for every user and item that share a neighbour.
+
+    Neighbour lists are ordered by similarity. A round reads the first ``depth`` of each list that a user rated, which
+    gives every item met a least and a greatest score: a list that did not show the item adds at most the rating times
+    its next similarity, and at least the rating times its least one. A user is done once the ``n``-th best least score
+    beats what an item that no list showed can reach; only items whose greatest score reaches that ``n``-th best are
+    scored in full. Other users go on with lists four times as long, so flat lists are read whole. Exact for ratings
+    and similarities of any sign.
+
+    Repeated ratings of a cell are added up, as there. A row with a NULL or NaN rating marks its item as seen and adds
+    nothing; a pair of ``sim`` with a NULL or NaN similarity adds nothing. A user with fewer candidates gets them all;
+    empty inputs give no rows. Extra columns are ignored.
+    """
+    known = ratings.where(F.col(user).isNotNull() & F.col(item).isNotNull()).select(user, item, F.col(value).cast("double").alias("_v"))
+    seen = known.select(user, item).distinct()
+    cells = cut_lineage(known.where("_v is not null and not isnan(_v)").groupBy(user, item).agg(F.sum("_v").alias("_v")))
+    pairs = cut_lineage(sim.select(F.col("a").alias(item), "b", F.col("sim").cast("double").alias("sim"))
+                        .where("b is not null and sim is not null and not isnan(sim)"))
+    slack = 0.0 if digits is None else 10.0 ** -digits
+    found = _candidates(cells, seen, pairs, n, slack, depth, user, item)
+    asked = found.where("score is null").select(user, "b")
+    side = F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs
+    scored = asked.join(cells, user).join(side, [item, "b"]).groupBy(user, "b").agg(F.sum(F.col("_v") * F.col("sim")).alias("score"))
+    scores = found.where("score is not null").select(user, "b", "score").unionByName(scored.select(user, "b", "score"))
+    if digits is not None:
+        scores = scores.withColumn("score", F.round("score", digits))
+    return topn(scores.withColumnRenamed("b", item), n, user, item)
+
+
 # ---------------------------------------------------------------- user × user
 def user_similarity(ratings: DataFrame, targets: DataFrame, user: str = "usr", item: str = "item",
                     value: str = "rating", min_overlap: int = 1, clip: bool = False) -> DataFrame:

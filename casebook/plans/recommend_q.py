@@ -12,6 +12,7 @@ from casebook.session import cut_lineage
 from casebook.plans.registry import query
 from casebook.plans.shaping_q import RATINGS_SQL, ratings
 from casebook.plans.sqlfn import rnd
+from casebook.plans.tables import t
 
 ITEM_SHARE, USER_SHARE = 0.3, 0.4
 
@@ -153,8 +154,22 @@ rk AS (SELECT usr, item, {rnd("score", 6)} AS score, CAST(row_number() OVER (PAR
 SELECT * FROM rk WHERE rank <= 5""")
 def reco_topn(spark, d):
     r = shared_ratings(spark, d)
-    s = RC.mask_seen(_item_pred(spark, d, r), r, "unseen").withColumn("score", F.round("score", 6))
-    return RC.topn(s, 5)
+    return RC.top_unseen(r, RC.item_similarity(r, center="zero_filled", clip=True), 5, digits=6)
+
+
+@query("reco_topn_suppliers", f"""
+WITH ratings AS (SELECT o_custkey AS usr, l_suppkey AS item, {rnd("avg(l_quantity) / 10", 4)} AS rating
+                 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey), {_item_sim_sql("zero_filled", True)},
+un AS (SELECT usr, isim.b AS item, {rnd("sum(rating * sim)", 6)} AS score FROM ratings r JOIN isim ON r.item = isim.a
+       WHERE NOT EXISTS (SELECT 1 FROM ratings q WHERE q.usr = r.usr AND q.item = isim.b) GROUP BY ALL),
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY usr ORDER BY score DESC, item) AS INTEGER) AS rank FROM un)
+SELECT * FROM rk WHERE rank <= 5""")
+def reco_topn_suppliers(spark, d):
+    """The five best new suppliers of every customer: neighbour lists longer than a round reads, so some users go on."""
+    li, o = t(spark, d, "lineitem"), t(spark, d, "orders")
+    r = cut_lineage(li.join(o, li.l_orderkey == o.o_orderkey).groupBy(F.col("o_custkey").alias("usr"), F.col("l_suppkey").alias("item"))
+                    .agg(F.round(F.avg("l_quantity") / 10, 4).alias("rating")))
+    return RC.top_unseen(r, RC.item_similarity(r, center="zero_filled", clip=True), 5, digits=6)
 
 
 _SPLIT = "('0x' || substr(md5(CAST(usr AS VARCHAR) || '|' || item), 1, 8))::BIGINT % 100"

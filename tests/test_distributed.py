@@ -189,6 +189,57 @@ def test_item_scores_beyond_the_broadcast_bound(spark, monkeypatch):
     assert score() == pytest.approx(sent)
 
 
+def _taste(spark, users=300, groups=40, size=30, own=10, others=1, seed=3):
+    """Users rate ten items of their own group of thirty and one of any other."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for u in range(users):
+        mine = (u % groups) * size + rng.choice(size, own, replace=False)
+        rows += [(u, int(i), float(rng.integers(1, 6))) for i in {*mine.tolist(), *rng.choice(groups * size, others).tolist()}]
+    return spark.createDataFrame(rows, "usr long, item long, rating double")
+
+
+def _all_scores(df, sim, n, digits=None):
+    s = RC.mask_seen(RC.predict_item_based(df, sim), df)
+    return RC.topn(s if digits is None else s.withColumn("score", F.round("score", digits)), n)
+
+
+def _ranked(rows):
+    return {(r["usr"], r["rank"]): (r["item"], round(r["score"], 7)) for r in rows.collect()}
+
+
+def test_top_unseen_scores_few_pairs(spark):
+    df = _taste(spark)
+    sim = RC.item_similarity(df).cache()
+    want = _ranked(_all_scores(df, sim, 3, 6))
+    assert len(want) == 900 and _ranked(RC.top_unseen(df, sim, 3, digits=6, depth=16)) == want
+    cells, pairs = df.withColumnRenamed("rating", "_v"), sim.withColumnRenamed("a", "item")
+    scored = RC._candidates(cells, df.select("usr", "item"), pairs, 3, 1e-6, 16, "usr", "item").count()
+    every = RC.mask_seen(RC.predict_item_based(df, sim), df).count()
+    assert scored < every / 3 and scored < 300 * 1200 / 50      # users x neighbours, users x items
+
+
+@pytest.mark.parametrize("center,depth,n", [(None, 2, 4), ("zero_filled", 2, 4), ("zero_filled", 500, 60)])
+def test_top_unseen_of_any_sign_and_ties(spark, center, depth, n):
+    df = _taste(spark, users=40, groups=4, size=12, own=6, others=2, seed=5)
+    df = df.withColumn("rating", F.when(F.col("item") % 5 == 0, -F.col("rating")).otherwise(F.col("rating")))
+    sim = RC.item_similarity(df, center=center).cache()
+    if center is None:
+        sim = sim.withColumn("sim", F.round("sim", 1))            # many ties
+        df = df.withColumn("rating", F.signum("rating"))
+    assert _ranked(RC.top_unseen(df, sim, n, digits=4, depth=depth)) == _ranked(_all_scores(df, sim, n, 4))
+
+
+def test_top_unseen_edges(spark):
+    df = spark.createDataFrame([("u", "a", 2.0), ("u", "a", 3.0), ("u", "c", None), ("u", "d", float("nan")), (None, "a", 1.0), ("v", None, 1.0),
+                                ("w", "z", 4.0)], "usr string, item string, rating double").withColumn("b", F.lit(1)).withColumn("score", F.lit(2))
+    sim = spark.createDataFrame([("a", "a", 1.0), ("a", "b", 0.5), ("a", "c", 0.9), ("a", "d", 0.8), ("a", "e", None), ("c", "b", 0.7), ("a", "f", float("nan"))],
+                                "a string, b string, sim double")
+    got = [tuple(r) for r in RC.top_unseen(df, sim, 5, depth=1).select("usr", "item", "score", "rank").collect()]
+    assert got == [("u", "b", 2.5, 1)]
+    assert RC.top_unseen(df.limit(0), sim, 5).collect() == [] and RC.top_unseen(df, sim.limit(0), 5).collect() == []
+
+
 def test_targeted_scoring_equals_full_restricted(spark):
     df = spark.createDataFrame(RATINGS4, "usr long, item string, rating double")
     targets = spark.createDataFrame([(1,), (3,)], "usr long")
