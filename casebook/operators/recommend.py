@@ -64,9 +64,23 @@ def centre(ratings: DataFrame, by: str, value: str = "rating", name: str = "cent
 
 
 # ---------------------------------------------------------------- item × item
+def _prefix_pairs(cells: DataFrame, norms: DataFrame, least: float, stretch: float, user: str, item: str) -> DataFrame:
+    """(a, b), a < b: every pair of items whose dot product over ``sqrt(_q_a _q_b)`` can reach ``least``, and few others.
+
+    All items order their users alike, from those of few ratings to those of many. The last users of an item whose
+    part of its norm stays below ``least`` are left out of the index (its suffix): if the first common user of two items
+    were one of these, all their common users were, and their product fell short. So a user who rated much meets only
+    items that nothing rarer tells apart. ``stretch`` is the greatest ratio of an item's length to its ``sqrt(_q)``."""
+    order = cells.groupBy(user).agg(F.count(F.lit(1)).alias("_f"))
+    shares = cells.join(order, user).join(norms.where("_q > 0"), item).select(user, item, "_f", (F.col("_v") ** 2 / F.col("_q")).alias("_share"))
+    run = scan(shares, [F.col("_f").desc(), F.col(user).desc()], {"_share": "_run"}, partition=[item])
+    index = run.where(F.col("_run") * stretch ** 2 >= least ** 2 * (1 - 1e-9)).select(user, item)
+    return index.withColumnRenamed(item, "a").join(index.withColumnRenamed(item, "b"), user).where("a < b").select("a", "b").distinct()
+
+
 def item_similarity(ratings: DataFrame, items: Sequence | None = None, user: str = "usr", item: str = "item",
                     value: str = "rating", center: str | None = None, clip: bool = False,
-                    min_overlap: int = 1, least: float | None = None) -> DataFrame:
+                    min_overlap: int = 1, least: float | None = None, prefix: bool = False) -> DataFrame:
     """Cosine between items over users, long form (a, b, sim), both directions and
     the diagonal. Without ``items`` the pairs are those that at least
     ``min_overlap`` users rated; with ``items`` every pair of the list has a row.
@@ -87,7 +101,13 @@ def item_similarity(ratings: DataFrame, items: Sequence | None = None, user: str
     The join is on the user; each user's items meet in one direction and the
     pairs are summed before any shuffle. Adaptive execution splits a user with
     very many ratings, since only sums leave the join.
+
+    ``prefix`` finds the pairs of at least ``least`` (> 0, needed) through an index of the users that tell items apart
+    and sums the ratings of these pairs only, with the same rows. It pays for high bounds and users with many ratings;
+    for low ones the full join is less work. Negative sums under 'zero_filled' raise.
     """
+    if prefix and (items is not None or least is None or least <= 0):
+        raise ValueError("a prefix index needs a least similarity above 0 and no list of items")
     src = ratings
     if center == "observed":
         src = centre(ratings, item, value, "_c").select(user, item, F.col("_c").alias(value))
@@ -98,9 +118,21 @@ def item_similarity(ratings: DataFrame, items: Sequence | None = None, user: str
     if center == "zero_filled":
         n = ratings.select(F.count_distinct(F.col(user))).scalar()
         sums = sums.withColumn("_n", n).withColumn("_q", F.col("_q") - F.col("_s") * F.col("_s") / F.col("_n"))
+    stretch = 1.0
+    if prefix:
+        cells = cut_lineage(cells)
+        if center == "zero_filled":
+            worst = sums.agg(F.min("_s").alias("low"), F.max(F.when(F.col("_q") > 0, F.sqrt(1 + F.col("_s") ** 2 / F.col("_n") / F.col("_q")))).alias("ratio")).first()
+            if worst["low"] is not None and worst["low"] < 0:
+                raise ValueError("items with negative sums can be alike without a common user: leave out the prefix index")
+            stretch = worst["ratio"] or 1.0
     x = cells.select(user, F.col(item).alias("a"), F.col("_v").alias("_va"))
     y = cells.select(user, F.col(item).alias("b"), F.col("_v").alias("_vb"))
-    pairs = x.join(y, user).where("a < b").groupBy("a", "b").agg(
+    if prefix:
+        met = _prefix_pairs(cells, sums.select(item, "_q"), least, stretch, user, item).join(x, "a").join(y, ["b", user])
+    else:
+        met = x.join(y, user).where("a < b")
+    pairs = met.groupBy("a", "b").agg(
         F.sum(F.col("_va") * F.col("_vb")).alias("_d"), F.count(F.lit(1)).alias("_m")).where(F.col("_m") >= min_overlap)
     if items is not None:
         listed = F.array(*[F.lit(i) for i in items])

@@ -172,6 +172,20 @@ def reco_topn_suppliers(spark, d):
     return RC.top_unseen(r, RC.item_similarity(r, center="zero_filled", clip=True), 5, digits=6)
 
 
+@query("reco_item_neighbours", f"""
+WITH ratings AS (SELECT o_custkey AS usr, l_partkey AS item, {rnd("avg(l_quantity) / 10", 4)} AS rating
+                 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_partkey),
+nrm AS (SELECT item, sqrt(sum(rating * rating)) AS n FROM ratings GROUP BY item),
+dots AS (SELECT x.item AS a, y.item AS b, sum(x.rating * y.rating) AS d FROM ratings x JOIN ratings y ON x.usr = y.usr AND x.item < y.item GROUP BY ALL)
+SELECT a, b, {rnd("d / (na.n * nb.n)", 6)} AS sim FROM dots JOIN nrm na ON na.item = a JOIN nrm nb ON nb.item = b WHERE d / (na.n * nb.n) >= 0.2""")
+def reco_item_neighbours(spark, d):
+    """Pairs of parts with a cosine of at least 0.2 over the customers that bought them."""
+    li, o = t(spark, d, "lineitem"), t(spark, d, "orders")
+    r = li.join(o, li.l_orderkey == o.o_orderkey).groupBy(F.col("o_custkey").alias("usr"), F.col("l_partkey").alias("item")) \
+          .agg(F.round(F.avg("l_quantity") / 10, 4).alias("rating"))
+    return RC.item_similarity(r, least=0.2, prefix=True).where("a < b").select("a", "b", F.round("sim", 6).alias("sim"))
+
+
 _SPLIT = "('0x' || substr(md5(CAST(usr AS VARCHAR) || '|' || item), 1, 8))::BIGINT % 100"
 
 

@@ -230,6 +230,32 @@ def test_top_unseen_of_any_sign_and_ties(spark, center, depth, n):
     assert _ranked(RC.top_unseen(df, sim, n, digits=4, depth=depth)) == _ranked(_all_scores(df, sim, n, 4))
 
 
+@pytest.mark.parametrize("center,least", [(None, 0.5), ("observed", 0.3), ("zero_filled", 0.45)])
+def test_prefix_index_finds_all_similar_pairs(spark, center, least):
+    """Ten users who rated all items: the index meets few pairs, the result is that of the full join."""
+    df = _taste(spark, users=120, groups=20, size=10, own=5, others=0)
+    items = df.select("item").distinct()
+    hot = spark.range(1000, 1010).withColumnRenamed("id", "usr").join(items, how="cross").withColumn("rating", (F.hash("usr", "item") % 2 + 3) / 4.0)
+    df = df.unionByName(hot)
+    rows = lambda **more: {(r["a"], r["b"]): round(r["sim"], 9) for r in RC.item_similarity(df, center=center, least=least, **more).collect()}
+    want = rows()
+    assert len(want) > items.count() + 20 and rows(prefix=True) == want
+    if center is None:
+        cells = df.withColumnRenamed("rating", "_v")
+        met = RC._prefix_pairs(cells, cells.groupBy("item").agg(F.sum(F.col("_v") ** 2).alias("_q")), least, 1.0, "usr", "item").count()
+        assert met < items.count() ** 2 / 8
+
+
+def test_prefix_index_edges(spark):
+    df = _taste(spark, users=4, groups=2, size=12)
+    assert RC.item_similarity(df.limit(0), least=0.5, prefix=True).collect() == []
+    for bad in ({}, {"least": 0.0}, {"least": 0.5, "items": [1, 2]}):
+        with pytest.raises(ValueError):
+            RC.item_similarity(df, prefix=True, **bad)
+    with pytest.raises(ValueError):
+        RC.item_similarity(df.withColumn("rating", -F.col("rating")), center="zero_filled", least=0.5, prefix=True)
+
+
 def test_top_unseen_edges(spark):
     df = spark.createDataFrame([("u", "a", 2.0), ("u", "a", 3.0), ("u", "c", None), ("u", "d", float("nan")), (None, "a", 1.0), ("v", None, 1.0),
                                 ("w", "z", 4.0)], "usr string, item string, rating double").withColumn("b", F.lit(1)).withColumn("score", F.lit(2))
