@@ -1,13 +1,16 @@
-"""Euclidean silhouette of any number of points, with proved bounds.
+"""Euclidean silhouette of any number of points, exact or with proved bounds.
 
-The silhouette needs, for every point, the sum of its distances to all points of each cluster. Here the points are
-summed up as balls (:mod:`casebook.operators.hierarchy`), and a *cell*, the points of one ball and one cluster, keeps
-its count n, mean m and variance v (mean squared distance to m). For any point x the distances to the cell's points
-add up to at least n |x - m| (the distance is convex) and at most n sqrt(|x - m|^2 + v) (their squares add up to
-n (|x - m|^2 + v)). A point is taken out of its own cell first. So one scan against a bounded number of cells gives
-both ends of every point's silhouette; where all cells hold equal points both ends agree and the value is exact. While
-the mean's bound is above the tolerance, the number of balls is doubled up to a limit. Several clusterings of the same
-points share these two scans.
+The silhouette needs, for every point, the sum of its distances to all points of each cluster. All pairs are summed where
+that is less work than the bounds, or where ``exact`` asks for it: every task holds one block of points and their sums,
+and all points stream past it. The work grows with the square of the points, the memory of a task does not.
+
+Otherwise the points are summed up by balls, the points nearest to one of a bounded number of centres, and a *cell*, the
+points of one ball and one cluster, keeps its count n, mean m and variance v (mean squared distance to m). For any point x
+the distances to the cell's points add up to at least n |x - m| (the distance is convex) and at most n sqrt(|x - m|^2 + v)
+(their squares add up to n (|x - m|^2 + v)). A point is taken out of its own cell first. So one scan against a bounded
+number of cells gives both ends of every point's silhouette; where all cells hold equal points both ends agree and the
+value is exact. While the mean's bound is above the tolerance, there are eight times as many balls, up to a limit. Several
+clusterings of the same points share these two scans.
 
 Rows with a NULL cluster, a NULL vector or a component that is NULL, NaN or infinite take no part. A point alone in its
 cluster has silhouette 0, and so has one at distance 0 from its own and the next cluster. With fewer than two clusters
@@ -20,17 +23,21 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casebook.operators.hierarchy import MOST, Balls, summaries
+from casebook.operators.hierarchy import MOST
+from casebook.operators.kernel import landmarks
 from casebook.session import stored
 
 LIMIT = 8192        # balls that every task may hold
-NUMBERS = 1 << 22   # about as many numbers of cell means go to every task in one pass
+NUMBERS = 1 << 22   # about as many numbers of cell means, or of sums of a block, are in a task at once
 CHUNK = 1024
+BLOCKS, BLOCK_ROWS = 24, 32768      # least number of blocks that all pairs are dealt in, most points of one
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -44,19 +51,19 @@ def _usable(df: DataFrame, vec: str, *clusters: str) -> DataFrame:
     return rows.where("x IS NOT NULL AND NOT exists(x, v -> v IS NULL OR isnan(v) OR abs(v) = double('Infinity'))")
 
 
-def place(rows: DataFrame, most: int) -> tuple[DataFrame, Balls | None]:
-    """``rows`` (with the point ``x``) and the number of each point's nearest ball, stored; the balls."""
-    balls = summaries(rows, "x", most)
-    if balls is None:
+def place(rows: DataFrame, most: int) -> tuple[DataFrame, np.ndarray | None]:
+    """``rows`` (with the point ``x``) and the number of each point's nearest centre, stored; the centres: ``most``
+    distinct points of least seeded hash, which are all of them where there are no more."""
+    centre = landmarks(rows, "x", most)
+    if not len(centre):
         return rows.withColumn("ball", F.lit(None).cast("int")), None
-    centre = balls.centre
 
     @F.pandas_udf("int")
     def nearest(xs: pd.Series) -> pd.Series:
         points = np.stack(xs.to_numpy()).astype(float) if len(xs) else np.zeros((0, centre.shape[1]))
         return pd.Series(np.concatenate([_squared(points[i:i + CHUNK], centre).argmin(axis=1) for i in range(0, len(points), CHUNK)] or [[]]), dtype="int32")
 
-    return stored(rows.withColumn("ball", nearest("x")), "placed"), balls
+    return stored(rows.withColumn("ball", nearest("x")), "placed"), centre
 
 
 def _long(placed: DataFrame, clusters: Sequence[str]) -> DataFrame:
@@ -64,10 +71,9 @@ def _long(placed: DataFrame, clusters: Sequence[str]) -> DataFrame:
     return placed.select("x", "ball", F.array(*[F.col(c).cast("string") for c in clusters]).alias("names"))
 
 
-def _cells(placed: DataFrame, balls: Balls, clusters: Sequence[str]) -> pd.DataFrame:
-    """Count, sum and squares around the ball's centre of the points of each (clustering, cluster, ball); every task
-    adds up its own."""
-    centre = balls.centre
+def _cells(placed: DataFrame, centre: np.ndarray, clusters: Sequence[str]) -> list[dict]:
+    """Per clustering the cluster, ball, count, and sum and squares around the ball's centre of the points of each
+    (cluster, ball); every task adds up its own. They come as Arrow columns, so a number takes 8 bytes of the driver."""
     width = centre.shape[1]
 
     def run(frames):
@@ -84,9 +90,12 @@ def _cells(placed: DataFrame, balls: Balls, clusters: Sequence[str]) -> pd.DataF
         yield pd.DataFrame([(k, c, b, n, list(s), q) for (k, c, b), (n, s, q) in total.items()], columns=["k", "c", "ball", "n", "s", "q"])
 
     parts = _long(placed, clusters).mapInPandas(run, "k int, c string, ball int, n long, s array<double>, q double")
-    return parts.groupBy("k", "c", "ball").agg(
+    found = parts.groupBy("k", "c", "ball").agg(
         F.sum("n").alias("n"), F.array(*[F.sum(F.col("s")[i]) for i in range(width)]).alias("s"),
-        F.sum("q").alias("q")).orderBy("k", "c", "ball").toPandas()
+        F.sum("q").alias("q")).orderBy("k", "c", "ball").toArrow()
+    k, s = found["k"].to_numpy(), found["s"].combine_chunks().flatten().to_numpy().reshape(-1, width)
+    n, q, ball, c = (found[x].to_numpy() for x in ("n", "q", "ball", "c"))
+    return [{"c": c[at], "ball": ball[at], "n": n[at].astype(float), "q": q[at], "s": s[at]} for at in (k == i for i in range(len(clusters)))]
 
 
 def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -97,13 +106,10 @@ def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class _Clustering:
     """The cells of one clustering, and the ends of the silhouette of points against them."""
 
-    def __init__(self, cells: pd.DataFrame, centres: np.ndarray) -> None:
-        self.names = sorted(set(cells["c"]))
-        if len(self.names) < 2:
-            return
-        self.of = np.searchsorted(self.names, cells["c"])
-        self.n, self.q, self.s = cells["n"].to_numpy(float), cells["q"].to_numpy(float), np.stack(cells["s"].to_numpy())
-        self.centre = centres[cells["ball"].to_numpy()]
+    def __init__(self, cells: dict, centres: np.ndarray) -> None:
+        self.names, self.of = np.unique(cells["c"].astype(str), return_inverse=True)
+        self.n, self.q, self.s = cells["n"], cells["q"], cells["s"]
+        self.centre = centres[cells["ball"]]
         shift = self.s / self.n[:, None]
         self.mean = self.centre + shift
         self.var = np.maximum(self.q / self.n - (shift ** 2).sum(axis=1), 0.0)
@@ -132,16 +138,16 @@ class _Clustering:
         return (float(_ratio(a_high, least.min(axis=1))[several].sum()), float(_ratio(a_low, most.min(axis=1))[several].sum()))
 
 
-def ends(placed: DataFrame, balls: Balls | None, clusters: Sequence[str]) -> list[tuple[float, float, int] | None]:
+def ends(placed: DataFrame, centre: np.ndarray | None, clusters: Sequence[str]) -> list[tuple[float, float, int] | None]:
     """Per clustering the least and greatest mean silhouette and the number of points, in two scans for all."""
-    if balls is None:
+    if centre is None:
         return [None] * len(clusters)
-    cells = _cells(placed, balls, clusters)
-    models = [_Clustering(cells[cells["k"] == k], balls.centre) for k in range(len(clusters))]
-    live = [k for k, m in enumerate(models) if len(m.names) > 1]
+    cells = _cells(placed, centre, clusters)
+    live = [k for k, some in enumerate(cells) if len(set(some["c"])) > 1]
 
     def run(frames):
-        total = np.zeros((len(models), 3))
+        models = {k: _Clustering(cells[k], centre) for k in live}     # only the cells travel
+        total = np.zeros((len(cells), 3))
         for pdf in frames:
             for i in range(0, len(pdf), CHUNK):
                 some = pdf.iloc[i:i + CHUNK]
@@ -158,22 +164,112 @@ def ends(placed: DataFrame, balls: Balls | None, clusters: Sequence[str]) -> lis
     return [by.get(k) for k in range(len(clusters))]
 
 
+def _points(batch: pa.RecordBatch, width: int) -> np.ndarray:
+    x = batch.column("x")
+    if len(x) and not pc.all(pc.equal(pc.list_value_length(x), width)).as_py():
+        raise ValueError("the vectors differ in length")
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), width)
+
+
+def all_pairs(rows: DataFrame, clusters: Sequence[str]) -> list[tuple[float, float, int] | None]:
+    """What :func:`ends` gives, from the distances of all pairs: both ends are the mean silhouette.
+
+    Equal points of equal clusters are one row with a count. Rows are dealt by hash into blocks of bounded size, and every
+    block gets its own rows first and then all others; a task holds one block, its sums and one batch."""
+    names = [f"c{k}" for k in range(len(clusters))]
+    points = stored(rows.groupBy("x", *[F.col(c).cast("string").alias(n) for n, c in zip(names, clusters, strict=True)])
+                    .agg(F.count(F.lit(1)).alias("n")), "points")
+    listed = points.select(F.posexplode(F.array(*names)).alias("k", "c"), "n").where("c is not null")
+    size = [{} for _ in clusters]
+    for r in listed.groupBy("k", "c").agg(F.sum("n").alias("n")).orderBy("k", "c").collect():      # one row a cluster
+        size[r["k"]][r["c"]] = r["n"]
+    live = [k for k, known in enumerate(size) if len(known) > 1]
+    if not live:
+        return [None] * len(clusters)
+    facts = points.agg(F.max(F.size("x")).alias("width"), F.count(F.lit(1)).alias("n")).first()
+    width, count = facts["width"], facts["n"]
+    start = dict(zip(live, np.cumsum([0, *[len(size[k]) for k in live]])[:-1].tolist(), strict=True))
+    columns = sum(len(size[k]) for k in live)
+    most = min(BLOCK_ROWS, max(256, NUMBERS // (columns + width)))
+    blocks = max(min(BLOCKS, -(-count // 64)), -(-count // most))
+    known = {k: pa.array(list(size[k]), pa.string()) for k in live}
+    many = {k: np.array(list(size[k].values()), float) for k in live}
+
+    def codes(batch) -> np.ndarray:
+        """Per live clustering the number of the cluster, -1 for none."""
+        return np.stack([pc.fill_null(pc.index_in(batch.column(f"c{k}"), value_set=known[k]), -1).to_numpy(zero_copy_only=False) for k in live])
+
+    def finish(code: np.ndarray, n: np.ndarray, total: np.ndarray):
+        out = []
+        for at, k in zip(code, live, strict=True):
+            use = np.flatnonzero((at >= 0) & (many[k][at] > 1))
+            sums, line, mine = total[use, start[k]:start[k] + len(many[k])], np.arange(len(use)), at[use]
+            a, b = sums[line, mine] / (many[k][mine] - 1), sums / many[k]
+            b[line, mine] = np.inf
+            out.append((k, float(_ratio(a, b.min(axis=1)) @ n[use]) if len(use) else 0.0))
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([v for _, v in out], pa.float64())], names=["k", "total"])
+
+    def run(batches):
+        block, own, code, n, total = None, [], [], [], None
+        for whole in batches:
+            to = whole.column("to").to_numpy()
+            for i in np.unique(to):
+                at = np.flatnonzero(to == i)
+                batch = whole.slice(at[0], len(at))
+                if i != block:
+                    if block is not None:
+                        yield finish(np.hstack(code), np.concatenate(n), np.vstack(total))
+                    block, own, code, n, total = i, [], [], [], []
+                x, c, w, home = _points(batch, width), codes(batch), batch.column("n").to_numpy().astype(float), batch.column("home").to_numpy()
+                new = home == i                 # the block's own rows come first
+                if new.any():
+                    fresh = (x[new], c[:, new], w[new])
+                    before = [(y, z, v) for y, z, v in zip(own, code, n, strict=True)]
+                    own.append(fresh[0]), code.append(fresh[1]), n.append(fresh[2]), total.append(np.zeros((int(new.sum()), columns)))
+                    for y, z, v in before:      # rows of an earlier batch have met only those before
+                        _meet([fresh[0]], total[-1:], y, z, v)
+                _meet(own, total, x, c, w)
+        if block is not None:
+            yield finish(np.hstack(code), np.concatenate(n), np.vstack(total))
+
+    def _meet(own: list, total: list, x: np.ndarray, code: np.ndarray, w: np.ndarray) -> None:
+        for j in range(0, len(x), 2 * CHUNK):
+            y, some = x[j:j + 2 * CHUNK], code[:, j:j + 2 * CHUNK]
+            member = np.zeros((len(y), columns))
+            for at, k in zip(some, live, strict=True):
+                use = np.flatnonzero(at >= 0)
+                member[use, start[k] + at[use]] = w[j:j + 2 * CHUNK][use]
+            for mine, sums in zip(own, total, strict=True):
+                for i in range(0, len(mine), CHUNK // 2):
+                    sums[i:i + CHUNK // 2] += np.sqrt(_squared(mine[i:i + CHUNK // 2], y)) @ member
+
+    homed = points.withColumn("home", F.pmod(F.xxhash64("x", *names), F.lit(blocks)).cast("int"))
+    dealt = homed.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartitionById(blocks, F.col("to"))
+    found = dealt.sortWithinPartitions("to", F.col("home") != F.col("to")).mapInArrow(run, "k int, total double")
+    by = {r["k"]: r["total"] / sum(size[r["k"]].values()) for r in found.groupBy("k").agg(F.sum("total").alias("total")).collect()}
+    return [(by[k], by[k], sum(size[k].values())) if k in by else None for k in range(len(clusters))]
+
+
 def euclidean_silhouette(df: DataFrame, vec: str, clusters: Sequence[str], tolerance: float = 1e-3, most: int = MOST,
-                         limit: int = LIMIT) -> DataFrame:
+                         limit: int = LIMIT, exact: bool = False) -> DataFrame:
     """One row a column of ``clusters``: ``clustering, silhouette, bound, n``.
 
     The mean silhouette is within ``bound`` (rounded up) of ``silhouette``, the middle of its two ends; ``vec`` is an
-    array column. The balls are found once for all columns; columns whose bound is above ``tolerance`` are done again
-    with twice as many balls, up to ``limit``."""
+    array column. All pairs of points are summed (bound 0) if ``exact``, or if the points are no more than half of
+    ``limit`` for each clustering, where this is less work. Else the balls are found once for all columns; columns whose
+    bound is above ``tolerance`` are done again with eight times as many balls, up to ``limit``."""
     rows = _usable(df, vec, *clusters)
     todo, done = list(clusters), {}
+    if exact or rows.count() <= limit * len(todo) // 2:
+        done.update(zip(todo, all_pairs(rows, todo), strict=True))
+        todo = []
     while todo:
-        placed, balls = place(rows, most)
-        per = max(1, NUMBERS // (most * balls.centre.shape[1])) if balls is not None else len(todo)
+        placed, centre = place(rows, most)
+        per = max(1, NUMBERS // (most * centre.shape[1])) if centre is not None else len(todo)
         for i in range(0, len(todo), per):
-            done.update(zip(todo[i:i + per], ends(placed, balls, todo[i:i + per])))
+            done.update(zip(todo[i:i + per], ends(placed, centre, todo[i:i + per])))
         todo = [c for c in todo if done[c] is not None and done[c][1] - done[c][0] > 2 * tolerance] if most < limit else []
-        most = min(2 * most, limit)
+        most = min(8 * most, limit)
     out = []
     for c in clusters:
         if done[c] is None:

@@ -376,8 +376,8 @@ ab AS (SELECT vec_id, own, max(CASE WHEN own = other THEN total / (n - 1) END) A
        FROM s JOIN size ON size.label = other GROUP BY vec_id, own)
 SELECT {rnd("avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0.0))", 6)} AS silhouette, count(*) AS n FROM ab""")
 def ml_silhouette_by_label(spark, d):
-    """How well the given labels separate the vectors; exact where there are at most as many vectors as balls."""
-    found = euclidean_silhouette(t(spark, d, "embeddings"), "embedding", ["label"], tolerance=1e-7)
+    """How well the given labels separate the vectors: all pairs, as in the SQL, in blocks of bounded memory."""
+    found = euclidean_silhouette(t(spark, d, "embeddings"), "embedding", ["label"], tolerance=1e-7, exact=True)
     return found.select("silhouette", "n")
 
 

@@ -62,3 +62,21 @@ def test_bounds_hold_with_few_balls(spark, points):
 def test_of_k_means(spark, points):
     got = {r["k"]: r for r in S.kmeans_silhouette(_frame(spark, points), "x", [2, 3, 5]).collect()}
     assert got[3]["silhouette"] > max(got[2]["silhouette"], got[5]["silhouette"]) and all(r["bound"] <= 1e-3 for r in got.values())
+
+
+def test_all_pairs_need_no_balls(spark, points):
+    x, c = points
+    df = _frame(spark, points)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")       # a block's own rows come in several batches
+    try:
+        got = {r["clustering"]: r for r in S.euclidean_silhouette(df, "x", list(c), most=4, limit=4, exact=True).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in ("good", "poor", "single"):
+        assert got[k]["silhouette"] == pytest.approx(_brute(x, c[k]), abs=1e-6) and got[k]["bound"] == 0 and got[k]["n"] == len(x)
+    assert got["one"]["silhouette"] is None
+
+
+def test_several_clusterings_sum_all_pairs_where_that_is_less_work(spark, points):
+    got = S.kmeans_silhouette(_frame(spark, points), "x", [2, 3, 5], most=16, limit=300, tolerance=1.0).collect()
+    assert [r["bound"] for r in got] == [0.0] * 3
