@@ -27,6 +27,7 @@ from casebook.plans.registry import query
 from casebook.plans.sqlfn import rnd
 from casebook.plans.strings_q import KEYWORDS
 from casebook.plans.tables import t
+from casebook.session import cut_lineage
 
 DOC_FEATURES = ["log_chars", "n_lines", "words_per_line", "hits_per_kchar", "digit_share", "upper_share",
                 "lang_en", "lang_es", "lang_fr"]
@@ -35,7 +36,8 @@ CAR_FEATURES = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice",
 
 
 def docs(spark, d):
-    """labels ⋈ documents with numeric text features (whole texts)."""
+    """labels ⋈ documents with numeric text features (whole texts), stored once: every fit makes many passes, and the
+    texts are to be read in one of them only."""
     lab, dc = t(spark, d, "labels"), t(spark, d, "documents")
     j = lab.join(dc, "doc_id")
     n = F.greatest(F.col("n_chars").cast("double"), F.lit(1.0))
@@ -46,7 +48,7 @@ def docs(spark, d):
                    (keyword_hits("text", KEYWORDS) * 1000.0 / n).alias("hits_per_kchar"),
                    (F.length(F.regexp_replace("text", "[^0-9]", "")) / n).alias("digit_share"),
                    (F.length(F.regexp_replace("text", "[^A-Z]", "")) / n).alias("upper_share"))
-    return one_hot(out, ["lang"], prefix={"lang": "lang"}, drop_first=True, levels={"lang": ["de", "en", "es", "fr"]})
+    return cut_lineage(one_hot(out, ["lang"], prefix={"lang": "lang"}, drop_first=True, levels={"lang": ["de", "en", "es", "fr"]}))
 
 
 def cars(spark, d):

@@ -77,3 +77,8 @@ def test_rfe_keeps_n(lines):
     r = M.rfe(li, FEATS, "l_extendedprice", n=2).collect()
     assert sum(1 for x in r if x["kept"]) == 2
     assert sorted(x["rank"] for x in r) == [1, 1, 2]
+
+
+def test_text_features_are_stored_once(spark):
+    from casebook.plans import models_q
+    assert models_q.docs(spark, SF_SMALL).inputFiles() == []       # fits do not go back to the texts
