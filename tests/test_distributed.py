@@ -256,6 +256,38 @@ def test_prefix_index_edges(spark):
         RC.item_similarity(df.withColumn("rating", -F.col("rating")), center="zero_filled", least=0.5, prefix=True)
 
 
+@pytest.mark.parametrize("key", ["long", "string"])
+def test_flat_lists_are_scored_in_tiles(spark, monkeypatch, key):
+    """After the first round users with flat lists are scored in several tiles, a few users at a time, with ties."""
+    df = _taste(spark, users=60, groups=2, size=20, own=6, others=3, seed=9)
+    df = df.withColumn("rating", F.when(F.col("item") % 5 == 0, -F.col("rating")).otherwise(F.col("rating")))
+    df = df.select(F.col("usr").cast(key), F.col("item").cast(key), "rating")
+    df = df.unionByName(df.where(F.col("usr").cast("int") < 9).select("usr", F.lit("7").cast(key).alias("item"), F.lit(None).cast("double").alias("rating")))
+    sim = RC.item_similarity(df.where("rating is not null"), center="zero_filled").withColumn("sim", F.round("sim", 1)).cache()
+    want = _ranked(_all_scores(df, sim, 4, 4))
+    for name, value in {"BROADCAST_ROWS": 0, "TILE_RATINGS": 100, "TILE_PAIRS": 300, "TILE_GAIN": 0, "TILE": 64}.items():
+        monkeypatch.setattr(RC, name, value)
+    names = []
+    monkeypatch.setattr(RC, "stored", lambda frame, name, keep=RC.stored: names.append(name) or keep(frame, name))
+    assert _ranked(RC.top_unseen(df, sim, 4, digits=4, depth=2)) == want
+    assert names.count("top-pairs") == 1
+
+
+def test_index_that_spares_nothing_is_not_looked_up(spark, monkeypatch):
+    df = _taste(spark, users=60, groups=2, size=20, own=6, others=3, seed=9)
+    rows = lambda **more: {(r["a"], r["b"]): round(r["sim"], 9) for r in RC.item_similarity(df, least=0.1, **more).collect()}
+    monkeypatch.setattr(RC, "_index_pairs", None)
+    assert rows(prefix=True) == rows()
+
+
+def test_few_items_do_not_deal_the_ratings(spark, monkeypatch):
+    df = _taste(spark, users=40, groups=4, size=12, own=6, others=2, seed=5)
+    seen = {}
+    monkeypatch.setattr(RC, "stored", lambda frame, name, keep=RC.stored: seen.setdefault(name, frame._jdf.queryExecution().optimizedPlan().toString()) and keep(frame, name))
+    RC.top_unseen(df, RC.item_similarity(df), 3, digits=6, depth=2)
+    assert seen["top-pairs"].count("strategy=broadcast") >= 2
+
+
 def test_top_unseen_edges(spark):
     df = spark.createDataFrame([("u", "a", 2.0), ("u", "a", 3.0), ("u", "c", None), ("u", "d", float("nan")), (None, "a", 1.0), ("v", None, 1.0),
                                 ("w", "z", 4.0)], "usr string, item string, rating double").withColumn("b", F.lit(1)).withColumn("score", F.lit(2))
