@@ -25,13 +25,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casebook.operators.hierarchy import MOST
 from casebook.operators.kernel import landmarks
+from casebook.operators.kmeans import fit_many, label_many, matrix, squared
 from casebook.session import stored
 
 LIMIT = 8192        # balls that every task may hold
@@ -40,12 +39,6 @@ CHUNK = 1024
 BLOCKS, BLOCK_ROWS = 24, 32768      # least number of blocks that all pairs are dealt in, most points of one
 
 
-def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    size = (a ** 2).sum(axis=1)[:, None] + (b ** 2).sum(axis=1)[None, :]
-    d = size - 2 * a @ b.T
-    return np.where(d < 1e-13 * size, 0.0, d)
-
-
 def _usable(df: DataFrame, vec: str, *clusters: str) -> DataFrame:
     rows = df.select(F.col(vec).cast("array<double>").alias("x"), *clusters)
     return rows.where("x IS NOT NULL AND NOT exists(x, v -> v IS NULL OR isnan(v) OR abs(v) = double('Infinity'))")
@@ -61,7 +54,7 @@ def place(rows: DataFrame, most: int) -> tuple[DataFrame, np.ndarray | None]:
     @F.pandas_udf("int")
     def nearest(xs: pd.Series) -> pd.Series:
         points = np.stack(xs.to_numpy()).astype(float) if len(xs) else np.zeros((0, centre.shape[1]))
-        return pd.Series(np.concatenate([_squared(points[i:i + CHUNK], centre).argmin(axis=1) for i in range(0, len(points), CHUNK)] or [[]]), dtype="int32")
+        return pd.Series(np.concatenate([squared(points[i:i + CHUNK], centre).argmin(axis=1) for i in range(0, len(points), CHUNK)] or [[]]), dtype="int32")
 
     return stored(rows.withColumn("ball", nearest("x")), "placed"), centre
 
@@ -120,7 +113,7 @@ class _Clustering:
     def ends(self, x: np.ndarray, names: np.ndarray, ball: np.ndarray) -> tuple[float, float]:
         cell = np.array([self.at[key] for key in zip(names, ball)])
         line, mine = np.arange(len(x)), self.of[cell]
-        d2 = _squared(x, self.mean)
+        d2 = squared(x, self.mean)
         least, most = self.n * np.sqrt(d2), self.n * np.sqrt(d2 + self.var)
         # its own cell without the point itself
         off, m = x - self.centre[cell], self.n[cell] - 1
@@ -164,13 +157,6 @@ def ends(placed: DataFrame, centre: np.ndarray | None, clusters: Sequence[str])
     return [by.get(k) for k in range(len(clusters))]
 
 
-def _points(batch: pa.RecordBatch, width: int) -> np.ndarray:
-    x = batch.column("x")
-    if len(x) and not pc.all(pc.equal(pc.list_value_length(x), width)).as_py():
-        raise ValueError("the vectors differ in length")
-    return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), width)
-
-
 def all_pairs(rows: DataFrame, clusters: Sequence[str]) -> list[tuple[float, float, int] | None]:
     """What :func:`ends` gives, from the distances of all pairs: both ends are the mean silhouette.
 
@@ -220,7 +206,7 @@ def all_pairs(rows: DataFrame, clusters: Sequence[str]) -> list[tuple[float, flo
                     if block is not None:
                         yield finish(np.hstack(code), np.concatenate(n), np.vstack(total))
                     block, own, code, n, total = i, [], [], [], []
-                x, c, w, home = _points(batch, width), codes(batch), batch.column("n").to_numpy().astype(float), batch.column("home").to_numpy()
+                x, c, w, home = matrix(batch, width), codes(batch), batch.column("n").to_numpy().astype(float), batch.column("home").to_numpy()
                 new = home == i                 # the block's own rows come first
                 if new.any():
                     fresh = (x[new], c[:, new], w[new])
@@ -241,7 +227,7 @@ def all_pairs(rows: DataFrame, clusters: Sequence[str]) -> list[tuple[float, flo
                 member[use, start[k] + at[use]] = w[j:j + 2 * CHUNK][use]
             for mine, sums in zip(own, total, strict=True):
                 for i in range(0, len(mine), CHUNK // 2):
-                    sums[i:i + CHUNK // 2] += np.sqrt(_squared(mine[i:i + CHUNK // 2], y)) @ member
+                    sums[i:i + CHUNK // 2] += np.sqrt(squared(mine[i:i + CHUNK // 2], y)) @ member
 
     homed = points.withColumn("home", F.pmod(F.xxhash64("x", *names), F.lit(blocks)).cast("int"))
     dealt = homed.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartitionById(blocks, F.col("to"))
@@ -281,11 +267,11 @@ def euclidean_silhouette(df: DataFrame, vec: str, clusters: Sequence[str], toler
 
 
 def kmeans_silhouette(df: DataFrame, vec: str, ks: Sequence[int], seed: int = 100, max_iter: int = 50, **options) -> DataFrame:
-    """``k, silhouette, bound`` of the k-means clusters of the array column ``vec`` for each k."""
-    rows = _usable(df, vec).withColumn("_v", array_to_vector("x"))
+    """``k, silhouette, bound`` of the k-means clusters of the array column ``vec`` for each k, all fitted together."""
+    rows = _usable(df, vec)
     if rows.isEmpty():
         return df.sparkSession.createDataFrame([(k, None, None) for k in ks], "k int, silhouette double, bound double")
-    for k in ks:
-        rows = KMeans(featuresCol="_v", predictionCol=f"k{k}", k=k, seed=seed, maxIter=max_iter).fit(rows).transform(rows)
-    found = euclidean_silhouette(rows, "x", [f"k{k}" for k in ks], **options)
+    names = [f"k{k}" for k in ks]
+    labelled = stored(label_many(rows, fit_many(rows, ks, seed, max_iter), names), "clusters")
+    found = euclidean_silhouette(labelled, "x", names, **options)
     return found.select(F.substring("clustering", 2, 9).cast("int").alias("k"), "silhouette", "bound")

@@ -2,8 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 
 from casebook.operators import silhouette as S
+from casebook.operators.kmeans import fit_many, label_many
 
 
 def _brute(x, c):
@@ -80,3 +83,34 @@ def test_all_pairs_need_no_balls(spark, points):
 def test_several_clusterings_sum_all_pairs_where_that_is_less_work(spark, points):
     got = S.kmeans_silhouette(_frame(spark, points), "x", [2, 3, 5], most=16, limit=300, tolerance=1.0).collect()
     assert [r["bound"] for r in got] == [0.0] * 3
+
+
+def _points(spark, x):
+    return spark.createDataFrame([([float(v) for v in p],) for p in x], "x array<double>").repartition(3)
+
+
+def test_k_means_of_several_k_share_their_rounds(spark):
+    rows, ks = _points(spark, np.random.default_rng(8).random((600, 4))).localCheckpoint(), list(range(2, 10))
+    spark.sparkContext.setJobGroup("shared-rounds", "k-means of several k")
+    try:
+        S.kmeans_silhouette(rows, "x", ks, tolerance=1.0).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.sparkContext.setLocalProperty("spark.job.description", None)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("shared-rounds"))
+    vectors = rows.select(array_to_vector("x").alias("v"))
+    models = [KMeans(featuresCol="v", k=k, seed=100, maxIter=50).fit(vectors) for k in ks]
+    centres = fit_many(rows, ks)
+    for model, got in zip(models, centres, strict=True):
+        assert np.array(model.clusterCenters()) == pytest.approx(got, abs=1e-9)
+    assert 0 < jobs < 7 * len(ks) + sum(m.summary.numIter for m in models)      # 7 find the first centres of one k
+    found = label_many(rows, centres, [f"k{k}" for k in ks])
+    sizes = {r["k9"]: r["count"] for r in found.groupBy("k9").count().collect()}
+    assert [sizes[i] for i in range(9)] == models[-1].summary.clusterSizes
+
+
+def test_k_means_with_fewer_points_than_clusters(spark):
+    x = np.repeat([[0.0, 0.0], [1.0, 0.0], [0.0, 5.0]], [4, 1, 7], axis=0)
+    two, five = fit_many(_points(spark, x).coalesce(1), [2, 5])
+    assert sorted(map(tuple, five)) == [(0.0, 0.0), (0.0, 5.0), (1.0, 0.0)]
+    assert sorted(map(tuple, two)) == [(0.0, 5.0), (0.2, 0.0)]
