@@ -273,6 +273,20 @@ def test_flat_lists_are_scored_in_tiles(spark, monkeypatch, key):
     assert names.count("top-pairs") == 1
 
 
+@pytest.mark.parametrize("positive", [True, False])
+def test_flat_lists_form_no_round_and_tiles_are_scored_once(spark, monkeypatch, positive):
+    """Where tiles are less work than the rows of one round, no round is formed, and the tiles are not scored again."""
+    df = _taste(spark, users=60, groups=2, size=20, own=6, others=3, seed=9)
+    sim = RC.item_similarity(df, center=None if positive else "zero_filled", clip=not positive).withColumn("sim", F.round("sim", 1))
+    sim = sim.where("sim > 0" if positive else "true").cache()
+    want = _ranked(_all_scores(df, sim, 4, 4))
+    monkeypatch.setattr(RC, "BROADCAST_ROWS", 0)
+    names = []
+    monkeypatch.setattr(RC, "stored", lambda frame, name, keep=RC.stored: names.append(name) or keep(frame, name))
+    assert _ranked(RC.top_unseen(df, sim, 4, digits=4, depth=16)) == want
+    assert names == ["top-tiles"]
+
+
 def test_index_that_spares_nothing_is_not_looked_up(spark, monkeypatch):
     df = _taste(spark, users=60, groups=2, size=20, own=6, others=3, seed=9)
     rows = lambda **more: {(r["a"], r["b"]): round(r["sim"], 9) for r in RC.item_similarity(df, least=0.1, **more).collect()}
