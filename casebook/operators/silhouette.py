@@ -10,7 +10,7 @@ the distances to the cell's points add up to at least n |x - m| (the distance is
 (their squares add up to n (|x - m|^2 + v)). A point is taken out of its own cell first. So one scan against a bounded
 number of cells gives both ends of every point's silhouette; where all cells hold equal points both ends agree and the
 value is exact. While the mean's bound is above the tolerance, there are eight times as many balls, up to a limit. Several
-clusterings of the same points share these two scans.
+clusterings of the same points share these scans, as many as a task may hold the cells of.
 
 Rows with a NULL cluster, a NULL vector or a component that is NULL, NaN or infinite take no part. A point alone in its
 cluster has silhouette 0, and so has one at distance 0 from its own and the next cluster. With fewer than two clusters
@@ -36,6 +36,7 @@ from casebook.session import stored
 LIMIT = 8192        # balls that every task may hold
 NUMBERS = 1 << 22   # about as many numbers of cell means, or of sums of a block, are in a task at once
 CHUNK = 1024
+DISTANCES = 1 << 20     # distances of some points to all cells that a task holds at once
 BLOCKS, BLOCK_ROWS = 24, 32768      # least number of blocks that all pairs are dealt in, most points of one
 
 
@@ -66,23 +67,33 @@ def _long(placed: DataFrame, clusters: Sequence[str]) -> DataFrame:
 
 def _cells(placed: DataFrame, centre: np.ndarray, clusters: Sequence[str]) -> list[dict]:
     """Per clustering the cluster, ball, count, and sum and squares around the ball's centre of the points of each
-    (cluster, ball); every task adds up its own. They come as Arrow columns, so a number takes 8 bytes of the driver."""
+    (cluster, ball). A task adds up those of one batch and one clustering at a time, Spark the rest; they travel as Arrow
+    columns, so a number takes 8 bytes of a task or the driver."""
     width = centre.shape[1]
 
-    def run(frames):
-        total: dict = {}
-        for pdf in frames:
-            if not len(pdf):
+    def run(batches):
+        for batch in batches:
+            if not len(batch):
                 continue
-            x = np.stack(pdf["x"].to_numpy()).astype(float) - centre[pdf["ball"].to_numpy()]
-            names = np.stack(pdf["names"].to_numpy())
-            for k in range(names.shape[1]):
-                for (c, b), at in pd.DataFrame({"c": names[:, k], "b": pdf["ball"].to_numpy()}).groupby(["c", "b"]).indices.items():
-                    n, s, q = total.get((k, c, b), (0, 0.0, 0.0))
-                    total[k, c, b] = n + len(at), s + x[at].sum(axis=0), q + float((x[at] ** 2).sum())
-        yield pd.DataFrame([(k, c, b, n, list(s), q) for (k, c, b), (n, s, q) in total.items()], columns=["k", "c", "ball", "n", "s", "q"])
-
-    parts = _long(placed, clusters).mapInPandas(run, "k int, c string, ball int, n long, s array<double>, q double")
+            ball = batch.column("ball").to_numpy()
+            x = matrix(batch, width) - centre[ball]
+            names, square = batch.column("names").flatten(), (x ** 2).sum(axis=1)
+            for k in range(len(clusters)):
+                code = names.take(pa.array(np.arange(len(batch)) * len(clusters) + k)).dictionary_encode()
+                at = pc.fill_null(code.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                order = np.lexsort((ball, at))
+                order = order[at[order] >= 0]
+                if not len(order):
+                    continue
+                c, b = at[order], ball[order]
+                first = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (b[1:] != b[:-1])))
+                s = np.add.reduceat(x[order], first, axis=0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(first), k, np.int32)), code.dictionary.take(pa.array(c[first])), pa.array(b[first]), pa.array(np.diff(np.append(first, len(order)))),
+                     pa.ListArray.from_arrays(pa.array(np.arange(0, s.size + 1, width, dtype=np.int32)), pa.array(s.ravel())), pa.array(np.add.reduceat(square[order], first))],
+                    names=["k", "c", "ball", "n", "s", "q"])
+
+    parts = _long(placed, clusters).mapInArrow(run, "k int, c string, ball int, n long, s array<double>, q double")
     found = parts.groupBy("k", "c", "ball").agg(
         F.sum("n").alias("n"), F.array(*[F.sum(F.col("s")[i]) for i in range(width)]).alias("s"),
         F.sum("q").alias("q")).orderBy("k", "c", "ball").toArrow()
@@ -132,29 +143,45 @@ class _Clustering:
 
 
 def ends(placed: DataFrame, centre: np.ndarray | None, clusters: Sequence[str]) -> list[tuple[float, float, int] | None]:
-    """Per clustering the least and greatest mean silhouette and the number of points, in two scans for all."""
+    """Per clustering the least and greatest mean silhouette and the number of points: a scan for the cells, and one for
+    as many clusterings as have about ``NUMBERS`` numbers of cell means together."""
     if centre is None:
         return [None] * len(clusters)
     cells = _cells(placed, centre, clusters)
-    live = [k for k, some in enumerate(cells) if len(set(some["c"])) > 1]
+    runs: list[list[int]] = []
+    held = NUMBERS
+    for k in (k for k, some in enumerate(cells) if len(set(some["c"])) > 1):
+        held += cells[k]["s"].size
+        if held > NUMBERS:
+            runs.append([])
+            held = cells[k]["s"].size
+        runs[-1].append(k)
+    by: dict[int, tuple[float, float, int]] = {}
+    for live in runs:
+        by |= _scan(placed, centre, clusters, {k: cells[k] for k in live})
+    return [by.get(k) for k in range(len(clusters))]
+
+
+def _scan(placed: DataFrame, centre: np.ndarray, clusters: Sequence[str], cells: dict[int, dict]) -> dict[int, tuple[float, float, int]]:
+    step = max(1, min(CHUNK, DISTANCES // max(len(some["n"]) for some in cells.values())))
 
     def run(frames):
-        models = {k: _Clustering(cells[k], centre) for k in live}     # only the cells travel
-        total = np.zeros((len(cells), 3))
+        models = {k: _Clustering(some, centre) for k, some in cells.items()}     # only the cells travel
+        total = {k: np.zeros(3) for k in models}
         for pdf in frames:
-            for i in range(0, len(pdf), CHUNK):
-                some = pdf.iloc[i:i + CHUNK]
+            for i in range(0, len(pdf), step):
+                some = pdf.iloc[i:i + step]
                 x, names, ball = np.stack(some["x"].to_numpy()).astype(float), np.stack(some["names"].to_numpy()), some["ball"].to_numpy()
-                for k in live:
+                for k, model in models.items():
                     known = np.array([c is not None for c in names[:, k]])
                     if known.any():
-                        total[k] += (*models[k].ends(x[known], names[known, k], ball[known]), known.sum())
-        yield pd.DataFrame({"k": live, "low": total[live, 0], "high": total[live, 1], "n": total[live, 2].astype(np.int64)})
+                        total[k] += (*model.ends(x[known], names[known, k], ball[known]), known.sum())
+        found = np.array(list(total.values()))
+        yield pd.DataFrame({"k": list(total), "low": found[:, 0], "high": found[:, 1], "n": found[:, 2].astype(np.int64)})
 
     found = _long(placed, clusters).mapInPandas(run, "k int, low double, high double, n long").groupBy("k").agg(
-        F.sum("low").alias("low"), F.sum("high").alias("high"), F.sum("n").alias("n")).collect() if live else []
-    by = {r["k"]: (r["low"] / r["n"], r["high"] / r["n"], r["n"]) for r in found}
-    return [by.get(k) for k in range(len(clusters))]
+        F.sum("low").alias("low"), F.sum("high").alias("high"), F.sum("n").alias("n")).collect()
+    return {r["k"]: (r["low"] / r["n"], r["high"] / r["n"], r["n"]) for r in found}
 
 
 def all_pairs(rows: DataFrame, clusters: Sequence[str]) -> list[tuple[float, float, int] | None]:
@@ -219,15 +246,23 @@ def all_pairs(rows: DataFrame, clusters: Sequence[str]) -> list[tuple[float, flo
             yield finish(np.hstack(code), np.concatenate(n), np.vstack(total))
 
     def _meet(own: list, total: list, x: np.ndarray, code: np.ndarray, w: np.ndarray) -> None:
+        order = np.lexsort(code)
+        x, code, w = x[order], code[:, order], w[order]
         for j in range(0, len(x), 2 * CHUNK):
-            y, some = x[j:j + 2 * CHUNK], code[:, j:j + 2 * CHUNK]
-            member = np.zeros((len(y), columns))
-            for at, k in zip(some, live, strict=True):
+            y, some, weight = x[j:j + 2 * CHUNK], code[:, j:j + 2 * CHUNK], w[j:j + 2 * CHUNK]
+            # points that all clusterings put together are added up first, where these are fewer than the sums of a point
+            first = np.flatnonzero(np.append(True, (some[:, 1:] != some[:, :-1]).any(axis=0)))
+            if 2 * len(first) > columns:
+                first = None
+            label = some if first is None else some[:, first]
+            member = np.zeros((label.shape[1], columns))
+            for at, k in zip(label, live, strict=True):
                 use = np.flatnonzero(at >= 0)
-                member[use, start[k] + at[use]] = w[j:j + 2 * CHUNK][use]
+                member[use, start[k] + at[use]] = weight[use] if first is None else 1.0
             for mine, sums in zip(own, total, strict=True):
                 for i in range(0, len(mine), CHUNK // 2):
-                    sums[i:i + CHUNK // 2] += np.sqrt(squared(mine[i:i + CHUNK // 2], y)) @ member
+                    d = np.sqrt(squared(mine[i:i + CHUNK // 2], y))
+                    sums[i:i + CHUNK // 2] += (d if first is None else np.add.reduceat(d * weight, first, axis=1)) @ member
 
     homed = points.withColumn("home", F.pmod(F.xxhash64("x", *names), F.lit(blocks)).cast("int"))
     dealt = homed.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartitionById(blocks, F.col("to"))
@@ -241,12 +276,12 @@ def euclidean_silhouette(df: DataFrame, vec: str, clusters: Sequence[str], toler
     """One row a column of ``clusters``: ``clustering, silhouette, bound, n``.
 
     The mean silhouette is within ``bound`` (rounded up) of ``silhouette``, the middle of its two ends; ``vec`` is an
-    array column. All pairs of points are summed (bound 0) if ``exact``, or if the points are no more than half of
-    ``limit`` for each clustering, where this is less work. Else the balls are found once for all columns; columns whose
+    array column. All pairs of points are summed (bound 0) if ``exact``, or if the points are no more than
+    ``limit`` for each clustering, where this is less work: a clustering has more cells than there are balls. Else the balls are found once for all columns; columns whose
     bound is above ``tolerance`` are done again with eight times as many balls, up to ``limit``."""
     rows = _usable(df, vec, *clusters)
     todo, done = list(clusters), {}
-    if exact or rows.count() <= limit * len(todo) // 2:
+    if exact or rows.count() <= limit * len(todo):
         done.update(zip(todo, all_pairs(rows, todo), strict=True))
         todo = []
     while todo:

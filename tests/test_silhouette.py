@@ -114,3 +114,27 @@ def test_k_means_with_fewer_points_than_clusters(spark):
     two, five = fit_many(_points(spark, x).coalesce(1), [2, 5])
     assert sorted(map(tuple, five)) == [(0.0, 0.0), (0.0, 5.0), (1.0, 0.0)]
     assert sorted(map(tuple, two)) == [(0.0, 5.0), (0.2, 0.0)]
+
+
+def test_cells_are_scanned_some_clusterings_at_a_time(spark, points, monkeypatch):
+    """A task holds the cells of as many clusterings as fit and few distances; the ends are those of one scan for all."""
+    x, c = points
+    names = ["good", "poor", "single"]
+    whole = S.euclidean_silhouette(_frame(spark, points), "x", names, most=32, limit=32, tolerance=1.0).collect()
+    for r in whole:
+        assert r["bound"] > 0 and abs(r["silhouette"] - _brute(x, c[r["clustering"]])) <= r["bound"] + 1e-6
+    held = []
+    scan = S._scan
+    monkeypatch.setattr(S, "_scan", lambda p, m, k, cells: held.append([v["s"].size for v in cells.values()]) or scan(p, m, k, cells))
+    monkeypatch.setattr(S, "NUMBERS", 200)
+    monkeypatch.setattr(S, "DISTANCES", 150)
+    assert S.euclidean_silhouette(_frame(spark, points), "x", names, most=32, limit=32, tolerance=1.0).collect() == whole
+    assert sum(map(len, held)) == 3 and all(len(h) == 1 or sum(h) <= 200 for h in held) and len(held) > 1
+
+
+def test_points_that_all_clusterings_put_together(spark, points):
+    x, c = points
+    df = _frame(spark, points).selectExpr("x", "good", "good as again", "single", "good as third")
+    got = {r["clustering"]: r["silhouette"] for r in S.euclidean_silhouette(df, "x", ["good", "again", "single", "third"], exact=True).collect()}
+    for k, of in (("good", "good"), ("again", "good"), ("single", "single"), ("third", "good")):
+        assert got[k] == pytest.approx(_brute(x, c[of]), abs=2e-6)
